@@ -1,0 +1,78 @@
+"""What-if simulation on the service graph: latent state, fault, one-hop spread, action, observation.
+
+Latent services are (scenario_id, service, mode, fault_type, app_health, infra_health, latency_ms), latent
+edges (scenario_id, src, dst, mode, error_ratio, latency_p95_us). Each step maps both to new DataFrames.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tracewright.functions import rules
+
+
+def latent(state: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (.., anomaly, infra_issue, latency_ms)."""
+    services = state.select("scenario_id", "service", F.lit("healthy").alias("mode"), F.lit(None).cast("string").alias("fault_type"), F.greatest(F.lit(0.0), 1 - F.col("anomaly")).alias("app_health"), F.when(F.col("infra_issue"), 0.3).otherwise(1.0).alias("infra_health"), F.coalesce("latency_ms", F.lit(0.0)).alias("latency_ms"))
+    return services, edges.select("scenario_id", "src", "dst", F.lit("healthy").alias("mode"), "error_ratio", "latency_p95_us")
+
+
+def inject(services: DataFrame, target: str, fault: str) -> DataFrame:
+    here = F.col("service") == target
+    if fault in ("dependency_failure", "ghost_failure", "config_error", "auth_failure"):
+        values = {"mode": F.lit("failed"), "app_health": F.lit(0.1), "infra_health": F.lit(1.0)}
+    elif fault == "latency_degradation":
+        values = {"mode": F.lit("degraded"), "app_health": F.lit(0.5), "latency_ms": F.greatest(F.lit(1000.0), F.col("latency_ms") * 8)}
+    elif fault == "infra_failure":
+        values = {"mode": F.lit("failed"), "app_health": F.lit(0.2), "infra_health": F.lit(0.0)}
+    else:
+        values = {}
+    return services.withColumns({k: F.when(here, v).otherwise(F.col(k)) for k, v in (values | {"fault_type": F.lit(fault)}).items()})
+
+
+def propagate(services: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges after one hop: those that leave a failed or degraded service worsen."""
+    sick = services.where("mode <> 'healthy'").select("scenario_id", F.col("service").alias("src"), F.col("mode").alias("m"), F.col("latency_ms").alias("l"))
+    e = edges.join(sick, ["scenario_id", "src"], "left")
+    failed, slow = F.col("m") == "failed", F.col("m") == "degraded"
+    return e.select(
+        "scenario_id", "src", "dst", F.when(failed, "failing").when(slow, "degraded").otherwise(F.col("mode")).alias("mode"),
+        F.when(failed, F.greatest("error_ratio", F.lit(0.9))).when(slow, F.greatest("error_ratio", F.lit(0.25))).otherwise(F.col("error_ratio")).alias("error_ratio"),
+        F.when(failed, F.greatest("latency_p95_us", F.lit(200000.0))).when(slow, F.greatest("latency_p95_us", F.col("l") * 1000)).otherwise(F.col("latency_p95_us")).alias("latency_p95_us"),
+    )
+
+
+def act(services: DataFrame, edges: DataFrame, action: str, service: str | None = None, src: str | None = None, dst: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Restart and rollback heal a service and its calls' errors, not their latency; wait changes nothing."""
+    if action in ("restart_service", "rollback_config"):
+        here, out = F.col("service") == service, F.col("src") == service
+        services = services.withColumns({"mode": F.when(here, "healthy").otherwise(F.col("mode")), "fault_type": F.when(~here, F.col("fault_type")), "app_health": F.when(here, 1.0).otherwise(F.col("app_health"))})
+        edges = edges.withColumns({"mode": F.when(out, "healthy").otherwise(F.col("mode")), "error_ratio": F.when(out, 0.0).otherwise(F.col("error_ratio"))})
+    elif action == "scale_service":
+        services = services.withColumn("latency_ms", F.when(F.col("service") == service, F.col("latency_ms") * 0.7).otherwise(F.col("latency_ms")))
+    elif action == "disable_edge":
+        here = (F.col("src") == src) & (F.col("dst") == dst)
+        edges = edges.withColumns({"mode": F.when(here, "healthy").otherwise(F.col("mode")), "error_ratio": F.when(here, 0.0).otherwise(F.col("error_ratio")), "latency_p95_us": F.when(here, 0.0).otherwise(F.col("latency_p95_us"))})
+    return services, edges
+
+
+def observe(services: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What logs, system and traces would show."""
+    well = F.col("mode") == "healthy"
+    kind = F.when(well, "none").when(F.col("fault_type") == "auth_failure", "auth").when(F.col("fault_type") == "config_error", "config").when(F.col("fault_type") == "latency_degradation", "timeout").otherwise("error")
+    seen = services.select("scenario_id", "service", "mode", "latency_ms", kind.alias("dominant_error_type"), F.when(well, 0.0).otherwise(0.7).alias("anomaly"), (~well & F.coalesce(F.col("fault_type") == "infra_failure", F.lit(False))).alias("infra_issue"))
+    er, p95 = F.col("error_ratio"), F.col("latency_p95_us")
+    failure = F.when(er >= 0.9, "hard_error_path").when(er >= 0.3, "partial_error_path").when(p95 >= 500000, "high_latency_path").otherwise("healthy_path")
+    return seen, edges.withColumn("is_suspicious", rules.suspicious(er, p95)).withColumn("failure_type", failure).withColumn("edge_score", rules.edge_score(er, p95))
+
+
+def simulate(state: DataFrame, edges: DataFrame, target: str | None = None, fault: str | None = None, action: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    services, calls = latent(state, edges)
+    if target and fault:
+        services = inject(services, target, fault)
+    calls = propagate(services, calls)
+    if action:
+        services, calls = act(services, calls, **action)
+        calls = propagate(services, calls)
+    return observe(services, calls)

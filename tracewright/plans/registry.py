@@ -1,11 +1,515 @@
-"""All registered queries with their SQL."""
+"""All registered queries of the telemetry engine with their SQL.
+
+The driver's tables hold no telemetry, so each query maps one of them to the operator's input first: line
+items are spans, events are samples and log lines, orders are pods. The SQL states the same mapping.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewright.functions import logs as line
+from tracewright.functions import names, rules
+from tracewright.operators import diagnosis, grouping, logs, metrics, outcome, simulator, system, traces
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def spans(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as spans: the order is the trace, the line number the span, the year the file."""
+    t = _read(spark, d, "lineitem")
+    # rows of one span differ in no order of arrival, so all their values in turn stand for it
+    order = F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    return t.select(F.lit("s").alias("scenario_id"), F.year("l_shipdate").cast("string").alias("path"), order.alias("row_no"), F.col("l_orderkey").alias("trace_id"), F.col("l_linenumber").alias("span_id"), (F.col("l_linenumber") - 1).alias("parent_span"), F.concat(F.lit("svc"), (F.col("l_suppkey") % 10).cast("string")).alias("service"), F.concat(F.lit("op"), (F.col("l_partkey") % 7).cast("string")).alias("operation"), F.col("l_extendedprice").alias("duration_us"), (F.col("l_returnflag") == "R").alias("is_error"))
+
+
+def one_file(spark: SparkSession, d: str) -> DataFrame:
+    return spans(spark, d).withColumn("path", F.lit("f"))
+
+
+_SPANS = """
+sp0 AS (SELECT 's' AS scenario_id, {path} AS path, l_orderkey AS trace_id, l_linenumber AS span_id, l_linenumber - 1 AS parent_span, 'svc' || (l_suppkey % 10) AS service, 'op' || (l_partkey % 7) AS operation, l_extendedprice AS duration_us, l_returnflag = 'R' AS is_error,
+  row_number() OVER (PARTITION BY {path}, l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC, l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC, l_shipdate DESC) AS rn FROM lineitem),
+lk AS (SELECT c.*, coalesce(p.service, 'ROOT') AS src, c.service AS dst FROM sp0 c LEFT JOIN (SELECT * FROM sp0 WHERE rn = 1) p ON p.path = c.path AND p.trace_id = c.trace_id AND p.span_id = c.parent_span)"""
+_ONE = _SPANS.format(path="'f'")
+_FEATURES = """count(*) AS num_requests, count(*) FILTER (WHERE is_error) AS num_errors, avg(is_error::INT::DOUBLE) AS error_ratio, avg(duration_us) AS latency_mean_us, max(duration_us) AS latency_max_us, count(DISTINCT trace_id) AS num_traces,
+  quantile_cont(duration_us, 0.5) AS latency_p50_us, quantile_cont(duration_us, 0.95) AS latency_p95_us, quantile_cont(duration_us, 0.99) AS latency_p99_us"""
+_JUDGED = """error_ratio > 0.2 OR latency_p95_us > 100000 AS is_suspicious,
+  CASE WHEN error_ratio >= 0.9 THEN 'hard_error_path' WHEN error_ratio >= 0.3 THEN 'partial_error_path' WHEN latency_p95_us >= 500000 THEN 'high_latency_path' WHEN latency_p95_us >= 100000 THEN 'degraded_latency_path' ELSE 'healthy_path' END AS failure_type,
+  least(1.0::DOUBLE, 0.8::DOUBLE * least(error_ratio, 1.0::DOUBLE) + 0.2::DOUBLE * least(latency_p95_us / 1000000.0::DOUBLE, 1.0::DOUBLE)) AS edge_score"""
+_EDGES = f"{_ONE}, e AS (SELECT scenario_id, src, dst, {_FEATURES} FROM lk GROUP BY ALL), ed AS (SELECT *, {_JUDGED} FROM e)"
+
+
+def _rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+_OUT = "src, dst, num_requests, num_errors, round(error_ratio, 6) AS error_ratio, round(latency_p95_us, 4) AS latency_p95_us, failure_type, round(edge_score, 6) AS edge_score, is_suspicious"
+
+
+def _edges_out(e: DataFrame, *more: str) -> DataFrame:
+    return e.select("src", "dst", "num_requests", "num_errors", F.round("error_ratio", 6).alias("error_ratio"), F.round("latency_p95_us", 4).alias("latency_p95_us"), "failure_type", F.round("edge_score", 6).alias("edge_score"), "is_suspicious", *more)
+
+
+@query(f"WITH {_EDGES} SELECT {_OUT}, num_traces FROM ed")
+def edge_stats_exact(spark, d):
+    return _edges_out(traces.call_edges(one_file(spark, d)), "num_traces")
+
+
+@query(f"""WITH {_SPANS.format(path="CAST(year(l_shipdate) AS VARCHAR)")}, e AS (SELECT path, src, dst, {_FEATURES} FROM lk GROUP BY ALL),
+v AS (SELECT src, dst, unnest([latency_mean_us, latency_p50_us, latency_p95_us, latency_p99_us, latency_max_us]) AS x FROM e),
+q AS (SELECT src, dst, quantile_cont(x, 0.95) AS latency_p95_us FROM v WHERE x <> 0 GROUP BY ALL),
+t AS (SELECT src, dst, sum(num_requests) AS num_requests, sum(num_errors) AS num_errors FROM e GROUP BY ALL),
+m AS (SELECT *, num_errors / num_requests AS error_ratio FROM t JOIN q USING (src, dst)), ed AS (SELECT *, {_JUDGED} FROM m) SELECT {_OUT} FROM ed""")
+def edge_stats_compat(spark, d):
+    return _edges_out(traces.merged_edges(spans(spark, d)))
+
+
+@query(f"WITH {_EDGES}, r AS (SELECT *, row_number() OVER (ORDER BY edge_score DESC, src, dst) AS rank FROM ed) SELECT {_OUT}, rank FROM r WHERE rank <= 10")
+def edge_topk(spark, d):
+    return _edges_out(traces.top_edges(traces.call_edges(one_file(spark, d))), "rank")
+
+
+@query(f"WITH {_EDGES} SELECT src, dst, error_ratio > 0.2 AS errs, latency_p95_us > 80000 AS slow, error_ratio > 0.2 OR latency_p95_us / 1000 > 800 AS violated FROM ed")
+def edge_sla(spark, d):
+    e = diagnosis.edge_sla(traces.call_edges(one_file(spark, d)))
+    return e.select("src", "dst", F.array_contains("reasons", "error_ratio").alias("errs"), (F.col("latency_p95_us") > 80000).alias("slow"), "violated")
+
+
+@query(f"WITH {_EDGES} SELECT src, dst, CASE WHEN error_ratio >= 0.9 OR edge_score >= 0.9 THEN 'critical' WHEN error_ratio >= 0.3 OR edge_score >= 0.5 OR num_requests >= 20 THEN 'important' ELSE 'normal' END AS criticality FROM ed")
+def edge_criticality(spark, d):
+    return traces.call_edges(one_file(spark, d)).select("src", "dst", rules.criticality(F.col("error_ratio"), F.col("edge_score"), F.col("num_requests")).alias("criticality"))
+
+
+@query(f"WITH {_ONE}, c AS (SELECT src, dst, operation, count(*) AS n FROM lk GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY n DESC, operation) AS rank FROM c) SELECT * FROM r WHERE rank <= 3")
+def edge_top_operations(spark, d):
+    return traces.top_values(one_file(spark, d), ["src", "dst"], "operation", 3)
+
+
+@query(f"WITH {_ONE} SELECT service, count(*) AS num_spans, count(*) FILTER (WHERE is_error) AS num_errors, round(avg(is_error::INT::DOUBLE), 6) AS error_ratio, round(quantile_cont(duration_us, 0.95), 4) AS p95, max(duration_us) AS latency_max_us FROM sp0 GROUP BY service")
+def service_trace_summary(spark, d):
+    return traces.service_traces(one_file(spark, d)).select("service", "num_spans", "num_errors", F.round("error_ratio", 6).alias("error_ratio"), F.round("latency_p95_us", 4).alias("p95"), "latency_max_us")
+
+
+@query(f"WITH {_EDGES}, b AS (SELECT dst AS service, num_requests AS i, 0 AS o FROM ed UNION ALL SELECT src, 0, num_requests FROM ed) SELECT service, sum(i) AS incoming, sum(o) AS outgoing, sum(i) + sum(o) AS total FROM b GROUP BY service")
+def workload_totals(spark, d):
+    return traces.workload(traces.call_edges(one_file(spark, d))).drop("scenario_id")
+
+
+@query(f"WITH {_EDGES}, b AS (SELECT dst AS service, 1 AS i, 0 AS o FROM ed UNION ALL SELECT src, 0, 1 FROM ed) SELECT service, sum(i) AS fan_in, sum(o) AS fan_out FROM b GROUP BY service")
+def edge_fan(spark, d):
+    return traces.fan(traces.call_edges(one_file(spark, d))).drop("scenario_id")
+
+
+@query(f"WITH {_EDGES}, o AS (SELECT src AS service, string_agg(dst, ',' ORDER BY dst) AS outs FROM ed GROUP BY src), i AS (SELECT dst AS service, string_agg(src, ',' ORDER BY src) AS ins FROM ed GROUP BY dst) SELECT service, outs, ins FROM o FULL JOIN i USING (service)")
+def adjacency_lists(spark, d):
+    a = traces.adjacency(traces.call_edges(one_file(spark, d)))
+    text = lambda c: F.when(F.col(c).isNotNull(), F.array_join(c, ","))
+    return a.select("service", text("out_neighbours").alias("outs"), text("in_neighbours").alias("ins"))
+
+
+def samples(spark: SparkSession, d: str) -> DataFrame:
+    t = _read(spark, d, "events")
+    return t.select(F.lit("s").alias("scenario_id"), F.lit("f").alias("path"), F.struct("ts", "event_id").alias("row_no"), F.concat(F.lit("svc"), (F.col("user_id") % 20).cast("string")).alias("service"), F.concat(F.lit("cpu_"), "event_type").alias("kpi_name"), "value")
+
+
+@query("""SELECT 'svc' || (user_id % 20) AS service, 'cpu_' || event_type AS kpi_name, count(*) AS n, arg_min(value, (ts, event_id)) AS first_value, arg_max(value, (ts, event_id)) AS last_value, min(value) AS min_value, max(value) AS max_value, round(avg(value), 6) AS mean_value,
+  round(arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)), 6) AS delta, 'cpu' AS kpi_group, CASE WHEN min(value) = 0 AND max(value) = 0 THEN 'zero' WHEN min(value) = max(value) THEN 'constant' ELSE 'dynamic' END AS signal FROM events GROUP BY 1, 2""")
+def kpi_summary(spark, d):
+    return _rounded(metrics.kpi_summary(samples(spark, d)).drop("scenario_id"), "mean_value", "delta")
+
+
+@query("""WITH k AS (SELECT 'svc' || (user_id % 20) AS service, 'cpu_' || event_type AS kpi, avg(value) AS m FROM events GROUP BY 1, 2)
+SELECT service, round(coalesce(arg_min(m, kpi) FILTER (WHERE kpi LIKE '%cl%'), 0), 6) AS clicks, round(coalesce(arg_min(m, kpi) FILTER (WHERE kpi LIKE '%view%' OR kpi LIKE '%p%'), 0), 6) AS views FROM k GROUP BY service""")
+def kpi_flat_fields(spark, d):
+    return _rounded(metrics.flat_fields(metrics.kpi_summary(samples(spark, d)), {"clicks": ["cl"], "views": ["view", "p"]}).drop("scenario_id"), "clicks", "views")
+
+
+@query(f"WITH {_EDGES}, w AS (SELECT dst AS service, max(latency_p95_us) / 1000 AS latency_ms FROM ed GROUP BY dst), s AS (SELECT DISTINCT 'svc' || (user_id % 20) AS service FROM events) SELECT service, round(latency_ms, 6) AS latency_ms FROM s FULL JOIN w USING (service)")
+def latency_backfill(spark, d):
+    return _rounded(metrics.latency_back_fill(samples(spark, d), traces.call_edges(one_file(spark, d))).drop("scenario_id"), "latency_ms")
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """Events as log lines of four kinds, with a dependency in some of them."""
+    t = _read(spark, d, "events")
+    k, n = F.col("event_id") % 4, F.col("event_id") % 9
+    word = F.when(n == 0, "connection refused").when(n == 1, "request timed out").when(n == 2, "panic in worker").when(n == 3, "permission denied").otherwise("served")
+    text = F.concat(word, F.lit(" calling ismaster on 'store-"), (F.col("user_id") % 5).cast("string"), F.lit("-redis:6379'"))
+    text = F.when(n < 2, text).otherwise(F.concat(word, F.lit(" item "), F.col("user_id").cast("string")))
+    cpp = F.concat(F.lit("[2026-May-01] <"), F.when(n < 4, "error").otherwise("info"), F.lit(">: (file.h:7:f) "), text)
+    nginx = F.concat(F.lit("2026/05/01 00:00:01 ["), F.when(n == 2, "fatal").otherwise("warn"), F.lit("] "), text)
+    js = F.concat(F.lit('{"s":"'), F.when(n < 4, "E").otherwise("I"), F.lit('","msg":"'), text, F.lit('","c":"core"}'))
+    made = F.when(k == 0, cpp).when(k == 1, nginx).when(k == 2, js).otherwise(text)
+    return t.select(F.lit("s").alias("scenario_id"), F.lit("f").alias("path"), F.col("event_id").alias("line_no"), F.concat(F.lit("svc"), (F.col("user_id") % 7).cast("string")).alias("service"), made.alias("line"))
+
+
+_LINES = """l0 AS (SELECT event_id AS line_no, 'svc' || (user_id % 7) AS service, event_id % 4 AS k, event_id % 9 AS n, user_id,
+  CASE event_id % 9 WHEN 0 THEN 'connection refused' WHEN 1 THEN 'request timed out' WHEN 2 THEN 'panic in worker' WHEN 3 THEN 'permission denied' ELSE 'served' END AS word FROM events),
+l1 AS (SELECT *, CASE WHEN n < 2 THEN word || ' calling ismaster on ''store-' || (user_id % 5) || '-redis:6379''' ELSE word || ' item ' || user_id END AS message FROM l0),
+l AS (SELECT *, CASE k WHEN 0 THEN 'cpp' WHEN 1 THEN 'nginx' WHEN 2 THEN 'json' ELSE 'plain' END AS format,
+  CASE k WHEN 0 THEN CASE WHEN n < 4 THEN 'error' ELSE 'info' END WHEN 1 THEN CASE WHEN n = 2 THEN 'fatal' ELSE 'warn' END WHEN 2 THEN CASE WHEN n < 4 THEN 'error' ELSE 'info' END ELSE CASE WHEN n < 4 THEN 'error' ELSE 'info' END END AS severity,
+  CASE n WHEN 0 THEN 'dependency_connection' WHEN 1 THEN 'dependency_timeout' WHEN 2 THEN 'crash_or_panic' WHEN 3 THEN 'permission_error' ELSE 'none' END AS error_type,
+  CASE WHEN n < 2 THEN 'store-' || (user_id % 5) || '-redis' END AS target FROM l1)"""
+_TYPES = "t AS (SELECT service, error_type, count(*) AS n, min(line_no) AS first_at FROM l WHERE error_type <> 'none' GROUP BY 1, 2)"
+
+
+@query(f"WITH {_LINES} SELECT line_no, service, format, severity, message, CASE k WHEN 0 THEN 'file.h:7:f' WHEN 1 THEN 'nginx/openresty' WHEN 2 THEN 'core' ELSE '' END AS component, error_type, severity AS bucket FROM l")
+def log_parse_synthetic(spark, d):
+    return logs.parsed(lines(spark, d)).select("line_no", "service", "format", "severity", "message", "component", "error_type", "bucket")
+
+
+@query(f"WITH {_LINES} SELECT service, count(*) AS lines, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'fatal') AS fatals, count(*) FILTER (WHERE severity = 'warn') AS warns, count(*) FILTER (WHERE k = 2) AS json_lines, count(*) FILTER (WHERE k = 0) AS cpp_lines, count(*) FILTER (WHERE k = 1) AS nginx_lines, count(*) FILTER (WHERE k = 3) AS plain_lines FROM l GROUP BY service")
+def log_rollup(spark, d):
+    return logs.rollup(logs.parsed(lines(spark, d))).drop("scenario_id")
+
+
+@query(f"""WITH {_LINES}, {_TYPES}, w AS (SELECT service, sum(least(n * x * 0.05, x)) AS by_type FROM (SELECT *, CASE error_type WHEN 'crash_or_panic' THEN 0.4::DOUBLE WHEN 'permission_error' THEN 0.3::DOUBLE ELSE 0.35::DOUBLE END AS x FROM t) GROUP BY 1),
+f AS (SELECT service, count(*) FILTER (WHERE severity = 'error') AS e, count(*) FILTER (WHERE severity = 'fatal') AS f, count(*) FILTER (WHERE severity = 'warn') AS w, count(target) AS d FROM l GROUP BY 1),
+s AS (SELECT service, greatest(0, least(1, least(e * 0.04::DOUBLE, 0.5) + least(f * 0.2::DOUBLE, 0.4) + least(w * 0.008::DOUBLE, 0.12) + least(d * 0.04::DOUBLE, 0.45) + coalesce(by_type, 0) + CASE WHEN d > 0 THEN 0.15 ELSE 0 END)) AS raw FROM f LEFT JOIN w USING (service))
+SELECT service, round(raw, 4)::DOUBLE AS log_anomaly_score, round(1 - raw, 4)::DOUBLE AS log_health_score FROM s""")
+def log_anomaly(spark, d):
+    rows = logs.parsed(lines(spark, d))
+    return logs.anomaly(logs.rollup(rows), logs.type_counts(rows), logs.dependencies(rows)).select("service", "log_anomaly_score", "log_health_score")
+
+
+@query(f"WITH {_LINES}, {_TYPES} SELECT service, arg_max(error_type, (n, -first_at)) AS dominant_error_type FROM t GROUP BY service")
+def log_dominant_type(spark, d):
+    return logs.dominant_type(logs.type_counts(logs.parsed(lines(spark, d)))).drop("scenario_id")
+
+
+@query(f"WITH {_LINES} SELECT service, target, '6379' AS port, error_type, count(*) AS n FROM l WHERE target IS NOT NULL GROUP BY 1, 2, 4")
+def dependency_targets(spark, d):
+    return logs.dependencies(logs.parsed(lines(spark, d))).groupBy("service", "target", "port", "error_type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_LINES}, {_TYPES}, f AS (SELECT service, CASE error_type WHEN 'crash_or_panic' THEN 'crash' WHEN 'permission_error' THEN 'auth' ELSE 'dependency' END AS family, n FROM t UNION ALL SELECT service, 'dependency', 1 FROM l WHERE target IS NOT NULL) SELECT service, family, sum(n) AS n FROM f GROUP BY 1, 2")
+def error_families(spark, d):
+    rows = logs.parsed(lines(spark, d))
+    return logs.error_families(logs.type_counts(rows), logs.dependencies(rows)).drop("scenario_id")
+
+
+@query("WITH r AS (SELECT user_id % 20 AS k, event_type AS v, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS place FROM events) SELECT k, v, min(place) AS place FROM r WHERE place <= 20 GROUP BY 1, 2")
+def first_n_distinct(spark, d):
+    t = _read(spark, d, "events").select((F.col("user_id") % 20).alias("k"), F.col("event_type").alias("v"), "ts", "event_id")
+    return logs.first_distinct(t, ["k"], ["ts", "event_id"], "v")
+
+
+_POD = "'kind-node.compose-' || lower(replace(s_name, '#', '-')) || '-9f655fc76-cvsf' || (s_suppkey % 10)"
+
+
+def _pod_names(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.lit("kind-node.compose-"), F.lower(F.replace("s_name", F.lit("#"), F.lit("-"))), F.lit("-9f655fc76-cvsf"), (F.col("s_suppkey") % 10).cast("string"))
+    return _read(spark, d, "supplier").select("s_suppkey", name.alias("pod"))
+
+
+_CUT = r"regexp_replace(regexp_replace(pod, '^[^.]*\.', ''), '-[a-f0-9]{8,10}-[a-z0-9]{4,6}$', '')"
+
+
+@query(f"SELECT s_suppkey, {_CUT.replace('{8,10}', '{6,12}')} AS service FROM (SELECT s_suppkey, {_POD} AS pod FROM supplier)")
+def name_normalize_shared(spark, d):
+    return _pod_names(spark, d).select("s_suppkey", names.shared_service(F.col("pod")).alias("service"))
+
+
+@query(f"SELECT s_suppkey, regexp_replace({_CUT}, '-[a-f0-9]{{8,10}}$', '') AS service FROM (SELECT s_suppkey, {_POD} AS pod FROM supplier)")
+def name_normalize_logs(spark, d):
+    return _pod_names(spark, d).select("s_suppkey", names.log_service(F.col("pod")).alias("service"))
+
+
+@query(f"SELECT s_suppkey, regexp_replace({_CUT.replace('{4,6}', '{5}')}, '-[a-f0-9]{{8,10}}$', '') AS service FROM (SELECT s_suppkey, {_POD} AS pod FROM supplier)")
+def name_normalize_metrics(spark, d):
+    return _pod_names(spark, d).select("s_suppkey", names.metric_service(F.col("pod")).alias("service"))
+
+
+def pods(spark: SparkSession, d: str) -> DataFrame:
+    t = _read(spark, d, "orders")
+    s = F.col("o_orderstatus")
+    return t.select(F.lit("s").alias("scenario_id"), F.concat(F.lit("svc"), (F.col("o_custkey") % 40).cast("string")).alias("service"), F.col("o_orderkey").cast("string").alias("pod"), F.concat(F.lit("n"), (F.col("o_orderkey") % 3).cast("string")).alias("node"), F.when((F.col("o_custkey") % 40 == 3) & (s == "P"), "Pending").otherwise("Running").alias("phase"), ~((F.col("o_custkey") % 4 == 0) & (s == "F")).alias("ready"), (F.col("o_orderkey") % 2).alias("restarts"), F.when((F.col("o_custkey") % 40 == 8) & (s == "O"), "CrashLoopBackOff").alias("waiting_reason"), F.when((F.col("o_custkey") % 40 == 5) & (s == "F"), "OOMKilled").alias("terminated_reason"))
+
+
+_PODS = """pd AS (SELECT 'svc' || (o_custkey % 40) AS service, o_custkey % 40 = 3 AND o_orderstatus = 'P' AS pending, NOT (o_custkey % 4 = 0 AND o_orderstatus = 'F') AS ready, o_orderkey % 2 AS restarts, o_custkey % 40 = 8 AND o_orderstatus = 'O' AS crash, o_custkey % 40 = 5 AND o_orderstatus = 'F' AS oom, 'n' || (o_orderkey % 3) AS node FROM orders),
+pr AS (SELECT service, count(*) AS pods_total, count(*) FILTER (WHERE ready) AS pods_ready, count(*) FILTER (WHERE NOT ready) AS pods_unready, sum(restarts) AS restarts, count(*) FILTER (WHERE pending) AS pending, count(*) FILTER (WHERE crash) AS crashloop, count(*) FILTER (WHERE oom) AS oomkilled, string_agg(DISTINCT node, ',' ORDER BY node) AS nodes FROM pd GROUP BY 1),
+ps AS (SELECT *, CASE WHEN crashloop > 0 THEN 'crashloop' WHEN oomkilled > 0 THEN 'oomkilled' WHEN pending > 0 THEN 'pending' WHEN pods_unready > 0 THEN 'unready' WHEN pods_ready > 0 THEN 'healthy' ELSE 'unknown' END AS status FROM pr)"""
+
+
+@query(f"WITH {_PODS} SELECT service, pods_total, pods_ready, pods_unready, restarts, pending, crashloop, oomkilled, nodes, status, status NOT IN ('healthy', 'unknown') AS infra_issue, round(pods_ready / pods_total, 6) AS availability FROM ps")
+def pod_rollup(spark, d):
+    p = system.pod_rollup(pods(spark, d))
+    return p.select("service", "pods_total", "pods_ready", "pods_unready", "restarts", "pending", "crashloop", "oomkilled", F.array_join("nodes", ",").alias("nodes"), "status", "infra_issue", F.round("availability", 6).alias("availability"))
+
+
+@query(f"""WITH {_PODS}, ep AS (SELECT 'svc' || c_nationkey AS service, count(*) FILTER (WHERE c_acctbal > 9000) AS r, count(*) FILTER (WHERE c_acctbal < -900) AS u FROM customer GROUP BY 1),
+ev AS (SELECT 'svc' || (s_suppkey % 50) AS service, count(*) FILTER (WHERE s_acctbal < 0) AS w FROM supplier GROUP BY 1),
+k AS (SELECT service FROM ps UNION SELECT service FROM ep UNION SELECT service FROM ev)
+SELECT service, CASE WHEN r = 0 THEN 'no_ready_endpoints' WHEN u > 0 THEN 'endpoint_not_ready' ELSE coalesce(status, 'unknown') END AS status, coalesce(w, 0) AS warnings, coalesce(r = 0, FALSE) OR coalesce(u > 0, FALSE) OR coalesce(w, 0) > 0 OR coalesce(status NOT IN ('healthy', 'unknown'), FALSE) AS infra_issue FROM k LEFT JOIN ps USING (service) LEFT JOIN ep USING (service) LEFT JOIN ev USING (service)""")
+def outer_merge_system(spark, d):
+    ends = _read(spark, d, "customer").select(F.lit("s").alias("scenario_id"), F.concat(F.lit("svc"), F.col("c_nationkey").cast("string")).alias("service"), (F.col("c_acctbal") > 9000).cast("int").alias("ready_endpoints"), (F.col("c_acctbal") < -900).cast("int").alias("not_ready_endpoints"))
+    events = _read(spark, d, "supplier").select(F.lit("s").alias("scenario_id"), F.concat(F.lit("svc"), (F.col("s_suppkey") % 50).cast("string")).alias("service"), (F.col("s_acctbal") < 0).alias("is_warning"))
+    return system.merged(system.pod_rollup(pods(spark, d)), ends, events).select("service", "status", "warnings", "infra_issue")
+
+
+@query(f"WITH {_PODS} , c AS (SELECT service, node, count(*) AS n FROM pd GROUP BY 1, 2) SELECT service, string_agg(node || '=' || n, ',' ORDER BY node) AS counts FROM c GROUP BY service")
+def histogram_map(spark, d):
+    m = system.counter(pods(spark, d), "node")
+    return m.select("service", F.array_join(F.transform(F.map_entries("node_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("counts"))
+
+
+_PAIRS = """o AS (SELECT n_name AS src, r_name AS dst, 1 AS p FROM nation JOIN region ON n_regionkey = r_regionkey), t AS (SELECT n_name AS src, r_name AS dst, 2 AS p FROM nation JOIN region ON n_regionkey >= r_regionkey), x AS (SELECT r_name AS src, n_name AS dst, 3 AS p FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+
+
+@query(f"WITH {_PAIRS} SELECT src, dst, min(p) AS priority FROM (SELECT * FROM o UNION ALL SELECT * FROM t UNION ALL SELECT * FROM x) GROUP BY 1, 2")
+def graph_edges_precedence(spark, d):
+    n, r = _read(spark, d, "nation"), _read(spark, d, "region")
+    pair = lambda on, a, b: n.join(r, on).select(F.lit("s").alias("scenario_id"), F.col(a).alias("src"), F.col(b).alias("dst"))
+    same = n["n_regionkey"] == r["r_regionkey"]
+    return traces.preferred_edges(pair(same, "n_name", "r_name"), pair(n["n_regionkey"] >= r["r_regionkey"], "n_name", "r_name"), pair(same, "r_name", "n_name")).drop("scenario_id")
+
+
+def state(spark: SparkSession, d: str) -> DataFrame:
+    """Services with log anomaly, latency and pod state together, from the log, span and pod mappings."""
+    rows = logs.parsed(lines(spark, d))
+    key = ["scenario_id", "service"]
+    score = logs.anomaly(logs.rollup(rows), logs.type_counts(rows), logs.dependencies(rows)).select(*key, (F.col("log_anomaly_score") * 0.6).alias("anomaly"), "errors")
+    late = metrics.latency_back_fill(samples(spark, d), traces.call_edges(one_file(spark, d)))
+    own = system.pod_rollup(pods(spark, d)).select(*key, "status", "infra_issue", "pods_unready", "crashloop")
+    return own.join(score, key, "full_outer").join(late, key, "full_outer").fillna({"anomaly": 0.0, "errors": 0, "latency_ms": 0.0, "pods_unready": 0, "crashloop": 0, "status": "unknown", "infra_issue": False})
+
+
+_STATE = f"""{_EDGES}, {_LINES}, {_TYPES}, {_PODS}, tw AS (SELECT service, sum(least(n * x * 0.05, x)) AS by_type FROM (SELECT *, CASE error_type WHEN 'crash_or_panic' THEN 0.4::DOUBLE WHEN 'permission_error' THEN 0.3::DOUBLE ELSE 0.35::DOUBLE END AS x FROM t) GROUP BY 1),
+lf AS (SELECT service, count(*) FILTER (WHERE severity = 'error') AS e, count(*) FILTER (WHERE severity = 'fatal') AS f, count(*) FILTER (WHERE severity = 'warn') AS w, count(target) AS d FROM l GROUP BY 1),
+la AS (SELECT service, e AS errors, 0.6::DOUBLE * round(greatest(0, least(1, least(e * 0.04::DOUBLE, 0.5) + least(f * 0.2::DOUBLE, 0.4) + least(w * 0.008::DOUBLE, 0.12) + least(d * 0.04::DOUBLE, 0.45) + coalesce(by_type, 0) + CASE WHEN d > 0 THEN 0.15 ELSE 0 END)), 4) AS anomaly FROM lf LEFT JOIN tw USING (service)),
+lw AS (SELECT dst AS service, max(latency_p95_us) / 1000 AS latency_ms FROM ed GROUP BY dst), ls AS (SELECT DISTINCT 'svc' || (user_id % 20) AS service FROM events), ll AS (SELECT service, latency_ms FROM ls FULL JOIN lw USING (service)),
+st AS (SELECT service, coalesce(status, 'unknown') AS status, coalesce(status NOT IN ('healthy', 'unknown'), FALSE) AS infra_issue, coalesce(pods_unready, 0) AS pods_unready, coalesce(crashloop, 0) AS crashloop, coalesce(anomaly, 0) AS anomaly, coalesce(errors, 0) AS errors, coalesce(latency_ms, 0) AS latency_ms FROM ps FULL JOIN la USING (service) FULL JOIN ll USING (service))"""
+_FAULTS = "fi AS (SELECT 'svc' || n_nationkey AS service, CASE n_regionkey WHEN 0 THEN 'auth_miss_mongodb' ELSE 'pod_failure' END AS fault_family FROM nation WHERE n_nationkey % 8 = 0)"
+_SCORES = f"""{_STATE}, {_FAULTS}, sc AS (SELECT service, sum(score) AS score, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM (
+  SELECT service, anomaly AS score, 'log_anomaly' AS reason FROM st WHERE anomaly > 0 UNION ALL SELECT service, 0.25, 'high_latency' FROM st WHERE latency_ms > 500 UNION ALL SELECT service, 0.5, 'infra_issue' FROM st WHERE infra_issue
+  UNION ALL SELECT dst, edge_score, 'incoming_edge' FROM ed WHERE edge_score > 0 UNION ALL SELECT dst, 0.4, 'failing_self_call' FROM ed WHERE src = dst AND error_ratio > 0.3
+  UNION ALL SELECT service, CASE WHEN coalesce(status, 'unknown') NOT IN ('healthy', 'unknown') THEN 1.25 ELSE 0.35 END, 'known_fault' FROM fi LEFT JOIN st USING (service)) GROUP BY service),
+rk AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, service) AS rank FROM sc)"""
+
+
+def faults(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "nation").where("n_nationkey % 8 = 0").select(F.lit("s").alias("scenario_id"), F.concat(F.lit("svc"), F.col("n_nationkey").cast("string")).alias("service"), F.when(F.col("n_regionkey") == 0, "auth_miss_mongodb").otherwise("pod_failure").alias("fault_family"))
+
+
+def scores(spark: SparkSession, d: str) -> DataFrame:
+    return diagnosis.rca_scores(state(spark, d), traces.call_edges(one_file(spark, d)), faults(spark, d)).withColumn("score", F.round("score", 9))
+
+
+@query(f"WITH {_STATE} SELECT service, latency_ms > 500 AS slow, anomaly > 0.5 AS anomalous, latency_ms > 500 OR anomaly > 0.5 OR pods_unready > 0 OR crashloop > 0 AS violated FROM st")
+def service_sla(spark, d):
+    s = diagnosis.service_sla(state(spark, d))
+    return s.select("service", F.array_contains("reasons", "latency").alias("slow"), F.array_contains("reasons", "log_anomaly").alias("anomalous"), "violated")
+
+
+@query(f"WITH {_STATE}, a AS (SELECT count(*) AS s FROM st WHERE latency_ms > 500 OR anomaly > 0.5 OR pods_unready > 0 OR crashloop > 0), b AS (SELECT count(*) AS e FROM ed WHERE error_ratio > 0.2 OR latency_p95_us / 1000 > 800), c AS (SELECT count(*) AS u FROM st WHERE status NOT IN ('healthy', 'unknown')) SELECT s AS service_violations, e AS edge_violations, u AS unhealthy_services, e > 0 OR u > 0 AS violated, u > 1 AS multiple_unhealthy FROM a, b, c")
+def global_sla(spark, d):
+    s = state(spark, d)
+    return diagnosis.global_sla(diagnosis.service_sla(s), diagnosis.edge_sla(traces.call_edges(one_file(spark, d))), s.where("status not in ('healthy', 'unknown')")).drop("scenario_id")
+
+
+@query(f"WITH {_SCORES} SELECT service, round(score, 6) AS score, reasons FROM sc")
+def rca_scores(spark, d):
+    return scores(spark, d).select("service", F.round("score", 6).alias("score"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"WITH {_SCORES} SELECT rank, service, round(score, 6) AS score FROM rk WHERE rank <= 8")
+def rca_topk(spark, d):
+    return diagnosis.ranked(scores(spark, d)).select("rank", "service", F.round("score", 6).alias("score"))
+
+
+_HEALTH = f"""{_SCORES}, he AS (SELECT service, CASE WHEN service IN (SELECT dst FROM ed WHERE is_suspicious) THEN 'dependency_degraded' WHEN anomaly > 0.4 THEN 'app_degraded' WHEN infra_issue THEN 'infra_degraded' WHEN service IN (SELECT service FROM rk WHERE rank <= 3) THEN 'silent_suspect' ELSE 'healthy' END AS health FROM st)"""
+
+
+@query(f"WITH {_HEALTH} SELECT * FROM he")
+def service_health(spark, d):
+    return diagnosis.service_health(state(spark, d), traces.call_edges(one_file(spark, d)), diagnosis.ranked(scores(spark, d))).drop("scenario_id")
+
+
+def clusters(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    return state(spark, d).select("scenario_id", "service", rules.behaviour_cluster(c("errors"), c("anomaly"), c("infra_issue"), c("pods_unready"), F.lit(0.0), c("latency_ms")).alias("cluster"))
+
+
+_CLUSTERS = "cu AS (SELECT service, CASE WHEN errors > 0 OR anomaly >= 0.5 THEN 'log_error_or_dependency_failure' WHEN infra_issue OR pods_unready > 0 THEN 'infra_unhealthy' WHEN latency_ms > 0 THEN 'resource_active' ELSE 'low_signal' END AS cluster FROM st)"
+
+
+@query(f"WITH {_STATE}, {_CLUSTERS} SELECT * FROM cu")
+def behaviour_clusters(spark, d):
+    return clusters(spark, d).drop("scenario_id")
+
+
+@query(f"""WITH {_HEALTH}, {_CLUSTERS}, m AS (SELECT service, service IN (SELECT service FROM fi) AS f, service IN (SELECT service FROM rk WHERE rank = 1 OR (rank <= 5 AND score > 0.2)) AS t, health <> 'healthy' AS h, cluster = 'log_error_or_dependency_failure' AS l, cluster = 'infra_unhealthy' AS i, service IN (SELECT dst FROM ed WHERE is_suspicious OR error_ratio > 0.3) AS c FROM he JOIN cu USING (service)),
+w AS (SELECT *, concat_ws(',', CASE WHEN f THEN 'known_fault' END, CASE WHEN t THEN 'candidate' END, CASE WHEN h THEN 'health' END, CASE WHEN l THEN 'log_cluster' END, CASE WHEN i THEN 'infra_cluster' END) AS r FROM m)
+SELECT service, CASE WHEN r = '' AND c THEN 'incoming_call' ELSE r END AS reasons, r <> '' OR c AS relevant FROM w""")
+def twin_membership(spark, d):
+    e, s = traces.call_edges(one_file(spark, d)), scores(spark, d)
+    health = diagnosis.service_health(state(spark, d), e, diagnosis.ranked(s))
+    made = diagnosis.twin_membership(health, s, clusters(spark, d), e, faults(spark, d))
+    return made.select("service", F.array_join("reasons", ",").alias("reasons"), "relevant")
+
+
+@query(f"""WITH {_STATE}, {_FAULTS}, g AS (SELECT dst AS service, 'trace_error_edges' AS signal FROM ed WHERE error_ratio > 0.2 UNION ALL SELECT dst, 'latency_degradation_edges' FROM ed WHERE latency_p95_us > 100000 UNION ALL SELECT service, 'infra_issue_count' FROM st WHERE infra_issue UNION ALL SELECT service, 'log_anomaly_count' FROM st WHERE anomaly > 0.2 UNION ALL SELECT service, 'system_status:' || status FROM st WHERE infra_issue UNION ALL SELECT service, fault_family FROM fi) SELECT service, signal, count(*) AS n FROM g GROUP BY 1, 2""")
+def fault_signature(spark, d):
+    return diagnosis.fault_signature(traces.call_edges(one_file(spark, d)), state(spark, d), faults(spark, d)).drop("scenario_id")
+
+
+@query(f"""WITH {_STATE}, {_FAULTS}, a AS (SELECT service FROM fi WHERE fault_family LIKE '%auth%') SELECT DISTINCT dst AS service, 'dependency_failure' AS fault_type FROM ed WHERE error_ratio > 0.2 AND dst NOT IN (SELECT service FROM a) UNION SELECT service, 'auth_failure' FROM a UNION SELECT dst, 'latency_degradation' FROM ed WHERE latency_p95_us > 100000 UNION SELECT service, 'infra_failure' FROM st WHERE infra_issue""")
+def fault_library(spark, d):
+    return diagnosis.fault_library(diagnosis.fault_signature(traces.call_edges(one_file(spark, d)), state(spark, d), faults(spark, d))).drop("scenario_id")
+
+
+_SIM = """SELECT src, dst, CASE WHEN src = 'svc3' THEN {er} ELSE error_ratio END AS er, CASE WHEN src = 'svc3' THEN greatest(latency_p95_us, 200000) ELSE latency_p95_us END AS p FROM ed"""
+
+
+@query(f"WITH {_EDGES}, s AS ({_SIM.format(er='greatest(error_ratio, 0.9)')}) SELECT src, dst, round(er, 6) AS error_ratio, round(p, 4) AS latency_p95_us, er > 0.2 OR p > 100000 AS is_suspicious FROM s")
+def sim_fault(spark, d):
+    _, e = simulator.simulate(state(spark, d), traces.call_edges(one_file(spark, d)), "svc3", "auth_failure")
+    return e.select("src", "dst", F.round("error_ratio", 6).alias("error_ratio"), F.round("latency_p95_us", 4).alias("latency_p95_us"), "is_suspicious")
+
+
+@query(f"WITH {_EDGES}, s AS ({_SIM.format(er='0.0')}) SELECT src, dst, round(er, 6) AS error_ratio, round(p, 4) AS latency_p95_us, er > 0.2 OR p > 100000 AS is_suspicious FROM s")
+def sim_mitigated(spark, d):
+    _, e = simulator.simulate(state(spark, d), traces.call_edges(one_file(spark, d)), "svc3", "auth_failure", {"action": "rollback_config", "service": "svc3"})
+    return e.select("src", "dst", F.round("error_ratio", 6).alias("error_ratio"), F.round("latency_p95_us", 4).alias("latency_p95_us"), "is_suspicious")
+
+
+@query("SELECT '{\"region\":' || n_regionkey || '}' AS key, count(*) AS n, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+def structural_groups(spark, d):
+    return grouping.identical(_read(spark, d, "nation").withColumnRenamed("n_regionkey", "region"), "n_name", "region").withColumn("names", F.array_join("names", ","))
+
+
+@query("SELECT p_brand AS protocol, p_type AS name, string_agg(DISTINCT p_size, ',' ORDER BY p_size) AS ports FROM part GROUP BY 1, 2")
+def port_groups(spark, d):
+    g = grouping.ports(_read(spark, d, "part").select(F.col("p_brand").alias("protocol"), F.col("p_type").alias("name"), F.col("p_size").alias("port")))
+    return g.withColumn("ports", F.array_join("ports", ","))
+
+
+def _snapshots(spark: SparkSession, d: str) -> DataFrame:
+    t, k = _read(spark, d, "orders"), F.col("o_orderkey")
+    return t.select(F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string")).alias("scenario_id"), k.alias("pod"), (k % 3 == 0).alias("relevant"), F.when(k % 7 != 0, F.col("o_orderstatus") == "O").alias("pre"), (F.col("o_totalprice") > 40000).alias("post"))
+
+
+_REWARD = """p AS (SELECT 'c' || (o_custkey % 50) AS scenario_id, o_orderkey % 3 = 0 AS rel, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus = 'O' END AS pre, o_totalprice > 40000 AS post FROM orders),
+r AS (SELECT scenario_id, count(*) FILTER (WHERE rel) AS tracked, count(*) FILTER (WHERE rel AND post) AS ready, count(*) FILTER (WHERE rel AND post AND NOT coalesce(pre, TRUE)) AS recovered, count(*) FILTER (WHERE rel AND NOT post AND coalesce(pre, TRUE)) AS regressed, avg(post::INT::DOUBLE) AS share FROM p GROUP BY 1)"""
+
+
+@query(f"WITH {_REWARD} SELECT scenario_id, tracked, ready, recovered, regressed, round(CASE WHEN tracked = 0 THEN share WHEN ready = tracked THEN 1 ELSE least(1, ready / tracked + 0.1 * recovered / tracked) END, 6)::DOUBLE AS reward FROM r")
+def reward(spark, d):
+    return _rounded(outcome.rewards(_snapshots(spark, d)), "reward")
+
+
+@query("""WITH o AS (SELECT DISTINCT 's' || (n_nationkey % 5) AS scenario_id, lower(n_name) AS service FROM nation), x AS (SELECT DISTINCT 's' || (n_nationkey % 5) AS scenario_id, lower(substr(n_name, 1, 4)) AS other FROM nation WHERE n_nationkey % 3 = 0),
+m AS (SELECT o.*, EXISTS (SELECT 1 FROM x WHERE x.scenario_id = o.scenario_id AND (contains(o.service, x.other) OR contains(x.other, o.service))) AS hit FROM o)
+SELECT scenario_id, count(*) AS original, count(*) FILTER (WHERE hit) AS matched, round(count(*) FILTER (WHERE hit) / count(*), 6) AS score, count(*) FILTER (WHERE hit) / count(*) >= 0.5 AS verified FROM m GROUP BY 1""")
+def symptom_overlap(spark, d):
+    n = _read(spark, d, "nation")
+    sid = F.concat(F.lit("s"), (F.col("n_nationkey") % 5).cast("string")).alias("scenario_id")
+    return _rounded(outcome.overlap(n.select(sid, F.lower("n_name").alias("service")), n.where("n_nationkey % 3 = 0").select(sid, F.lower(F.substring("n_name", 1, 4)).alias("service"))), "score")
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "events").select("event_id", F.col("user_id").alias("group_id"), F.col("value").alias("reward"))
+
+
+_ADV = "a AS (SELECT event_id, CASE WHEN count(*) OVER w > 1 THEN (value - avg(value) OVER w) / greatest(stddev_pop(value) OVER w, 1e-6) ELSE 0 END AS advantage FROM events WINDOW w AS (PARTITION BY user_id))"
+
+
+@query(f"WITH {_ADV} SELECT event_id, round(advantage, 5)::DOUBLE AS advantage FROM a")
+def grpo_advantage(spark, d):
+    return outcome.advantages(_samples(spark, d)).select("event_id", F.round("advantage", 5).alias("advantage"))
+
+
+@query(f"WITH {_ADV}, s AS (SELECT avg(advantage) AS m, stddev_pop(advantage) AS s FROM a) SELECT event_id, round((advantage - m) / greatest(s, 1e-6), 4)::DOUBLE AS advantage FROM a, s")
+def grpo_batch_normal(spark, d):
+    return outcome.batch_normal(outcome.advantages(_samples(spark, d))).select("event_id", F.round("advantage", 4).alias("advantage"))
+
+
+@query("SELECT 'u' || user_id AS scenario_id, arg_max(event_id, (value, -event_id)) AS iteration, max(value) AS reward FROM events WHERE value > 0 GROUP BY user_id")
+def best_iteration(spark, d):
+    return outcome.best_iteration(_read(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("scenario_id"), F.col("event_id").alias("iteration"), F.col("value").alias("reward")))
+
+
+@query(f"WITH {_REWARD}, w AS (SELECT CASE WHEN tracked = 0 THEN share WHEN ready = tracked THEN 1 ELSE least(1, ready / tracked + 0.1 * recovered / tracked) END AS reward FROM r) SELECT count(*) AS total, count(*) FILTER (WHERE reward >= 1) AS passed, round(avg(reward), 6)::DOUBLE AS mean_reward FROM w")
+def batch_summary(spark, d):
+    return _rounded(outcome.batch_summary(outcome.rewards(_snapshots(spark, d))), "mean_reward")
+
+
+@query("""WITH c AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'kubectl get pods -n n' || user_id WHEN 1 THEN 'kubectl delete pod p --all' WHEN 2 THEN 'helm uninstall app' ELSE 'echo rm' END AS cmd FROM events)
+SELECT event_id, event_id % 4 IN (1, 2) AS blocked, CASE WHEN cmd LIKE 'kubectl%' THEN replace(cmd, 'kubectl ', 'kubectl --context twin ') ELSE cmd END AS command FROM c""")
+def unsafe_commands(spark, d):
+    k = F.col("event_id") % 4
+    cmd = F.when(k == 0, F.concat(F.lit("kubectl get pods -n n"), F.col("user_id").cast("string"))).when(k == 1, "kubectl delete pod p --all").when(k == 2, "helm uninstall app").otherwise("echo rm")
+    t = _read(spark, d, "events").select("event_id", cmd.alias("cmd"))
+    return t.select("event_id", rules.blocked(F.col("cmd")).isNotNull().alias("blocked"), rules.with_context(F.col("cmd"), "twin").alias("command"))
+
+
+@query("SELECT event_id, 'kubectl get ' || event_type || '|helm list' AS commands, CASE WHEN event_id % 2 = 0 THEN props END AS found FROM events")
+def command_parse(spark, d):
+    t = _read(spark, d, "events")
+    reply = F.concat(F.lit("Here:\n```bash\n$ kubectl get "), "event_type", F.lit("\n# note\n> helm list\n```\ndone"))
+    model = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("The answer is ```json\n"), "props", F.lit("\n``` as asked"))).otherwise(F.lit("no answer"))
+    return t.select("event_id", F.array_join(rules.command_lines(reply), "|").alias("commands"), rules.json_in_text(model).alias("found"))
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def anti_resume(spark, d):
+    done = _read(spark, d, "orders").select(F.col("o_custkey").alias("scenario_id"))
+    return outcome.unfinished(_read(spark, d, "customer").select(F.col("c_custkey").alias("scenario_id")), done).withColumnRenamed("scenario_id", "c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def semi_done(spark, d):
+    return _read(spark, d, "customer").select("c_custkey").join(_read(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier UNION SELECT n_nationkey FROM nation")
+def service_union(spark, d):
+    c, s, n = (_read(spark, d, t).select(F.col(k).alias("k")) for t, k in (("customer", "c_nationkey"), ("supplier", "s_nationkey"), ("nation", "n_nationkey")))
+    return c.union(s).union(n).distinct()
+
+
+@query("(SELECT 'both' AS kind, n_nationkey AS k FROM nation INTERSECT SELECT 'both', s_nationkey FROM supplier) UNION ALL (SELECT 'only' AS kind, n_nationkey AS k FROM nation EXCEPT SELECT 'only', s_nationkey FROM supplier)")
+def set_ops(spark, d):
+    n, s = _read(spark, d, "nation").select(F.col("n_nationkey").alias("k")), _read(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
+    return n.intersect(s).select(F.lit("both").alias("kind"), "k").union(n.subtract(s).select(F.lit("only"), "k"))
+
 
-def queries() -> dict:
-    return {}
+@query("SELECT c_mktsegment AS app, c_nationkey::VARCHAR AS task, 'f' || (c_custkey % 3) AS fault_family, count(*) AS n FROM customer GROUP BY 1, 2, 3")
+def coverage_matrix(spark, d):
+    return grouping.coverage(_read(spark, d, "customer").select(F.col("c_mktsegment").alias("app"), F.col("c_nationkey").cast("string").alias("task"), F.concat(F.lit("f"), (F.col("c_custkey") % 3).cast("string")).alias("fault_family")))
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("""SELECT n_name, CASE WHEN lower(fam) LIKE '%auth%' AND fam LIKE '%mongo%' THEN 'auth_failure' WHEN fam LIKE '%delay%' THEN 'latency_degradation' WHEN fam LIKE '%pod%' THEN 'infra_failure' WHEN fam LIKE '%config%' THEN 'config_error' ELSE 'unknown' END AS fault_type,
+  CASE WHEN fam LIKE '%auth_miss_mongodb%' THEN 'auth_failure' WHEN fam LIKE '%pod_kill%' THEN 'pod_failure' WHEN fam LIKE '%network_delay%' THEN 'latency_degradation' WHEN fam LIKE '%misconfig_app%' THEN 'config_error' ELSE '' END AS agent_type
+FROM (SELECT n_name, CASE n_nationkey % 5 WHEN 0 THEN 'auth_miss_mongodb' WHEN 1 THEN 'network_delay' WHEN 2 THEN 'pod_kill' WHEN 3 THEN 'misconfig_app' ELSE 'flower' END AS fam FROM nation)""")
+def fault_types(spark, d):
+    k = F.col("n_nationkey") % 5
+    fam = F.when(k == 0, "auth_miss_mongodb").when(k == 1, "network_delay").when(k == 2, "pod_kill").when(k == 3, "misconfig_app").otherwise("flower")
+    return _read(spark, d, "nation").select("n_name", rules.fault_type(fam).alias("fault_type"), rules.agent_fault_type(fam).alias("agent_type"))
