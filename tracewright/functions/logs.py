@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracewright.functions.names import log_service
+from tracewright.functions.binding import once
 
 # fixed values: severities, noise, error types in order of precedence, their weights, target patterns
 SEVERITIES = {"I": "info", "W": "warn", "E": "error", "F": "fatal", "D": "debug", "info": "info", "warn": "warn", "warning": "warn", "error": "error", "err": "error", "fatal": "fatal", "debug": "debug"}
@@ -96,11 +96,13 @@ def bucket(severity: Column, kind: Column) -> Column:
 
 
 def dependency_targets(message: Column) -> Column:
-    """array<struct<target, raw_target, port>> in pattern order; a target and port counts once a message."""
-    found = [F.arrays_zip(F.regexp_extract_all(message, F.lit(p), 1).alias("raw_target"), F.regexp_extract_all(message, F.lit(p), 2).alias("port")) for p in TARGETS]
-    every = F.transform(F.flatten(F.array(*found)), lambda t: F.struct(log_service(t["raw_target"]).alias("target"), t["raw_target"].alias("raw_target"), t["port"].alias("port")))
-    same = lambda a, b: (a["target"] == b["target"]) & (a["port"] == b["port"])
-    return F.aggregate(every, F.filter(every, lambda t: F.lit(False)), lambda acc, t: F.when(F.exists(acc, lambda a: same(a, t)), acc).otherwise(F.array_append(acc, t)))
+    """array<struct<raw_target, port>> in pattern order, equal ones once; the names are not yet normalized."""
+
+    def found(m: Column) -> Column:
+        each = [F.arrays_zip(F.regexp_extract_all(m, F.lit(p), 1).alias("raw_target"), F.regexp_extract_all(m, F.lit(p), 2).alias("port")) for p in TARGETS]
+        return F.array_distinct(F.flatten(F.array(*each)))
+
+    return once(message, found)
 
 
 def http_info(message: Column) -> Column:

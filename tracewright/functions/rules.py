@@ -101,8 +101,8 @@ def command_lines(raw: Column, most: int = 15) -> Column:
 
 def json_in_text(text: Column) -> Column:
     """The reply itself, a fenced block, or the widest braces or brackets, whichever is JSON first; else null."""
-    t = F.trim(text)
-    tries = [t, F.trim(F.regexp_extract(t, r"(?i)```(?:json)?\s*([\s\S]*?)```", 1)), F.regexp_extract(t, r"\{[\s\S]*\}", 0), F.regexp_extract(t, r"\[[\s\S]*\]", 0)]
+    t = F.regexp_replace(text, r"^\s+|\s+$", "")
+    tries = [t, F.regexp_extract(t, r"(?i)```(?:json)?\s*([\s\S]*?)\s*```", 1), F.regexp_extract(t, r"\{[\s\S]*\}", 0), F.regexp_extract(t, r"\[[\s\S]*\]", 0)]
     return F.coalesce(*[F.when((x != "") & F.try_parse_json(x).isNotNull(), x) for x in tries])
 
 

@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions import logs, rules
+from tracewright.functions import logs, names, rules
+from tracewright.functions.binding import once
 
 SERVICE = ["scenario_id", "service"]
 
 
 def parsed(lines: DataFrame) -> DataFrame:
     """Noise, pod prefix, format, severity bucket, error type, targets and HTTP facts of every line."""
-    p = lines.withColumn("noise", logs.is_noise(F.col("line"))).withColumn("_p", logs.pod_prefix(F.col("line"))).select(*lines.columns, "noise", "_p.*")
-    p = p.withColumn("_l", logs.parse_line(F.col("rest"))).select(*p.columns, "_l.*").withColumn("error_type", logs.error_type(F.col("message")))
+    p = lines.withColumn("noise", logs.is_noise(F.col("line"))).withColumn("_p", once(F.col("line"), logs.pod_prefix)).select(*lines.columns, "noise", "_p.*")
+    p = p.withColumn("_l", once(F.col("rest"), logs.parse_line)).select(*p.columns, "_l.*").withColumn("error_type", once(F.col("message"), logs.error_type))
     return p.withColumn("bucket", logs.bucket(F.col("severity"), F.col("error_type"))).drop("rest")
 
 
 def dependencies(rows: DataFrame) -> DataFrame:
     """A row for each target of each line that isn't noise."""
     found = rows.where("not noise").select(*SERVICE, "path", "line_no", "error_type", "message", F.posexplode(logs.dependency_targets(F.col("message"))).alias("dep_no", "t"))
-    return found.select(*SERVICE, "path", "line_no", "dep_no", "error_type", "message", "t.*")
+    found = found.select(*SERVICE, "path", "line_no", "dep_no", "error_type", "message", F.col("t.raw_target").alias("raw_target"), F.col("t.port").alias("port"))
+    named = found.withColumn("target", once(F.col("raw_target"), names.log_service))
+    first = Window.partitionBy("scenario_id", "path", "line_no", "target", "port").orderBy("dep_no")  # one target and port counts once a line
+    return named.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
 def rollup(rows: DataFrame) -> DataFrame:

@@ -51,11 +51,11 @@ def overlap(original: DataFrame, observed: DataFrame, threshold: float = 0.5) ->
 
 
 def execution(results: DataFrame) -> DataFrame:
-    return results.groupBy("scenario_id").agg(F.count("*").alias("commands_run"), F.count_if("returncode = 0").alias("commands_ok"))
+    return results.groupBy("scenario_id").agg(F.count("*").alias("commands_run"), F.count_if(F.expr("returncode = 0")).alias("commands_ok"))
 
 
 def batch_summary(results: DataFrame) -> DataFrame:
-    return results.agg(F.count("*").alias("total"), F.count_if("reward >= 1").alias("passed"), F.avg("reward").alias("mean_reward"))
+    return results.agg(F.count("*").alias("total"), F.count_if(F.expr("reward >= 1")).alias("passed"), F.avg("reward").alias("mean_reward"))
 
 
 def unfinished(scenarios: DataFrame, done: DataFrame) -> DataFrame:

@@ -70,11 +70,11 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
-_OUT = "src, dst, num_requests, num_errors, round(error_ratio, 6) AS error_ratio, round(latency_p95_us, 4) AS latency_p95_us, failure_type, round(edge_score, 6) AS edge_score, is_suspicious"
+_OUT = "src, dst, num_requests, num_errors, round(error_ratio, 6) AS error_ratio, round(latency_p95_us, 6) AS latency_p95_us, failure_type, round(edge_score, 6) AS edge_score, is_suspicious"
 
 
 def _edges_out(e: DataFrame, *more: str) -> DataFrame:
-    return e.select("src", "dst", "num_requests", "num_errors", F.round("error_ratio", 6).alias("error_ratio"), F.round("latency_p95_us", 4).alias("latency_p95_us"), "failure_type", F.round("edge_score", 6).alias("edge_score"), "is_suspicious", *more)
+    return e.select("src", "dst", "num_requests", "num_errors", F.round("error_ratio", 6).alias("error_ratio"), F.round("latency_p95_us", 6).alias("latency_p95_us"), "failure_type", F.round("edge_score", 6).alias("edge_score"), "is_suspicious", *more)
 
 
 @query(f"WITH {_EDGES} SELECT {_OUT}, num_traces FROM ed")
@@ -250,7 +250,7 @@ def name_normalize_metrics(spark, d):
 def pods(spark: SparkSession, d: str) -> DataFrame:
     t = _read(spark, d, "orders")
     s = F.col("o_orderstatus")
-    return t.select(F.lit("s").alias("scenario_id"), F.concat(F.lit("svc"), (F.col("o_custkey") % 40).cast("string")).alias("service"), F.col("o_orderkey").cast("string").alias("pod"), F.concat(F.lit("n"), (F.col("o_orderkey") % 3).cast("string")).alias("node"), F.when((F.col("o_custkey") % 40 == 3) & (s == "P"), "Pending").otherwise("Running").alias("phase"), ~((F.col("o_custkey") % 4 == 0) & (s == "F")).alias("ready"), (F.col("o_orderkey") % 2).alias("restarts"), F.when((F.col("o_custkey") % 40 == 8) & (s == "O"), "CrashLoopBackOff").alias("waiting_reason"), F.when((F.col("o_custkey") % 40 == 5) & (s == "F"), "OOMKilled").alias("terminated_reason"))
+    return t.select(F.lit("s").alias("scenario_id"), F.concat(F.lit("svc"), (F.col("o_custkey") % 40).cast("string")).alias("service"), F.col("o_orderkey").cast("string").alias("pod"), F.concat(F.lit("n"), (F.col("o_orderkey") % 3).cast("string")).alias("node"), F.when((F.col("o_custkey") % 40 == 3) & (s == "P"), "Pending").otherwise("Running").alias("phase"), (~((F.col("o_custkey") % 4 == 0) & (s == "F"))).alias("ready"), (F.col("o_orderkey") % 2).alias("restarts"), F.when((F.col("o_custkey") % 40 == 8) & (s == "O"), "CrashLoopBackOff").alias("waiting_reason"), F.when((F.col("o_custkey") % 40 == 5) & (s == "F"), "OOMKilled").alias("terminated_reason"))
 
 
 _PODS = """pd AS (SELECT 'svc' || (o_custkey % 40) AS service, o_custkey % 40 = 3 AND o_orderstatus = 'P' AS pending, NOT (o_custkey % 4 = 0 AND o_orderstatus = 'F') AS ready, o_orderkey % 2 AS restarts, o_custkey % 40 = 8 AND o_orderstatus = 'O' AS crash, o_custkey % 40 = 5 AND o_orderstatus = 'F' AS oom, 'n' || (o_orderkey % 3) AS node FROM orders),
