@@ -1,8 +1,6 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy."""
 
 import random
-import re
-import zlib
 
 import numpy as np
 import pytest
@@ -180,7 +178,7 @@ def test_ngram_join_equals_brute_force(spark, odd, empty, monkeypatch):
     cut = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in ngram_join.similar_documents(docs).collect()}
     assert {i: n for i, (n, _) in cut.items()} == {i: len(n) for i, n in near.items()} and all(cut[i][1] == cut[j][1] for i in near for j in near[i])
     kept = [r["doc_id"] for r in ngram_join.keep_one(odd).collect()]
-    assert sorted(kept, key=str) == [1, 3, 4, 7, 8] or len(kept) == 5
+    assert sorted(kept) == [1, 4, 7, 8]  # texts without a word are copies, so are the equal ones with and without an id
     assert ngram_join.keep_one(empty).count() == 0
 
 
@@ -194,7 +192,3 @@ def test_pipeline_keeps_clean_documents(spark):
         docs = ngram_join.materialize(after)
         assert docs.where("score <> 'kept'").count() == 0
     assert corpus_pipeline.tokens(spark, docs, SF).count() == docs.count() > 50
-
-
-def test_folds():
-    assert zlib.crc32(b"12") % 5 == 3 and re.fullmatch("[0-9]+", "12")
