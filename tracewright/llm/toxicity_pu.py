@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import append_columns, fold, ship, table
+from tracewright.llm.common import append_columns, fold, materialize, ship, table
 
 LIFT = 2.5  # a feature's share of P over its share of U, from which it counts
 LEAST = 3  # positive documents that must have it
@@ -104,38 +104,42 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], width: int,
     return w, bias
 
 
-def chosen_features(flat: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ascending features that at least LEAST of P have, at LIFT times their share of U."""
-
-    def shares(rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """For each key the number of these documents that have it."""
-        may = np.zeros(1 << 22, dtype=bool)
-        may[keys & 0x3FFFFF] = True
-        rows = rows[may[flat[rows] & 0x3FFFFF]]
-        at = np.minimum(np.searchsorted(keys, flat[rows]), len(keys) - 1)
-        same = keys[at] == flat[rows]
-        once = np.unique(at[same].astype(np.int64) << 32 | owner[rows[same]])
-        return np.bincount(once >> 32, minlength=len(keys))
-
-    label = y[owner]
-    positive = np.flatnonzero(label == 1)
-    often = np.bincount(flat[positive] & 0x3FFFFF, minlength=1 << 22) >= LEAST
-    keys = np.unique(flat[positive][often[flat[positive] & 0x3FFFFF]])
-    if not len(keys):
-        return keys
-    p = shares(positive, keys)
-    keys, p = keys[p >= LEAST], p[p >= LEAST]
-    if not len(keys):
-        return keys
-    u = shares(np.flatnonzero(label == -1), keys)
-    return keys[(p + 0.5) / ((y == 1).sum() + 1) >= LIFT * (u + 0.5) / ((y == -1).sum() + 1)]
+def chosen_features(sample: DataFrame) -> np.ndarray:
+    """Ascending features that at least LEAST of P have, at LIFT times their share of U, of a sample (y, f).
+
+    Documents are counted in the tasks, batch by batch, and summed by a shuffle on the feature.
+    """
+
+    def count(batches):
+        for batch in batches:
+            y, lists = batch.column("y").to_numpy(), batch.column("f")
+            flat, owner = _flat(lists)
+            for label in (1, -1):
+                own = y[owner] == label
+                once = np.unique(flat[own].astype(np.int64) << 32 | owner[own])  # a document counts once
+                keys, n = np.unique(once >> 32, return_counts=True)
+                none = np.zeros(len(keys), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n if label == 1 else none), pa.array(n if label == -1 else none)], names=["feature", "p", "u"])
+
+    size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}  # three rows at most
+    counted = sample.where("y <> 0").mapInArrow(count, "feature bigint, p bigint, u bigint").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    more = (F.col("p") + 0.5) / (size.get(1, 0) + 1) >= LIFT * (F.col("u") + 0.5) / (size.get(-1, 0) + 1)
+    chosen = counted.where((F.col("p") >= LEAST) & more).select("feature").toArrow().column("feature").to_numpy()
+    return np.sort(chosen).astype(np.uint32)
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list array, and the number of the list that each stands in."""
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32), np.repeat(np.arange(len(lists)), lengths)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> LinearModel | None:
     """A model from the labels given (pass those of the training folds only) and the texts of ``docs``.
 
-    The sample is drawn by hash and bounded in documents; their features, not their texts, come to the
-    driver. With no positive label there is no model.
+    The sample is drawn by hash and bounded in documents. Features are chosen by counts over the whole
+    sample, made in the tasks; to the driver come the numbers of each document's chosen features. With no
+    positive label there is no model.
     """
     marks = labels.select(labels[id_col].alias("_id"), labels[label_col].alias("_y")).where("_y is not null and _id is not null").groupBy("_id").agg(F.max("_y").alias("_y"))
     rows = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
@@ -156,16 +160,23 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([m.view(np.int32) for m in made], type=pa.list_(pa.int32()))], names=["y", "f"])
 
     ship(docs.sparkSession)
-    got = sample.mapInArrow(features, "y int, f array<int>").toArrow().combine_chunks()
+    sample = materialize(sample.mapInArrow(features, "y int, f array<int>"))
+    keys = chosen_features(sample)
+
+    def keep(batches):
+        """Numbers of a document's chosen features, ascending, with repeats."""
+        for batch in batches:
+            flat, owner = _flat(batch.column("f"))
+            at = np.minimum(np.searchsorted(keys, flat), max(0, len(keys) - 1))
+            kept = keys[at] == flat if len(keys) else np.zeros(len(flat), bool)
+            ends = np.searchsorted(owner[kept], np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.ListArray.from_arrays(pa.array(ends), pa.array(at[kept].astype(np.int32)))], names=["y", "f"])
+
+    got = sample.mapInArrow(keep, "y int, f array<int>").toArrow().combine_chunks()
     if not got.num_rows:
         return None
     y, lists = got.column("y").to_numpy(), got.column("f").chunk(0)
-    flat, ends = lists.flatten().to_numpy().view(np.uint32), np.cumsum([0, *pc.list_value_length(lists).to_pylist()])
-    keys = chosen_features(flat, np.repeat(np.arange(len(y)), np.diff(ends)), y)
-    at = np.minimum(np.searchsorted(keys, flat), max(0, len(keys) - 1)) if len(keys) else np.zeros(len(flat), np.int64)
-    kept = keys[at] == flat if len(keys) else np.zeros(len(flat), bool)
-    ends = np.concatenate([[0], np.cumsum(kept)])[ends]
-    at = at[kept]
+    at, ends = lists.flatten().to_numpy(), np.cumsum([0, *pc.list_value_length(lists).to_pylist()])
     rows_of = lambda v: sorted((np.sort(at[ends[i] : ends[i + 1]]) for i in np.flatnonzero(y == v)), key=lambda a: (len(a), a.tobytes()))
     pos, neg, unl = rows_of(1), rows_of(0), rows_of(-1)
     if not pos or not unl:
@@ -183,9 +194,6 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return LinearModel(dict(zip(keys.tolist(), w.tolist())), bias, threshold, max(1e-3, float(np.median(np.abs(np.concatenate([zp, zn]) - threshold))) / 4))
 
 
-_MODELS: dict[int, LinearModel] = {}
-
-
 def score(docs: DataFrame, model: LinearModel | None, text_col: str = "text") -> DataFrame:
     """Append score (double, 0 to 1) and predicted (int, 1 from 0.5 on) to every row.
 
@@ -193,13 +201,9 @@ def score(docs: DataFrame, model: LinearModel | None, text_col: str = "text") ->
     score is 0. Columns of these names are replaced, others pass through.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    number = id(sent)
 
     def start():
-        if number not in _MODELS:
-            _MODELS.clear()
-            _MODELS[number] = sent.value
-        own = _MODELS[number]
+        own = sent.value
 
         def step(texts: list) -> list[pa.Array]:
             made = [own.score(t) for t in texts] if own else [0.0] * len(texts)
