@@ -151,7 +151,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drawn = lambda salt, share: F.pmod(F.xxhash64("_id", F.lit(salt)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
     p = marks.where(F.col("_y") == 1).where(drawn(1, positives / known[1]))
     n = marks.where(F.col("_y") != 1).where(drawn(2, positives / max(1, known.get(0, 1))))
-    sample = rows.join(p.union(n), "_id").select("text", F.col("_y").cast("int").alias("y"))
+    few = F.broadcast(p.union(n))  # some 8,000 ids and labels: drawn to the bounds above, whatever the input
+    sample = rows.join(few, "_id").select("text", F.col("_y").cast("int").alias("y"))
     sample = sample.union(rows.where(drawn(3, unlabelled / total)).select("text", F.lit(-1)))
 
     def features(batches):
