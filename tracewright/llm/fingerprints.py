@@ -92,8 +92,9 @@ def successors(rows: DataFrame) -> DataFrame:
 
 
 def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, edited, next_id, next_sketch) of every row: the text with its last third replaced, and the
-    sketch of the document that follows in descending id order.
+    """(id, text, sketch, edited, next_id, next_sketch) of every row: the text, its sketch, the text with its last
+    third replaced, and the sketch of the document that follows in descending id order. A document's sketch is
+    made once, before its text is shuffled, and handed on.
 
     Null text counts as empty. Of rows with one id the text hash decides the order, and repeated rows follow one
     another; a single document follows itself. Null ids come last.
@@ -106,21 +107,21 @@ def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # what each document must hand to the one before it, and to which
     asked = after.select(F.col("next.key").alias("nkey"), F.col("next.th").alias("nth"), F.col("next.copy").alias("ncopy"), F.col("key").alias("tkey"), F.col("th").alias("tth"), F.col("copy").alias("tcopy"), F.floor(F.col("n") / 3).cast("int").alias("need"))
     copies = F.row_number().over(Window.partitionBy("key", "th").orderBy("key"))
-    numbered = rows.withColumn("copy", copies.cast("bigint"))
+    numbered = rows.withColumn("sketch", sketch(F.col("text"))).withColumn("copy", copies.cast("bigint"))
 
     def same(a: str, b: str) -> Column:  # two comparisons: rows need not move once more for the copy number
         return (F.col(a) <= F.col(b)) & (F.col(a) >= F.col(b))
 
     hand = numbered.join(asked, (F.col("key") == F.col("nkey")) & (F.col("th") == F.col("nth")) & same("copy", "ncopy"))
-    hand = hand.select("tkey", "tth", "tcopy", F.expr("substring(text, 1, need)").alias("start"), sketch(F.col("text")).alias("next_sketch"), F.col("id").alias("next_id"))
+    hand = hand.select("tkey", "tth", "tcopy", F.expr("substring(text, 1, need)").alias("start"), F.col("sketch").alias("next_sketch"), F.col("id").alias("next_id"))
     both = numbered.join(hand, (F.col("key") == F.col("tkey")) & (F.col("th") == F.col("tth")) & same("copy", "tcopy"))
     kept = F.expr("substring(text, 1, cast(length(text) - floor(length(text) / 3) as int))")
-    return both.select("id", "text", F.concat(kept, "start").alias("edited"), "next_id", "next_sketch")
+    return both.select("id", "text", "sketch", F.concat(kept, "start").alias("edited"), "next_id", "next_sketch")
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = with_next_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    made = made.select("id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("text")).alias("a"), sketch(F.col("edited")).alias("b"), "next_id", "next_sketch")
+    made = made.select("id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.col("sketch").alias("a"), sketch(F.col("edited")).alias("b"), "next_id", "next_sketch")
     return made.select(
         F.col("id").alias("doc_id"),
         "n_chars",
