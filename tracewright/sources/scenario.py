@@ -35,7 +35,7 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
 
 def whole_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """(scenario_id, path, content) of files whose name matches; undecodable bytes become replacement marks."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
     path = F.col("_metadata.file_path")
     return files.select(scenario_of(path, root).alias("scenario_id"), path.alias("path"), F.col("value").alias("content"))
 
