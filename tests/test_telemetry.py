@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import logs, names, rules
-from tracewright.operators import metrics, outcome, traces
+from tracewright.operators import grouping, metrics, outcome, traces
 from tracewright.sources import scenario, sinks
 
 
@@ -89,3 +89,16 @@ def test_scenario_folder(spark, tmp_path):
     assert [r[0] for r in scenario.finished(spark, str(root)).collect()] == ["a"]
     sinks.write_documents(spark.createDataFrame([("a/b c", 1)], "scenario_id string, n int"), str(tmp_path / "out"))
     assert (tmp_path / "out" / "scenario_id=a_b_c").is_dir()
+
+
+def test_breakdown_and_buffer(spark):
+    rows = [("s", "a", True, None, True), ("s", "b", True, True, False), ("s", "c", False, True, True), ("s", "d", True, True, None)]
+    r = outcome.breakdown(spark.createDataFrame(rows, "scenario_id string, pod string, relevant boolean, pre boolean, post boolean")).first()
+    assert (r["tracked"], r["pre_ready"], r["post_ready"], r["recovered"], r["regressed"]) == (["a", "b"], ["b"], ["a"], ["a"], ["b"])
+    samples = spark.createDataFrame([(1, None, "p" * 300), (1, "g", "q"), (2, "g", "q")], "batch_id int, group_id string, prompt string")
+    assert sorted(x["group_id"] for x in outcome.buffered(samples).collect()) == ["g", "p" * 200]
+
+
+def test_compact_lists(spark):
+    r = spark.createDataFrame([(["a", "b", "c"],), (None,)], "x array<string>").select(grouping.compact(F.col("x"), 2).alias("c")).collect()
+    assert [(x["c"]["items"], x["c"]["truncated"], x["c"]["total_count"]) for x in r] == [(["a", "b"], True, 3), ([], False, 0)]

@@ -17,7 +17,9 @@ def ports(rows: DataFrame) -> DataFrame:
 
 
 def compact(items: Column, most: int = 10) -> Column:
-    return F.struct(F.slice(items, 1, most).alias("items"), (F.size(items) > most).alias("truncated"), F.size(items).alias("total_count"))
+    """A list cut to its first entries, with whether it was cut and how long it is; null counts as empty."""
+    own = F.coalesce(items, F.array().cast("array<string>"))
+    return F.struct(F.slice(own, 1, most).alias("items"), (F.size(own) > most).alias("truncated"), F.size(own).alias("total_count"))
 
 
 def coverage(tuples: DataFrame) -> DataFrame:

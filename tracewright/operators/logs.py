@@ -69,3 +69,11 @@ def error_families(types: DataFrame, targets: DataFrame) -> DataFrame:
     deps = targets.select(*SERVICE, F.lit("dependency").alias("family"), F.lit(1).cast("bigint").alias("n"))
     stores = targets.where(F.lower("target").rlike("mongo|db")).select(*SERVICE, F.lit("database").alias("family"), F.lit(1).cast("bigint").alias("n"))
     return own.union(deps).union(stores).groupBy(*SERVICE, "family").agg(F.sum("n").alias("n"))
+
+
+def top_error_services(rolled: DataFrame, scores: DataFrame, most: int = 15, anomalous: float = 0.3) -> DataFrame:
+    """Per scenario the services with most error lines, among those with an error or a high anomaly score; ties
+    by name. From ``rollup`` and ``anomaly``."""
+    rows = rolled.select("scenario_id", "service", "errors").join(scores.select("scenario_id", "service", "log_anomaly_score"), ["scenario_id", "service"])
+    rank = F.row_number().over(Window.partitionBy("scenario_id").orderBy(F.desc("errors"), "service"))
+    return rows.where((F.col("errors") > 0) | (F.col("log_anomaly_score") > anomalous)).withColumn("rank", rank).where(F.col("rank") <= most)

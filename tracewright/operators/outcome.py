@@ -60,3 +60,21 @@ def batch_summary(results: DataFrame) -> DataFrame:
 
 def unfinished(scenarios: DataFrame, done: DataFrame) -> DataFrame:
     return scenarios.join(done.select("scenario_id"), "scenario_id", "left_anti")
+
+
+def breakdown(pods: DataFrame) -> DataFrame:
+    """Sorted pod names behind a reward, from the rows that ``rewards`` takes: the tracked ones (relevant and in the
+    later snapshot), those ready before and after, newly recovered, regressed. Here a pod that the earlier
+    snapshot lacks wasn't ready."""
+    pre, post = F.coalesce("pre", F.lit(False)), F.col("post")
+    rows = pods.where("relevant and post is not null")
+    names = lambda cond, name: F.sort_array(F.collect_set(F.when(cond, F.col("pod")))).alias(name)
+    return rows.groupBy("scenario_id").agg(names(F.lit(True), "tracked"), names(pre, "pre_ready"), names(post, "post_ready"), names(post & ~pre, "recovered"), names(pre & ~post, "regressed"))
+
+
+def buffered(samples: DataFrame, least: int = 2, key_chars: int = 200) -> DataFrame:
+    """Training samples (batch_id, group_id, prompt, ...) of batches with at least ``least`` rows. A sample without
+    a group belongs to the group of its prompt's first characters."""
+    keyed = samples.withColumn("group_id", F.coalesce("group_id", F.substring("prompt", 1, key_chars)))
+    full = samples.groupBy("batch_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("batch_id")
+    return keyed.join(full, "batch_id", "left_semi")

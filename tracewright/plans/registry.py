@@ -513,3 +513,34 @@ def fault_types(spark, d):
     k = F.col("n_nationkey") % 5
     fam = F.when(k == 0, "auth_miss_mongodb").when(k == 1, "network_delay").when(k == 2, "pod_kill").when(k == 3, "misconfig_app").otherwise("flower")
     return _read(spark, d, "nation").select("n_name", rules.fault_type(fam).alias("fault_type"), rules.agent_fault_type(fam).alias("agent_type"))
+
+
+_NAMES = "array_to_string(list_sort(list(pod) FILTER (WHERE {})), ',')"
+
+
+@query(f"""WITH p AS (SELECT 'c' || (o_custkey % 50) AS scenario_id, o_orderkey::VARCHAR AS pod, coalesce(CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus = 'O' END, FALSE) AS pre, o_totalprice > 40000 AS post FROM orders WHERE o_orderkey % 3 = 0)
+SELECT scenario_id, coalesce({_NAMES.format("TRUE")}, '') AS tracked, coalesce({_NAMES.format("pre")}, '') AS pre_ready, coalesce({_NAMES.format("post")}, '') AS post_ready, coalesce({_NAMES.format("post AND NOT pre")}, '') AS recovered, coalesce({_NAMES.format("pre AND NOT post")}, '') AS regressed FROM p GROUP BY 1""")
+def reward_breakdown(spark, d):
+    made = outcome.breakdown(_snapshots(spark, d).withColumn("pod", F.col("pod").cast("string")))
+    return made.select("scenario_id", *[F.array_join(c, ",").alias(c) for c in made.columns[1:]])
+
+
+@query("""WITH s AS (SELECT conv_id AS batch_id, turn, CASE WHEN turn % 2 = 0 THEN role END AS g, text FROM conversations), b AS (SELECT batch_id FROM s GROUP BY 1 HAVING count(*) >= 5)
+SELECT batch_id, turn, coalesce(g, substr(text, 1, 200)) AS group_id FROM s WHERE batch_id IN (SELECT batch_id FROM b)""")
+def sample_buffer(spark, d):
+    t = _read(spark, d, "conversations").select(F.col("conv_id").alias("batch_id"), "turn", F.when(F.col("turn") % 2 == 0, F.col("role")).alias("group_id"), F.col("text").alias("prompt"))
+    return outcome.buffered(t, 5).select("batch_id", "turn", "group_id")
+
+
+@query(f"WITH {_LINES}, c AS (SELECT service, count(*) FILTER (WHERE severity = 'error') AS errors FROM l GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY errors DESC, service) AS rank FROM c WHERE errors > 0) SELECT * FROM r WHERE rank <= 3")
+def log_error_top(spark, d):
+    rows = logs.parsed(lines(spark, d))
+    rolled = logs.rollup(rows)
+    return logs.top_error_services(rolled, logs.anomaly(rolled, logs.type_counts(rows), logs.dependencies(rows)), 3).select("service", "errors", "rank")
+
+
+@query("WITH g AS (SELECT n_regionkey AS region, list(n_name ORDER BY n_name) AS x FROM nation GROUP BY 1) SELECT region, array_to_string(x[1:4], ',') AS items, len(x) > 4 AS truncated, len(x) AS total_count FROM g")
+def compact_lists(spark, d):
+    g = _read(spark, d, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.sort_array(F.collect_list("n_name")).alias("x"))
+    c = g.select("region", grouping.compact(F.col("x"), 4).alias("c"))
+    return c.select("region", F.array_join("c.items", ",").alias("items"), "c.truncated", "c.total_count")
