@@ -1,6 +1,8 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy."""
 
+import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -109,6 +111,46 @@ def test_license_places(spark, odd, empty):
     assert scan("")["n_words"] == 0 and license_rules.scan_licenses(odd).count() == len(ODD) and license_rules.scan_licenses(empty).count() == 0
 
 
+def _matches(pattern, most=2000):
+    """Texts that a rule's pattern matches: all of them, or if they are many, each alternative in some."""
+    kind = re._constants
+
+    def several(parts):
+        if np.prod([float(len(p)) for p in parts]) <= most:
+            return ["".join(c) for c in itertools.product(*parts)]
+        return ["".join(p[i % len(p)] for p in parts) for i in range(max(map(len, parts)))]
+
+    def spelled(op, x):
+        if op == kind.LITERAL:
+            return [chr(x)]
+        if op == kind.NOT_LITERAL or op == kind.IN and x[0][0] == kind.NEGATE:
+            return ["q"]
+        if op == kind.IN:
+            return [chr(v) for _, v in x]
+        if op == kind.SUBPATTERN:
+            return several([spelled(*e) for e in x[3]])
+        if op == kind.BRANCH:
+            return [t for way in x[1] for t in several([spelled(*e) for e in way])]
+        if op in (kind.MAX_REPEAT, kind.MIN_REPEAT):
+            return ([""] if x[0] == 0 else []) + several([spelled(*e) for e in x[2]])
+        assert op in (kind.ASSERT, kind.ASSERT_NOT), op
+        return [""]
+
+    return several([spelled(*e) for e in re._parser.parse(pattern)])
+
+
+def test_license_keywords_are_in_every_match():
+    keywords: dict = {}
+    for rule in license_rules.rules():
+        keywords.setdefault((rule.label, rule.pattern), set()).add(rule.keyword)
+    missed = [(label, text) for (label, pattern), words in keywords.items() for text in _matches(pattern) if not words & set(text.split())]
+    assert missed == []
+    scan = license_rules.Scanner(license_rules.rules()).scan
+    for use in ("research use", "research purposes", "noncommercial use", "non-commercial purposes"):
+        r = scan(f"The weights are released for {use} only.")
+        assert [f[2] for f in r["found"]] == ["non-commercial"] and r["score"] > 0
+
+
 def test_mix_comes_near_targets(spark, odd, empty):
     rng = random.Random(4)
     rows = [(i, "w " * rng.randint(1, 60), None, f"s{min(i % 7, 3)}", None) for i in range(2000)]

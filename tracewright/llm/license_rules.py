@@ -25,7 +25,7 @@ BASE = {"under the mit license": "mit", "apache license version 2": "apache-2",
 class Rule(NamedTuple):
     name: str
     label: str
-    keyword: str  # a word of every match
+    keyword: str  # a word of every match that no rule of the same pattern with another keyword runs for
     pattern: str
     priority: int
     confidence: float
@@ -137,8 +137,9 @@ _TEXTS = [
     ("proprietary", "proprietary", r"proprietary and confidential"),
     ("proprietary", "reserved", r"all rights reserved"),
     ("proprietary", "unauthorized", r"unauthorized (?:copying|use|distribution|reproduction)(?: of this (?:file|software|document))?"),
-    ("non-commercial", "commercial", r"for (?:non ?commercial|research) (?:use|purposes) only"),
-    ("non-commercial", "noncommercial", r"for (?:noncommercial|research) (?:use|purposes) only"),
+    ("non-commercial", "commercial", r"for non commercial (?:use|purposes) only"),
+    ("non-commercial", "noncommercial", r"for noncommercial (?:use|purposes) only"),
+    ("non-commercial", "research", r"for research (?:use|purposes) only"),
 ]
 
 
