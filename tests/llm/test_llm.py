@@ -151,6 +151,33 @@ def test_license_keywords_are_in_every_match():
         assert [f[2] for f in r["found"]] == ["non-commercial"] and r["score"] > 0
 
 
+def test_license_names_alone_and_containment():
+    rules = license_rules.rules()
+    scan = license_rules.Scanner(rules).scan
+    headings = {"Mozilla Public License Version 2.0": "mpl-2", "GNU General Public License version 3": "gpl-3", "Apache License, Version 1.1": "apache-1", "GNU Lesser General Public License version 2.1": "lgpl-2.1", "The Unlicense": "unlicense", "Apache 1.1 license": "apache-1"}
+    for text, label in headings.items():
+        r = scan(text)
+        assert [(f[0], f[1], f[2]) for f in r["found"]] == [(0, r["n_words"], label)] and r["score"] == 0.7, text
+    assert scan("Apache 1.1, GPL 3, MPL 2.0 and lesser general public license 3 text")["found"] == [(9, 14, "lgpl-3", "lgpl-3:name:lesser", 50)]
+    for label, name, _, words in license_rules._NAMED:
+        for text in _matches(name):
+            if re.search("licen[cs]e", text):
+                found = scan(f"x {text} x")["found"]
+                assert any(f[0] <= 1 and f[1] >= 1 + len(text.split()) for f in found), (label, text)
+    r = license_rules.Scanner([license_rules.Rule("wide", "w", "b", "a b c d", 10, 0.5), license_rules.Rule("best", "b", "b", "b c", 20, 0.5), license_rules.Rule("cut", "c", "b", "b c d e", 5, 0.5), license_rules.Rule("other", "o", "b", "a b", 1, 0.5)]).scan("a b c d e a b")
+    assert [(f[0], f[1], f[3]) for f in r["found"]] == [(0, 2, "other"), (1, 3, "best"), (5, 7, "other")]
+    rng = random.Random(6)
+    own = [license_rules.Rule(f"r{k}", "x", "a", " ".join(rng.choice("ab") for _ in range(rng.randint(1, 5))), rng.randint(1, 4), 0.5) for k in range(25)]
+    one = [license_rules.Scanner([r]).scan for r in own]
+    for _ in range(60):
+        text = "a " + " ".join(rng.choice("ab") for _ in range(20))
+        kept: list = []
+        for s, e, k in sorted(((f[0], f[1], k) for k, by in enumerate(one) for f in by(text)["found"]), key=lambda h: (-own[h[2]].priority, h[0] - h[1], h[0], h[2])):
+            if not any(a <= s and e <= b or s <= a and b <= e for a, b, _ in kept):
+                kept.append((s, e, own[k].name))
+        assert [(f[0], f[1], f[3]) for f in license_rules.Scanner(own).scan(text)["found"]] == sorted(kept)
+
+
 def test_mix_comes_near_targets(spark, odd, empty):
     rng = random.Random(4)
     rows = [(i, "w " * rng.randint(1, 60), None, f"s{min(i % 7, 3)}", None) for i in range(2000)]

@@ -2,13 +2,15 @@
 
 A text becomes a line of lower-case words. Rules are regular expressions over that line; each names a word
 that must occur, so most texts run no expression at all. Rules have a priority: of detections where one
-interval contains the other, the one of higher priority stays (of equals the longer, then the earlier rule).
+interval contains the other, the one of higher priority stays (of equals the longer, then the earlier rule),
+and one that did not stay displaces no other.
 Base detections, the places of three fixed phrases, are never suppressed.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -143,16 +145,56 @@ _TEXTS = [
 ]
 
 
+def _split(pattern: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """Alternatives outside all groups, and where the outer groups begin and end."""
+    depth, bars, opened, groups = 0, [-1], 0, []
+    for i, c in enumerate(pattern):
+        if c == "(":
+            opened = i if depth == 0 else opened
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if depth == 0:
+                groups.append((opened, i + 1))
+        elif c == "|" and depth == 0:
+            bars.append(i)
+    return [pattern[a + 1 : b] for a, b in zip(bars, [*bars[1:], len(pattern)])], groups
+
+
+def _ways(name: str) -> list[str]:
+    """Alternatives of a name, each of which holds the word license always or never."""
+    made = []
+    for way in _split(name)[0]:
+        a, b = next(((a, b) for a, b in _split(way)[1] if "licen" in way[a:b]), (0, 0))
+        if a == b:
+            made.append(way)
+            continue
+        optional = way[b : b + 1] == "?"
+        for inner in _split(way[a + 3 : b - 1])[0] + [""] * optional:
+            made += _ways(way[:a] + inner + way[b + optional :])
+    return made
+
+
+def _bare(name: str) -> str:
+    """The name alone where it holds the word license, else with that word behind it. What follows lesser,
+    library or affero is the tail of another name."""
+    ways = _ways(name)
+    forms = [rf"(?:{'|'.join(w for w in ways if 'licen' not in w)}) licen[cs]e"] if any("licen" not in w for w in ways) else []
+    if any("licen" in w for w in ways):
+        forms.append(rf"(?<!lesser )(?<!library )(?<!affero )(?:{'|'.join(w for w in ways if 'licen' in w)})(?: licen[cs]e)?")
+    return rf"(?:the )?(?:{'|'.join(forms)})"
+
+
 def rules() -> list[Rule]:
-    """Four forms of each name (SPDX tag, licence reference, name with the word license, bare name where it
-    is telling) and the sentences, in order."""
+    """Four forms of each name (SPDX tag, licence reference, name behind a preposition, bare name with the
+    word license in or behind it) and the sentences, in order."""
     made = []
     for label, name, spdx, words in _NAMED:
         for word in words:
             made.append(Rule(f"{label}:spdx:{word}", label, word, rf"spdx license identifier (?:{spdx}|{name})", 90, 0.99))
             made.append(Rule(f"{label}:grant:{word}", label, word, rf"(?:licensed|released|distributed|available|published|provided|covered|governed)(?: (?:to you|as open source|for use|only))? (?:under|by)(?: the)?(?: terms(?: and conditions)? of)?(?: the)? (?:{name})(?: licen[cs]e)?", 80, 0.95))
             made.append(Rule(f"{label}:under:{word}", label, word, rf"(?:under|see|by|with|license|licence)(?: the)? (?:{name})(?: licen[cs]e)?", 60, 0.8))
-            made.append(Rule(f"{label}:name:{word}", label, word, rf"(?:the )?(?:{name}) licen[cs]e", 50, 0.7))
+            made.append(Rule(f"{label}:name:{word}", label, word, _bare(name), 50, 0.7))
     for k, (label, word, pattern) in enumerate(_TEXTS):
         made.append(Rule(f"{label}:text:{k}", label, word, pattern, 85, 0.98))
     return made
@@ -183,10 +225,12 @@ class Scanner:
                 at = line.find(phrase, at + 1)
         hits = [(m.start(), m.end(), -r.priority, k, r) for word in met for k, r, p in self.gates[word] for m in p.finditer(line)]
         hits.sort(key=lambda h: (h[2], h[0] - h[1], h[0], h[3]))
-        kept: list = []
+        kept: list = []  # ascending starts, so ends ascend too
         for h in hits:  # the better ones first
-            if not any(a[0] <= h[0] and h[1] <= a[1] for a in kept):
-                kept.append(h)
+            at = bisect_left(kept, h[0], key=lambda a: a[0])
+            inside = any(a[0] <= h[0] and h[1] <= a[1] for a in kept[max(0, at - 1) : at + 1])
+            if not inside and not (at < len(kept) and kept[at][1] <= h[1]):
+                kept.insert(at, h)
         places = sorted({x for s, _ in spans for x in (s,)} | {h[0] - 1 for h in kept} | {h[1] for h in kept})
         number, seen, before = {}, 0, 0
         for p in places:  # spaces before a place are words before it
