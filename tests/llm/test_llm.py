@@ -197,6 +197,20 @@ def test_code_lengths_against_plain_python(spark, odd, empty):
     assert [r["lang_pred"] for r in got][:3] == ["und"] * 3 and langid_ppm.learn(empty) is None
 
 
+def test_copies_leave_the_language_sample_whole(spark):
+    rng = random.Random(7)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(30))
+    few, many, hot = [text("abcde") for _ in range(3)], [text("abcde") for _ in range(400)], text("abcde")
+    rows = [(None, t, "few", None, None) for t in few * 300] + [(None, t, "many", None, None) for t in many + [hot] * 1000]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    made = langid_ppm.identify(docs, langid_ppm.learn(docs, most=60)).select("lang", "lang_pred").distinct().collect()
+    assert {r["lang_pred"] for r in made if r["lang"] == "few"} == {"few"}
+    languages, drawn = langid_ppm.draw(docs.select("text", "lang"), 60)
+    sample = [(r["lang"], r["text"]) for r in drawn.collect()]
+    assert languages == ["few", "many"] and len(sample) == len(set(sample))
+    assert sorted(t for lang, t in sample if lang == "few") == sorted(few) and 30 < sum(lang == "many" for lang, _ in sample) < 100
+
+
 def _counts(texts):
     language, gram = [], []
     for i, t in enumerate(texts.values()):

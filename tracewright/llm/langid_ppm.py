@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from tracewright.llm.common import append_columns, byte_slices, fold, ship, table
 
 ORDER = 4
-DOCS_A_LANGUAGE = 1500  # bound of the training sample: expected documents of each language
+DOCS_A_LANGUAGE = 1500  # bound of the training sample: expected distinct texts of each language
 UNDETERMINED = "und"
 _PLAIN = bytes(b if b >= 0x80 or 97 <= b <= 122 else 32 for b in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
@@ -120,16 +120,26 @@ class FrozenTrees:
         return out
 
 
+def draw(rows: DataFrame, most: int = DOCS_A_LANGUAGE) -> tuple[list[str], DataFrame | None]:
+    """The languages of rows of (text, lang) without nulls, and their sample: each distinct text of a language
+    once, all of them up to ``most``, of more about ``most`` by hash. Copies change neither."""
+    # 128 bits tell texts apart
+    keyed = rows.select("text", "lang", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(9), "text").alias("g"))
+    counted = {r["lang"]: r["n"] for r in keyed.select("lang", "h", "g").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counted:
+        return [], None
+    share = F.create_map(*[F.lit(x) for l in sorted(counted) for x in (l, min(1.0, most / counted[l]))])
+    drawn = keyed.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    return sorted(counted), drawn.dropDuplicates(["lang", "h", "g"]).select("text", "lang")
+
+
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = DOCS_A_LANGUAGE, order: int = ORDER) -> FrozenTrees | None:
-    """Trees from rows with a text and a language: per language at most about ``most`` documents, drawn
+    """Trees from rows with a text and a language: per language at most about ``most`` distinct texts, drawn
     by hash. Grams are counted in the tasks and summed; None if there is nothing to learn from."""
     rows = docs.select(docs[text_col].alias("text"), docs[lang_col].alias("lang")).where("text is not null and lang is not null")
-    counted = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(counted)
-    if not languages:
+    languages, drawn = draw(rows, most)
+    if drawn is None:
         return None
-    share = F.create_map(*[F.lit(x) for l in languages for x in (l, min(1.0, most / counted[l]))])
-    drawn = rows.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     ship(docs.sparkSession)
     number = {l: i for i, l in enumerate(languages)}
 
