@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import threading
 
 import numpy as np
 import pytest
@@ -75,6 +76,28 @@ def test_sketches_estimate_and_merge(spark, odd, empty):
     assert by[8]["edited"] == ODD[-1][1][: len(ODD[-1][1]) - len(ODD[-1][1]) // 3] + ("word " * 9)[: len(ODD[-1][1]) // 3]
 
 
+def test_successors_of_repeated_rows_and_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_A_BIN", 10, raising=False)
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 7, 7, 3, rng.randint(-40, 90)]), f"text {rng.randint(0, 60)} of some words") for _ in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    hashed = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").isNull(), "text").alias("th")).collect()
+    order = sorted(((r["doc_id"] is None, -(r["doc_id"] or 0), r["th"], r["text"], r["doc_id"]) for r in hashed), key=lambda r: r[:3])
+    want = [(a[4], a[3], a[3][: len(a[3]) - len(a[3]) // 3] + b[3][: len(a[3]) // 3], b[4]) for a, b in zip(order, order[1:] + order[:1])]
+    got = [(r["id"], r["text"], r["edited"], r["next_id"]) for r in fingerprints.with_next_text(docs).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    # one row 150,000 times: work that grows with the square would not end in the time given
+    many = spark.range(150_000).selectExpr("5L as doc_id", "'the same row again and again' as text").union(docs)
+    spark.sparkContext.setJobGroup("repeats", "", True)
+    stop = threading.Timer(90, spark.sparkContext.cancelJobGroup, ["repeats"])
+    stop.start()
+    try:
+        assert fingerprints.with_next_text(many).where("id = 5 and next_id = 5 and edited is not null").count() >= 149_999
+    finally:
+        stop.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_trees_are_exact_at_factor_one(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 8))

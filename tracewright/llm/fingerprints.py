@@ -7,6 +7,8 @@ the union, and two sketches estimate resemblance, containment and the number of
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from tracewright.llm.common import table
 
 K = 128
 WIDTH = 5
+ROWS_A_BIN = 2_000  # distinct documents that are ordered in one task
 
 
 def shingle_hashes(text: Column, width: int = WIDTH) -> Column:
@@ -69,60 +72,75 @@ def merged_sketches(df: DataFrame, group_cols: list[str], sketch_col: str, k: in
 
 
 def successors(rows: DataFrame) -> DataFrame:
-    """For rows of (id, key, th, copy, n): the (key, th, copy) that follows in descending key order, the last one followed by the first.
+    """For rows of (id, key, th, n, times), distinct by key and th: the (key, th) that follows in descending key order, the last one followed by the first.
 
     The order is cut into bins of neighbouring keys by approximate quantiles; inside a bin a window finds
-    the successor, and the first row of the next bin that has rows follows the last of a bin. Only the
+    the successor, and the first row of the next bin that has rows follows the last of a bin. An id that is
+    several quantiles at once, and no id, fill as many bins by ranges of the text hash. Only the
     first rows of the bins meet in one task. Keys are (id descending, null last, then text hash).
     """
-    n_bins = max(1, min(20_000, rows.count() // 2_000))
-    marks = rows.select(F.percentile_approx("id", [i / n_bins for i in range(1, n_bins)] or [0.5], 10 * n_bins).alias("m")).first()["m"] or []
-    marks = sorted(set(marks), reverse=True)
-    # bin 0 has the largest ids; a null id comes last
+    n_bins = max(1, min(20_000, rows.count() // ROWS_A_BIN))
+    found = rows.select(F.percentile_approx("id", [i / n_bins for i in range(1, n_bins)] or [0.5], 10 * n_bins).alias("m"), F.count_if(F.col("id").isNull()).alias("nulls")).first()
+    times = Counter(found["m"] or [])
+    marks = sorted(times, reverse=True)
+    slices = lambda most: F.least(F.floor((F.col("th").cast("double") / F.lit(2.0**64) + 0.5) * most), most - 1)
+    # bin 0 has the largest ids; a null id comes last, and a mark is the first id of its bin
     ids = F.col("id")
-    binned = rows.withColumn("bin", F.when(ids.isNull(), F.lit(len(marks) + 1)).otherwise(F.size(F.filter(F.array(*[F.lit(m).cast("bigint") for m in marks]), lambda m: m >= F.col("id"))) if marks else F.lit(0)))
-    order = Window.partitionBy("bin").orderBy(F.col("id").desc_nulls_last(), "th", "copy")
-    own = F.struct("key", "th", "copy")
+    hot = [F.lit(x).cast("bigint") for m in marks if times[m] > 1 for x in (m, times[m] + 1)]
+    own_bins = F.coalesce(F.create_map(*hot)[ids], F.lit(1).cast("bigint")) if hot else F.lit(1).cast("bigint")
+    is_mark = F.array_contains(F.array(*[F.lit(m).cast("bigint") for m in marks]), ids) if marks else F.lit(False)
+    part = F.when(ids.isNull(), slices(F.lit(max(1, min(20_000, found["nulls"] // ROWS_A_BIN))))).when(is_mark, slices(own_bins)).otherwise(F.lit(1 << 20))
+    binned = rows.withColumn("bin", F.when(ids.isNull(), F.lit(len(marks) + 1)).otherwise(F.size(F.filter(F.array(*[F.lit(m).cast("bigint") for m in marks]), lambda m: m >= F.col("id"))) if marks else F.lit(0))).withColumn("part", part if hot or found["nulls"] else F.lit(0))
+    order = Window.partitionBy("bin", "part").orderBy(F.col("id").desc_nulls_last(), "th")
+    own = F.struct("key", "th")
     linked = binned.withColumn("next", F.lead(own).over(order)).withColumn("first", F.row_number().over(order) == 1)
-    heads = linked.where("first").select("bin", own.alias("head"))
-    ring = Window.orderBy("bin")  # a row for each bin
-    every = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    follow = heads.select("bin", F.coalesce(F.lead("head").over(ring), F.first("head").over(every)).alias("after"))
-    return linked.join(F.broadcast(follow), "bin").select("key", "th", "copy", "n", F.coalesce("next", "after").alias("next"))
+    heads = linked.where("first").select("bin", "part", own.alias("head"))
+    ring = Window.orderBy("bin", "part")  # a row for each bin
+    every = Window.orderBy("bin", "part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    follow = heads.select("bin", "part", F.coalesce(F.lead("head").over(ring), F.first("head").over(every)).alias("after"))
+    return linked.join(F.broadcast(follow), ["bin", "part"]).select("key", "th", "n", "times", F.coalesce("next", "after").alias("next"))
 
 
-def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, sketch, edited, next_id, next_sketch) of every row: the text, its sketch, the text with its last
-    third replaced, and the sketch of the document that follows in descending id order. A document's sketch is
-    made once, before its text is shuffled, and handed on.
-
-    Null text counts as empty. Of rows with one id the text hash decides the order, and repeated rows follow one
-    another; a single document follows itself. Null ids come last.
-    """
+def distinct_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``with_next_text``, equal ones once with their number in ``repeats``. A document's sketch is
+    made before its text is shuffled, and handed on."""
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce("id", F.lit(0))).withColumn("th", F.xxhash64(F.col("id").isNull(), "text"))
     counted = rows.select("id", "key", "th", F.length("text").cast("long").alias("n")).groupBy("key", "th").agg(F.first("id").alias("id"), F.count("*").alias("times"), F.first("n").alias("n"))
-    light = counted.select("id", "key", "th", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))).alias("copy"), "n")
-    after = successors(light)
+    after = successors(counted)
     # what each document must hand to the one before it, and to which
-    asked = after.select(F.col("next.key").alias("nkey"), F.col("next.th").alias("nth"), F.col("next.copy").alias("ncopy"), F.col("key").alias("tkey"), F.col("th").alias("tth"), F.col("copy").alias("tcopy"), F.floor(F.col("n") / 3).cast("int").alias("need"))
-    copies = F.row_number().over(Window.partitionBy("key", "th").orderBy("key"))
-    numbered = rows.withColumn("sketch", sketch(F.col("text"))).withColumn("copy", copies.cast("bigint"))
+    asked = after.select(F.col("next.key").alias("nkey"), F.col("next.th").alias("nth"), F.col("key").alias("tkey"), F.col("th").alias("tth"), F.floor(F.col("n") / 3).cast("int").alias("need"), "times")
+    once = rows.withColumn("sketch", sketch(F.col("text"))).dropDuplicates(["key", "th"])
+    hand = once.join(asked, (F.col("key") == F.col("nkey")) & (F.col("th") == F.col("nth")))
+    hand = hand.select("tkey", "tth", "times", F.expr("substring(text, 1, need)").alias("start"), F.col("sketch").alias("next_sketch"), F.col("id").alias("next_id"))
+    both = once.join(hand, (F.col("key") == F.col("tkey")) & (F.col("th") == F.col("tth")))
+    # a repeated row is followed by itself, all but the last time
+    own = F.struct((F.col("times") - 1).alias("repeats"), F.expr("substring(text, 1, cast(floor(length(text) / 3) as int))").alias("start"), F.col("sketch").alias("next_sketch"), F.col("id").alias("next_id"))
+    last = F.struct(F.lit(1).cast("bigint").alias("repeats"), "start", "next_sketch", "next_id")
+    ways = both.select("id", "text", "sketch", F.explode(F.when(F.col("times") > 1, F.array(own, last)).otherwise(F.array(last))).alias("way"))
+    kept = F.expr("substring(text, 1, cast(length(text) - floor(length(text) / 3) as int))")
+    return ways.select("id", "text", "sketch", F.concat(kept, "way.start").alias("edited"), "way.next_id", "way.next_sketch", "way.repeats")
 
-    def same(a: str, b: str) -> Column:  # two comparisons: rows need not move once more for the copy number
-        return (F.col(a) <= F.col(b)) & (F.col(a) >= F.col(b))
 
-    hand = numbered.join(asked, (F.col("key") == F.col("nkey")) & (F.col("th") == F.col("nth")) & same("copy", "ncopy"))
-    hand = hand.select("tkey", "tth", "tcopy", F.expr("substring(text, 1, need)").alias("start"), F.col("sketch").alias("next_sketch"), F.col("id").alias("next_id"))
-    both = numbered.join(hand, (F.col("key") == F.col("tkey")) & (F.col("th") == F.col("tth")) & same("copy", "tcopy"))
-    kept = F.expr("substring(text, 1, cast(length(text) - floor(length(text) / 3) as int))")
-    return both.select("id", "text", "sketch", F.concat(kept, "start").alias("edited"), "next_id", "next_sketch")
+def repeated(rows: DataFrame) -> DataFrame:
+    """Each row as often as its ``repeats`` says, without that column."""
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("repeats")))).drop("_copy", "repeats")
+
+
+def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, sketch, edited, next_id, next_sketch) of every row: the text, its sketch, the text with its last
+    third replaced, and the sketch of the document that follows in descending id order.
+
+    Null text counts as empty. Of rows with one id the text hash decides the order, and repeated rows follow one
+    another; a single document follows itself. Null ids come last.
+    """
+    return repeated(distinct_with_next(docs, id_col, text_col))
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = with_next_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    made = made.select("id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.col("sketch").alias("a"), sketch(F.col("edited")).alias("b"), "next_id", "next_sketch")
-    return made.select(
+    made = distinct_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = made.select("id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.col("sketch").alias("a"), sketch(F.col("edited")).alias("b"), "next_id", "next_sketch", "repeats")
+    made = made.select(
         F.col("id").alias("doc_id"),
         "n_chars",
         "edited_sha256",
@@ -133,4 +151,6 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         distinct_shingles(F.col("a")).alias("distinct_shingles"),
         containment(F.col("a"), F.col("b")).alias("kept_in_edited"),
         F.col("next_id").alias("next_doc_id"),
+        "repeats",
     )
+    return repeated(made)  # what equal rows share is computed once
