@@ -49,6 +49,13 @@ def test_fixity_finds_each_fault(spark):
     assert short.where("fault = 'missing'").count() == left.where("no >= 5").count()
 
 
+def test_fixity_finds_moved_records(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", "x" * (i % 90)) for i in range(100)], "page_id bigint, url string, html string")
+    left = warc_fixity.records(pages, 1)
+    gap = left.withColumn("offset", F.col("offset") + F.when(F.col("no") >= 90, 2).otherwise(0))
+    assert sorted((r["no"], r["fault"], r["digest"] == r["replica_digest"]) for r in warc_fixity.audit(left, gap).collect()) == [(90, "moved", True)]
+
+
 def test_positive_unlabelled_learning_on_held_out_rows(spark, odd, empty):
     rng = random.Random(2)
     plain = ["".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(300)]

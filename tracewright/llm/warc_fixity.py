@@ -1,8 +1,9 @@
 """Merkle fixity audit of WARC files.
 
 Pages become WARC/1.1 resource records; a file's records stand one behind the other, so each has an offset. A
-record's SHA-256 over its bytes is a leaf, ``fanout`` neighbours in offset order make a node (the hash
-of their hashes), and so on to a root per file. To compare replicas, roots are joined first, and of each level only the
+leaf is the hash of the gap before a record, its length and the SHA-256 over its bytes, so that leaves fix all
+offsets; ``fanout`` neighbours in offset order make a node (the hash of the bytes it spans and its children's
+hashes), and so on to a root per file. To compare replicas, roots are joined first, and of each level only the
 children of nodes that differ are joined next, down to the records at fault.
 """
 
@@ -53,13 +54,18 @@ def records(pages: DataFrame, files: int) -> DataFrame:
 
 
 def tree(leaves: DataFrame, height: int, fanout: int = FANOUT) -> DataFrame:
-    """(file, level, no, digest) of all nodes from (file, no, digest) leaves at level 0 up to ``height``.
-    A node's hash is that of its children's hex hashes in order."""
-    level = leaves.select("file", F.lit(0).alias("level"), "no", "digest")
+    """(file, level, no, span, digest) of all nodes from (file, no, offset, length, digest) leaves at level 0 up
+    to ``height``. A leaf's hash is that of gap, length and the record's digest, where the gap is what lies
+    between the end of the record before it (the file's start) and its offset; a node's is that of its span, the gaps and
+    lengths below it, and of its children's hex hashes in order."""
+    bound = lambda *c: F.sha2(F.concat_ws("|", *c), 256).alias("digest")
+    end = F.lag(F.col("offset") + F.col("length")).over(Window.partitionBy("file").orderBy("no"))
+    placed = leaves.withColumn("gap", F.col("offset") - F.coalesce(end, F.lit(0)))
+    level = placed.select("file", F.lit(0).alias("level"), "no", (F.col("gap") + F.col("length")).alias("span"), bound("gap", "length", "digest"))
     out = level
     for k in range(1, height + 1):
-        level = level.groupBy("file", F.floor(F.col("no") / fanout).alias("no")).agg(F.array_sort(F.collect_list(F.struct("no", "digest"))).alias("c"))
-        level = level.select("file", F.lit(k).alias("level"), "no", F.sha2(F.array_join("c.digest", ""), 256).alias("digest"))
+        level = level.groupBy("file", F.floor(F.col("no") / fanout).alias("no")).agg(F.sum("span").alias("span"), F.array_sort(F.collect_list(F.struct("no", "digest"))).alias("c"))
+        level = level.select("file", F.lit(k).alias("level"), "no", "span", bound("span", F.array_join("c.digest", "")))
         out = out.unionByName(level)
     return out
 
@@ -68,7 +74,8 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """(file, no, offset, length, page_id, digest, replica_digest, fault) of the records at which two
     replicas of the files differ, given the (file, no, offset, length, page_id, digest) of each.
 
-    fault is ``changed``, or ``missing`` or ``added`` where only one replica has that record number. A file
+    fault is ``changed`` (its bytes), ``moved`` (equal bytes behind another gap; records behind it
+    that keep their own gap aren't at fault), or ``missing`` or ``added`` where only one replica has that record number. A file
     that one replica lacks has all its records at fault. Equal replicas, and empty ones, give no row.
     """
     most = max((r[0] or 0) for r in left.agg(F.max("no")).union(right.agg(F.max("no"))).collect())
@@ -83,12 +90,13 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFrame:
             parent = F.floor(F.col("no") / fanout)
             x, y = (t.withColumn("up", parent).join(suspects.select("file", F.col("no").alias("up")), ["file", "up"], "left_semi").drop("up") for t in (x, y))
         suspects = x.join(y, ["file", "no"], "full_outer").where("not (l <=> r)")
-    at = left.select("file", "no", "offset", "length", "page_id")
-    other = right.select("file", "no", F.col("offset").alias("o"), F.col("length").alias("n"), F.col("page_id").alias("p"))
+    at = left.select("file", "no", "offset", "length", "page_id", "digest")
+    other = right.select("file", "no", F.col("offset").alias("o"), F.col("length").alias("n"), F.col("page_id").alias("p"), F.col("digest").alias("replica_digest"))
     full = suspects.join(at, ["file", "no"], "left").join(other, ["file", "no"], "left")
-    fault = F.when(F.col("r").isNull(), "missing").when(F.col("l").isNull(), "added").otherwise("changed")
+    same = F.col("digest").eqNullSafe(F.col("replica_digest"))
+    fault = F.when(F.col("r").isNull(), "missing").when(F.col("l").isNull(), "added").when(same, "moved").otherwise("changed")
     gone = F.col("l").isNull()
-    return full.select("file", "no", F.when(gone, F.col("o")).otherwise(F.col("offset")).alias("offset"), F.when(gone, F.col("n")).otherwise(F.col("length")).alias("length"), F.when(gone, F.col("p")).otherwise(F.col("page_id")).alias("page_id"), F.col("l").alias("digest"), F.col("r").alias("replica_digest"), fault.alias("fault"))
+    return full.select("file", "no", F.when(gone, F.col("o")).otherwise(F.col("offset")).alias("offset"), F.when(gone, F.col("n")).otherwise(F.col("length")).alias("length"), F.when(gone, F.col("p")).otherwise(F.col("page_id")).alias("page_id"), "digest", "replica_digest", fault.alias("fault"))
 
 
 def damaged(pages: DataFrame) -> DataFrame:
