@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,14 +42,56 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the folder that ``spark.checkpoint.dir`` names.
 
     The folder is one that all executors share, so the rows outlive the executor that made them.
-    Only where the setting is absent (tests in local mode) is a temporary folder used.
+    Without the setting a temporary folder serves in local mode (tests); on a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
+def others(df: DataFrame, *replaced: str) -> list[Column]:
+    """All columns but those that bear one of the names, in any case; names may hold dots and backticks."""
+    gone = {name.lower() for name in replaced}
+    return [F.col(quoted(c)) for c in df.columns if c.lower() not in gone]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Column names that clash with none of ``taken``, in any case: each wanted one, with underscores as needed."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def release() -> None:
+    """Give back to the system what a task no longer needs: its Python worker lives on and serves other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function for mapInArrow, followed by ``release`` once its variables are gone."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def fold(id_col: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % parts
@@ -74,17 +119,22 @@ def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], st
 
     ``start()`` runs once a task and returns the function that maps a list of texts (null for a null)
     to one Arrow array for each field. All other columns pass through; those that bear the name of an
-    appended field are replaced.
+    appended field, in any case, are replaced.
     """
     ship(df.sparkSession)
-    names = [f.name for f in fields]
-    base = df.select(*[df[c] for c in df.columns if c not in names])
+    kept = [f for f in df.schema.fields if f.name.lower() not in {g.name.lower() for g in fields}]
+    number = {f.name.lower(): k for k, f in enumerate(kept)}
+    text = f"c{number[text_col.lower()]}"
+    base = df.select(*[F.col(quoted(f.name)).alias(f"c{k}") for k, f in enumerate(kept)])  # plain names on the way through Arrow
+    added = [f"a{k}" for k in range(len(fields))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for batch in batches:
-            for part in byte_slices(batch, text_col, slice_bytes):
-                made = step(part.column(text_col).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names])
+            for part in byte_slices(batch, text, slice_bytes):
+                made = step(part.column(text).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *added])
 
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, *fields]))
+    schema = T.StructType([*base.schema.fields, *[T.StructField(a, f.dataType) for a, f in zip(added, fields)]])
+    made = base.mapInArrow(releasing(run), schema)
+    return made.select(*[F.col(f"c{k}").alias(f.name) for k, f in enumerate(kept)], *[F.col(a).alias(f.name) for a, f in zip(added, fields)])
