@@ -1,133 +1,192 @@
 """Nearest neighbours by inner product with vantage-point trees, one a shard.
 
 Largest inner product becomes smallest Euclidean distance when every vector gets one more coordinate,
-sqrt(M^2 - |x|^2) with M the largest norm of its shard (queries get 0). Vectors are dealt to shards by a
-hash of their values, so equal vectors meet, and a shard builds a tree: a vantage point, the median
-distance to it, the nearer half inside and the farther half outside, down to leaves. A block of
-queries goes down together. A subtree is left out for a query when the triangle inequality puts it
-farther than the query's k-th neighbour so far, that distance divided by ``factor``: with factor 1 the
-search is exact, beyond that it leaves out more. Scores are computed again on the original vectors in
-double precision.
+sqrt(M^2 - |x|^2) with M the largest norm of its shard, and queries are scaled to norm M. Vectors are dealt
+to shards by a hash of their values, so equal vectors meet. A shard's tree is built once: at every node a vantage
+point, the median distance to it, the nearer half inside and the farther half outside, down to leaves. Each row
+keeps its distances to all vantage points above it, and to some more at the root; each node keeps the range of
+these. Queries pass through in batches. A subtree, and then a row of a leaf, is left out for a query when the triangle
+inequality at any of these vantage points puts it farther than the query's k-th neighbour so far, that
+distance divided by ``factor``: with factor 1 the search is exact, beyond that it leaves out more. Scores are
+inner products of the original vectors in double precision.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import materialize, ship, table
+from tracewright.llm.common import materialize, releasing, ship, table
 
-SHARD_ROWS = 8192
-QUERY_BLOCK = 16384
+SHARD_BYTES = 8 << 20  # of a shard's vectors in double precision: 16,384 rows of 64 components
+QUERY_BATCH = 1024
 LEAF = 128
-FACTOR = 1.25
+START_LEAVES = 4  # leaves that a query visits before all others
+ROOT_POINTS = 24  # vantage points of the root beside the splitting one
+FACTOR = 3.5  # relaxed as far as recall stays well above 0.9 on vectors without any structure; the README has figures
 
 
 class VantagePointTree:
-    """Over the rows of a matrix of distinct vectors (already with the added coordinate)."""
-
-    def __init__(self, x: np.ndarray, leaf: int = LEAF, seed: int = 5):
-        self.x, self.leaf = x, leaf
-        self.square = (x * x).sum(axis=1)
-        self.rng = np.random.default_rng(seed)
-        self.root = self._build(np.arange(len(x)))
-
-    def _build(self, rows: np.ndarray):
+    """Over the rows of a matrix of distinct finite vectors, searched by largest inner product."""
+
+    def __init__(self, x: np.ndarray, leaf: int = LEAF, root_points: int = ROOT_POINTS, seed: int = 5):
+        self.x, self.leaf, self.rng = x, leaf, np.random.default_rng(seed)
+        self.visited = 0  # pairs of query and row whose inner product was computed
+        self.scale = float(np.abs(x).max(initial=0)) or 1.0  # squares neither overflow nor vanish
+        unit = x / self.scale
+        norms = (unit * unit).sum(axis=1)
+        self.top = float(np.sqrt(norms.max(initial=0)))
+        self.lifted = np.column_stack([unit, np.sqrt(np.maximum(0, self.top**2 - norms))])
+        self.slack = 4e-6 * self.top  # distances are kept in single precision
+        self.homes = 0
+        self.root_points = self.lifted[np.sort(self.rng.permutation(len(x))[:root_points])]
+        self.root = self._build(np.arange(len(x)), self._far(self.lifted, self.root_points))
+
+    def _far(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Distances of all lifted vectors, which have norm ``top``."""
+        return np.sqrt(np.maximum(0, 2 * self.top**2 - 2 * a @ b.T)).astype(np.float32)
+
+    def _build(self, rows: np.ndarray, path: np.ndarray, home: int = -1) -> dict:
+        if home < 0 and len(rows) <= START_LEAVES * self.leaf:
+            home, self.homes = self.homes, self.homes + 1
+        node = {"low": path.min(axis=0, initial=np.inf), "high": path.max(axis=0, initial=-np.inf), "home": home}
         if len(rows) <= self.leaf:
-            return rows
-        vantage = int(rows[self.rng.integers(len(rows))])
-        d = np.sqrt(np.maximum(0, self.square[rows] + self.square[vantage] - 2 * self.x[rows] @ self.x[vantage]))
-        median = float(np.median(d))
-        inside = d <= median
-        if inside.all():  # most distances equal: halves of the rows, with a bound that prunes neither
+            return node | {"rows": rows, "path": np.ascontiguousarray(path.T)}
+        vantage = self.lifted[rows[self.rng.integers(len(rows))]][None, :]
+        d = self._far(self.lifted[rows], vantage)
+        middle = np.median(d)
+        inside = d[:, 0] <= middle
+        if inside.all():  # most distances equal: halves of the rows
             inside = np.arange(len(rows)) % 2 == 0
-            return vantage, 0.0, float(d.max()), self._build(rows[inside]), self._build(rows[~inside])
-        return vantage, float(d[~inside].min()), float(d[inside].max()), self._build(rows[inside]), self._build(rows[~inside])
+        path = np.concatenate([path, d], axis=1)
+        return node | {"vantage": vantage, "middle": middle, "parts": [self._build(rows[s], path[s], home) for s in (inside, ~inside)]}
 
     def search(self, q: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-        """(distances, rows), k a query, nearest first; row -1 where there are fewer."""
-        best = np.full((len(q), k), np.inf)
-        found = np.full((len(q), k), -1, dtype=np.int64)
-        square = (q * q).sum(axis=1)
-        slack = 1e-9 * max(1.0, float(np.sqrt(max(self.square.max(initial=0), square.max(initial=0)))))
-
-        def distances(active: np.ndarray, rows: np.ndarray) -> np.ndarray:
-            return np.sqrt(np.maximum(0, square[active][:, None] + self.square[rows][None, :] - 2 * q[active] @ self.x[rows].T))
-
-        def visit(node, active: np.ndarray) -> None:
+        """(inner products, rows), k a query, largest first; row -1 where there are fewer.
+
+        First each query goes down the nearer sides to its home, a subtree of a few leaves, then through all
+        other parts of the tree, in which it is pruned by what it found so far.
+        """
+        best, found = np.full((len(q), k), np.nan), np.full((len(q), k), -1, dtype=np.int64)  # nan sorts last
+        largest = np.abs(q).max(axis=1, initial=0, keepdims=True)
+        unit = q / np.where(largest > 0, largest, 1)
+        norm = np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+        lifted = np.column_stack([unit * (self.top / np.where(norm > 0, norm, 1)), np.zeros(len(q))])
+        to_unit = self.top / np.where(norm > 0, norm, 1)[:, 0]  # of a product with the scaled query and rows
+        reach, home = np.full(len(q), np.inf), np.full(len(q), -1)
+
+        def visit(node: dict, active: np.ndarray, path: np.ndarray, first: bool) -> None:
+            outside = np.maximum(node["low"] - path, path - node["high"]).max(axis=1, initial=-np.inf)
+            keep = outside <= reach[active]
+            if first and node["home"] >= 0:
+                home[active] = node["home"]
+            elif not first:
+                keep &= home[active] != node["home"]
+            active, path = active[keep], path[keep]
             if not len(active):
                 return
-            if isinstance(node, np.ndarray):
-                d = np.concatenate([best[active], distances(active, node)], axis=1)
-                r = np.concatenate([found[active], np.broadcast_to(node, (len(active), len(node)))], axis=1)
-                if d.shape[1] > k:
-                    near = np.argpartition(d, k - 1, axis=1)[:, :k]
-                    d, r = np.take_along_axis(d, near, axis=1), np.take_along_axis(r, near, axis=1)
-                best[active], found[active] = d, r
+            if "rows" in node:
+                self._leaf(node, active, reach, path, q, best, found)
+                with np.errstate(all="ignore"):
+                    last = best[active].min(axis=1) / self.scale / largest[active, 0] * to_unit[active]
+                    far = np.sqrt(np.maximum(0, 2 * self.top**2 - 2 * last)) / factor + self.slack
+                reach[active] = np.where(np.isfinite(last), far, np.inf)
                 return
-            vantage, outer_from, inner_to, inside, outside = node
-            to = distances(active, np.array([vantage]))[:, 0]
-            nearer = to <= (outer_from + inner_to) / 2
-
-            def may(which: np.ndarray, bound: np.ndarray) -> np.ndarray:
-                reach = best[active[which]].max(axis=1) / factor
-                return active[which[bound[which] <= reach + slack]]
-
-            own, other = np.flatnonzero(nearer), np.flatnonzero(~nearer)
-            visit(inside, active[own])
-            visit(outside, active[other])
-            visit(outside, may(own, outer_from - to))
-            visit(inside, may(other, to - inner_to))
+            d = self._far(lifted[active], node["vantage"])
+            path, nearer = np.concatenate([path, d], axis=1), d[:, 0] <= node["middle"]
+            split = first and node["home"] < 0
+            for part, which in zip(node["parts"], (nearer, ~nearer) if split else (slice(None),) * 2):
+                visit(part, active[which], path[which], first)
 
         if len(self.x) and len(q):
-            visit(self.root, np.arange(len(q)))
-        order = np.argsort(best, axis=1, kind="stable")
+            for first in (True, False):
+                visit(self.root, np.arange(len(q)), self._far(lifted, self.root_points), first)
+        order = np.argsort(-best, axis=1, kind="stable")
         return np.take_along_axis(best, order, axis=1), np.take_along_axis(found, order, axis=1)
 
+    def _leaf(self, node: dict, active: np.ndarray, reach: np.ndarray, path: np.ndarray, q: np.ndarray, best: np.ndarray, found: np.ndarray) -> None:
+        bound = np.zeros((len(active), len(node["rows"])), dtype=np.float32)
+        for j, far in enumerate(node["path"]):
+            np.maximum(bound, np.abs(path[:, j, None] - far), out=bound)
+        at, row = np.nonzero(bound <= reach[active][:, None])
+        self.visited += len(at)
+        score = np.full(bound.shape, np.nan)
+        with np.errstate(all="ignore"):
+            for a in range(0, len(at), 1 << 12):
+                s = slice(a, a + (1 << 12))
+                score[at[s], row[s]] = products(q[active[at[s]]], self.x[node["rows"][row[s]]])
+        k = best.shape[1]
+        s = np.concatenate([best[active], score], axis=1)
+        r = np.concatenate([found[active], np.where(np.isnan(score), -1, node["rows"])], axis=1)
+        near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        best[active], found[active] = np.take_along_axis(s, near, axis=1), np.take_along_axis(r, near, axis=1)
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products row by row, so that equal vectors get equal ones; what overflows both ways counts as least."""
+    p = np.einsum("ij,ij->i", a, b)
+    return np.where(np.isnan(p), -np.finfo(float).max, p)
+
 
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def search_shard(queries: pa.Table, vectors: pa.Table, k: int, factor: float) -> pa.Table:
-    """The k nearest of one shard for a block of queries; an equal vector's ids count one by one."""
-    queries, vectors = queries.combine_chunks(), vectors.combine_chunks()
-    names = ["query_id", "vec_id", "score"]
-    if not queries.num_rows or not vectors.num_rows:
-        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
-    x, ids = _matrix(vectors.column("v").chunk(0)), vectors.column("vec_id").to_numpy()
-    order = np.lexsort((ids, *x.T[::-1]))
-    x, ids = x[order], ids[order]
-    new = np.append(True, (x[1:] != x[:-1]).any(axis=1))
-    heads = np.append(np.flatnonzero(new), len(x))
-    unique = x[new]
-    q, qid = _matrix(queries.column("v").chunk(0)), queries.column("vec_id").to_numpy()
-    norms = (unique * unique).sum(axis=1)
-    tree = VantagePointTree(np.column_stack([unique, np.sqrt(np.maximum(0, norms.max() - norms))]))
-    out: list[tuple] = []
-    for a in range(0, len(q), 2048):
-        part, part_id = q[a : a + 2048], qid[a : a + 2048]
-        _, rows = tree.search(np.column_stack([part, np.zeros(len(part))]), k + 1, factor)  # one more, as its own may be among them
+class Shard:
+    """The tree of one shard over (vec_id, times, v), equal vectors once with all their ids."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, times: np.ndarray):
+        order = np.lexsort((ids, *x.T[::-1]))
+        x, self.ids, self.times = x[order], ids[order], times[order]
+        new = np.append(True, (x[1:] != x[:-1]).any(axis=1))
+        self.heads = np.append(np.flatnonzero(new), len(x))
+        self.tree = VantagePointTree(x[new])
+
+    def nearest(self, q: np.ndarray, asked: np.ndarray, k: int, factor: float) -> pa.RecordBatch:
+        """(query_id, vec_id, score) of the k best for each query, its own row left out once."""
+        score, rows = self.tree.search(q, k + 1, factor)  # one more, as its own may be among them
         at, slot = np.nonzero(rows >= 0)
-        u = rows[at, slot]
-        score = (part[at] * unique[u]).sum(axis=1)  # row by row: equal vectors get equal scores
-        times = heads[u + 1] - heads[u]
-        each = np.repeat(np.arange(len(u)), times)
-        pos = np.repeat(heads[u] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        o_q, o_v, o_s = part_id[at][each], ids[pos], score[each]
-        keep = o_q != o_v
-        o_q, o_v, o_s = o_q[keep], o_v[keep], o_s[keep]
+        u, s = rows[at, slot], score[at, slot]
+        many = self.heads[u + 1] - self.heads[u]
+        each = np.repeat(np.arange(len(u)), many)
+        pos = np.repeat(self.heads[u] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        own = (self.ids[pos] == asked[at][each]) & (self.tree.x[u[each]] == q[at][each]).all(axis=1)
+        left = self.times[pos] - own
+        each, pos = np.repeat(each, left), np.repeat(pos, left)
+        o_q, o_v, o_s = at[each], self.ids[pos], s[each]
         order = np.lexsort((o_v, -o_s, o_q))
         o_q, o_v, o_s = o_q[order], o_v[order], o_s[order]
-        first = np.searchsorted(o_q, o_q)
-        top = np.arange(len(o_q)) - first < k
-        out.append((o_q[top], o_v[top], o_s[top]))
-    return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
+        top = np.arange(len(o_q)) - np.searchsorted(o_q, o_q) < k
+        return pa.RecordBatch.from_arrays([pa.array(asked[o_q[top]]), pa.array(o_v[top]), pa.array(o_s[top])], names=["query_id", "vec_id", "score"])
+
+
+def search_shards(batches: Iterator[pa.RecordBatch], k: int, factor: float) -> Iterator[pa.RecordBatch]:
+    """Over rows (dim, shard, asked, vec_id, times, v), sorted by the first three: the vectors of a shard come
+    before its queries, so its tree is built once and queries stream through it."""
+    now, parts, tree = None, [], None
+    for batch in batches:
+        dim, shard, asked = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "shard", "asked"))
+        cuts = np.flatnonzero((np.diff(dim) != 0) | (np.diff(shard) != 0) | (np.diff(asked.astype(int)) != 0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            if a == b:
+                continue
+            if now != (dim[a], shard[a]):
+                now, parts, tree = (dim[a], shard[a]), [], None
+            own = batch.slice(a, b - a)
+            x, ids = _matrix(own.column("v")), own.column("vec_id").to_numpy()
+            if not asked[a]:
+                parts.append((x, ids, own.column("times").to_numpy()))
+                continue
+            if tree is None and parts:
+                tree, parts = Shard(*(np.concatenate(c) for c in zip(*parts))), []
+            for c in range(0, len(x) if tree else 0, QUERY_BATCH):
+                yield tree.nearest(x[c : c + QUERY_BATCH], ids[c : c + QUERY_BATCH], k, factor)
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -142,27 +201,31 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = FACTOR, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k nearest of the other rows by inner product.
 
-    Vectors that are null, empty, zero or not finite, and rows without an id, take no part. Vectors of another
-    length than the query's aren't compared. Ties go to the smaller id. Of equal vectors the k + 1
-    smallest ids are kept before the search, more can't be among anyone's k nearest. Repeated rows
-    count once. Fewer candidates give fewer rows; an empty table gives none.
+    Vectors that are null, empty, zero or not finite, and rows without an id, take no part; any finite vector does,
+    whatever its size. Vectors of another length than the query's aren't compared. Ties go to the
+    smaller id. A row equal to the query's in id and vector is left out once; further repeats of it, and of
+    any other row, are candidates each, while a repeated query is answered once. Of equal vectors the k + 1
+    smallest ids are kept before the search, more can't be among anyone's k nearest. Fewer
+    candidates give fewer rows; an empty table gives none.
     """
-    own = usable(vectors, id_col, vector_col).withColumn("h", F.xxhash64(F.size("v"), "v"))
-    own = own.distinct().withColumn("n", F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))).where(F.col("n") <= k + 1).drop("n")
-    own = materialize(own)
+    own = usable(vectors, id_col, vector_col).groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(k + 1)).alias("times"))
+    own = own.withColumn("h", F.xxhash64(F.size("v"), "v"))
+    own = own.withColumn("n", F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))).where(F.col("n") <= k + 1).drop("n")
+    own = materialize(own.withColumn("dim", F.size("v")))
     asked = usable(queries, id_col, vector_col).dropDuplicates(["vec_id", "v"]).withColumn("dim", F.size("v"))
-    shards = max(1, math.ceil(own.count() / SHARD_ROWS))
-    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    own = own.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
-    own = own.select("vec_id", "v", "dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).select("vec_id", "v", "dim", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    key = ["dim", "shard", "block"]
+    total = own.agg(F.sum(F.col("dim").cast("double") * 8)).first()[0] or 0.0
+    shards = max(1, math.ceil(total / SHARD_BYTES))
+    own = own.select("dim", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asked"), "vec_id", "times", "v")
+    # a query is sent to each shard
+    asked = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asked"), "vec_id", F.lit(1).cast("bigint").alias("times"), "v")
     ship(vectors.sparkSession)
-    found = asked.groupBy(*key).cogroup(own.groupBy(*key)).applyInArrow(lambda q, x: search_shard(q, x, k, factor), "query_id bigint, vec_id bigint, score double")
+    dealt = own.union(asked).repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "asked")
+    found = dealt.mapInArrow(releasing(lambda batches: search_shards(batches, k, factor)), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, rank, vec_id, score): the 20 nearest of each vector whose id is divisible by 20."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
