@@ -7,16 +7,13 @@ the union, and two sketches estimate resemblance, containment and the number of
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import table
+from tracewright.llm.common import materialize, table
 
 K = 128
 WIDTH = 5
-ROWS_A_BIN = 2_000  # distinct documents that are ordered in one task
 
 
 def shingle_hashes(text: Column, width: int = WIDTH) -> Column:
@@ -74,31 +71,21 @@ def merged_sketches(df: DataFrame, group_cols: list[str], sketch_col: str, k: in
 def successors(rows: DataFrame) -> DataFrame:
     """For rows of (id, key, th, n, times), distinct by key and th: the (key, th) that follows in descending key order, the last one followed by the first.
 
-    The order is cut into bins of neighbouring keys by approximate quantiles; inside a bin a window finds
-    the successor, and the first row of the next bin that has rows follows the last of a bin. An id that is
-    several quantiles at once, and no id, fill as many bins by ranges of the text hash. Only the
-    first rows of the bins meet in one task. Keys are (id descending, null last, then text hash).
+    Range partitioning cuts the order (id descending, null last, then text hash) into bins, also inside a
+    frequent id or among null ones; a window finds the successor inside a bin, and the first row of the next
+    bin follows the last of a bin. Only the first rows of the bins meet in one task. The bins are written
+    before they are used, so that a lost task finds the same ones.
     """
-    n_bins = max(1, min(20_000, rows.count() // ROWS_A_BIN))
-    found = rows.select(F.percentile_approx("id", [i / n_bins for i in range(1, n_bins)] or [0.5], 10 * n_bins).alias("m"), F.count_if(F.col("id").isNull()).alias("nulls")).first()
-    times = Counter(found["m"] or [])
-    marks = sorted(times, reverse=True)
-    slices = lambda most: F.least(F.floor((F.col("th").cast("double") / F.lit(2.0**64) + 0.5) * most), most - 1)
-    # bin 0 has the largest ids; a null id comes last, and a mark is the first id of its bin
-    ids = F.col("id")
-    hot = [F.lit(x).cast("bigint") for m in marks if times[m] > 1 for x in (m, times[m] + 1)]
-    own_bins = F.coalesce(F.create_map(*hot)[ids], F.lit(1).cast("bigint")) if hot else F.lit(1).cast("bigint")
-    is_mark = F.array_contains(F.array(*[F.lit(m).cast("bigint") for m in marks]), ids) if marks else F.lit(False)
-    part = F.when(ids.isNull(), slices(F.lit(max(1, min(20_000, found["nulls"] // ROWS_A_BIN))))).when(is_mark, slices(own_bins)).otherwise(F.lit(1 << 20))
-    binned = rows.withColumn("bin", F.when(ids.isNull(), F.lit(len(marks) + 1)).otherwise(F.size(F.filter(F.array(*[F.lit(m).cast("bigint") for m in marks]), lambda m: m >= F.col("id"))) if marks else F.lit(0))).withColumn("part", part if hot or found["nulls"] else F.lit(0))
-    order = Window.partitionBy("bin", "part").orderBy(F.col("id").desc_nulls_last(), "th")
+    place = [F.col("id").desc_nulls_last(), F.col("th")]
+    binned = materialize(rows.repartitionByRange(*place).withColumn("bin", F.spark_partition_id()))
+    order = Window.partitionBy("bin").orderBy(*place)
     own = F.struct("key", "th")
     linked = binned.withColumn("next", F.lead(own).over(order)).withColumn("first", F.row_number().over(order) == 1)
-    heads = linked.where("first").select("bin", "part", own.alias("head"))
-    ring = Window.orderBy("bin", "part")  # a row for each bin
-    every = Window.orderBy("bin", "part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    follow = heads.select("bin", "part", F.coalesce(F.lead("head").over(ring), F.first("head").over(every)).alias("after"))
-    return linked.join(F.broadcast(follow), ["bin", "part"]).select("key", "th", "n", "times", F.coalesce("next", "after").alias("next"))
+    heads = linked.where("first").select("bin", own.alias("head"))
+    ring = Window.orderBy("bin")  # a row for each bin
+    every = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    follow = heads.select("bin", F.coalesce(F.lead("head").over(ring), F.first("head").over(every)).alias("after"))
+    return linked.join(F.broadcast(follow), "bin").select("key", "th", "n", "times", F.coalesce("next", "after").alias("next"))
 
 
 def distinct_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,6 +125,9 @@ def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, with their likeness; see ``with_next_text`` for null
+    texts and ids, ties and repeated rows. Beside the columns of the contract: distinct_shingles, kept_in_edited
+    (containment of the document in its edited text) and next_doc_id."""
     made = distinct_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
     made = made.select("id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.col("sketch").alias("a"), sketch(F.col("edited")).alias("b"), "next_id", "next_sketch", "repeats")
     made = made.select(
