@@ -14,14 +14,16 @@ from __future__ import annotations
 import json
 import math
 import random
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import materialize, table
+from tracewright.llm.common import free_names, materialize, others, quoted, table
 
-ROWS_IN_PARTITION = 500
-MOST_PARTITIONS = 4096  # bounds the matrix; beyond that partitions hold more rows
+LEAST_PARTITIONS = 256
+ROWS_IN_PARTITION = 50_000  # ordered in one task; the matrix has a row for each partition, 20,000 for a billion rows
+ROWS_IN_BIN = 500
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, drawn: int) -> int:
@@ -69,34 +71,38 @@ def shuffle_into_shards(df: DataFrame, key_cols: list[str], shards: int = 16, se
     """Append shard (int, 0 to shards - 1) and slot (long, gapless from 0 in each shard).
 
     Shard sizes are at most one apart. Rows are told apart by ``key_cols`` (nulls count as a value); rows
-    that agree in all of them are interchangeable. Columns named shard or slot are replaced, all others
-    pass through. With fewer rows than shards some shards stay empty; an empty table stays empty.
+    that agree in all of them are interchangeable. Columns named shard or slot, in any case, are replaced, all
+    others pass through whatever their names. With fewer rows than shards some shards stay empty; an empty table stays empty.
     """
-    base = df.select(*[df[c] for c in df.columns if c not in ("shard", "slot")])
-    marked = [F.struct(F.col(c).isNull(), F.col(c)) for c in key_cols]
-    keyed = base.withColumn("_u", F.xxhash64(F.lit(seed), *marked))
-    keyed = keyed.withColumn("_p", F.col("_u")).withColumn("_r", F.xxhash64(F.lit(seed + 1), "_u")).withColumn("_t", F.xxhash64(F.lit(seed + 2), "_u"))
+    base = df.select(*others(df, "shard", "slot"))
+    m, q, cut = free_names([*base.columns, "shard", "slot"], "m", "q", "cut")
+    key = F.xxhash64(F.lit(seed), *[x for c in key_cols for x in (F.col(quoted(c)).isNull(), F.col(quoted(c)))])
+    hashed = F.transform(F.array(key), lambda u: F.struct(u.alias("unit"), F.xxhash64(F.lit(seed + 1), u).alias("first"), F.xxhash64(F.lit(seed + 2), u).alias("second")))
+    keyed = base.withColumn(m, F.get(hashed, F.lit(0)))
     n = base.count()
-    parts = min(MOST_PARTITIONS, max(64, math.ceil(n / ROWS_IN_PARTITION)))
-    keyed = keyed.withColumn("_p", F.pmod(F.col("_u"), F.lit(parts)).cast("int"))
-    counted = {r["_p"]: r["n"] for r in keyed.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # MOST_PARTITIONS rows at most
+    parts = max(LEAST_PARTITIONS, math.ceil(n / ROWS_IN_PARTITION))
+    keyed = keyed.withColumn(q, F.pmod(F.col(f"{m}.unit"), F.lit(parts)).cast("int"))
+    counted = {r[q]: r["count"] for r in keyed.groupBy(q).count().collect()}  # a number for each partition
     total = sum(counted.values())
     sizes = [total // shards + (j < total % shards) for j in range(shards)]
     matrix = communication_matrix([counted.get(p, 0) for p in range(parts)], sizes, seed)
-    cuts = json.dumps([[sum(line[: j + 1]) for j in range(shards)] for line in matrix])
-    dealt = df.sparkSession.range(1).select(F.posexplode(F.from_json(F.lit(cuts), "array<array<bigint>>")).alias("_q", "_cuts"))
-    ranked = keyed.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy("_r", "_u")))
-    ranked = ranked.join(F.broadcast(dealt), F.col("_p") == F.col("_q"))
-    sent = ranked.withColumn("shard", F.size(F.filter("_cuts", lambda c: c < F.col("_k"))).cast("int"))
-    bins = max(1, math.ceil(total / shards / ROWS_IN_PARTITION))
-    sent = materialize(sent.withColumn("_b", F.pmod(F.col("_t"), F.lit(bins))).drop("_p", "_q", "_cuts", "_k", "_r"))
-    upto = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sent.groupBy("shard", "_b").agg(F.count("*").alias("_n")).select("shard", "_b", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_o"))
-    slot = F.row_number().over(Window.partitionBy("shard", "_b").orderBy("_t", "_u")).cast("long") - 1
-    return sent.withColumn("slot", slot).join(offsets, ["shard", "_b"]).select(*base.columns, "shard", (F.col("slot") + F.col("_o")).alias("slot"))
+    cuts = json.dumps([list(accumulate(line)) for line in matrix])
+    dealt = df.sparkSession.range(1).select(F.posexplode(F.from_json(F.lit(cuts), "array<array<bigint>>")).alias(q, cut))
+    place = F.row_number().over(Window.partitionBy(q).orderBy(f"{m}.first", f"{m}.unit"))
+    ranked = keyed.withColumn(m, F.struct(f"{m}.unit", f"{m}.second", place.alias("place"))).join(F.broadcast(dealt), q)
+    bins = max(1, math.ceil(total / shards / ROWS_IN_BIN))
+    sent = ranked.withColumn("shard", F.size(F.filter(cut, lambda c: c < F.col(f"{m}.place"))).cast("int"))
+    sent = materialize(sent.withColumn(q, F.pmod(F.col(f"{m}.second"), F.lit(bins))).drop(cut))
+    upto = Window.partitionBy("shard").orderBy(q).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sent.groupBy("shard", q).agg(F.count("*").alias(cut)).select("shard", q, F.coalesce(F.sum(cut).over(upto), F.lit(0)).alias(cut))
+    slot = F.row_number().over(Window.partitionBy("shard", q).orderBy(f"{m}.second", f"{m}.unit")).cast("long") - 1
+    kept = [F.col(quoted(c)) for c in base.columns]
+    return sent.withColumn("slot", slot).join(offsets, ["shard", q]).select(*kept, "shard", (F.col("slot") + F.col(cut)).alias("slot"))
 
 
 def op6_shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every document, dealt by ``shuffle_into_shards``
+    under the law ``rows``; a null text has size 1 and the crc of no byte."""
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     dealt = shuffle_into_shards(materialize(docs), ["doc_id", "size", "text_crc32"])
