@@ -5,7 +5,7 @@ equal sets are one node. Signatures of b bands with r rows are compared by shuff
 and r are the steepest choice whose recall at the threshold reaches the target. Nodes that share a bucket
 are tied in a star, never pair by pair, and the components of these ties are the blocks in which pairs are
 verified on their full n-gram sets, as products of incidence matrices inside one task; a component of
-much text is cut, and each pair of its parts is a task of its own. Only counts of links and one tie per
+much text or many nodes is cut, and each pair of its parts is a block of its own. Only counts of links and one tie per
 node leave a task, so a group of thousands of near copies makes thousands of rows, not millions.
 """
 
@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import byte_slices, materialize, ship, table
+from tracewright.llm.common import byte_slices, free_names, materialize, quoted, releasing, ship, table
 
 WIDTH = 5
 THRESHOLD = 0.8
 RECALL = 0.9999  # of pairs at the threshold; pairs above it are met more surely
-HASHES = 192
-BLOCK_SHINGLES = 2_000_000  # shingles of the nodes in one part of a cut component
+HASHES = 420  # 51 bands of 8 rows: of pairs at a similarity of 0.3 one in 300 is tied
+BLOCK_SHINGLES = 500_000  # bounds of one part of a component, in shingles and in nodes
+BLOCK_NODES = 512
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
@@ -38,6 +39,8 @@ _SPACE[[32, *range(9, 14)]] = True
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
     """(bands, rows): the most rows a band for which the bands that the recall asks for fit the hashes."""
+    if not 0 < hashes <= len(_MULTIPLIERS):
+        raise ValueError(f"hashes must be from 1 to {len(_MULTIPLIERS)}")
     best = (hashes, 1)
     for r in range(1, hashes + 1):
         p = threshold**r
@@ -60,7 +63,17 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 _INVERSE = pow(int(_BASE), -1, 2**64)
-_CACHE: dict[str, np.ndarray] = {"up": _powers(1, int(_BASE)), "down": _powers(1, _INVERSE)}
+POWERS_KEPT = 1 << 21  # bytes of text for which a worker keeps the powers: two tables of 16 MB
+_KEPT: list[np.ndarray] = []
+
+
+def _both_powers(n: int) -> list[np.ndarray]:
+    """Ascending powers of the base and of its inverse, n or more; kept for texts of usual size."""
+    if n > POWERS_KEPT:
+        return [_powers(n, int(_BASE)), _powers(n, _INVERSE)]
+    if not _KEPT:
+        _KEPT.extend([_powers(POWERS_KEPT, int(_BASE)), _powers(POWERS_KEPT, _INVERSE)])
+    return _KEPT
 
 
 def shingle_sets(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -69,12 +82,11 @@ def shingle_sets(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.n
     data = [t.encode() for t in texts]
     x = np.frombuffer(b" ".join(data) + b" ", dtype=np.uint8)
     space = _SPACE[x]
-    if len(_CACHE["up"]) < len(x) + 1:
-        _CACHE["up"], _CACHE["down"] = _powers(len(x) + 1, int(_BASE)), _powers(len(x) + 1, _INVERSE)
+    up, down = _both_powers(len(x) + 1)
     begin = np.flatnonzero(~space & np.append(True, space[:-1]))
     end = np.flatnonzero(space & np.append(False, ~space[:-1]))
-    sums = np.append(np.uint64(0), np.cumsum(_BYTE[x] * _CACHE["up"][: len(x)], dtype=np.uint64))
-    words = _mix((sums[end] - sums[begin]) * _CACHE["down"][begin] + (end - begin).astype(np.uint64))
+    sums = np.append(np.uint64(0), np.cumsum(_BYTE[x] * up[: len(x)], dtype=np.uint64))
+    words = _mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
     starts = np.cumsum([0] + [len(d) + 1 for d in data])
     owner = np.searchsorted(starts, begin, side="right") - 1
     count = np.bincount(owner, minlength=len(texts))
@@ -130,7 +142,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("th"), pa.array(keys, type=pa.int64()), pa.array(n, type=pa.int64()), pa.array(made, type=pa.list_(pa.int64()))], names=["doc", "th", "node", "n", "bands"])
 
     ship(docs.sparkSession)
-    return docs.select("doc", "th", "text").mapInArrow(run, "doc bigint, th bigint, node bigint, n bigint, bands array<bigint>")
+    return docs.select("doc", "th", "text").mapInArrow(releasing(run), "doc bigint, th bigint, node bigint, n bigint, bands array<bigint>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -246,24 +258,24 @@ def _spanning(hit: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
-    """(doc_id, class_id, n_links, n_class, class_key, th) of every row.
+    """(doc_id, class_id, n_links, n_class, first, th) of every row.
 
     class_id is the smallest id of the documents that links connect with it, n_links the number of other
     rows whose Jaccard similarity is at least the threshold, copies of its own text included, n_class the
-    rows of the class, th a hash of the text. Null text counts as empty; texts without a word have no shingle and are copies
+    rows of the class, first whether it is the one of the class with the smallest id (null last), then text hash; th a hash of the text. Null text counts as empty; texts without a word have no shingle and are copies
     of one another only. Null ids form classes like others (null class_id only if all ids of a class are null). Repeated rows are
     copies. Other columns are left out; join on the id and th to get them.
     """
     bands, rows = banding(threshold, recall, hashes)
     base = docs.select(docs[id_col].cast("bigint").alias("doc"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     sig = materialize(signatures(base, bands, rows, width))
-    nodes = sig.groupBy("node").agg(F.count("*").alias("members"), F.min("doc").alias("least"), F.min(F.struct("doc", "th")).alias("pick"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = sig.groupBy("node").agg(F.count("*").alias("members"), F.min(F.struct(F.col("doc").isNull(), "doc", "th")).alias("pick"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = materialize(nodes)
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("bucket"))
     anchors = buckets.groupBy("bucket").agg(F.min("node").alias("anchor"), F.count("*").alias("k")).where("k > 1").select("bucket", "anchor")
     ties = buckets.join(anchors, "bucket").where("node <> anchor").select(F.col("node").alias("a"), F.col("anchor").alias("b"))
     comps = materialize(components(ties))
-    sized = comps.join(nodes.select("node", "n"), "node").groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
+    sized = comps.join(nodes.select("node", "n"), "node").groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_NODES)).cast("int").alias("parts"))
     parts = comps.join(sized, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     chosen = parts.join(nodes.select("node", "members", "pick"), "node").select("node", "root", "parts", "part", "members", F.coalesce("pick.doc", F.lit(0)).alias("key"), F.col("pick.doc").isNull().alias("no_key"), F.col("pick.th").alias("th"))
     texts = base.select(F.coalesce("doc", F.lit(0)).alias("key"), F.col("doc").isNull().alias("no_key"), "th", "text")
@@ -278,11 +290,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     else:
         classes = found.where("node <> low").select("node", F.col("low").alias("root"))
         classes = classes.union(classes.select(F.col("root").alias("node"), "root").distinct())
-    own = nodes.select("node", "members", "least").join(links, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = nodes.select("node", "members", "pick").join(links, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     own = materialize(own)
-    heads = own.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("members").alias("n_class"))
-    own = own.join(heads, "root").select("node", F.col("root").alias("class_key"), "class_id", "n_class", (F.col("members") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"))
-    return sig.select("doc", "th", "node").join(own, "node").select(F.col("doc").alias("doc_id"), "class_id", "n_links", "n_class", "class_key", "th")
+    # written before they are joined, so that Spark can split the rows of a large class
+    heads = materialize(own.groupBy("root").agg(F.min("pick").alias("first"), F.sum("members").alias("n_class")))
+    own = materialize(own.join(heads, "root").select("node", "first", "n_class", (F.col("members") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links")))
+    is_first = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("th") == F.col("first.th"))
+    return sig.select("doc", "th", "node").join(own, "node").select(F.col("doc").alias("doc_id"), F.col("first.doc").alias("class_id"), "n_links", "n_class", is_first.alias("first"), "th")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -290,16 +304,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     the smallest id, then text hash. Of repeated rows one stays. Documents in no group stay as they are; columns and their
     order stay.
     """
-    found = similar_documents(docs, id_col, text_col, **options).where("n_class > 1").select("doc_id", "th", "class_key")
-    first = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("th").alias("text"))).alias("first"))
-    gone = found.join(first, "class_key").where("not (doc_id <=> first.id and th = first.text)").select("doc_id", "th").distinct()
-    rows = docs.withColumn("_th", F.xxhash64(F.coalesce(docs[text_col], F.lit("")))).withColumn("_key", docs[id_col].cast("bigint"))
-    left = rows.join(gone, rows["_key"].eqNullSafe(gone["doc_id"]) & (rows["_th"] == gone["th"]), "left_anti")
-    number = F.row_number().over(Window.partitionBy("_key", "_th").orderBy("_th"))
-    return left.withColumn("_no", number).where("_no = 1").select(*docs.columns)
+    gone = similar_documents(docs, id_col, text_col, **options).where("not first").select("doc_id", "th").distinct()
+    own, no = free_names(docs.columns, "own", "no")
+    rows = docs.withColumn(own, F.struct(docs[id_col].cast("bigint").alias("id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("th")))
+    gone = gone.select(F.struct(F.col("doc_id").alias("id"), "th").alias(no))
+    left = rows.join(gone, F.col(f"{own}.id").eqNullSafe(F.col(f"{no}.id")) & (F.col(f"{own}.th") == F.col(f"{no}.th")), "left_anti")
+    number = F.row_number().over(Window.partitionBy(f"{own}.id", f"{own}.th").orderBy(f"{own}.th"))
+    return left.withColumn(no, number).where(F.col(no) == 1).select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, class_id, n_links, n_class) of every document; see ``similar_documents``."""
     return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_class")
 
 
