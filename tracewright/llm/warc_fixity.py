@@ -40,34 +40,42 @@ def _number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def records(pages: DataFrame, files: int) -> DataFrame:
-    """(file, no, offset, length, page_id, digest) of the records of all pages, written to ``files`` files by
-    a hash of the id; inside a file by id (null first), then url, then bytes, from offset 0. Repeated rows
-    are records of their own."""
-    made = record_bytes(F.col("page_id"), F.col("url"), F.col("html"))
-    rows = pages.select("page_id", "url", made.alias("record"))
-    # ids spread evenly over the files; rows of one id, and of none, are told apart by what they hold
-    rows = rows.select("page_id", "url", F.pmod(_number(F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit(""))), F.lit(files)).cast("int").alias("file"), F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
-    order = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), F.col("url").asc_nulls_first(), "digest")
+def replicas(pages: DataFrame, payloads: list[Column], files: int) -> list[DataFrame]:
+    """For each payload a replica, (file, no, offset, length, page_id, digest) of the records of all pages.
+
+    The first payload is the archive's: pages are dealt to ``files`` files by a hash of id, url and its
+    record, and stand in a file by id (null first), then url, then the hash of its record, from offset 0; the other
+    replicas keep this order. Repeated rows are records of their own; null ids, urls and payloads count as empty.
+    """
+    made = [record_bytes(F.col("page_id"), F.col("url"), p) for p in payloads]
+    hashed = [F.struct(F.octet_length(m).cast("long").alias("length"), F.sha2(m, 256).alias("digest")) for m in made]
+    rows = pages.select("page_id", "url", *[h.alias(f"r{k}") for k, h in enumerate(hashed)])
+    text = F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), "r0.digest")
+    order = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), F.col("url").asc_nulls_first(), "r0.digest")
     upto = order.rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("file", (F.row_number().over(order) - 1).cast("long").alias("no"), F.coalesce(F.sum("length").over(upto), F.lit(0)).alias("offset"), "length", "page_id", "digest")
+    rows = rows.withColumn("file", F.pmod(_number(text), F.lit(files)).cast("int")).withColumn("no", (F.row_number().over(order) - 1).cast("long"))
+    rows = materialize(rows.withColumns({f"o{k}": F.coalesce(F.sum(f"r{k}.length").over(upto), F.lit(0)) for k in range(len(payloads))}))
+    return [rows.select("file", "no", F.col(f"o{k}").alias("offset"), f"r{k}.length", "page_id", f"r{k}.digest") for k in range(len(payloads))]
 
 
-def tree(leaves: DataFrame, height: int, fanout: int = FANOUT) -> DataFrame:
-    """(file, level, no, span, digest) of all nodes from (file, no, offset, length, digest) leaves at level 0 up
+def records(pages: DataFrame, files: int) -> DataFrame:
+    """The records of one replica, see ``replicas``."""
+    return replicas(pages, [F.col("html")], files)[0]
+
+
+def tree(leaves: DataFrame, height: int, fanout: int = FANOUT) -> list[DataFrame]:
+    """(file, no, span, digest) of the nodes of each level, from (file, no, offset, length, digest) leaves at level 0 up
     to ``height``. A leaf's hash is that of gap, length and the record's digest, where the gap is what lies
     between the end of the record before it (the file's start) and its offset; a node's is that of its span, the gaps and
-    lengths below it, and of its children's hex hashes in order."""
+    lengths below it, and of its children's hex hashes in order. Each level is written by itself."""
     bound = lambda *c: F.sha2(F.concat_ws("|", *c), 256).alias("digest")
     end = F.lag(F.col("offset") + F.col("length")).over(Window.partitionBy("file").orderBy("no"))
     placed = leaves.withColumn("gap", F.col("offset") - F.coalesce(end, F.lit(0)))
-    level = placed.select("file", F.lit(0).alias("level"), "no", (F.col("gap") + F.col("length")).alias("span"), bound("gap", "length", "digest"))
-    out = level
-    for k in range(1, height + 1):
-        level = level.groupBy("file", F.floor(F.col("no") / fanout).alias("no")).agg(F.sum("span").alias("span"), F.array_sort(F.collect_list(F.struct("no", "digest"))).alias("c"))
-        level = level.select("file", F.lit(k).alias("level"), "no", "span", bound("span", F.array_join("c.digest", "")))
-        out = out.unionByName(level)
-    return out
+    levels = [materialize(placed.select("file", "no", (F.col("gap") + F.col("length")).alias("span"), bound("gap", "length", "digest")))]
+    for _ in range(height):
+        up = levels[-1].groupBy("file", F.floor(F.col("no") / fanout).alias("no")).agg(F.sum("span").alias("span"), F.array_sort(F.collect_list(F.struct("no", "digest"))).alias("c"))
+        levels.append(materialize(up.select("file", "no", "span", bound("span", F.array_join("c.digest", "")))))
+    return levels
 
 
 def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFrame:
@@ -79,17 +87,16 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFrame:
     that one replica lacks has all its records at fault. Equal replicas, and empty ones, give no row.
     """
     most = max((r[0] or 0) for r in left.agg(F.max("no")).union(right.agg(F.max("no"))).collect())
-    height = max(1, math.ceil(math.log(most + 1, fanout))) if most else 1
+    height = 1
     while fanout**height < most + 1:
         height += 1
-    a, b = materialize(tree(left, height, fanout)), materialize(tree(right, height, fanout))
     suspects = None
-    for k in range(height, -1, -1):
-        x, y = (t.where(F.col("level") == k).select("file", "no", F.col("digest").alias(n)) for t, n in ((a, "l"), (b, "r")))
+    for x, y in zip(*(reversed(tree(t, height, fanout)) for t in (left, right))):  # roots first
+        x, y = x.select("file", "no", F.col("digest").alias("l")), y.select("file", "no", F.col("digest").alias("r"))
         if suspects is not None:  # only the children of nodes that differ
-            parent = F.floor(F.col("no") / fanout)
-            x, y = (t.withColumn("up", parent).join(suspects.select("file", F.col("no").alias("up")), ["file", "up"], "left_semi").drop("up") for t in (x, y))
-        suspects = x.join(y, ["file", "no"], "full_outer").where("not (l <=> r)")
+            up = suspects.select("file", F.col("no").alias("up"))
+            x, y = (t.withColumn("up", F.floor(F.col("no") / fanout)).join(up, ["file", "up"], "left_semi").drop("up") for t in (x, y))
+        suspects = materialize(x.join(y, ["file", "no"], "full_outer").where("not (l <=> r)"))
     at = left.select("file", "no", "offset", "length", "page_id", "digest")
     other = right.select("file", "no", F.col("offset").alias("o"), F.col("length").alias("n"), F.col("page_id").alias("p"), F.col("digest").alias("replica_digest"))
     full = suspects.join(at, ["file", "no"], "left").join(other, ["file", "no"], "left")
@@ -99,44 +106,43 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFrame:
     return full.select("file", "no", F.when(gone, F.col("o")).otherwise(F.col("offset")).alias("offset"), F.when(gone, F.col("n")).otherwise(F.col("length")).alias("length"), F.when(gone, F.col("p")).otherwise(F.col("page_id")).alias("page_id"), "digest", "replica_digest", fault.alias("fault"))
 
 
-def damaged(pages: DataFrame) -> DataFrame:
-    """A replica with planted damage: of every 50th page by a hash of its id one character of the payload is
-    another one (an empty payload gets one)."""
+def damaged_payload() -> Column:
+    """The payload with planted damage: on every 50th page by a hash of its id one character is another one (an
+    empty payload gets one)."""
     hit = _number(F.coalesce(F.col("page_id").cast("string"), F.lit(""))) % 50 == 7
     half = F.expr("cast(length(html) div 2 as int)")
     flipped = F.concat(F.substring("html", 1, half), F.lit("~"), F.expr("substring(html, cast(length(html) div 2 as int) + 2)"))
-    return pages.withColumn("html", F.when(hit, F.coalesce(flipped, F.lit("~"))).otherwise(F.col("html")))
+    return F.when(hit, F.coalesce(flipped, F.lit("~"))).otherwise(F.col("html"))
 
 
 def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All records of ``pages`` in one replica against a replica with damage planted in every 50th."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     files = max(1, math.ceil(pages.count() / RECORDS_A_FILE))
-    left, right = materialize(records(pages, files)), materialize(records(damaged(pages), files))
-    return audit(left, right)
-
+    return audit(*replicas(pages, [F.col("html"), damaged_payload()], files))
 
 
 ORACLE = r"""
 WITH p AS (
   SELECT page_id, url, html, ('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 8))::BIGINT AS hd,
-    ('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), url, '')), 1, 8))::BIGINT AS hf,
     greatest(1, CAST(ceil((SELECT count(*) FROM pages) / 512.0) AS BIGINT)) AS files FROM pages
 ), b AS (
   SELECT *, CASE WHEN hd % 50 = 7 THEN coalesce(substr(html, 1, length(html) // 2) || '~' || substr(html, length(html) // 2 + 2), '~') ELSE html END AS html2 FROM p
 ), r AS (
-  SELECT page_id, url, CAST(hf % files AS INTEGER) AS file,
+  SELECT page_id, url, files,
     'WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:' AS h0, coalesce(html, '') AS x, coalesce(html2, '') AS y FROM b
 ), t AS (
-  SELECT page_id, url, file,
+  SELECT page_id, url, files,
     replace(h0, '\r\n', chr(13) || chr(10)) || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
       || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head, x, y, chr(13) || chr(10) || chr(13) || chr(10) AS e FROM r
 ), d AS (
-  SELECT page_id, url, file, head || strlen(x) || e || x || e AS rx, head || strlen(y) || e || y || e AS ry FROM t
+  SELECT page_id, url, files, head || strlen(x) || e || x || e AS rx, head || strlen(y) || e || y || e AS ry FROM t
+), f AS (
+  SELECT *, CAST(('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '') || '|' || sha256(rx)), 1, 8))::BIGINT % files AS INTEGER) AS file FROM d
 ), o AS (
   SELECT file, row_number() OVER w - 1 AS no, CAST(coalesce(sum(strlen(rx)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
     CAST(strlen(rx) AS BIGINT) AS length, page_id, sha256(rx) AS digest, sha256(ry) AS replica_digest
-  FROM d WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS FIRST, url NULLS FIRST, sha256(rx))
+  FROM f WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS FIRST, url NULLS FIRST, sha256(rx))
 )
 SELECT *, 'changed' AS fault FROM o WHERE digest <> replica_digest
 """
