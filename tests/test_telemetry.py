@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import logs, names, rules
-from tracewright.operators import grouping, metrics, outcome, traces
+from tracewright.operators import agents, diagnosis, grouping, metrics, outcome, system, traces
 from tracewright.sources import scenario, sinks
 
 
@@ -79,18 +79,84 @@ def test_scenario_folder(spark, tmp_path):
     (root / "a" / "metrics" / "kpi_1.csv").write_text("timestamp,cmdb_id,kpi_name,value\n1,n.web-9f655fc76-cvsfn,cpu,2\n2,n.web-9f655fc76-cvsfn,cpu,NaN\n")
     (root / "b" / "metrics" / "kpi_2.csv").write_text('value,metric,pod\n7,mem,"db"\n,mem,db\n')
     (root / "a" / "direct_k8s_outputs" / "pod_logs" / "web-9f655fc76-cvsfn.log").write_text("one\n\ntwo failed\n")
-    (root / "a" / "direct_k8s_outputs" / "pods.json").write_text(json.dumps({"items": [{"metadata": {"name": "web-1", "labels": {"app": "web"}}, "status": {"phase": "Running", "conditions": [{"type": "Ready", "status": "True"}], "containerStatuses": [{"restartCount": 2, "state": {"waiting": {"reason": "CrashLoopBackOff"}}}]}}]}))
+    (root / "a" / "direct_k8s_outputs" / "pods.json").write_text(json.dumps({"items": [{"metadata": {"name": "web-1", "labels": {"app": "web"}}, "status": {"phase": "Running", "conditions": [{"type": "Ready", "status": "True"}], "containerStatuses": [{"restartCount": 2, "state": {"running": {"startedAt": "t"}}}, {"restartCount": 1, "state": {"waiting": {"reason": "CrashLoopBackOff"}}}]}}, {"metadata": {"name": "web-2", "labels": {"app": "web"}}, "status": {"phase": "Failed", "conditions": [{"type": "Ready", "status": "True"}, {"type": "ContainersReady", "status": "True"}]}}]}))
     (root / "b" / "direct_k8s_outputs" / "pods.json").write_text("not json")
     got = {(r["scenario_id"], r["service"], r["kpi_name"], r["value"]) for r in scenario.metric_samples(spark, str(root)).collect()}
     assert got == {("a", "web", "cpu", 2.0), ("a", "web", "cpu", 0.0), ("b", "db", "mem", 7.0)}
     assert [(r["service"], r["line"]) for r in scenario.log_lines(spark, str(root)).orderBy("line_no").collect()] == [("web", "one"), ("web", ""), ("web", "two failed")]
     pod = scenario.pods(spark, str(root)).collect()
-    assert [(p["scenario_id"], p["service"], p["ready"], p["restarts"], p["waiting_reason"]) for p in pod] == [("a", "web", False, 2, "CrashLoopBackOff")]
+    assert sorted((p["scenario_id"], p["service"], p["pod"], p["ready"], p["restarts"], p["waiting_reasons"]) for p in pod) == [("a", "web", "web-1", False, 3, ["CrashLoopBackOff"]), ("a", "web", "web-2", False, 0, [])]
+    rolled = system.pod_rollup(scenario.pods(spark, str(root))).first()
+    assert (rolled["pods_ready"], rolled["failed"], rolled["crashloop"], rolled["waiting"], rolled["status"]) == (0, 1, 1, 1, "crashloop")
     assert [r[0] for r in scenario.finished(spark, str(root)).collect()] == ["a"]
     sinks.write_documents(spark.createDataFrame([("a/b c", 1)], "scenario_id string, n int"), str(tmp_path / "out"))
     assert (tmp_path / "out" / "scenario_id=a_b_c").is_dir()
 
 
+def test_readers_take_all_files_of_a_kind(spark, tmp_path):
+    """The scenario is the folder behind the root, also where a folder above bears the root's name; files are known by
+    name or header, quoted fields hold commas, quotes and line ends."""
+    root = tmp_path / "runs" / "a b" / "runs"
+    logs_dir = root / "one" / "builtin_api_outputs" / "logs"
+    for folder in (logs_dir, root / "one" / "out", root / "two" / "out", root / "two" / "topology"):
+        folder.mkdir(parents=True)
+    (logs_dir / "step_3_get_logs.txt").write_text("[pod/web-1/web-front] one\ntwo\n")
+    (root / "one" / "out" / "numbers.csv").write_text('note,Metric,val,pod\n"say ""hi"",\nnow",cpu,4,x.web\n')
+    (root / "two" / "out" / "calls.csv").write_text("span_id,trace_id,service,duration,status\n1,t,web,5,500\n")
+    (root / "two" / "out" / "other.csv").write_text("a,b\n1,2\n")
+    (root / "two" / "rows.jsonl").write_text('{"a": 1}\nnot json\n{"a": 2}\n')
+    (root / "two" / "ground_truth.json").write_text('{"service": "web"}')
+    (root / "two" / "topology" / "topology.json").write_text('{"services": ["web", {"name": "db"}], "nodes": [{"id": "cache"}]}')
+    (root / "two" / "run_result.json").write_text('{"history": [{"content": "get_logs(web)"}]}')
+    got = scenario.metric_samples(spark, str(root)).collect()
+    assert [(r["scenario_id"], r["service"], r["kpi_name"], r["value"]) for r in got] == [("one", "web", "cpu", 4.0)]
+    assert [(r["scenario_id"], r["service"], r["is_error"]) for r in scenario.spans(spark, str(root)).collect()] == [("two", "web", True)]
+    assert [(r["scenario_id"], r["service"], r["line"]) for r in scenario.log_lines(spark, str(root)).orderBy("line_no").collect()] == [("one", "web-front", "[pod/web-1/web-front] one"), ("one", "web-front", "two")]
+    assert [r["row"] for r in scenario.json_lines(spark, str(root)).collect()] == ['{"a": 1}', '{"a": 2}']
+    assert [tuple(r) for r in scenario.documents(spark, str(root)).collect()] == [("two", "ground_truth", '{"service": "web"}')]
+    assert sorted(r["service"] for r in scenario.topology_services(spark, str(root)).collect()) == ["cache", "db", "web"]
+    assert [(r["scenario_id"], r["api"]) for r in scenario.actions(spark, str(root)).collect()] == [("two", "get_logs")]
+
+
+def test_severities_by_alias(spark):
+    rows = ["[t] <E>: (a.h:1:f) x", "[t] <W>: (a.h:1:f) x", '{"level":"WARNING","msg":"x"}', "2026/05/01 00:00:01 [crit] timeout", "2026/05/01 00:00:01 [notice] fine"]
+    found = spark.createDataFrame([(r,) for r in rows], "x string").select(logs.parse_line(F.col("x")).alias("p")).select(logs.bucket(F.col("p.severity"), logs.error_type(F.col("p.message"))))
+    assert [r[0] for r in found.collect()] == ["error", "warn", "warn", "error", "info"]
+
+
+def test_rewards_of_pods_that_are_gone(spark):
+    rows = [("gone", "a", True, True, None), ("gone", "b", False, True, True), ("null", "a", None, True, True), ("null", "b", None, True, False), ("part", "a", True, False, True), ("part", "b", True, True, False), ("all", "a", True, False, True), ("none", "a", False, True, None)]
+    found = {r["scenario_id"]: r["reward"] for r in outcome.rewards(spark.createDataFrame(rows, "scenario_id string, pod string, relevant boolean, pre boolean, post boolean")).collect()}
+    assert found == {"gone": 0.0, "null": 0.5, "part": 0.55, "all": 1.0, "none": 0.0}
+
+
+def test_variants_and_defaults_in_the_library(spark):
+    empty = spark.createDataFrame([], "scenario_id string, src string, dst string, error_ratio double, latency_p95_us double")
+    state = spark.createDataFrame([("s", "a", "healthy", 0.0)], "scenario_id string, service string, status string, anomaly double")
+    faults = spark.createDataFrame([("s", "a", "revoke_auth", '{"variant": "wide"}')], "scenario_id string, service string, fault_family string, variant string")
+    made = {(r["service"], r["fault_type"]) for r in diagnosis.fault_library(diagnosis.fault_signature(empty, state, faults)).collect()}
+    assert made == {("a", "auth_failure"), ("a", "variant_specific"), (None, "dependency_failure"), (None, "latency_degradation"), (None, "config_error"), (None, "infra_failure"), (None, "ghost_failure")}
+
+
+def test_replies_fall_back(spark):
+    rows = [("a", 'x {"root_cause_service": "web", "fault_type": "config_error", "confidence": 3} y', None, None, None), ("b", "none", None, "known", "network_delay"), ("c", None, "hint", "known", None)]
+    made = agents.validated(spark.createDataFrame(rows, "scenario_id string, reply string, hint string, faulty_service string, fault_family string")).orderBy("scenario_id").collect()
+    assert [(r["root_cause_service"], r["fault_type"], r["confidence"]) for r in made] == [("web", "config_error", 1.0), ("known", "latency_degradation", 0.5), ("hint", "dependency_failure", 0.5)]
+
+
+def test_running_figures(spark, tmp_path):
+    from tracewright.streaming import windows
+
+    rows = [(f"2026-05-01 00:{m:02d}:00", "web", "cpu", float(m)) for m in (0, 1, 2, 7, 30)]
+    spark.createDataFrame(rows, "ts string, service string, kpi_name string, value double").selectExpr("cast(ts as timestamp) as ts", "service", "kpi_name", "value").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, service string, kpi_name string, value double").parquet(str(tmp_path / "in"))
+    for name, made in (("kpis", windows.windowed_kpis(stream)), ("sessions", windows.activity(stream))):
+        query = made.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        query.awaitTermination(60)
+    assert sorted((r["n"], r["mean_value"]) for r in spark.table("kpis").collect()) == [(1, 7.0), (3, 1.0)]
+    assert [r["n"] for r in spark.table("sessions").collect()] == [4]
+
+
 def test_breakdown_and_buffer(spark):
     rows = [("s", "a", True, None, True), ("s", "b", True, True, False), ("s", "c", False, True, True), ("s", "d", True, True, None)]
     r = outcome.breakdown(spark.createDataFrame(rows, "scenario_id string, pod string, relevant boolean, pre boolean, post boolean")).first()

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.binding import once
 
-# fixed values: severities, noise, error types in order of precedence, their weights, target patterns
+# fixed values: severities and their buckets, noise, error types in order of precedence, their weights, target
+# patterns, phrases of a start
 SEVERITIES = {"I": "info", "W": "warn", "E": "error", "F": "fatal", "D": "debug", "info": "info", "warn": "warn", "warning": "warn", "error": "error", "err": "error", "fatal": "fatal", "debug": "debug"}
 NOISE = ["please take the next action", "cloning into", "updating files:", "receiving objects:", "resolving deltas:", "checking out files:", "remote: enumerating objects", "remote: counting objects", "remote: compressing objects"]
 ERROR_TYPES = {
@@ -38,6 +39,9 @@ TARGETS = [
     r"(?i)connect(?:ion)? .*? ([a-zA-Z0-9][a-zA-Z0-9\-\.]*):(\d+)",
     r"(?i)\b([a-zA-Z0-9][a-zA-Z0-9\-]*(?:mongodb|mongo|redis|memcached|postgres|mysql|db|cache)):(\d+)\b",
 ]
+SEVERITY_BUCKETS = {"error": ["error", "err", "e"], "fatal": ["fatal", "f"], "warn": ["warn", "warning", "w"], "debug": ["debug"]}
+STARTING = ["starting", "server initialized", "mongodb starting", "redis is starting"]
+READY = ["ready to accept connections", "waiting for connections", "server started", 'health-status":"ready']
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
@@ -92,7 +96,12 @@ def parse_line(line: Column) -> Column:
 
 
 def bucket(severity: Column, kind: Column) -> Column:
-    return F.when(severity.isin("error", "fatal", "warn", "debug"), severity).when(kind != "none", "error").otherwise("info")
+    """error, fatal, warn or debug by the severity's aliases; of other severities an error if the message tells so,
+    else info."""
+    out = None
+    for name, aliases in SEVERITY_BUCKETS.items():
+        out = F.when(severity.isin(aliases), name) if out is None else out.when(severity.isin(aliases), name)
+    return out.when(kind != "none", "error").otherwise("info")
 
 
 def dependency_targets(message: Column) -> Column:

@@ -54,3 +54,15 @@ def client_of_store(target: Column) -> Column:
 def file_service(path: Column) -> Column:
     name = F.regexp_extract(path, r"([^/]*)$", 1)
     return F.when(name.startswith("step_") & name.contains("get_logs"), F.lit("unknown")).otherwise(log_service(name))
+
+
+def service_of_output(content: Column, path: Column) -> Column:
+    """The service whose lines the output of a log query holds: by a pod prefix, a C++ source file, a host or
+    application in a JSON line, a quoted host and port, in this order; else by the file's name."""
+    lines = F.split(content, r"\r?\n")
+    prefix = F.regexp_extract(content, r"(?m)^\[pod/[^/\]]+/([^/\]]+)\]", 1)
+    source = F.regexp_extract(content, r"\(([A-Za-z0-9_./-]+):\d+:[^)]+\)", 1)
+    told = F.filter(F.transform(lines, lambda l: F.when(F.trim(l).startswith("{"), F.coalesce(F.nullif(F.get_json_object(l, "$.attr.host"), F.lit("")), F.nullif(F.get_json_object(l, "$.attr.doc.application.name"), F.lit(""))))), lambda h: h.isNotNull())
+    target = F.regexp_extract(content, r"'([a-zA-Z0-9\-]+):(\d+)'", 1)
+    host = F.get(told, F.lit(0))
+    return F.when(prefix != "", log_service(prefix)).when(source != "", class_service(source)).when(host.isNotNull(), log_service(host)).when(target != "", client_of_store(target)).otherwise(file_service(path))

@@ -6,8 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: thresholds, ordered keyword rules
-FAULT_FAMILIES = [("pod_failure", "pod_failure"), ("pod_kill", "pod_failure"), ("container_kill", "pod_failure"), ("network_delay", "latency_degradation"), ("network_loss", "network_failure"), ("misconfig_app", "config_error"), ("k8s_target_port", "config_error"), ("scale_pod", "infra_failure"), ("assign_non_existent_node", "infra_failure")]
+FAULT_FAMILIES = [("auth_miss_mongodb", "auth_failure"), ("revoke_auth", "auth_failure"), ("pod_failure", "pod_failure"), ("pod_kill", "pod_failure"), ("container_kill", "pod_failure"), ("network_delay", "latency_degradation"), ("network_loss", "network_failure"), ("misconfig_app", "config_error"), ("k8s_target_port", "config_error"), ("scale_pod", "infra_failure"), ("assign_non_existent_node", "infra_failure")]
 ERROR_FAMILIES = {"dependency": ["dependency", "connection", "connect", "refused", "unavailable", "endpoint"], "timeout": ["timeout", "timed out", "serverselectiontimeoutms"], "database": ["mongodb", "mongo", "db", "database", "index"], "rpc": ["rpc", "grpc", "thrift", "transport"], "auth": ["auth", "unauthorized", "forbidden", "permission"], "resource": ["oom", "memory", "cpu", "resource"], "crash": ["crash", "fatal", "panic", "segfault"], "http": ["http", "5xx", "4xx", "status"]}
+FAULT_TYPES = ["auth_failure", "dependency_failure", "infra_failure", "latency_degradation", "config_error", "pod_failure", "misconfiguration", "network_failure", "resource_exhaustion"]
+LIBRARY_FAULT_TYPES = ["dependency_failure", "auth_failure", "latency_degradation", "config_error", "infra_failure", "ghost_failure"]
 BLOCKED_COMMANDS = [r"kubectl\s+delete\s+namespace\b", r"kubectl\s+(delete|rm)\s+.*\s+--all\b", r"\bhelm\s+uninstall\b", r"\bkind\s+delete\b", r"\bkubectl\s+delete\s+cluster\b", r"\brm\s+-rf\b"]
 BAD_REASONS = ["Failed", "FailedScheduling", "FailedMount", "FailedCreate", "FailedPull", "BackOff", "Unhealthy", "Killing", "CrashLoopBackOff", "ErrImagePull", "ImagePullBackOff"]
 
@@ -68,7 +70,45 @@ def fault_type(family: Column) -> Column:
 
 def agent_fault_type(family: Column) -> Column:
     has = lambda w: F.lower(F.coalesce(family, F.lit(""))).contains(w)
-    return _first([(has("auth_miss_mongodb") | has("revoke_auth"), "auth_failure"), *[(has(a), b) for a, b in FAULT_FAMILIES]], "")
+    return _first([(has(a), b) for a, b in FAULT_FAMILIES], "")
+
+
+def valid_fault_type(said: Column, family: Column) -> Column:
+    """The type a reply names if it is a known one, else the family's, else a failure of a dependency."""
+    return F.when(said.isin(FAULT_TYPES), said).otherwise(F.coalesce(F.nullif(agent_fault_type(family), F.lit("")), F.lit("dependency_failure")))
+
+
+def family_from_text(family: Column, text: Column) -> Column:
+    """A missing family told from what the description says."""
+    low = F.lower(text)
+    told = _first([(low.contains("mongodb") & low.contains("auth"), "auth_miss_mongodb"), (low.contains("latency"), "latency_degradation"), (low.contains("cpu"), "resource_cpu"), (low.contains("memory"), "resource_memory")], None)
+    return F.coalesce(F.nullif(family, F.lit("")), told)
+
+
+def service_from_text(service: Column, text: Column) -> Column:
+    return F.coalesce(F.nullif(service, F.lit("")), F.nullif(F.regexp_extract(F.lower(text), r"(?:service|target)[_ -]?([a-z0-9-]+service)", 1), F.lit("")))
+
+
+def variant_name(variant: Column) -> Column:
+    """Of a variant given as text or as an object with its name under ``variant``."""
+    text = F.nullif(variant, F.lit(""))
+    return F.coalesce(F.when(text.startswith("{"), F.coalesce(F.get_json_object(text, "$.variant"), F.lit("default"))).otherwise(text), F.lit("default"))
+
+
+def variant_params(variant: Column) -> Column:
+    """A map of the other entries of a variant given as an object."""
+    entries = F.from_json(F.when(variant.startswith("{"), variant), "map<string,string>")
+    return F.map_filter(F.coalesce(entries, F.create_map().cast("map<string,string>")), lambda k, _: k != "variant")
+
+
+def stamp_in_name(name: Column) -> Column:
+    """A date and time, or seconds since 1970, that stand in a file's name."""
+    return F.nullif(F.regexp_extract(name, r"(\d{8}_\d{6}|\d{10}(?:\.\d+)?)", 1), F.lit(""))
+
+
+def rounded(x: Column, digits: int = 4) -> Column:
+    """For display: what is no finite number counts as 0."""
+    return F.when(x.isNull(), None).when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(F.round(x, digits))
 
 
 def error_family(name: Column) -> Column:
@@ -76,7 +116,7 @@ def error_family(name: Column) -> Column:
 
 
 def behaviour_cluster(errors: Column, anomaly: Column, infra: Column, unready: Column, cpu_delta: Column, memory: Column) -> Column:
-    return _first([((errors > 0) | (anomaly >= 0.5), "log_error_or_dependency_failure"), (infra | (unready > 0), "infra_unhealthy"), ((cpu_delta > 0) | (memory > 0), "resource_active")], "low_signal")
+    return _first([((errors > 0) | (anomaly >= 0.5), "log_error_or_dependency_failure"), (infra | (unready > 0), "infra_unhealthy"), ((cpu_delta > 0) | (memory > 0), "active_but_no_errors")], "low_signal_or_no_data")
 
 
 def confidence(gaps: Column) -> Column:
@@ -106,5 +146,6 @@ def json_in_text(text: Column) -> Column:
     return F.coalesce(*[F.when((x != "") & F.try_parse_json(x).isNotNull(), x) for x in tries])
 
 
-def failure_reason(reward: Column, run: Column, ok: Column) -> Column:
-    return _first([(reward >= 1, ""), (run == 0, "no commands were run"), (ok < run, "some commands failed"), (reward > 0, "only part of the pods recovered")], "pods did not recover")
+def failure_reason(post_ready: Column, tracked: Column, run: Column, failed: Column) -> Column:
+    partly = F.concat_ws("/", post_ready.cast("string"), tracked.cast("string"))
+    return F.when((tracked > 0) & (post_ready < tracked), F.concat(partly, F.lit(" relevant pods ready after commands"))).when(run == 0, "no commands generated").when(failed > 0, F.concat(failed.cast("string"), F.lit(" commands failed"))).otherwise("pods not healthy after stabilization")

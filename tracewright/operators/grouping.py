@@ -24,3 +24,9 @@ def compact(items: Column, most: int = 10) -> Column:
 
 def coverage(tuples: DataFrame) -> DataFrame:
     return tuples.groupBy("app", "task", "fault_family").agg(F.count("*").alias("n"))
+
+
+def complexity(edges: DataFrame) -> DataFrame:
+    """Services, edges and edges by criticality of a scenario, from edges with a column criticality."""
+    n = lambda word: F.count_if(F.col("criticality") == word)
+    return edges.groupBy("scenario_id").agg(F.count_distinct(F.col("dst")).alias("num_called"), F.count("*").alias("num_edges"), n("critical").alias("num_critical_edges"), n("important").alias("num_important_edges"))

@@ -20,40 +20,98 @@ def parsed(lines: DataFrame) -> DataFrame:
 
 def dependencies(rows: DataFrame) -> DataFrame:
     """A row for each target of each line that isn't noise."""
-    found = rows.where("not noise").select(*SERVICE, "path", "line_no", "error_type", "message", F.posexplode(logs.dependency_targets(F.col("message"))).alias("dep_no", "t"))
+    found = rows.where("not noise").select(*SERVICE, "path", "line_no", "error_type", "message", F.posexplode_outer(logs.dependency_targets(F.col("message"))).alias("dep_no", "t")).where("t is not null")
     found = found.select(*SERVICE, "path", "line_no", "dep_no", "error_type", "message", F.col("t.raw_target").alias("raw_target"), F.col("t.port").alias("port"))
     named = found.withColumn("target", once(F.col("raw_target"), names.log_service))
     first = Window.partitionBy("scenario_id", "path", "line_no", "target", "port").orderBy("dep_no")  # one target and port counts once a line
     return named.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def rollup(rows: DataFrame) -> DataFrame:
-    count = lambda c, n: F.count_if(c).alias(n)
-    b = F.col("bucket")
-    return rows.where("not noise").groupBy(*SERVICE).agg(F.count("*").alias("lines"), count(b == "error", "errors"), count(b == "fatal", "fatals"), count(b == "warn", "warns"), count(F.col("format") == "json", "json_lines"), count(F.col("format") == "cpp", "cpp_lines"), count(F.col("format") == "nginx", "nginx_lines"), count(F.col("format") == "plain", "plain_lines"))
+def facts(rows: DataFrame) -> DataFrame:
+    """(scenario_id, service, kind, key, n, first_at): everything that is counted of a service's lines, in one pass.
+
+    Kinds: line, noise, format, bucket, severity, type, component, http, operation, dependency, startup, ready.
+    A noise line counts as noise only. Every line has a fact; the outer explode spares a filter on their number, which
+    Spark would push down and for which it would work them out twice.
+    """
+    low = F.lower("message")
+    fact = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
+    when = lambda hit, kind, key: F.when(F.coalesce(hit, F.lit(False)), fact(kind, key))
+    c, none = F.col, F.lit("")
+    http = F.col("_http")
+    each = [
+        fact("line", none), fact("format", c("format")), fact("bucket", c("bucket")), fact("severity", c("severity")),
+        when(c("error_type") != "none", "type", c("error_type")), when(c("component") != "", "component", c("component")),
+        when(http["status"].isNotNull(), "http", http["status"]), when(http["path"].isNotNull(), "operation", http["path"]),
+        when(low.rlike(logs.any_of(logs.STARTING)), "startup", none), when(low.rlike(logs.any_of(logs.READY)), "ready", none),
+    ]
+    targets = F.array_distinct(F.transform(logs.dependency_targets(c("message")), lambda t: F.struct(once(t["raw_target"], names.log_service).alias("name"), t["port"].alias("port"))))
+    own = F.concat(F.filter(F.array(*each), lambda f: f.isNotNull()), F.transform(targets, lambda t: fact("dependency", t["name"])))
+    told = rows.withColumn("_http", once(c("message"), logs.http_info)).withColumn("_f", F.when(c("noise"), F.array(fact("noise", none))).otherwise(own))
+    at = F.struct("path", "line_no")
+    return told.select(*SERVICE, at.alias("at"), F.explode_outer("_f").alias("f")).groupBy(*SERVICE, "f.kind", "f.key").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
 
 
-def type_counts(rows: DataFrame) -> DataFrame:
-    at = F.struct("path", "line_no")
-    return rows.where("not noise and error_type <> 'none'").groupBy(*SERVICE, "error_type").agg(F.count("*").alias("n"), F.min(at).alias("first_at"))
+def rollup(counts: DataFrame) -> DataFrame:
+    """One row a service from ``facts``: line counts by bucket, format and signal, the histograms as maps (of
+    components and operations the 30 most frequent, ties by first place), the dominant error type (of equals the one
+    seen first), and the two scores."""
+    n = lambda kind, key=None: F.coalesce(F.sum(F.when((F.col("kind") == kind) & (F.lit(True) if key is None else F.col("key") == key), F.col("n"))), F.lit(0))
+    weights = F.create_map(*[F.lit(x) for p in logs.WEIGHTS.items() for x in p])
+    own = F.when(F.col("kind") == "type", weights[F.col("key")])
+    listed = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct((-F.col("n")).alias("order"), "first_at", "key", "n")))
+    as_map = lambda e: F.map_from_entries(F.transform(e, lambda x: F.struct(x["key"], x["n"])))
+    maps = {"severity": "severity_counts", "type": "error_type_counts", "component": "component_counts", "http": "http_status_counts", "operation": "operation_counts", "dependency": "dependency_counts"}
+    made = counts.groupBy(*SERVICE).agg(
+        n("line").alias("lines"), *[n("bucket", b).alias(f"{b}s" if b != "info" else "infos") for b in ("info", "warn", "error", "fatal", "debug")], *[n("format", f).alias(f"{f}_lines") for f in ("json", "cpp", "nginx", "plain")],
+        n("noise").alias("noise_lines"), n("startup").alias("startup_signals"), n("ready").alias("ready_signals"), n("dependency").alias("deps"),
+        F.coalesce(F.sum(F.least(F.col("n") * own * 0.05, own)), F.lit(0.0)).alias("by_type"), *[listed(kind).alias(name) for kind, name in maps.items()],
+    )
+    made = made.withColumn("signal_present", F.col("lines") > 0).withColumn("dominant_error_type", F.coalesce(F.get(F.array_sort("error_type_counts"), F.lit(0))["key"], F.lit("none")))
+    most = lambda name: F.slice(F.array_sort(name), 1, 30) if name in ("component_counts", "operation_counts") else F.array_sort(name)
+    return scored(made.withColumns({name: as_map(most(name)) for name in maps.values()})).drop("by_type")
+
+
+def scored(features: DataFrame) -> DataFrame:
+    """Append log_anomaly_score, a capped sum over errors, fatals, warnings, targets and types, and log_health_score."""
+    c = F.col
+    raw = F.least(c("errors") * 0.04, F.lit(0.5)) + F.least(c("fatals") * 0.2, F.lit(0.4)) + F.least(c("warns") * 0.008, F.lit(0.12)) + F.least(c("deps") * 0.04, F.lit(0.45)) + c("by_type") + F.when(c("deps") > 0, 0.15).otherwise(0.0)
+    raw = F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
+    return features.withColumn("log_anomaly_score", F.round(raw, 4)).withColumn("log_health_score", F.round(1 - raw, 4))
 
 
-def dominant_type(types: DataFrame) -> DataFrame:
-    """The most frequent type of a service; of equals the one seen first."""
-    order = Window.partitionBy(*SERVICE).orderBy(F.col("n").desc(), "first_at")
-    return types.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*SERVICE, F.col("error_type").alias("dominant_error_type"))
+def examples(rows: DataFrame, most: int = 20, templates: int = 10) -> DataFrame:
+    """(scenario_id, service, evidence_lines, error_templates): of the first ``most`` lines with an error type the
+    distinct lines and messages in order, cut to 700 and 500 characters."""
+    first = Window.partitionBy(*SERVICE).orderBy("path", "line_no")
+    own = rows.where("not noise and error_type <> 'none'").select(*SERVICE, "path", "line_no", F.substring(F.trim("line"), 1, 700).alias("line"), F.substring("message", 1, 500).alias("message"))
+    own = own.withColumn("no", F.row_number().over(first)).where(F.col("no") <= most)
+    made = own.groupBy(*SERVICE).agg(F.array_sort(F.collect_list(F.struct("no", "line", "message"))).alias("e"))
+    return made.select(*SERVICE, F.array_distinct("e.line").alias("evidence_lines"), F.slice(F.array_distinct("e.message"), 1, templates).alias("error_templates"))
 
 
-def anomaly(features: DataFrame, types: DataFrame, targets: DataFrame) -> DataFrame:
-    """log_anomaly_score, a capped sum over errors, fatals, warnings, targets and types, and log_health_score."""
-    weights = F.create_map(*[F.lit(x) for p in logs.WEIGHTS.items() for x in p])
-    w = weights[F.col("error_type")]
-    part = types.groupBy(*SERVICE).agg(F.sum(F.least(F.col("n") * w * 0.05, w)).alias("by_type"))
-    deps = targets.groupBy(*SERVICE).agg(F.count("*").alias("deps"))
-    all_ = features.join(part, SERVICE, "left").join(deps, SERVICE, "left").fillna({"by_type": 0.0, "deps": 0})
-    raw = F.least(F.col("errors") * 0.04, F.lit(0.5)) + F.least(F.col("fatals") * 0.2, F.lit(0.4)) + F.least(F.col("warns") * 0.008, F.lit(0.12)) + F.least(F.col("deps") * 0.04, F.lit(0.45)) + F.col("by_type") + F.when(F.col("deps") > 0, 0.15).otherwise(0.0)
-    raw = F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
-    return all_.withColumn("log_anomaly_score", F.round(raw, 4)).withColumn("log_health_score", F.round(1 - raw, 4))
+def with_defaults(services: DataFrame, features: DataFrame) -> DataFrame:
+    """Each known service with its features; one without logs has zeros, empty maps, no error type and full health."""
+    made = services.select(*SERVICE).distinct().join(features, SERVICE, "left")
+    fill = {"lines": 0, "infos": 0, "warns": 0, "errors": 0, "fatals": 0, "debugs": 0, "json_lines": 0, "cpp_lines": 0, "nginx_lines": 0, "plain_lines": 0, "noise_lines": 0, "startup_signals": 0, "ready_signals": 0, "deps": 0, "signal_present": False, "dominant_error_type": "none", "log_anomaly_score": 0.0, "log_health_score": 1.0}
+    made = made.fillna({k: v for k, v in fill.items() if k in made.columns})
+    return made.withColumns({f.name: F.coalesce(f.name, F.create_map().cast(f.dataType)) for f in made.schema.fields if f.name.endswith("_counts")})
+
+
+def global_counts(counts: DataFrame) -> DataFrame:
+    """(scenario_id, kind, key, n) of error types and dependency targets over all services."""
+    return counts.where("kind in ('type', 'dependency')").groupBy("scenario_id", "kind", "key").agg(F.sum("n").alias("n"))
+
+
+def type_counts(counts: DataFrame) -> DataFrame:
+    return counts.where("kind = 'type'").select(*SERVICE, F.col("key").alias("error_type"), "n", "first_at")
+
+
+def error_families(counts: DataFrame) -> DataFrame:
+    """Counts by family; a dependency target counts as dependency, and as database if its name tells so."""
+    kind, key = F.col("kind"), F.col("key")
+    families = F.when(kind == "type", F.array(rules.error_family(key))).when(F.lower(key).rlike("mongo|db"), F.array(F.lit("dependency"), F.lit("database"))).otherwise(F.array(F.lit("dependency")))
+    return counts.where("kind in ('type', 'dependency')").select(*SERVICE, F.explode(families).alias("family"), "n").groupBy(*SERVICE, "family").agg(F.sum("n").alias("n"))
 
 
 def first_distinct(rows: DataFrame, keys: list[str], order: list[str], value: str, most: int = 20) -> DataFrame:
@@ -63,17 +121,8 @@ def first_distinct(rows: DataFrame, keys: list[str], order: list[str], value: st
     return first.groupBy(*keys, value).agg(F.min("place").alias("place"))
 
 
-def error_families(types: DataFrame, targets: DataFrame) -> DataFrame:
-    """Counts by family; a dependency target counts as dependency, and as database if its name tells so."""
-    own = types.select(*SERVICE, rules.error_family(F.col("error_type")).alias("family"), "n")
-    deps = targets.select(*SERVICE, F.lit("dependency").alias("family"), F.lit(1).cast("bigint").alias("n"))
-    stores = targets.where(F.lower("target").rlike("mongo|db")).select(*SERVICE, F.lit("database").alias("family"), F.lit(1).cast("bigint").alias("n"))
-    return own.union(deps).union(stores).groupBy(*SERVICE, "family").agg(F.sum("n").alias("n"))
-
-
-def top_error_services(rolled: DataFrame, scores: DataFrame, most: int = 15, anomalous: float = 0.3) -> DataFrame:
+def top_error_services(features: DataFrame, most: int = 15, anomalous: float = 0.3) -> DataFrame:
     """Per scenario the services with most error lines, among those with an error or a high anomaly score; ties
-    by name. From ``rollup`` and ``anomaly``."""
-    rows = rolled.select("scenario_id", "service", "errors").join(scores.select("scenario_id", "service", "log_anomaly_score"), ["scenario_id", "service"])
+    by name. From ``rollup``."""
     rank = F.row_number().over(Window.partitionBy("scenario_id").orderBy(F.desc("errors"), "service"))
-    return rows.where((F.col("errors") > 0) | (F.col("log_anomaly_score") > anomalous)).withColumn("rank", rank).where(F.col("rank") <= most)
+    return features.where((F.col("errors") > 0) | (F.col("log_anomaly_score") > anomalous)).withColumn("rank", rank).where(F.col("rank") <= most)

@@ -29,7 +29,7 @@ def linked(spans: DataFrame) -> DataFrame:
 def _features(keys: list[str]) -> list:
     ratio = F.avg(F.col("is_error").cast("double"))
     p = F.percentile("duration_us", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return [F.count("*").alias("num_requests"), F.count_if("is_error").alias("num_errors"), ratio.alias("error_ratio"), F.avg("duration_us").alias("latency_mean_us"), p.alias("_p"), F.max("duration_us").alias("latency_max_us"), F.count_distinct("trace_id").alias("num_traces")]
+    return [F.count("*").alias("num_requests"), F.count_if("is_error").alias("num_errors"), ratio.alias("error_ratio"), F.avg("duration_us").alias("latency_mean_us"), p.alias("_p"), F.max("duration_us").alias("latency_max_us")]
 
 
 def judged(edges: DataFrame) -> DataFrame:
@@ -38,9 +38,13 @@ def judged(edges: DataFrame) -> DataFrame:
 
 
 def call_edges(spans: DataFrame, by_file: bool = False) -> DataFrame:
-    """Exact edge statistics over all spans of a scenario, or of each file."""
+    """Exact edge statistics over all spans of a scenario, or of each file. Traces are counted beside the
+    percentiles, not in the same aggregate, which would hold the durations of each trace apart."""
     keys = [*(FILE if by_file else FILE[:1]), "src", "dst"]
-    made = linked(spans).groupBy(*keys).agg(*_features(keys))
+    own = linked(spans)
+    made = own.groupBy(*keys).agg(*_features(keys))
+    if not by_file:
+        made = made.join(own.select(*keys, "trace_id").distinct().groupBy(*keys).agg(F.count("*").alias("num_traces")), keys)
     made = made.withColumns({f"latency_p{n}_us": F.coalesce(F.col("_p")[i], F.lit(0.0)) for i, n in enumerate((50, 95, 99))}).drop("_p")
     return judged(made)
 
@@ -66,6 +70,40 @@ def top_values(spans: DataFrame, keys: list[str], column: str, most: int = 10) -
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+def edge_details(spans: DataFrame, most: int = 10, examples: int = 5) -> DataFrame:
+    """(scenario_id, src, dst, top_operations, responses, example_error_spans): the most frequent values with counts, ties
+    by value, and the first error spans in read order."""
+    own, keys = linked(spans), ["scenario_id", "src", "dst"]
+    each = own.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(F.col(k), F.lit("")).alias("value")) for k in ("operation", "response")])).alias("f"))
+    order = Window.partitionBy(*keys, "kind").orderBy(F.desc("n"), "value")
+    counted = each.groupBy(*keys, "f.kind", "f.value").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", "value", "n")))), lambda x: F.struct(x["value"], x["n"]))
+    tops = counted.groupBy(*keys).agg(listed("operation").alias("top_operations"), listed("response").alias("responses"))
+    first = Window.partitionBy(*keys).orderBy("path", "row_no")
+    bad = own.where("is_error").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= examples)
+    span = F.struct("_n", "trace_id", "span_id", F.col("dst").alias("service"), "operation", "response", "duration_us")
+    return tops.join(bad.groupBy(*keys).agg(F.array_sort(F.collect_list(span)).alias("example_error_spans")), keys, "left")
+
+
+def summary(edges: DataFrame, most: int = 10) -> DataFrame:
+    """One row a scenario: edges with errors (by the ratio rounded to four digits), slow ones (p95 over 100 ms), and
+    those with the highest scores; ties by name."""
+    edge = F.concat_ws("->", "src", "dst")
+    listed = lambda hit: F.sort_array(F.collect_list(F.when(hit, edge)))
+    ranked = F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.round("edge_score", 4)).alias("s"), edge.alias("e")))), 1, most), lambda x: x["e"])
+    return edges.groupBy("scenario_id").agg(F.count("*").alias("num_edges"), listed((F.col("num_errors") > 0) | (F.round("error_ratio", 4) > 0)).alias("failed_edges"), listed(F.col("latency_p95_us") > 100000).alias("slow_edges"), ranked.alias("top_edges"))
+
+
+def datasets(spans: DataFrame) -> DataFrame:
+    """(scenario_id, path, rows_seen, num_traces, num_services) of each file."""
+    return spans.groupBy(*FILE).agg(F.count("*").alias("rows_seen"), F.count_distinct("trace_id").alias("num_traces"), F.count_distinct("service").alias("num_services"))
+
+
+def observed(spans: DataFrame) -> DataFrame:
+    """(scenario_id, src, dst): the calls of all files, each once."""
+    return linked(spans).select("scenario_id", "src", "dst").distinct()
+
+
 def service_traces(spans: DataFrame) -> DataFrame:
     p95 = F.coalesce(F.percentile("duration_us", F.lit(0.95)), F.lit(0.0))
     return spans.groupBy("scenario_id", "service").agg(F.count("*").alias("num_spans"), F.count_if("is_error").alias("num_errors"), F.avg(F.col("is_error").cast("double")).alias("error_ratio"), F.avg("duration_us").alias("latency_mean_us"), p95.alias("latency_p95_us"), F.max("duration_us").alias("latency_max_us"))

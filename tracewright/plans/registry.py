@@ -30,10 +30,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tracewright.plans import reports  # noqa: F401  (it registers its queries here)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from tracewright.plans import reports  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -42,11 +46,16 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, d: str) -> DataFrame:
-    """Line items as spans: the order is the trace, the line number the span, the year the file."""
+    """Line items as spans: the order is the trace, the line number the span, the year the file. Services differ in
+    how slow they are and how often they fail, and one is rarely called."""
     t = _read(spark, d, "lineitem")
     # rows of one span differ in no order of arrival, so all their values in turn stand for it
     order = F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
-    return t.select(F.lit("s").alias("scenario_id"), F.year("l_shipdate").cast("string").alias("path"), order.alias("row_no"), F.col("l_orderkey").alias("trace_id"), F.col("l_linenumber").alias("span_id"), (F.col("l_linenumber") - 1).alias("parent_span"), F.concat(F.lit("svc"), (F.col("l_suppkey") % 10).cast("string")).alias("service"), F.concat(F.lit("op"), (F.col("l_partkey") % 7).cast("string")).alias("operation"), F.col("l_extendedprice").alias("duration_us"), (F.col("l_returnflag") == "R").alias("is_error"))
+    k, flag, no = F.col("l_suppkey") % 10, F.col("l_returnflag"), F.col("l_linenumber")
+    failed = F.when(k < 3, False).when(k == 7, flag != "N").when(k == 8, (flag != "N") | (no != 1)).otherwise((flag == "R") & (no % 2 == 1))
+    service = F.when(F.col("l_orderkey") % 4000 == 7, "rare").otherwise(F.concat(F.lit("svc"), k.cast("string")))
+    response = F.when(flag == "R", "500").when(flag == "A", "200").otherwise("")
+    return t.select(F.lit("s").alias("scenario_id"), F.year("l_shipdate").cast("string").alias("path"), order.alias("row_no"), F.col("l_orderkey").alias("trace_id"), no.alias("span_id"), (no - 1).alias("parent_span"), service.alias("service"), F.concat(F.lit("op"), (F.col("l_partkey") % 7).cast("string")).alias("operation"), (F.col("l_extendedprice") * (k + 1)).alias("duration_us"), response.alias("response"), failed.alias("is_error"))
 
 
 def one_file(spark: SparkSession, d: str) -> DataFrame:
@@ -54,8 +63,11 @@ def one_file(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SPANS = """
-sp0 AS (SELECT 's' AS scenario_id, {path} AS path, l_orderkey AS trace_id, l_linenumber AS span_id, l_linenumber - 1 AS parent_span, 'svc' || (l_suppkey % 10) AS service, 'op' || (l_partkey % 7) AS operation, l_extendedprice AS duration_us, l_returnflag = 'R' AS is_error,
-  row_number() OVER (PARTITION BY {path}, l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC, l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC, l_shipdate DESC) AS rn FROM lineitem),
+sp0 AS (SELECT 's' AS scenario_id, {path} AS path, l_orderkey AS trace_id, l_linenumber AS span_id, l_linenumber - 1 AS parent_span, CASE WHEN l_orderkey % 4000 = 7 THEN 'rare' ELSE 'svc' || (l_suppkey % 10) END AS service, 'op' || (l_partkey % 7) AS operation, l_extendedprice * (l_suppkey % 10 + 1) AS duration_us,
+  CASE l_returnflag WHEN 'R' THEN '500' WHEN 'A' THEN '200' ELSE '' END AS response,
+  CASE WHEN l_suppkey % 10 < 3 THEN FALSE WHEN l_suppkey % 10 = 7 THEN l_returnflag <> 'N' WHEN l_suppkey % 10 = 8 THEN l_returnflag <> 'N' OR l_linenumber <> 1 ELSE l_returnflag = 'R' AND l_linenumber % 2 = 1 END AS is_error,
+  row_number() OVER (PARTITION BY {path}, l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC, l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC, l_shipdate DESC) AS rn,
+  row_number() OVER (ORDER BY {path}, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS seq FROM lineitem),
 lk AS (SELECT c.*, coalesce(p.service, 'ROOT') AS src, c.service AS dst FROM sp0 c LEFT JOIN (SELECT * FROM sp0 WHERE rn = 1) p ON p.path = c.path AND p.trace_id = c.trace_id AND p.span_id = c.parent_span)"""
 _ONE = _SPANS.format(path="'f'")
 _FEATURES = """count(*) AS num_requests, count(*) FILTER (WHERE is_error) AS num_errors, avg(is_error::INT::DOUBLE) AS error_ratio, avg(duration_us) AS latency_mean_us, max(duration_us) AS latency_max_us, count(DISTINCT trace_id) AS num_traces,
@@ -66,6 +78,9 @@ _JUDGED = """error_ratio > 0.2 OR latency_p95_us > 100000 AS is_suspicious,
 _EDGES = f"{_ONE}, e AS (SELECT scenario_id, src, dst, {_FEATURES} FROM lk GROUP BY ALL), ed AS (SELECT *, {_JUDGED} FROM e)"
 
 
+_THREE = "({0}) // 1000 || '.' || lpad((({0}) % 1000)::VARCHAR, 3, '0')"  # thousandths as text with three decimals
+
+
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
@@ -96,10 +111,10 @@ def edge_topk(spark, d):
     return _edges_out(traces.top_edges(traces.call_edges(one_file(spark, d))), "rank")
 
 
-@query(f"WITH {_EDGES} SELECT src, dst, error_ratio > 0.2 AS errs, latency_p95_us > 80000 AS slow, error_ratio > 0.2 OR latency_p95_us / 1000 > 800 AS violated FROM ed")
+@query(f"WITH {_EDGES} SELECT src, dst, concat_ws(',', CASE WHEN error_ratio > 0.2 THEN 'error_ratio=' || {_THREE.format('(2000 * num_errors + num_requests) // (2 * num_requests)')} END, CASE WHEN latency_p95_us / 1000 > 800 THEN 'latency_p95_ms' END) AS reasons, error_ratio > 0.2 OR latency_p95_us / 1000 > 800 AS violated FROM ed")
 def edge_sla(spark, d):
     e = diagnosis.edge_sla(traces.call_edges(one_file(spark, d)))
-    return e.select("src", "dst", F.array_contains("reasons", "error_ratio").alias("errs"), (F.col("latency_p95_us") > 80000).alias("slow"), "violated")
+    return e.select("src", "dst", F.regexp_replace(F.array_join("reasons", ","), "(latency_p95_ms)=[0-9.]+", "$1").alias("reasons"), "violated")
 
 
 @query(f"WITH {_EDGES} SELECT src, dst, CASE WHEN error_ratio >= 0.9 OR edge_score >= 0.9 THEN 'critical' WHEN error_ratio >= 0.3 OR edge_score >= 0.5 OR num_requests >= 20 THEN 'important' ELSE 'normal' END AS criticality FROM ed")
@@ -134,85 +149,141 @@ def adjacency_lists(spark, d):
     return a.select("service", text("out_neighbours").alias("outs"), text("in_neighbours").alias("ins"))
 
 
+KPIS = ["container_cpu_usage_seconds_total", "kpi_container_memory_usage_bytes", "container_network_receive_bytes_total", "container_threads", "spec_limit", "disk_io", "container_cpu_load_average_10s"]
+
+
 def samples(spark: SparkSession, d: str) -> DataFrame:
-    t = _read(spark, d, "events")
-    return t.select(F.lit("s").alias("scenario_id"), F.lit("f").alias("path"), F.struct("ts", "event_id").alias("row_no"), F.concat(F.lit("svc"), (F.col("user_id") % 20).cast("string")).alias("service"), F.concat(F.lit("cpu_"), "event_type").alias("kpi_name"), "value")
+    """Events as samples of seven KPIs; one service has only zeros, one a constant."""
+    t, u = _read(spark, d, "events"), F.col("user_id")
+    name = F.element_at(F.array(*[F.lit(k) for k in KPIS]), (u % 7 + 1).cast("int"))
+    value = F.when(u % 20 == 4, 0.0).when(u % 20 == 5, 7.0).otherwise(F.col("value"))
+    return t.select(F.lit("s").alias("scenario_id"), F.lit("f").alias("path"), F.struct("ts", "event_id").alias("row_no"), F.concat(F.lit("svc"), (u % 20).cast("string")).alias("service"), name.alias("kpi_name"), value.alias("value"))
 
 
-@query("""SELECT 'svc' || (user_id % 20) AS service, 'cpu_' || event_type AS kpi_name, count(*) AS n, arg_min(value, (ts, event_id)) AS first_value, arg_max(value, (ts, event_id)) AS last_value, min(value) AS min_value, max(value) AS max_value, round(avg(value), 6) AS mean_value,
-  round(arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)), 6) AS delta, 'cpu' AS kpi_group, CASE WHEN min(value) = 0 AND max(value) = 0 THEN 'zero' WHEN min(value) = max(value) THEN 'constant' ELSE 'dynamic' END AS signal FROM events GROUP BY 1, 2""")
+_KPIS = f"""sm AS (SELECT 'svc' || (user_id % 20) AS service, {KPIS}[user_id % 7 + 1] AS kpi_name, CASE user_id % 20 WHEN 4 THEN 0.0 WHEN 5 THEN 7.0 ELSE value END AS value, ts, event_id FROM events),
+kp AS (SELECT service, kpi_name, count(*) AS n, arg_min(value, (ts, event_id)) AS first_value, arg_max(value, (ts, event_id)) AS last_value, min(value) AS min_value, max(value) AS max_value, avg(value) AS mean_value, arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)) AS delta FROM sm GROUP BY 1, 2)"""
+_GROUP = "CASE WHEN kpi_name LIKE '%cpu%' THEN 'cpu' WHEN kpi_name LIKE '%memory%' THEN 'memory' WHEN kpi_name LIKE '%network%' THEN 'network' WHEN kpi_name LIKE '%threads%' THEN 'threads' WHEN kpi_name LIKE '%spec%' THEN 'spec' ELSE 'other' END"
+_SIGNAL = "CASE WHEN min_value = 0 AND max_value = 0 THEN 'zero' WHEN min_value = max_value THEN 'constant' ELSE 'dynamic' END"
+
+
+@query(f"WITH {_KPIS} SELECT service, kpi_name, n, first_value, last_value, min_value, max_value, round(mean_value, 6) AS mean_value, round(delta, 6) AS delta, {_GROUP} AS kpi_group, {_SIGNAL} AS signal FROM kp")
 def kpi_summary(spark, d):
     return _rounded(metrics.kpi_summary(samples(spark, d)).drop("scenario_id"), "mean_value", "delta")
 
 
-@query("""WITH k AS (SELECT 'svc' || (user_id % 20) AS service, 'cpu_' || event_type AS kpi, avg(value) AS m FROM events GROUP BY 1, 2)
-SELECT service, round(coalesce(arg_min(m, kpi) FILTER (WHERE kpi LIKE '%cl%'), 0), 6) AS clicks, round(coalesce(arg_min(m, kpi) FILTER (WHERE kpi LIKE '%view%' OR kpi LIKE '%p%'), 0), 6) AS views FROM k GROUP BY service""")
+def _flat(kpi: str, what: str) -> str:
+    core = kpi.removeprefix("container_")
+    rank = f"CASE WHEN kpi_name = 'kpi_{kpi}' THEN 0 WHEN kpi_name = '{kpi}' THEN 1 WHEN contains(lower(kpi_name), '{core}') THEN 2 END"
+    return f"coalesce(arg_min({'delta' if what == 'delta' else 'last_value'}, ({rank}, kpi_name)) FILTER (WHERE {rank} IS NOT NULL), 0)"
+
+
+_FLAT = f"{_KPIS}, fl AS (SELECT service, {', '.join(f'{_flat(*v)} AS {k}' for k, v in metrics.FLAT_FIELDS.items())} FROM kp GROUP BY service)"
+
+
+@query(f"WITH {_FLAT} SELECT service, {', '.join(f'round({k}, 6)::DOUBLE AS {k}' for k in metrics.FLAT_FIELDS)} FROM fl")
 def kpi_flat_fields(spark, d):
-    return _rounded(metrics.flat_fields(metrics.kpi_summary(samples(spark, d)), {"clicks": ["cl"], "views": ["view", "p"]}).drop("scenario_id"), "clicks", "views")
+    return _rounded(metrics.flat_fields(metrics.kpi_summary(samples(spark, d))).drop("scenario_id", "metric_signal_present"), *metrics.FLAT_FIELDS)
 
 
-@query(f"WITH {_EDGES}, w AS (SELECT dst AS service, max(latency_p95_us) / 1000 AS latency_ms FROM ed GROUP BY dst), s AS (SELECT DISTINCT 'svc' || (user_id % 20) AS service FROM events) SELECT service, round(latency_ms, 6) AS latency_ms FROM s FULL JOIN w USING (service)")
+@query(f"WITH {_EDGES}, w AS (SELECT dst AS service, max(latency_p95_us) / 1000 AS latency_ms FROM ed GROUP BY dst), s AS (SELECT DISTINCT 'svc' || (user_id % 20) AS service FROM events) SELECT service, round(latency_ms, 4) AS latency_ms FROM s FULL JOIN w USING (service)")
 def latency_backfill(spark, d):
-    return _rounded(metrics.latency_back_fill(samples(spark, d), traces.call_edges(one_file(spark, d))).drop("scenario_id"), "latency_ms")
+    made = metrics.latency_back_fill(samples(spark, d), traces.call_edges(one_file(spark, d)))
+    return made.select("service", F.round("latency_ms", 4).alias("latency_ms"))
+
+
+# message, error type; the first two also name a target, the twelfth an HTTP request
+MESSAGES = [
+    ("connection refused", "dependency_connection"), ("request timed out from host: cart-db:5432", "dependency_timeout"), ("service unavailable", "dependency_unavailable"), ("thrift call broke", "rpc_transport_failure"),
+    ("redis is slow", "db_error"), ("create index stuck", "index_init_failure"), ("access denied for bob", "auth_error"), ("permission denied", "permission_error"), ("bad config here", "config_error"), ("out of memory", "oom_or_resource"),
+    ("panic in worker", "crash_or_panic"), ('GET gave status=503 request: "GET /cart HTTP"', "http_error"), ("timeout of a job", "timeout"), ("it failed badly", "generic_error"),
+    ("server initialized, code 404", "none"), ("ready to accept connections", "none"), ("served item", "none"),
+]
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    """Events as log lines of four kinds, with a dependency in some of them."""
+    """Events as log lines of four formats with each error type, noise and signals of a start. A third of the services logs no
+    error, a third few."""
     t = _read(spark, d, "events")
-    k, n = F.col("event_id") % 4, F.col("event_id") % 9
-    word = F.when(n == 0, "connection refused").when(n == 1, "request timed out").when(n == 2, "panic in worker").when(n == 3, "permission denied").otherwise("served")
-    text = F.concat(word, F.lit(" calling ismaster on 'store-"), (F.col("user_id") % 5).cast("string"), F.lit("-redis:6379'"))
-    text = F.when(n < 2, text).otherwise(F.concat(word, F.lit(" item "), F.col("user_id").cast("string")))
-    cpp = F.concat(F.lit("[2026-May-01] <"), F.when(n < 4, "error").otherwise("info"), F.lit(">: (file.h:7:f) "), text)
-    nginx = F.concat(F.lit("2026/05/01 00:00:01 ["), F.when(n == 2, "fatal").otherwise("warn"), F.lit("] "), text)
-    js = F.concat(F.lit('{"s":"'), F.when(n < 4, "E").otherwise("I"), F.lit('","msg":"'), text, F.lit('","c":"core"}'))
-    made = F.when(k == 0, cpp).when(k == 1, nginx).when(k == 2, js).otherwise(text)
-    return t.select(F.lit("s").alias("scenario_id"), F.lit("f").alias("path"), F.col("event_id").alias("line_no"), F.concat(F.lit("svc"), (F.col("user_id") % 7).cast("string")).alias("service"), made.alias("line"))
-
-
-_LINES = """l0 AS (SELECT event_id AS line_no, 'svc' || (user_id % 7) AS service, event_id % 4 AS k, event_id % 9 AS n, user_id,
-  CASE event_id % 9 WHEN 0 THEN 'connection refused' WHEN 1 THEN 'request timed out' WHEN 2 THEN 'panic in worker' WHEN 3 THEN 'permission denied' ELSE 'served' END AS word FROM events),
-l1 AS (SELECT *, CASE WHEN n < 2 THEN word || ' calling ismaster on ''store-' || (user_id % 5) || '-redis:6379''' ELSE word || ' item ' || user_id END AS message FROM l0),
-l AS (SELECT *, CASE k WHEN 0 THEN 'cpp' WHEN 1 THEN 'nginx' WHEN 2 THEN 'json' ELSE 'plain' END AS format,
-  CASE k WHEN 0 THEN CASE WHEN n < 4 THEN 'error' ELSE 'info' END WHEN 1 THEN CASE WHEN n = 2 THEN 'fatal' ELSE 'warn' END WHEN 2 THEN CASE WHEN n < 4 THEN 'error' ELSE 'info' END ELSE CASE WHEN n < 4 THEN 'error' ELSE 'info' END END AS severity,
-  CASE n WHEN 0 THEN 'dependency_connection' WHEN 1 THEN 'dependency_timeout' WHEN 2 THEN 'crash_or_panic' WHEN 3 THEN 'permission_error' ELSE 'none' END AS error_type,
-  CASE WHEN n < 2 THEN 'store-' || (user_id % 5) || '-redis' END AS target FROM l1)"""
-_TYPES = "t AS (SELECT service, error_type, count(*) AS n, min(line_no) AS first_at FROM l WHERE error_type <> 'none' GROUP BY 1, 2)"
-
-
-@query(f"WITH {_LINES} SELECT line_no, service, format, severity, message, CASE k WHEN 0 THEN 'file.h:7:f' WHEN 1 THEN 'nginx/openresty' WHEN 2 THEN 'core' ELSE '' END AS component, error_type, severity AS bucket FROM l")
+    e, j, k = F.col("event_id"), F.col("user_id") % 30, F.col("event_id") % 4
+    n = F.when(j % 3 == 0, 14 + e % 3).when(j % 3 == 1, F.when(e % 997 < 14, e % 997).otherwise(14 + e % 3)).otherwise(e % 17)
+    word = F.element_at(F.array(*[F.lit(m) for m, _ in MESSAGES]), (n + 1).cast("int"))
+    text = F.when(n == 0, F.concat(word, F.lit(" calling ismaster on 'store-"), (F.col("user_id") % 5).cast("string"), F.lit("-redis:6379'"))).when(n == 16, F.concat(word, F.lit(" "), F.col("user_id").cast("string"))).otherwise(word)
+    cpp = F.concat(F.lit("[2026-May-01] <"), F.when(n == 1, "W").when(n == 2, "warning").when(n < 14, "E").otherwise("info"), F.lit(">: (file.h:7:f) "), text)
+    nginx = F.concat(F.lit("2026/05/01 00:00:01 ["), F.when(n == 10, "fatal").when(n == 12, "warn").when(n < 14, "crit").otherwise("notice"), F.lit("] "), text)
+    js = F.to_json(F.struct(F.when(n == 3, "WARNING").when(n == 10, "F").when(n < 14, "E").when(n == 15, "D").otherwise("I").alias("s"), text.alias("msg"), F.lit("core").alias("c")))
+    made = F.when(e % 37 == 5, "Cloning into repo").when(k == 0, cpp).when(k == 1, nginx).when(k == 2, js).otherwise(text)
+    return t.select(F.lit("s").alias("scenario_id"), F.lit("f").alias("path"), e.alias("line_no"), F.concat(F.lit("svc"), j.cast("string")).alias("service"), made.alias("line"))
+
+
+_quote = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+_WEIGHT = "CASE key " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in line.WEIGHTS.items()) + " END"
+_LINES = f"""l0 AS (SELECT event_id AS line_no, user_id, 'svc' || (user_id % 30) AS service, event_id % 4 AS k, event_id % 37 = 5 AS noise,
+  CASE user_id % 30 % 3 WHEN 0 THEN 14 + event_id % 3 WHEN 1 THEN CASE WHEN event_id % 997 < 14 THEN event_id % 997 ELSE 14 + event_id % 3 END ELSE event_id % 17 END AS n FROM events),
+l1 AS (SELECT *, {_quote(m for m, _ in MESSAGES)}[n + 1] AS word, {_quote(t for _, t in MESSAGES)}[n + 1] AS error_type FROM l0),
+l2 AS (SELECT *, CASE n WHEN 0 THEN word || ' calling ismaster on ''store-' || (user_id % 5) || '-redis:6379' || chr(39) WHEN 16 THEN word || ' ' || user_id ELSE word END AS message,
+  CASE k WHEN 0 THEN 'cpp' WHEN 1 THEN 'nginx' WHEN 2 THEN 'json' ELSE 'plain' END AS format,
+  CASE k WHEN 0 THEN CASE WHEN n = 1 THEN 'w' WHEN n = 2 THEN 'warn' WHEN n < 14 THEN 'e' ELSE 'info' END WHEN 1 THEN CASE WHEN n = 10 THEN 'fatal' WHEN n = 12 THEN 'warn' WHEN n < 14 THEN 'crit' ELSE 'notice' END
+    WHEN 2 THEN CASE WHEN n = 3 THEN 'warning' WHEN n = 10 THEN 'fatal' WHEN n < 14 THEN 'error' WHEN n = 15 THEN 'debug' ELSE 'info' END ELSE CASE WHEN n < 14 THEN 'error' ELSE 'info' END END AS severity,
+  CASE n WHEN 0 THEN 'store-' || (user_id % 5) || '-redis' WHEN 1 THEN 'cart-db' END AS target, CASE n WHEN 0 THEN '6379' WHEN 1 THEN '5432' END AS port,
+  CASE k WHEN 0 THEN 'file.h:7:f' WHEN 1 THEN 'nginx/openresty' WHEN 2 THEN 'core' ELSE '' END AS component, CASE n WHEN 11 THEN '503' WHEN 14 THEN '404' END AS http, CASE n WHEN 11 THEN '/cart' END AS operation FROM l1),
+la0 AS (SELECT *, CASE WHEN severity IN ('e', 'error') THEN 'error' WHEN severity IN ('w', 'warn', 'warning') THEN 'warn' WHEN severity IN ('fatal', 'debug') THEN severity WHEN error_type <> 'none' THEN 'error' ELSE 'info' END AS bucket FROM l2),
+l AS (SELECT * FROM la0 WHERE NOT noise),
+fc AS (SELECT service, kind, key, count(*) AS n, min(line_no) AS first_at FROM (
+  SELECT service, line_no, unnest([struct_pack(kind := 'type', key := CASE WHEN error_type <> 'none' THEN error_type END), struct_pack(kind := 'severity', key := severity), struct_pack(kind := 'component', key := CASE WHEN component <> '' THEN component END), struct_pack(kind := 'http', key := http), struct_pack(kind := 'operation', key := operation), struct_pack(kind := 'dependency', key := target)], recursive := true) FROM l) WHERE key IS NOT NULL GROUP BY 1, 2, 3),
+lb AS (SELECT service, count(*) FILTER (WHERE NOT noise) AS lines, count(*) FILTER (WHERE NOT noise AND bucket = 'info') AS infos, count(*) FILTER (WHERE NOT noise AND bucket = 'warn') AS warns, count(*) FILTER (WHERE NOT noise AND bucket = 'error') AS errors, count(*) FILTER (WHERE NOT noise AND bucket = 'fatal') AS fatals, count(*) FILTER (WHERE NOT noise AND bucket = 'debug') AS debugs,
+  count(*) FILTER (WHERE NOT noise AND k = 2) AS json_lines, count(*) FILTER (WHERE NOT noise AND k = 0) AS cpp_lines, count(*) FILTER (WHERE NOT noise AND k = 1) AS nginx_lines, count(*) FILTER (WHERE NOT noise AND k = 3) AS plain_lines, count(*) FILTER (WHERE noise) AS noise_lines,
+  count(*) FILTER (WHERE NOT noise AND n = 14) AS startup_signals, count(*) FILTER (WHERE NOT noise AND n = 15) AS ready_signals, count(*) FILTER (WHERE NOT noise AND target IS NOT NULL) AS deps FROM la0 GROUP BY 1),
+lm AS (SELECT service, sum(least(n * {_WEIGHT} * 0.05::DOUBLE, {_WEIGHT})) FILTER (WHERE kind = 'type') AS by_type, arg_max(key, (n, -first_at)) FILTER (WHERE kind = 'type') AS dominant, {", ".join(f"coalesce(string_agg(key || '=' || n, ',' ORDER BY key) FILTER (WHERE kind = '{kind}'), '') AS {kind}_counts" for kind in ("severity", "type", "component", "http", "operation", "dependency"))} FROM fc GROUP BY 1),
+lr AS (SELECT lb.*, lm.* EXCLUDE (service, by_type, dominant), coalesce(dominant, 'none') AS dominant_error_type, greatest(0, least(1, least(errors * 0.04::DOUBLE, 0.5) + least(fatals * 0.2::DOUBLE, 0.4) + least(warns * 0.008::DOUBLE, 0.12) + least(deps * 0.04::DOUBLE, 0.45) + coalesce(by_type, 0) + CASE WHEN deps > 0 THEN 0.15 ELSE 0 END)) AS raw FROM lb LEFT JOIN lm USING (service)),
+lf AS (SELECT * EXCLUDE (raw), round(raw, 4)::DOUBLE AS log_anomaly_score, round(1 - raw, 4)::DOUBLE AS log_health_score FROM lr)"""
+
+
+def _text(counts: str):
+    """A map as text, ordered by key."""
+    entries = F.array_sort(F.map_entries(counts))
+    return F.array_join(F.transform(entries, lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",")
+
+
+@query(f"WITH {_LINES} SELECT line_no, service, noise, CASE WHEN noise THEN 'plain' ELSE format END AS format, CASE WHEN noise THEN 'info' ELSE severity END AS severity, CASE WHEN noise THEN 'Cloning into repo' ELSE message END AS message, CASE WHEN noise THEN '' ELSE component END AS component, CASE WHEN noise THEN 'none' ELSE error_type END AS error_type, CASE WHEN noise THEN 'info' ELSE bucket END AS bucket FROM la0")
 def log_parse_synthetic(spark, d):
-    return logs.parsed(lines(spark, d)).select("line_no", "service", "format", "severity", "message", "component", "error_type", "bucket")
+    return logs.parsed(lines(spark, d)).select("line_no", "service", "noise", "format", "severity", "message", "component", "error_type", "bucket")
+
+
+def log_facts(spark: SparkSession, d: str) -> DataFrame:
+    return logs.facts(logs.parsed(lines(spark, d)))
+
 
+_COUNTS = {"severity": "severity_counts", "type": "error_type_counts", "component": "component_counts", "http": "http_status_counts", "operation": "operation_counts", "dependency": "dependency_counts"}
 
-@query(f"WITH {_LINES} SELECT service, count(*) AS lines, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'fatal') AS fatals, count(*) FILTER (WHERE severity = 'warn') AS warns, count(*) FILTER (WHERE k = 2) AS json_lines, count(*) FILTER (WHERE k = 0) AS cpp_lines, count(*) FILTER (WHERE k = 1) AS nginx_lines, count(*) FILTER (WHERE k = 3) AS plain_lines FROM l GROUP BY service")
+
+@query(f"WITH {_LINES} SELECT service, lines, infos, warns, errors, fatals, debugs, json_lines, cpp_lines, nginx_lines, plain_lines, noise_lines, startup_signals, ready_signals, deps, lines > 0 AS signal_present, dominant_error_type, log_anomaly_score, log_health_score, {', '.join(f'{k}_counts AS {v}' for k, v in _COUNTS.items())} FROM lf")
 def log_rollup(spark, d):
-    return logs.rollup(logs.parsed(lines(spark, d))).drop("scenario_id")
+    made = logs.rollup(log_facts(spark, d)).drop("scenario_id")
+    return made.withColumns({c: _text(c) for c in _COUNTS.values()})
 
 
-@query(f"""WITH {_LINES}, {_TYPES}, w AS (SELECT service, sum(least(n * x * 0.05, x)) AS by_type FROM (SELECT *, CASE error_type WHEN 'crash_or_panic' THEN 0.4::DOUBLE WHEN 'permission_error' THEN 0.3::DOUBLE ELSE 0.35::DOUBLE END AS x FROM t) GROUP BY 1),
-f AS (SELECT service, count(*) FILTER (WHERE severity = 'error') AS e, count(*) FILTER (WHERE severity = 'fatal') AS f, count(*) FILTER (WHERE severity = 'warn') AS w, count(target) AS d FROM l GROUP BY 1),
-s AS (SELECT service, greatest(0, least(1, least(e * 0.04::DOUBLE, 0.5) + least(f * 0.2::DOUBLE, 0.4) + least(w * 0.008::DOUBLE, 0.12) + least(d * 0.04::DOUBLE, 0.45) + coalesce(by_type, 0) + CASE WHEN d > 0 THEN 0.15 ELSE 0 END)) AS raw FROM f LEFT JOIN w USING (service))
-SELECT service, round(raw, 4)::DOUBLE AS log_anomaly_score, round(1 - raw, 4)::DOUBLE AS log_health_score FROM s""")
+@query(f"WITH {_LINES} SELECT service, log_anomaly_score, log_health_score FROM lf")
 def log_anomaly(spark, d):
-    rows = logs.parsed(lines(spark, d))
-    return logs.anomaly(logs.rollup(rows), logs.type_counts(rows), logs.dependencies(rows)).select("service", "log_anomaly_score", "log_health_score")
+    return logs.rollup(log_facts(spark, d)).select("service", "log_anomaly_score", "log_health_score")
 
 
-@query(f"WITH {_LINES}, {_TYPES} SELECT service, arg_max(error_type, (n, -first_at)) AS dominant_error_type FROM t GROUP BY service")
+@query(f"WITH {_LINES} SELECT service, dominant_error_type FROM lf WHERE dominant_error_type <> 'none'")
 def log_dominant_type(spark, d):
-    return logs.dominant_type(logs.type_counts(logs.parsed(lines(spark, d)))).drop("scenario_id")
+    return logs.rollup(log_facts(spark, d)).where("dominant_error_type <> 'none'").select("service", "dominant_error_type")
 
 
-@query(f"WITH {_LINES} SELECT service, target, '6379' AS port, error_type, count(*) AS n FROM l WHERE target IS NOT NULL GROUP BY 1, 2, 4")
+@query(f"WITH {_LINES} SELECT service, target, port, error_type, count(*) AS n FROM l WHERE target IS NOT NULL GROUP BY ALL")
 def dependency_targets(spark, d):
     return logs.dependencies(logs.parsed(lines(spark, d))).groupBy("service", "target", "port", "error_type").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_LINES}, {_TYPES}, f AS (SELECT service, CASE error_type WHEN 'crash_or_panic' THEN 'crash' WHEN 'permission_error' THEN 'auth' ELSE 'dependency' END AS family, n FROM t UNION ALL SELECT service, 'dependency', 1 FROM l WHERE target IS NOT NULL) SELECT service, family, sum(n) AS n FROM f GROUP BY 1, 2")
+_FAMILY = "CASE WHEN key LIKE 'dependency_%' THEN 'dependency' WHEN key = 'timeout' THEN 'timeout' WHEN key IN ('db_error', 'index_init_failure') THEN 'database' WHEN key LIKE 'rpc%' THEN 'rpc' WHEN key IN ('auth_error', 'permission_error') THEN 'auth' WHEN key LIKE 'oom%' THEN 'resource' WHEN key LIKE 'crash%' THEN 'crash' WHEN key LIKE 'http%' THEN 'http' ELSE 'other' END"
+_FAMILIES = f"fa AS (SELECT service, family, sum(n)::BIGINT AS n FROM (SELECT service, {_FAMILY} AS family, n FROM fc WHERE kind = 'type' UNION ALL SELECT service, 'dependency', n FROM fc WHERE kind = 'dependency' UNION ALL SELECT service, 'database', n FROM fc WHERE kind = 'dependency' AND key LIKE '%db%') GROUP BY 1, 2)"
+
+
+@query(f"WITH {_LINES}, {_FAMILIES} SELECT service, family, n FROM fa")
 def error_families(spark, d):
-    rows = logs.parsed(lines(spark, d))
-    return logs.error_families(logs.type_counts(rows), logs.dependencies(rows)).drop("scenario_id")
+    return logs.error_families(log_facts(spark, d)).drop("scenario_id")
 
 
 @query("WITH r AS (SELECT user_id % 20 AS k, event_type AS v, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS place FROM events) SELECT k, v, min(place) AS place FROM r WHERE place <= 20 GROUP BY 1, 2")
@@ -249,29 +320,42 @@ def name_normalize_metrics(spark, d):
 
 def pods(spark: SparkSession, d: str) -> DataFrame:
     t = _read(spark, d, "orders")
-    s = F.col("o_orderstatus")
-    return t.select(F.lit("s").alias("scenario_id"), F.concat(F.lit("svc"), (F.col("o_custkey") % 40).cast("string")).alias("service"), F.col("o_orderkey").cast("string").alias("pod"), F.concat(F.lit("n"), (F.col("o_orderkey") % 3).cast("string")).alias("node"), F.when((F.col("o_custkey") % 40 == 3) & (s == "P"), "Pending").otherwise("Running").alias("phase"), (~((F.col("o_custkey") % 4 == 0) & (s == "F"))).alias("ready"), (F.col("o_orderkey") % 2).alias("restarts"), F.when((F.col("o_custkey") % 40 == 8) & (s == "O"), "CrashLoopBackOff").alias("waiting_reason"), F.when((F.col("o_custkey") % 40 == 5) & (s == "F"), "OOMKilled").alias("terminated_reason"))
-
-
-_PODS = """pd AS (SELECT 'svc' || (o_custkey % 40) AS service, o_custkey % 40 = 3 AND o_orderstatus = 'P' AS pending, NOT (o_custkey % 4 = 0 AND o_orderstatus = 'F') AS ready, o_orderkey % 2 AS restarts, o_custkey % 40 = 8 AND o_orderstatus = 'O' AS crash, o_custkey % 40 = 5 AND o_orderstatus = 'F' AS oom, 'n' || (o_orderkey % 3) AS node FROM orders),
-pr AS (SELECT service, count(*) AS pods_total, count(*) FILTER (WHERE ready) AS pods_ready, count(*) FILTER (WHERE NOT ready) AS pods_unready, sum(restarts) AS restarts, count(*) FILTER (WHERE pending) AS pending, count(*) FILTER (WHERE crash) AS crashloop, count(*) FILTER (WHERE oom) AS oomkilled, string_agg(DISTINCT node, ',' ORDER BY node) AS nodes FROM pd GROUP BY 1),
-ps AS (SELECT *, CASE WHEN crashloop > 0 THEN 'crashloop' WHEN oomkilled > 0 THEN 'oomkilled' WHEN pending > 0 THEN 'pending' WHEN pods_unready > 0 THEN 'unready' WHEN pods_ready > 0 THEN 'healthy' ELSE 'unknown' END AS status FROM pr)"""
-
-
-@query(f"WITH {_PODS} SELECT service, pods_total, pods_ready, pods_unready, restarts, pending, crashloop, oomkilled, nodes, status, status NOT IN ('healthy', 'unknown') AS infra_issue, round(pods_ready / pods_total, 6) AS availability FROM ps")
+    s, j, o = F.col("o_orderstatus"), F.col("o_custkey") % 40, F.col("o_orderkey")
+    word = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    none, service = F.array().cast("array<string>"), word("svc", j)
+    phase = F.when((j == 3) & (s == "P"), "Pending").when((j == 6) & (s == "F"), "Failed").when((j == 9) & (s == "P"), "Succeeded").when((j == 10) & (s == "P"), "Odd").otherwise("Running")
+    waiting = F.when((j == 8) & (s == "O"), F.array(F.lit("CrashLoopBackOff"), F.lit("unknown"))).when((j == 12) & (s == "O"), F.array(F.lit("ErrImagePull"))).otherwise(none)
+    terminated = F.when((j == 5) & (s == "F"), F.array(F.lit("Error"), F.lit("OOMKilled"))).otherwise(none)
+    ready = ~((F.col("o_custkey") % 4 == 0) & (s == "F"))
+    ports = F.array(F.struct((8000 + o % 2).alias("container_port"), F.lit("TCP").alias("protocol"), word("p", o % 2).alias("name")))
+    return t.select(
+        F.lit("s").alias("scenario_id"), service.alias("service"), o.cast("string").alias("pod"), word("n", o % 3).alias("node"), phase.alias("phase"), ready.alias("ready"), (o % 2).alias("restarts"), waiting.alias("waiting_reasons"), terminated.alias("terminated_reasons"),
+        F.array(word("Ready=", F.when(ready, "True").otherwise("False")), F.lit("Initialized=True")).alias("conditions"), F.when(o % 5 == 0, "BestEffort").when(o % 5 == 1, "Burstable").alias("qos_class"), word("10.0.0.", o % 4).alias("pod_ip"),
+        F.array(F.lit("ReplicaSet")).alias("owner_kinds"), F.array(word(service, "-rs")).alias("owner_names"), F.array(F.lit("main"), word("side", o % 2)).alias("containers"), F.array(word("img:", o % 3)).alias("images"), F.array(F.lit("run"), word("--n", o % 2)).alias("commands"), ports.alias("ports"),
+    )
+
+
+_PODS = """pd AS (SELECT *, CASE WHEN j = 3 AND o_orderstatus = 'P' THEN 'pending' WHEN j = 6 AND o_orderstatus = 'F' THEN 'failed' WHEN j = 9 AND o_orderstatus = 'P' THEN 'succeeded' WHEN j = 10 AND o_orderstatus = 'P' THEN 'odd' ELSE 'running' END AS phase, NOT (o_custkey % 4 = 0 AND o_orderstatus = 'F') AS own_ready, o_orderkey % 2 AS restarts, j = 8 AND o_orderstatus = 'O' AS crash, j = 12 AND o_orderstatus = 'O' AS img, j = 5 AND o_orderstatus = 'F' AS oom, 'n' || (o_orderkey % 3) AS node FROM (SELECT *, o_custkey % 40 AS j, 'svc' || (o_custkey % 40) AS service FROM orders)),
+pr AS (SELECT service, count(*) AS pods_total, count(*) FILTER (WHERE own_ready AND phase = 'running') AS pods_ready, count(*) FILTER (WHERE NOT (own_ready AND phase = 'running')) AS pods_unready, sum(restarts)::BIGINT AS restarts, count(*) FILTER (WHERE phase = 'running') AS running, count(*) FILTER (WHERE phase = 'pending') AS pending, count(*) FILTER (WHERE phase = 'failed') AS failed, count(*) FILTER (WHERE phase = 'succeeded') AS succeeded, count(*) FILTER (WHERE phase = 'odd') AS unknown_phase,
+  2 * count(*) FILTER (WHERE crash) + count(*) FILTER (WHERE img) AS waiting, 2 * count(*) FILTER (WHERE oom) AS terminated, count(*) FILTER (WHERE crash) AS crashloop, count(*) FILTER (WHERE img) AS image_pull_error, count(*) FILTER (WHERE oom) AS oomkilled, string_agg(DISTINCT node, ',' ORDER BY node) AS nodes FROM pd GROUP BY 1),
+ps AS (SELECT *, CASE WHEN crashloop > 0 THEN 'crashloop' WHEN image_pull_error > 0 THEN 'image_pull_error' WHEN oomkilled > 0 THEN 'oomkilled' WHEN pending > 0 THEN 'pending' WHEN failed > 0 THEN 'failed' WHEN pods_unready > 0 THEN 'unready' WHEN pods_ready > 0 THEN 'healthy' ELSE 'unknown' END AS status FROM pr)"""
+
+
+@query(f"WITH {_PODS} SELECT service, pods_total, pods_ready, pods_unready, restarts, running, pending, failed, succeeded, unknown_phase, waiting, terminated, crashloop, image_pull_error, oomkilled, nodes, status, status NOT IN ('healthy', 'unknown') AS infra_issue, round(pods_ready / pods_total, 6) AS availability FROM ps")
 def pod_rollup(spark, d):
-    p = system.pod_rollup(pods(spark, d))
-    return p.select("service", "pods_total", "pods_ready", "pods_unready", "restarts", "pending", "crashloop", "oomkilled", F.array_join("nodes", ",").alias("nodes"), "status", "infra_issue", F.round("availability", 6).alias("availability"))
+    return system.pod_rollup(pods(spark, d)).drop("scenario_id", "pod_names").withColumns({"nodes": F.array_join("nodes", ","), "availability": F.round("availability", 6)})
 
 
 @query(f"""WITH {_PODS}, ep AS (SELECT 'svc' || c_nationkey AS service, count(*) FILTER (WHERE c_acctbal > 9000) AS r, count(*) FILTER (WHERE c_acctbal < -900) AS u FROM customer GROUP BY 1),
 ev AS (SELECT 'svc' || (s_suppkey % 50) AS service, count(*) FILTER (WHERE s_acctbal < 0) AS w FROM supplier GROUP BY 1),
-k AS (SELECT service FROM ps UNION SELECT service FROM ep UNION SELECT service FROM ev)
-SELECT service, CASE WHEN r = 0 THEN 'no_ready_endpoints' WHEN u > 0 THEN 'endpoint_not_ready' ELSE coalesce(status, 'unknown') END AS status, coalesce(w, 0) AS warnings, coalesce(r = 0, FALSE) OR coalesce(u > 0, FALSE) OR coalesce(w, 0) > 0 OR coalesce(status NOT IN ('healthy', 'unknown'), FALSE) AS infra_issue FROM k LEFT JOIN ps USING (service) LEFT JOIN ep USING (service) LEFT JOIN ev USING (service)""")
+dp AS (SELECT 'svc' || (n_nationkey + 45) AS service, n_regionkey AS replicas FROM nation),
+k AS (SELECT service FROM ps UNION SELECT service FROM ep UNION SELECT service FROM ev UNION SELECT service FROM dp)
+SELECT service, replicas, CASE WHEN r = 0 THEN 'no_ready_endpoints' WHEN u > 0 THEN 'endpoint_not_ready' ELSE coalesce(status, 'unknown') END AS status, coalesce(w, 0) AS warnings, coalesce(r = 0, FALSE) OR coalesce(u > 0, FALSE) OR coalesce(w, 0) > 0 OR coalesce(status NOT IN ('healthy', 'unknown'), FALSE) AS infra_issue FROM k LEFT JOIN ps USING (service) LEFT JOIN ep USING (service) LEFT JOIN ev USING (service) LEFT JOIN dp USING (service)""")
 def outer_merge_system(spark, d):
     ends = _read(spark, d, "customer").select(F.lit("s").alias("scenario_id"), F.concat(F.lit("svc"), F.col("c_nationkey").cast("string")).alias("service"), (F.col("c_acctbal") > 9000).cast("int").alias("ready_endpoints"), (F.col("c_acctbal") < -900).cast("int").alias("not_ready_endpoints"))
     events = _read(spark, d, "supplier").select(F.lit("s").alias("scenario_id"), F.concat(F.lit("svc"), (F.col("s_suppkey") % 50).cast("string")).alias("service"), (F.col("s_acctbal") < 0).alias("is_warning"))
-    return system.merged(system.pod_rollup(pods(spark, d)), ends, events).select("service", "status", "warnings", "infra_issue")
+    made = _read(spark, d, "nation").select(F.lit("s").alias("scenario_id"), F.concat(F.lit("svc"), (F.col("n_nationkey") + 45).cast("string")).alias("service"), F.col("n_regionkey").alias("replicas"))
+    return system.merged(system.pod_rollup(pods(spark, d)), ends, events, made).select("service", "status", "warnings", "infra_issue", "replicas")
 
 
 @query(f"WITH {_PODS} , c AS (SELECT service, node, count(*) AS n FROM pd GROUP BY 1, 2) SELECT service, string_agg(node || '=' || n, ',' ORDER BY node) AS counts FROM c GROUP BY service")
@@ -291,52 +375,93 @@ def graph_edges_precedence(spark, d):
     return traces.preferred_edges(pair(same, "n_name", "r_name"), pair(n["n_regionkey"] >= r["r_regionkey"], "n_name", "r_name"), pair(same, "r_name", "n_name")).drop("scenario_id")
 
 
-def state(spark: SparkSession, d: str) -> DataFrame:
-    """Services with log anomaly, latency and pod state together, from the log, span and pod mappings."""
-    rows = logs.parsed(lines(spark, d))
-    key = ["scenario_id", "service"]
-    score = logs.anomaly(logs.rollup(rows), logs.type_counts(rows), logs.dependencies(rows)).select(*key, (F.col("log_anomaly_score") * 0.6).alias("anomaly"), "errors")
-    late = metrics.latency_back_fill(samples(spark, d), traces.call_edges(one_file(spark, d)))
-    own = system.pod_rollup(pods(spark, d)).select(*key, "status", "infra_issue", "pods_unready", "crashloop")
-    return own.join(score, key, "full_outer").join(late, key, "full_outer").fillna({"anomaly": 0.0, "errors": 0, "latency_ms": 0.0, "pods_unready": 0, "crashloop": 0, "status": "unknown", "infra_issue": False})
+_LAYERS: dict[tuple, DataFrame] = {}
 
 
-_STATE = f"""{_EDGES}, {_LINES}, {_TYPES}, {_PODS}, tw AS (SELECT service, sum(least(n * x * 0.05, x)) AS by_type FROM (SELECT *, CASE error_type WHEN 'crash_or_panic' THEN 0.4::DOUBLE WHEN 'permission_error' THEN 0.3::DOUBLE ELSE 0.35::DOUBLE END AS x FROM t) GROUP BY 1),
-lf AS (SELECT service, count(*) FILTER (WHERE severity = 'error') AS e, count(*) FILTER (WHERE severity = 'fatal') AS f, count(*) FILTER (WHERE severity = 'warn') AS w, count(target) AS d FROM l GROUP BY 1),
-la AS (SELECT service, e AS errors, 0.6::DOUBLE * round(greatest(0, least(1, least(e * 0.04::DOUBLE, 0.5) + least(f * 0.2::DOUBLE, 0.4) + least(w * 0.008::DOUBLE, 0.12) + least(d * 0.04::DOUBLE, 0.45) + coalesce(by_type, 0) + CASE WHEN d > 0 THEN 0.15 ELSE 0 END)), 4) AS anomaly FROM lf LEFT JOIN tw USING (service)),
-lw AS (SELECT dst AS service, max(latency_p95_us) / 1000 AS latency_ms FROM ed GROUP BY dst), ls AS (SELECT DISTINCT 'svc' || (user_id % 20) AS service FROM events), ll AS (SELECT service, latency_ms FROM ls FULL JOIN lw USING (service)),
-st AS (SELECT service, coalesce(status, 'unknown') AS status, coalesce(status NOT IN ('healthy', 'unknown'), FALSE) AS infra_issue, coalesce(pods_unready, 0) AS pods_unready, coalesce(crashloop, 0) AS crashloop, coalesce(anomaly, 0) AS anomaly, coalesce(errors, 0) AS errors, coalesce(latency_ms, 0) AS latency_ms FROM ps FULL JOIN la USING (service) FULL JOIN ll USING (service))"""
-_FAULTS = "fi AS (SELECT 'svc' || n_nationkey AS service, CASE n_regionkey WHEN 0 THEN 'auth_miss_mongodb' ELSE 'pod_failure' END AS fault_family FROM nation WHERE n_nationkey % 8 = 0)"
-_SCORES = f"""{_STATE}, {_FAULTS}, sc AS (SELECT service, sum(score) AS score, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM (
-  SELECT service, anomaly AS score, 'log_anomaly' AS reason FROM st WHERE anomaly > 0 UNION ALL SELECT service, 0.25, 'high_latency' FROM st WHERE latency_ms > 500 UNION ALL SELECT service, 0.5, 'infra_issue' FROM st WHERE infra_issue
-  UNION ALL SELECT dst, edge_score, 'incoming_edge' FROM ed WHERE edge_score > 0 UNION ALL SELECT dst, 0.4, 'failing_self_call' FROM ed WHERE src = dst AND error_ratio > 0.3
-  UNION ALL SELECT service, CASE WHEN coalesce(status, 'unknown') NOT IN ('healthy', 'unknown') THEN 1.25 ELSE 0.35 END, 'known_fault' FROM fi LEFT JOIN st USING (service)) GROUP BY service),
-rk AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, service) AS rank FROM sc)"""
+def layer(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A table that several reports of a run read is made once and kept; what is lost of it is made again."""
+
+    def kept(spark: SparkSession, d: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, f.__name__, d)
+        if key not in _LAYERS:
+            _LAYERS[key] = f(spark, d).persist()
+        return _LAYERS[key]
+
+    return kept
+
+
+@layer
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    return traces.call_edges(one_file(spark, d))
+
+
+@layer
+def features(spark: SparkSession, d: str) -> DataFrame:
+    return logs.rollup(facts(spark, d))
+
+
+@layer
+def facts(spark: SparkSession, d: str) -> DataFrame:
+    return log_facts(spark, d)
+
+
+@layer
+def state(spark: SparkSession, d: str) -> DataFrame:
+    """Services with their log, metric, latency and pod state together, with defaults where a source has nothing."""
+    key = ["scenario_id", "service"]
+    log = features(spark, d).select(*key, F.col("log_anomaly_score").alias("anomaly"), "lines", "errors", "warns", "dominant_error_type")
+    kpis = metrics.flat_fields(metrics.kpi_summary(samples(spark, d)))
+    late = metrics.latency_back_fill(kpis, edges(spark, d))
+    own = system.pod_rollup(pods(spark, d)).drop("running", "pending", "failed", "succeeded", "unknown_phase", "waiting", "terminated")
+    made = own.join(log, key, "full_outer").join(kpis, key, "full_outer").join(late, key, "full_outer").withColumn("metric_restarts", F.when(F.col("service") == "svc11", 1.0).otherwise(0.0))
+    return made.fillna(0).fillna({"status": "unknown", "infra_issue": False, "dominant_error_type": "none", "metric_signal_present": False})
+
+
+_STATE = f"""{_EDGES}, {_LINES}, {_PODS}, {_FLAT},
+lw AS (SELECT dst AS service, max(latency_p95_us) / 1000 AS latency_ms FROM ed GROUP BY dst), ll AS (SELECT service, latency_ms FROM fl FULL JOIN lw USING (service)),
+st AS (SELECT service, coalesce(status, 'unknown') AS status, coalesce(status NOT IN ('healthy', 'unknown'), FALSE) AS infra_issue, coalesce(pods_total, 0) AS pods_total, coalesce(pods_ready, 0) AS pods_ready, coalesce(pods_unready, 0) AS pods_unready, coalesce(crashloop, 0) AS crashloop, coalesce(oomkilled, 0) AS oomkilled, coalesce(image_pull_error, 0) AS image_pull_error, coalesce(restarts, 0) AS restarts, coalesce(pods_ready / pods_total, 0) AS availability, coalesce(log_anomaly_score, 0) AS anomaly, coalesce(lines, 0) AS lines, coalesce(errors, 0) AS errors, coalesce(warns, 0) AS warns, coalesce(dominant_error_type, 'none') AS dominant_error_type, coalesce(latency_ms, 0) AS latency_ms, CASE service WHEN 'svc11' THEN 1.0 ELSE 0.0 END AS metric_restarts,
+  {", ".join(f"coalesce({k}, 0) AS {k}" for k in metrics.FLAT_FIELDS)}, fl.service IS NOT NULL AS metric_signal_present FROM ps FULL JOIN lf USING (service) FULL JOIN ll USING (service) LEFT JOIN fl USING (service))"""
+_FAULTS = "fi AS (SELECT n_nationkey AS no, 'svc' || n_nationkey AS service, CASE n_regionkey WHEN 0 THEN 'auth_miss_mongodb' ELSE 'pod_failure' END AS fault_family, CASE n_nationkey WHEN 8 THEN 'wide' ELSE 'default' END AS variant FROM nation WHERE n_nationkey % 8 = 0)"
+_HALF_UP = lambda x: _THREE.format(f"(CAST(round({x} * 10000) AS BIGINT) + 5) // 10")  # noqa: E731  (of a number with four decimals)
+_FAULT = "CASE WHEN fault_family = 'auth_miss_mongodb' THEN 'auth_failure' ELSE 'infra_failure' END"
+_SCORES = f"""{_STATE}, {_FAULTS}, fs AS (SELECT fi.*, coalesce(status, 'unknown') AS status FROM fi LEFT JOIN st USING (service)),
+evi AS (SELECT service, anomaly AS score, 'log_anomaly=' || {_HALF_UP("anomaly")} AS reason, 1 AS o, '' AS p FROM st WHERE anomaly > 0 UNION ALL SELECT service, 0, 'log_error_type=' || dominant_error_type, 2, '' FROM st WHERE dominant_error_type <> 'none' UNION ALL SELECT service, 0.25, 'high_latency_ms', 3, '' FROM st WHERE latency_ms > 500
+  UNION ALL SELECT service, 0.2, 'container_restarts_metric', 4, '' FROM st WHERE metric_restarts > 0 UNION ALL SELECT service, 0.5, 'infra_issue=' || status, 5, '' FROM st WHERE infra_issue UNION ALL SELECT dst, edge_score, CASE WHEN edge_score > 0.2 THEN 'trace_edge_issue=' || src || '->' || dst END, 6, src FROM ed WHERE edge_score > 0 UNION ALL SELECT dst, 0, 'trace_failure_type=' || failure_type, 7, src FROM ed WHERE edge_score > 0.2
+  UNION ALL SELECT dst, 0.4, 'self_loop_failure', 8, src FROM ed WHERE src = dst AND error_ratio > 0.3 UNION ALL SELECT service, CASE WHEN status NOT IN ('healthy', 'unknown') THEN 1.25 ELSE 0.35 END, 'scenario_fault_context=' || {_FAULT}, 9, fault_family FROM fs UNION ALL SELECT service, 0, 'direct_system_status=' || status, 10, fault_family FROM fs WHERE status NOT IN ('healthy', 'unknown') UNION ALL SELECT service, 0, 'scenario_variant=' || variant, 11, fault_family FROM fs WHERE variant <> 'default'),
+sc AS (SELECT service, round(sum(score), 9)::DOUBLE AS score, array_to_string((list(reason ORDER BY o, p, reason) FILTER (WHERE reason IS NOT NULL))[1:10], ',') AS reasons FROM evi GROUP BY service),
+rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, service) AS rank FROM sc)"""
 
 
 def faults(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "nation").where("n_nationkey % 8 = 0").select(F.lit("s").alias("scenario_id"), F.concat(F.lit("svc"), F.col("n_nationkey").cast("string")).alias("service"), F.when(F.col("n_regionkey") == 0, "auth_miss_mongodb").otherwise("pod_failure").alias("fault_family"))
+    k = F.col("n_nationkey")
+    return _read(spark, d, "nation").where("n_nationkey % 8 = 0").select(F.lit("s").alias("scenario_id"), k.alias("no"), F.concat(F.lit("svc"), k.cast("string")).alias("service"), F.when(F.col("n_regionkey") == 0, "auth_miss_mongodb").otherwise("pod_failure").alias("fault_family"), F.when(k == 8, '{"variant": "wide", "n": 3}').otherwise("").alias("variant"))
 
 
+@layer
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    return diagnosis.rca_scores(state(spark, d), traces.call_edges(one_file(spark, d)), faults(spark, d)).withColumn("score", F.round("score", 9))
+    return diagnosis.rca_scores(state(spark, d), edges(spark, d), faults(spark, d)).withColumn("score", F.round("score", 9))
+
 
+_SLA_TEXT = f"concat_ws(',', CASE WHEN latency_ms > 500 THEN 'latency_high' END, CASE WHEN anomaly > 0.5 THEN 'log_anomaly=' || {_HALF_UP('anomaly')} END, CASE WHEN pods_unready > 0 THEN 'pods_unready' END, CASE WHEN crashloop > 0 THEN 'crashloop' END)"
 
-@query(f"WITH {_STATE} SELECT service, latency_ms > 500 AS slow, anomaly > 0.5 AS anomalous, latency_ms > 500 OR anomaly > 0.5 OR pods_unready > 0 OR crashloop > 0 AS violated FROM st")
+
+@query(f"WITH {_STATE} SELECT service, {_SLA_TEXT} AS reasons, {_SLA_TEXT} <> '' AS violated FROM st")
 def service_sla(spark, d):
     s = diagnosis.service_sla(state(spark, d))
-    return s.select("service", F.array_contains("reasons", "latency").alias("slow"), F.array_contains("reasons", "log_anomaly").alias("anomalous"), "violated")
+    return s.select("service", F.regexp_replace(F.array_join("reasons", ","), "(latency_high)=[0-9.E]+", "$1").alias("reasons"), "violated")
 
 
-@query(f"WITH {_STATE}, a AS (SELECT count(*) AS s FROM st WHERE latency_ms > 500 OR anomaly > 0.5 OR pods_unready > 0 OR crashloop > 0), b AS (SELECT count(*) AS e FROM ed WHERE error_ratio > 0.2 OR latency_p95_us / 1000 > 800), c AS (SELECT count(*) AS u FROM st WHERE status NOT IN ('healthy', 'unknown')) SELECT s AS service_violations, e AS edge_violations, u AS unhealthy_services, e > 0 OR u > 0 AS violated, u > 1 AS multiple_unhealthy FROM a, b, c")
+@query(f"WITH {_STATE}, a AS (SELECT count(*) AS s FROM st WHERE {_SLA_TEXT} <> ''), b AS (SELECT count(*) AS e FROM ed WHERE error_ratio > 0.2 OR latency_p95_us / 1000 > 800), c AS (SELECT count(*) AS u FROM st WHERE status NOT IN ('healthy', 'unknown')) SELECT s AS service_violations, e AS edge_violations, u AS unhealthy_services, e > 0 OR u > 0 AS violated, u > 1 AS multiple_unhealthy, concat_ws(',', CASE WHEN e > 0 THEN 'dependency_failures_present' END, CASE WHEN u > 0 THEN 'unhealthy_services_present' END, CASE WHEN u > 1 THEN 'multiple_unhealthy_services' END) AS reasons FROM a, b, c")
 def global_sla(spark, d):
     s = state(spark, d)
-    return diagnosis.global_sla(diagnosis.service_sla(s), diagnosis.edge_sla(traces.call_edges(one_file(spark, d))), s.where("status not in ('healthy', 'unknown')")).drop("scenario_id")
+    made = diagnosis.global_sla(diagnosis.service_sla(s), diagnosis.edge_sla(edges(spark, d)), s.where("status not in ('healthy', 'unknown')"))
+    return made.drop("scenario_id").withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query(f"WITH {_SCORES} SELECT service, round(score, 6) AS score, reasons FROM sc")
 def rca_scores(spark, d):
-    return scores(spark, d).select("service", F.round("score", 6).alias("score"), F.array_join("reasons", ",").alias("reasons"))
+    plain = F.regexp_replace(F.array_join("reasons", ","), "(high_latency_ms)=[0-9.]+", "$1")
+    return scores(spark, d).select("service", F.round("score", 6).alias("score"), plain.alias("reasons"))
 
 
 @query(f"WITH {_SCORES} SELECT rank, service, round(score, 6) AS score FROM rk WHERE rank <= 8")
@@ -344,20 +469,26 @@ def rca_topk(spark, d):
     return diagnosis.ranked(scores(spark, d)).select("rank", "service", F.round("score", 6).alias("score"))
 
 
-_HEALTH = f"""{_SCORES}, he AS (SELECT service, CASE WHEN service IN (SELECT dst FROM ed WHERE is_suspicious) THEN 'dependency_degraded' WHEN anomaly > 0.4 THEN 'app_degraded' WHEN infra_issue THEN 'infra_degraded' WHEN service IN (SELECT service FROM rk WHERE rank <= 3) THEN 'silent_suspect' ELSE 'healthy' END AS health FROM st)"""
+_HEALTH = f"""{_SCORES}, cb AS (SELECT dst AS service, string_agg('incoming_trace_issue=' || src || '->' || dst, ',' ORDER BY src || '->' || dst) AS calls FROM ed WHERE is_suspicious GROUP BY 1), h0 AS (SELECT st.*, calls, CASE WHEN calls IS NOT NULL THEN 'dependency_degraded' WHEN anomaly > 0.4 THEN 'app_degraded' WHEN infra_issue THEN 'infra_degraded' WHEN service IN (SELECT service FROM rk WHERE rank <= 3) THEN 'suspect_silent_failure' ELSE 'healthy' END AS health FROM st LEFT JOIN cb USING (service)),
+he AS (SELECT service, health, array_to_string(string_split(concat_ws(',', CASE WHEN infra_issue THEN status END, CASE WHEN anomaly > 0.4 THEN 'log_anomaly' END, calls, CASE WHEN health = 'suspect_silent_failure' THEN 'ranked_by_rca_context_or_weak_signals' END), ',')[1:8], ',') AS reasons FROM h0)"""
+
+
+@layer
+def health(spark: SparkSession, d: str) -> DataFrame:
+    return diagnosis.service_health(state(spark, d), edges(spark, d), diagnosis.ranked(scores(spark, d)))
 
 
 @query(f"WITH {_HEALTH} SELECT * FROM he")
 def service_health(spark, d):
-    return diagnosis.service_health(state(spark, d), traces.call_edges(one_file(spark, d)), diagnosis.ranked(scores(spark, d))).drop("scenario_id")
+    return health(spark, d).drop("scenario_id").withColumn("reasons", F.array_join("reasons", ","))
 
 
 def clusters(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
-    return state(spark, d).select("scenario_id", "service", rules.behaviour_cluster(c("errors"), c("anomaly"), c("infra_issue"), c("pods_unready"), F.lit(0.0), c("latency_ms")).alias("cluster"))
+    return state(spark, d).select("scenario_id", "service", rules.behaviour_cluster(c("errors"), c("anomaly"), c("infra_issue"), c("pods_unready"), c("cpu_usage_delta"), c("memory_usage_last")).alias("cluster"))
 
 
-_CLUSTERS = "cu AS (SELECT service, CASE WHEN errors > 0 OR anomaly >= 0.5 THEN 'log_error_or_dependency_failure' WHEN infra_issue OR pods_unready > 0 THEN 'infra_unhealthy' WHEN latency_ms > 0 THEN 'resource_active' ELSE 'low_signal' END AS cluster FROM st)"
+_CLUSTERS = "cu AS (SELECT service, CASE WHEN errors > 0 OR anomaly >= 0.5 THEN 'log_error_or_dependency_failure' WHEN infra_issue OR pods_unready > 0 THEN 'infra_unhealthy' WHEN cpu_usage_delta > 0 OR memory_usage_last > 0 THEN 'active_but_no_errors' ELSE 'low_signal_or_no_data' END AS cluster FROM st)"
 
 
 @query(f"WITH {_STATE}, {_CLUSTERS} SELECT * FROM cu")
@@ -365,24 +496,32 @@ def behaviour_clusters(spark, d):
     return clusters(spark, d).drop("scenario_id")
 
 
-@query(f"""WITH {_HEALTH}, {_CLUSTERS}, m AS (SELECT service, service IN (SELECT service FROM fi) AS f, service IN (SELECT service FROM rk WHERE rank = 1 OR (rank <= 5 AND score > 0.2)) AS t, health <> 'healthy' AS h, cluster = 'log_error_or_dependency_failure' AS l, cluster = 'infra_unhealthy' AS i, service IN (SELECT dst FROM ed WHERE is_suspicious OR error_ratio > 0.3) AS c FROM he JOIN cu USING (service)),
-w AS (SELECT *, concat_ws(',', CASE WHEN f THEN 'known_fault' END, CASE WHEN t THEN 'candidate' END, CASE WHEN h THEN 'health' END, CASE WHEN l THEN 'log_cluster' END, CASE WHEN i THEN 'infra_cluster' END) AS r FROM m)
-SELECT service, CASE WHEN r = '' AND c THEN 'incoming_call' ELSE r END AS reasons, r <> '' OR c AS relevant FROM w""")
+_MEMBERS = f"""{_HEALTH}, {_CLUSTERS}, m AS (SELECT service, service IN (SELECT service FROM fi) AS f, service IN (SELECT service FROM rk WHERE rank = 1 OR (rank <= 5 AND score > 0.2)) AS t, health, cluster = 'log_error_or_dependency_failure' AS l, cluster = 'infra_unhealthy' AS i, service IN (SELECT dst FROM ed WHERE is_suspicious OR error_ratio > 0.3) AS c FROM he JOIN cu USING (service)),
+w AS (SELECT *, concat_ws(',', CASE WHEN f THEN 'known_faulty_service_from_spec' END, CASE WHEN t THEN 'top_rca_candidate' END, CASE WHEN health <> 'healthy' THEN 'service_health=' || health END, CASE WHEN l THEN 'in_log_error_cluster' END, CASE WHEN i THEN 'in_infra_unhealthy_cluster' END) AS r FROM m),
+mem AS (SELECT service, CASE WHEN r = '' AND c THEN 'suspicious_incoming_trace_edge' ELSE r END AS reasons, r <> '' OR c AS relevant FROM w)"""
+
+
+def membership(spark: SparkSession, d: str) -> DataFrame:
+    return diagnosis.twin_membership(health(spark, d), scores(spark, d), clusters(spark, d), edges(spark, d), faults(spark, d))
+
+
+@query(f"WITH {_MEMBERS} SELECT * FROM mem")
 def twin_membership(spark, d):
-    e, s = traces.call_edges(one_file(spark, d)), scores(spark, d)
-    health = diagnosis.service_health(state(spark, d), e, diagnosis.ranked(s))
-    made = diagnosis.twin_membership(health, s, clusters(spark, d), e, faults(spark, d))
-    return made.select("service", F.array_join("reasons", ",").alias("reasons"), "relevant")
+    return membership(spark, d).select("service", F.array_join("reasons", ",").alias("reasons"), "relevant")
 
 
-@query(f"""WITH {_STATE}, {_FAULTS}, g AS (SELECT dst AS service, 'trace_error_edges' AS signal FROM ed WHERE error_ratio > 0.2 UNION ALL SELECT dst, 'latency_degradation_edges' FROM ed WHERE latency_p95_us > 100000 UNION ALL SELECT service, 'infra_issue_count' FROM st WHERE infra_issue UNION ALL SELECT service, 'log_anomaly_count' FROM st WHERE anomaly > 0.2 UNION ALL SELECT service, 'system_status:' || status FROM st WHERE infra_issue UNION ALL SELECT service, fault_family FROM fi) SELECT service, signal, count(*) AS n FROM g GROUP BY 1, 2""")
+_SIGNATURE = f"""{_STATE}, {_FAULTS}, g AS (SELECT dst AS service, 'trace_error_edges' AS signal FROM ed WHERE error_ratio > 0.2 UNION ALL SELECT dst, 'latency_degradation_edges' FROM ed WHERE latency_p95_us > 100000 UNION ALL SELECT service, 'infra_issue_count' FROM st WHERE infra_issue UNION ALL SELECT service, 'log_anomaly_count' FROM st WHERE anomaly > 0.2 UNION ALL SELECT service, 'system_status:' || status FROM st WHERE infra_issue UNION ALL SELECT service, fault_family FROM fi UNION ALL SELECT service, 'variant:' || variant FROM fi WHERE variant <> 'default')"""
+
+
+@query(f"WITH {_SIGNATURE} SELECT service, signal, count(*) AS n FROM g GROUP BY 1, 2")
 def fault_signature(spark, d):
-    return diagnosis.fault_signature(traces.call_edges(one_file(spark, d)), state(spark, d), faults(spark, d)).drop("scenario_id")
+    return diagnosis.fault_signature(edges(spark, d), state(spark, d), faults(spark, d)).drop("scenario_id")
 
 
-@query(f"""WITH {_STATE}, {_FAULTS}, a AS (SELECT service FROM fi WHERE fault_family LIKE '%auth%') SELECT DISTINCT dst AS service, 'dependency_failure' AS fault_type FROM ed WHERE error_ratio > 0.2 AND dst NOT IN (SELECT service FROM a) UNION SELECT service, 'auth_failure' FROM a UNION SELECT dst, 'latency_degradation' FROM ed WHERE latency_p95_us > 100000 UNION SELECT service, 'infra_failure' FROM st WHERE infra_issue""")
+@query(f"""WITH {_SIGNATURE}, a AS (SELECT service FROM fi WHERE fault_family LIKE '%auth%'), r AS (SELECT DISTINCT dst AS service, 'dependency_failure' AS fault_type FROM ed WHERE error_ratio > 0.2 AND dst NOT IN (SELECT service FROM a) UNION SELECT service, 'auth_failure' FROM a UNION SELECT dst, 'latency_degradation' FROM ed WHERE latency_p95_us > 100000 UNION SELECT service, 'infra_failure' FROM st WHERE infra_issue UNION SELECT service, 'variant_specific' FROM fi WHERE variant <> 'default')
+SELECT * FROM r UNION ALL SELECT NULL, t FROM (SELECT unnest({rules.LIBRARY_FAULT_TYPES}) AS t) WHERE t NOT IN (SELECT fault_type FROM r)""")
 def fault_library(spark, d):
-    return diagnosis.fault_library(diagnosis.fault_signature(traces.call_edges(one_file(spark, d)), state(spark, d), faults(spark, d))).drop("scenario_id")
+    return diagnosis.fault_library(diagnosis.fault_signature(edges(spark, d), state(spark, d), faults(spark, d))).drop("scenario_id")
 
 
 _SIM = """SELECT src, dst, CASE WHEN src = 'svc3' THEN {er} ELSE error_ratio END AS er, CASE WHEN src = 'svc3' THEN greatest(latency_p95_us, 200000) ELSE latency_p95_us END AS p FROM ed"""
@@ -390,13 +529,13 @@ _SIM = """SELECT src, dst, CASE WHEN src = 'svc3' THEN {er} ELSE error_ratio END
 
 @query(f"WITH {_EDGES}, s AS ({_SIM.format(er='greatest(error_ratio, 0.9)')}) SELECT src, dst, round(er, 6) AS error_ratio, round(p, 4) AS latency_p95_us, er > 0.2 OR p > 100000 AS is_suspicious FROM s")
 def sim_fault(spark, d):
-    _, e = simulator.simulate(state(spark, d), traces.call_edges(one_file(spark, d)), "svc3", "auth_failure")
+    _, e = simulator.simulate(state(spark, d), edges(spark, d), "svc3", "auth_failure")
     return e.select("src", "dst", F.round("error_ratio", 6).alias("error_ratio"), F.round("latency_p95_us", 4).alias("latency_p95_us"), "is_suspicious")
 
 
 @query(f"WITH {_EDGES}, s AS ({_SIM.format(er='0.0')}) SELECT src, dst, round(er, 6) AS error_ratio, round(p, 4) AS latency_p95_us, er > 0.2 OR p > 100000 AS is_suspicious FROM s")
 def sim_mitigated(spark, d):
-    _, e = simulator.simulate(state(spark, d), traces.call_edges(one_file(spark, d)), "svc3", "auth_failure", {"action": "rollback_config", "service": "svc3"})
+    _, e = simulator.simulate(state(spark, d), edges(spark, d), "svc3", "auth_failure", {"action": "rollback_config", "service": "svc3"})
     return e.select("src", "dst", F.round("error_ratio", 6).alias("error_ratio"), F.round("latency_p95_us", 4).alias("latency_p95_us"), "is_suspicious")
 
 
@@ -413,25 +552,39 @@ def port_groups(spark, d):
 
 def _snapshots(spark: SparkSession, d: str) -> DataFrame:
     t, k = _read(spark, d, "orders"), F.col("o_orderkey")
-    return t.select(F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string")).alias("scenario_id"), k.alias("pod"), (k % 3 == 0).alias("relevant"), F.when(k % 7 != 0, F.col("o_orderstatus") == "O").alias("pre"), (F.col("o_totalprice") > 40000).alias("post"))
+    return t.select(F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string")).alias("scenario_id"), k.alias("pod"), ((k % 3 == 0) & (F.col("o_custkey") % 50 != 9)).alias("relevant"), F.when(k % 7 != 0, F.col("o_orderstatus") == "O").alias("pre"), F.when((F.col("o_custkey") % 50 != 7) | (k % 3 != 0), F.col("o_totalprice") > 40000).alias("post"))
 
 
-_REWARD = """p AS (SELECT 'c' || (o_custkey % 50) AS scenario_id, o_orderkey % 3 = 0 AS rel, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus = 'O' END AS pre, o_totalprice > 40000 AS post FROM orders),
-r AS (SELECT scenario_id, count(*) FILTER (WHERE rel) AS tracked, count(*) FILTER (WHERE rel AND post) AS ready, count(*) FILTER (WHERE rel AND post AND NOT coalesce(pre, TRUE)) AS recovered, count(*) FILTER (WHERE rel AND NOT post AND coalesce(pre, TRUE)) AS regressed, avg(post::INT::DOUBLE) AS share FROM p GROUP BY 1)"""
+_REWARD = """p AS (SELECT 'c' || (o_custkey % 50) AS scenario_id, o_orderkey % 3 = 0 AND o_custkey % 50 <> 9 AS rel, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus = 'O' END AS pre, CASE WHEN o_custkey % 50 <> 7 OR o_orderkey % 3 <> 0 THEN o_totalprice > 40000 END AS post FROM orders),
+r AS (SELECT scenario_id, bool_or(rel) AS marked, count(*) FILTER (WHERE rel AND post IS NOT NULL) AS tracked, count(*) FILTER (WHERE rel AND post) AS ready, count(*) FILTER (WHERE rel AND post AND NOT coalesce(pre, TRUE)) AS recovered, count(*) FILTER (WHERE rel AND NOT post AND coalesce(pre, TRUE)) AS regressed, avg(post::INT::DOUBLE) AS share FROM p GROUP BY 1)"""
 
 
-@query(f"WITH {_REWARD} SELECT scenario_id, tracked, ready, recovered, regressed, round(CASE WHEN tracked = 0 THEN share WHEN ready = tracked THEN 1 ELSE least(1, ready / tracked + 0.1 * recovered / tracked) END, 6)::DOUBLE AS reward FROM r")
+@query(f"WITH {_REWARD} SELECT scenario_id, tracked, ready, recovered, regressed, round(CASE WHEN NOT marked THEN share WHEN tracked = 0 THEN 0 WHEN ready = tracked THEN 1 ELSE least(1, ready / tracked + 0.1 * recovered / tracked) END, 6)::DOUBLE AS reward FROM r")
 def reward(spark, d):
     return _rounded(outcome.rewards(_snapshots(spark, d)), "reward")
 
 
-@query("""WITH o AS (SELECT DISTINCT 's' || (n_nationkey % 5) AS scenario_id, lower(n_name) AS service FROM nation), x AS (SELECT DISTINCT 's' || (n_nationkey % 5) AS scenario_id, lower(substr(n_name, 1, 4)) AS other FROM nation WHERE n_nationkey % 3 = 0),
-m AS (SELECT o.*, EXISTS (SELECT 1 FROM x WHERE x.scenario_id = o.scenario_id AND (contains(o.service, x.other) OR contains(x.other, o.service))) AS hit FROM o)
-SELECT scenario_id, count(*) AS original, count(*) FILTER (WHERE hit) AS matched, round(count(*) FILTER (WHERE hit) / count(*), 6) AS score, count(*) FILTER (WHERE hit) / count(*) >= 0.5 AS verified FROM m GROUP BY 1""")
+_OVERLAP = """o AS (SELECT DISTINCT 's' || (n_nationkey % 5) AS scenario_id, lower(n_name) AS service FROM nation WHERE n_nationkey % 5 < 4), x AS (SELECT DISTINCT 's' || (n_nationkey % 5) AS scenario_id, lower(substr(n_name, 1, 7)) AS other FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey % 5 <> 3),
+rc AS (SELECT 's' || n_nationkey AS scenario_id, CASE n_nationkey WHEN 0 THEN 'nothing' WHEN 3 THEN '' ELSE lower(n_name) END AS root_cause FROM nation WHERE n_nationkey < 6),
+om AS (SELECT o.*, EXISTS (SELECT 1 FROM x WHERE x.scenario_id = o.scenario_id AND (contains(o.service, x.other) OR contains(x.other, o.service))) AS hit FROM o),
+oa AS (SELECT scenario_id, count(*) AS original, count(*) FILTER (WHERE hit) AS matched, coalesce(string_agg(service, ',' ORDER BY service) FILTER (WHERE NOT hit), '') AS missing FROM om GROUP BY 1),
+xa AS (SELECT scenario_id, count(*) AS observed, coalesce(string_agg(other, ',' ORDER BY other) FILTER (WHERE NOT EXISTS (SELECT 1 FROM om WHERE om.scenario_id = x.scenario_id AND om.service = x.other AND om.hit)), '') AS extra FROM x GROUP BY 1),
+ov0 AS (SELECT scenario_id, coalesce(original, 0) AS original, coalesce(matched, 0) AS matched, coalesce(missing, '') AS missing, coalesce(observed, 0) AS observed, coalesce(extra, '') AS extra, root_cause,
+  coalesce(root_cause <> '' AND EXISTS (SELECT 1 FROM x WHERE x.scenario_id = rc.scenario_id AND (contains(x.other, root_cause) OR contains(root_cause, x.other))), FALSE) AS root_cause_degraded FROM rc FULL JOIN oa USING (scenario_id) FULL JOIN xa USING (scenario_id)),
+ov AS (SELECT *, CASE WHEN original > 0 THEN matched / original WHEN observed = 0 THEN 1.0 ELSE 0.5 END AS raw FROM ov0)"""
+
+
+def overlaps(spark: SparkSession, d: str) -> DataFrame:
+    n, k = _read(spark, d, "nation"), F.col("n_nationkey")
+    sid = F.concat(F.lit("s"), (k % 5).cast("string")).alias("scenario_id")
+    observed = n.where((k % 3 == 0) & (k % 5 != 3)).select(sid, F.lower(F.substring("n_name", 1, 7)).alias("service"))
+    causes = n.where("n_nationkey < 6").select(F.concat(F.lit("s"), k.cast("string")).alias("scenario_id"), F.when(k == 0, "nothing").when(k == 3, "").otherwise(F.lower("n_name")).alias("root_cause"))
+    return outcome.overlap(n.where(k % 5 < 4).select(sid, F.lower("n_name").alias("service")), observed, causes=causes)
+
+
+@query(f"WITH {_OVERLAP} SELECT scenario_id, original, matched, missing, observed, extra, root_cause, root_cause_degraded, round(raw, 6) AS score, root_cause_degraded OR raw >= 0.5 AS verified FROM ov")
 def symptom_overlap(spark, d):
-    n = _read(spark, d, "nation")
-    sid = F.concat(F.lit("s"), (F.col("n_nationkey") % 5).cast("string")).alias("scenario_id")
-    return _rounded(outcome.overlap(n.select(sid, F.lower("n_name").alias("service")), n.where("n_nationkey % 3 = 0").select(sid, F.lower(F.substring("n_name", 1, 4)).alias("service"))), "score")
+    return _rounded(overlaps(spark, d), "score").withColumns({c: F.array_join(c, ",") for c in ("missing", "extra")})
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
@@ -456,7 +609,7 @@ def best_iteration(spark, d):
     return outcome.best_iteration(_read(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("scenario_id"), F.col("event_id").alias("iteration"), F.col("value").alias("reward")))
 
 
-@query(f"WITH {_REWARD}, w AS (SELECT CASE WHEN tracked = 0 THEN share WHEN ready = tracked THEN 1 ELSE least(1, ready / tracked + 0.1 * recovered / tracked) END AS reward FROM r) SELECT count(*) AS total, count(*) FILTER (WHERE reward >= 1) AS passed, round(avg(reward), 6)::DOUBLE AS mean_reward FROM w")
+@query(f"WITH {_REWARD}, w AS (SELECT CASE WHEN NOT marked THEN share WHEN tracked = 0 THEN 0 WHEN ready = tracked THEN 1 ELSE least(1, ready / tracked + 0.1 * recovered / tracked) END AS reward FROM r) SELECT count(*) AS total, count(*) FILTER (WHERE reward >= 1) AS passed, round(avg(reward), 6)::DOUBLE AS mean_reward FROM w")
 def batch_summary(spark, d):
     return _rounded(outcome.batch_summary(outcome.rewards(_snapshots(spark, d))), "mean_reward")
 
@@ -478,10 +631,10 @@ def command_parse(spark, d):
     return t.select("event_id", F.array_join(rules.command_lines(reply), "|").alias("commands"), rules.json_in_text(model).alias("found"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') ORDER BY 1 LIMIT 500")
 def anti_resume(spark, d):
-    done = _read(spark, d, "orders").select(F.col("o_custkey").alias("scenario_id"))
-    return outcome.unfinished(_read(spark, d, "customer").select(F.col("c_custkey").alias("scenario_id")), done).withColumnRenamed("scenario_id", "c_custkey")
+    done = _read(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("scenario_id"))
+    return outcome.unfinished(_read(spark, d, "customer").select(F.col("c_custkey").alias("scenario_id")), done, 500).withColumnRenamed("scenario_id", "c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -518,11 +671,11 @@ def fault_types(spark, d):
 _NAMES = "array_to_string(list_sort(list(pod) FILTER (WHERE {})), ',')"
 
 
-@query(f"""WITH p AS (SELECT 'c' || (o_custkey % 50) AS scenario_id, o_orderkey::VARCHAR AS pod, coalesce(CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus = 'O' END, FALSE) AS pre, o_totalprice > 40000 AS post FROM orders WHERE o_orderkey % 3 = 0)
-SELECT scenario_id, coalesce({_NAMES.format("TRUE")}, '') AS tracked, coalesce({_NAMES.format("pre")}, '') AS pre_ready, coalesce({_NAMES.format("post")}, '') AS post_ready, coalesce({_NAMES.format("post AND NOT pre")}, '') AS recovered, coalesce({_NAMES.format("pre AND NOT post")}, '') AS regressed FROM p GROUP BY 1""")
+@query(f"""WITH p AS (SELECT 'c' || (o_custkey % 50) AS scenario_id, o_orderkey::VARCHAR AS pod, coalesce(CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus = 'O' END, FALSE) AS pre, o_totalprice > 40000 AS post FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey % 50 NOT IN (7, 9))
+SELECT scenario_id, coalesce({_NAMES.format("TRUE")}, '') AS tracked, coalesce({_NAMES.format("pre")}, '') AS pre_ready, coalesce({_NAMES.format("post")}, '') AS post_ready, coalesce({_NAMES.format("post AND NOT pre")}, '') AS recovered, coalesce({_NAMES.format("pre AND NOT post")}, '') AS regressed, count(*) AS n_tracked, count(*) FILTER (WHERE pre) AS n_pre_ready, count(*) FILTER (WHERE post) AS n_post_ready, count(*) FILTER (WHERE post AND NOT pre) AS n_recovered, count(*) FILTER (WHERE pre AND NOT post) AS n_regressed FROM p GROUP BY 1""")
 def reward_breakdown(spark, d):
     made = outcome.breakdown(_snapshots(spark, d).withColumn("pod", F.col("pod").cast("string")))
-    return made.select("scenario_id", *[F.array_join(c, ",").alias(c) for c in made.columns[1:]])
+    return made.withColumns({c: F.array_join(c, ",") for c in ("tracked", "pre_ready", "post_ready", "recovered", "regressed")})
 
 
 @query("""WITH s AS (SELECT conv_id AS batch_id, turn, CASE WHEN turn % 2 = 0 THEN role END AS g, text FROM conversations), b AS (SELECT batch_id FROM s GROUP BY 1 HAVING count(*) >= 5)
@@ -532,11 +685,9 @@ def sample_buffer(spark, d):
     return outcome.buffered(t, 5).select("batch_id", "turn", "group_id")
 
 
-@query(f"WITH {_LINES}, c AS (SELECT service, count(*) FILTER (WHERE severity = 'error') AS errors FROM l GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY errors DESC, service) AS rank FROM c WHERE errors > 0) SELECT * FROM r WHERE rank <= 3")
+@query(f"WITH {_LINES}, r AS (SELECT service, errors, row_number() OVER (ORDER BY errors DESC, service) AS rank FROM lf WHERE errors > 0 OR log_anomaly_score > 0.3) SELECT * FROM r WHERE rank <= 15")
 def log_error_top(spark, d):
-    rows = logs.parsed(lines(spark, d))
-    rolled = logs.rollup(rows)
-    return logs.top_error_services(rolled, logs.anomaly(rolled, logs.type_counts(rows), logs.dependencies(rows)), 3).select("service", "errors", "rank")
+    return logs.top_error_services(features(spark, d)).select("service", "errors", "rank")
 
 
 @query("WITH g AS (SELECT n_regionkey AS region, list(n_name ORDER BY n_name) AS x FROM nation GROUP BY 1) SELECT region, array_to_string(x[1:4], ',') AS items, len(x) > 4 AS truncated, len(x) AS total_count FROM g")

@@ -7,29 +7,39 @@ store that Spark reads.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import rules
 from tracewright.functions.logs import LINE_ENDS
-from tracewright.functions.names import file_service, log_service, metric_service, shared_service
+from tracewright.functions.names import file_service, log_service, metric_service, service_of_output, shared_service
 
 # fixed values: column aliases of the two CSV kinds
 METRIC_COLUMNS = {"ts_raw": ["timestamp", "time", "ts"], "cmdb_id": ["cmdb_id", "pod", "pod_name", "instance", "container"], "kpi_name": ["kpi_name", "metric", "metric_name", "__name__"], "value": ["value", "val"]}
 TRACE_COLUMNS = {"trace_id": ["trace_id", "traceid", "traceID"], "span_id": ["span_id", "spanid", "spanID"], "parent_span": ["parent_span", "parent_span_id", "parent_id"], "service": ["service_name", "service"], "operation": ["operation_name", "operation"], "duration": ["duration", "duration_us"], "response": ["response", "status_code", "status"], "has_error": ["has_error", "error"]}
 
 
+LOG_FILE = r"/pod_logs/[^/]*\.(log|stderr)$|/logs/step_[^/]*_get_logs\.txt$|get_logs[^/]*\.txt$"
+
+
+def decoded(path: Column) -> Column:
+    """A path as Spark reports it, encoded, in the form in which it can be read."""
+    return F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def scenario_of(path: Column, root: str) -> Column:
-    """The path part behind the root's own name."""
-    name = root.rstrip("/").rsplit("/", 1)[-1]
-    return F.regexp_extract(path, rf"/\Q{name}\E/([^/]+)/", 1)
+    """The first folder behind the root. Paths come back with a scheme and encoded, a root may be given without."""
+    plain = lambda p: F.regexp_replace(F.regexp_replace(p, "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?/+", "/"), "/+", "/")
+    own = plain(F.lit(root.rstrip("/") + "/"))
+    behind = F.transform(F.array(F.struct(plain(decoded(path)).alias("p"), own.alias("r"))), lambda x: F.when(F.startswith(x["p"], x["r"]), F.substr(x["p"], F.length(x["r"]) + 1)).otherwise(F.regexp_extract(x["p"], "([^/]+/[^/]+)$", 1)))
+    return F.regexp_extract(F.get(behind, F.lit(0)), "^([^/]+)/", 1)
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
     """(scenario_id, path, kind) of every file; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
     p = F.col("path")
-    kind = F.when(p.rlike(r"/pod_logs/[^/]*\.(log|stderr)$") | p.rlike(r"/logs/step_[^/]*_get_logs\.txt$|get_logs[^/]*\.txt$"), "log").when(p.rlike(r"/kpi_[^/]*\.csv$|/metrics/.*\.csv$"), "metric").when(p.rlike(r"(?i)/traces/.*\.csv$|/[^/]*(trace|span|jaeger)[^/]*\.csv$"), "trace").when(p.rlike(r"/direct_k8s_outputs/[^/]*\.json$"), "k8s_json").when(p.rlike(r"/direct_k8s_outputs/[^/]*\.txt$"), "k8s_text").when(p.rlike(r"/topology/[^/]*\.json$"), "topology").when(p.endswith("/DONE.json"), "done").when(p.endswith("/spec.json"), "spec")
+    kind = F.when(p.rlike(LOG_FILE), "log").when(p.rlike(r"/kpi_[^/]*\.csv$|/metrics/.*\.csv$"), "metric").when(p.rlike(r"(?i)/traces/.*\.csv$|/[^/]*(trace|span|jaeger)[^/]*\.csv$"), "trace").when(p.rlike(r"/direct_k8s_outputs/[^/]*\.json$"), "k8s_json").when(p.rlike(r"/direct_k8s_outputs/[^/]*\.txt$"), "k8s_text").when(p.rlike(r"/topology/[^/]*\.json$"), "topology").when(p.endswith("/DONE.json"), "done").when(p.endswith("/spec.json"), "spec")
     return files.select(scenario_of(p, root).alias("scenario_id"), "path", kind.otherwise("other").alias("kind"))
 
 
@@ -44,42 +54,102 @@ def finished(spark: SparkSession, root: str) -> DataFrame:
     return inventory(spark, root).where("kind = 'done'").select("scenario_id").distinct()
 
 
-def csv_rows(spark: SparkSession, root: str, glob: str, columns: dict[str, list[str]]) -> DataFrame:
-    """(scenario_id, path, row_no, one string for each canonical column) of CSV files with any order of
-    header. Every line is read against its own file's header; an alias counts only where it isn't blank,
-    exact names before names in another case. Quoted fields may hold commas, not line ends."""
-    files = whole_files(spark, root, glob)
-    lines = files.withColumn("_l", F.split("content", r"\r?\n")).select("scenario_id", "path", F.get("_l", F.lit(0)).alias("header"), F.posexplode("_l").alias("row_no", "line")).where("row_no > 0 and trim(line) <> ''")
-    fields = lambda c: F.transform(F.split(c, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda x: F.trim(F.regexp_replace(F.trim(x), r'^"|"$', "")))
-    cells = lines.select("scenario_id", "path", "row_no", fields(F.regexp_replace("header", "^﻿", "")).alias("h"), fields(F.col("line")).alias("v"))
-
-    def pick(names: list[str]) -> Column:
-        at = lambda header, name: F.nullif(F.get(F.col("v"), F.array_position(header, name).cast("int") - 1), F.lit(""))
-        low = F.transform("h", lambda x: F.lower(x))
-        return F.coalesce(*[at(F.col("h"), n) for n in names], *[at(low, n.lower()) for n in names])
-
-    return cells.select("scenario_id", "path", "row_no", *[pick(a).alias(c) for c, a in columns.items()])
-
-
-def metric_samples(spark: SparkSession, root: str, glob: str = "kpi_*.csv") -> DataFrame:
-    """Rows without entity, KPI or value are dropped; unreadable values count as 0."""
-    rows = csv_rows(spark, root, glob, METRIC_COLUMNS).where("cmdb_id is not null and kpi_name is not null and value is not null")
+def csv_headers(spark: SparkSession, root: str) -> DataFrame:
+    """(path, header) of every CSV file, its first line as written; only one line of each file is kept."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root)
+    first = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("no"), "value").where("start = 0")
+    return first.groupBy("path").agg(F.min_by("value", "no").alias("header"))
+
+
+def header_columns(header: Column) -> Column:
+    """Names of a header line without quotes, blanks and byte order mark."""
+    return F.transform(F.split(F.regexp_replace(header, "^\ufeff", ""), ","), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
+
+
+def kind_of_csv(path: Column, header: Column) -> Column:
+    """metric, trace or null: by the file's name, else by the columns that its header has."""
+    name = F.lower(F.regexp_extract(path, "([^/]*)$", 1))
+    low = F.transform(header_columns(header), lambda c: F.lower(c))
+    has = lambda names: F.arrays_overlap(low, F.array(*[F.lit(n.lower()) for n in names]))
+    metric = name.rlike(r"^kpi_.*\.csv$") | (has(METRIC_COLUMNS["cmdb_id"]) & has(METRIC_COLUMNS["kpi_name"]) & has(METRIC_COLUMNS["value"]))
+    trace = name.rlike("trace|span|jaeger") | (has(["trace_id"]) & has(["span_id"]) & has(["service_name", "service", "process.servicename"]))
+    return F.when(metric, "metric").when(trace, "trace")
+
+
+def csv_rows(spark: SparkSession, root: str, kind: str, columns: dict[str, list[str]]) -> DataFrame:
+    """(scenario_id, path, row_no, one string for each canonical column) of the CSV files of a kind, with any order
+    of header. Files of one header are read together by Spark's CSV reader, so quoted fields may hold commas, doubled
+    quotes and line ends; an alias counts only where it isn't blank, exact names before names in another case.
+    The headers are few; they and the paths of the files come to the driver."""
+    found = csv_headers(spark, root)
+    files = found.where(kind_of_csv(F.col("path"), F.col("header")) == kind).groupBy("header").agg(F.collect_list(decoded(F.col("path"))).alias("paths"))
+    out = None
+    for group in files.collect():
+        names = [c.strip().strip('"') for c in group["header"].removeprefix("\ufeff").split(",")]
+        schema = ", ".join(f"c{k} string" for k in range(len(names)))
+        rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(group["paths"])
+
+        def pick(aliases: list[str], names: list[str] = names) -> Column:
+            exact = [k for a in aliases for k, n in enumerate(names) if n == a]
+            loose = [k for a in aliases for k, n in enumerate(names) if n.lower() == a.lower() and k not in exact]
+            return F.coalesce(*[F.nullif(F.trim(f"c{k}"), F.lit("")) for k in exact + loose], F.lit(None).cast("string"))
+
+        path = F.col("_metadata.file_path")
+        made = rows.select(scenario_of(path, root).alias("scenario_id"), path.alias("path"), F.monotonically_increasing_id().alias("row_no"), *[pick(a).alias(c) for c, a in columns.items()])
+        out = made if out is None else out.unionByName(made)
+    if out is None:
+        return spark.createDataFrame([], ", ".join(["scenario_id string", "path string", "row_no bigint", *[f"{c} string" for c in columns]]))
+    return out
+
+
+def exported_paths(spark: SparkSession, root: str) -> DataFrame:
+    """(scenario_id, kind, target): paths outside the folder that outputs of a collector name as the place of an export."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root).select(F.col("_metadata.file_path").alias("path"), "value")
+    pattern = {"metric": (r"/builtin_api_outputs/metrics/", r"(?i)exported\s+(?:metrics\s+)?(?:to\s+directory|to):\s*(.+)$"), "trace": (r"/builtin_api_outputs/traces/", r"(?i)exported\s+(?:traces\s+)?(?:to\s+file|to):\s*(.+)$")}
+    out = None
+    for kind, (place, said) in pattern.items():
+        made = files.where(F.col("path").rlike(place) & F.col("value").rlike(said)).select(scenario_of(F.col("path"), root).alias("scenario_id"), F.lit(kind).alias("kind"), F.regexp_replace(F.trim(F.regexp_extract("value", said, 1)), "^[\"']+|[\"']+$", "").alias("target"))
+        out = made if out is None else out.union(made)
+    return out.distinct()
+
+
+def metric_samples(spark: SparkSession, root: str) -> DataFrame:
+    """Rows without entity, KPI or value are dropped; unreadable values count as 0. Row numbers grow in read order."""
+    rows = csv_rows(spark, root, "metric", METRIC_COLUMNS).where("cmdb_id is not null and kpi_name is not null and value is not null")
     return rows.select("scenario_id", "path", "row_no", "ts_raw", F.try_to_timestamp("ts_raw").alias("ts"), metric_service(F.col("cmdb_id")).alias("service"), "cmdb_id", "kpi_name", rules.kpi_group(F.col("kpi_name")).alias("kpi_group"), rules.safe_double(F.col("value")).alias("value"))
 
 
-def spans(spark: SparkSession, root: str, glob: str = "*trace*.csv") -> DataFrame:
-    rows = csv_rows(spark, root, glob, TRACE_COLUMNS).where("trace_id is not null and span_id is not null")
+def spans(spark: SparkSession, root: str) -> DataFrame:
+    rows = csv_rows(spark, root, "trace", TRACE_COLUMNS).where("trace_id is not null and span_id is not null")
     return rows.select("scenario_id", "path", "row_no", "trace_id", "span_id", "parent_span", F.coalesce("service", F.lit("unknown")).alias("service"), F.coalesce("operation", F.lit("")).alias("operation"), rules.safe_double(F.col("duration")).alias("duration_us"), "response", rules.is_error_span(F.col("has_error"), F.col("response")).alias("is_error"))
 
 
-def log_lines(spark: SparkSession, root: str, glob: str = "*.{log,stderr}") -> DataFrame:
-    """(scenario_id, path, line_no, service, line); the service is the file's, a pod prefix may override it later."""
-    files = whole_files(spark, root, glob)
-    lines = files.select("scenario_id", "path", file_service(F.col("path")).alias("service"), F.split("content", LINE_ENDS).alias("_l"))
+def log_lines(spark: SparkSession, root: str) -> DataFrame:
+    """(scenario_id, path, line_no, service, line) of all log files: pod logs, error streams and the outputs of log
+    queries. The service is the file's own, for a query's output the one its content tells; a pod prefix may override
+    it later. A line ends where any of the usual marks stands."""
+    files = whole_files(spark, root, "*.{log,stderr,txt}").where(F.col("path").rlike(LOG_FILE))
+    step = F.col("path").rlike(r"/step_[^/]*get_logs[^/]*$|get_logs[^/]*\.txt$")
+    service = F.when(step, service_of_output(F.col("content"), F.col("path"))).otherwise(file_service(F.col("path")))
+    lines = files.select("scenario_id", "path", service.alias("service"), F.split("content", LINE_ENDS).alias("_l"))
     lines = lines.withColumn("_l", F.when(F.element_at("_l", -1) == "", F.slice("_l", 1, F.greatest(F.size("_l") - 1, F.lit(0)))).otherwise(F.col("_l")))
     return lines.select("scenario_id", "path", "service", F.posexplode("_l").alias("line_no", "line"))
 
 
+def json_lines(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
+    """(scenario_id, path, row) of line-wise JSON, each row as text; a line that isn't JSON is left out, those behind it
+    are read."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+    path = F.col("_metadata.file_path")
+    return rows.where(F.try_parse_json("value").isNotNull()).select(scenario_of(path, root).alias("scenario_id"), path.alias("path"), F.col("value").alias("row"))
+
+
+def documents(spark: SparkSession, root: str, *names: str) -> DataFrame:
+    """(scenario_id, name, document) of JSON files passed on as they are, such as ground truth and fault timing."""
+    files = whole_files(spark, root, "{" + ",".join(names or ("ground_truth.json", "fault_timing.json", "api_action_plan.json")) + "}")
+    return files.where(F.try_parse_json("content").isNotNull()).select("scenario_id", F.regexp_extract("path", r"([^/]*)\.json$", 1).alias("name"), F.col("content").alias("document"))
+
+
 def k8s_items(spark: SparkSession, root: str, name: str, item: str) -> DataFrame:
     """(scenario_id, path, no, item) of a list dump: an object with ``items`` or a bare list. ``item`` is
     the DDL of one entry; text that isn't JSON gives no rows."""
@@ -88,7 +158,8 @@ def k8s_items(spark: SparkSession, root: str, name: str, item: str) -> DataFrame
     return files.select("scenario_id", "path", F.posexplode(both).alias("no", "item"))
 
 
-POD = "struct<metadata:struct<name:string,labels:map<string,string>>,spec:struct<hostname:string,nodeName:string>,status:struct<phase:string,conditions:array<struct<type:string,status:string>>,containerStatuses:array<struct<name:string,restartCount:bigint,state:struct<waiting:struct<reason:string>,terminated:struct<reason:string>>>>>>"
+CONTAINER_STATE = "struct<waiting:struct<reason:string,message:string>,terminated:struct<reason:string,exitCode:bigint,message:string>,running:struct<startedAt:string>>"
+POD = f"struct<metadata:struct<name:string,namespace:string,labels:map<string,string>,ownerReferences:array<struct<kind:string,name:string>>>,spec:struct<hostname:string,nodeName:string,containers:array<struct<name:string,image:string,command:array<string>,ports:array<struct<containerPort:bigint,protocol:string,name:string>>>>>,status:struct<phase:string,podIP:string,hostIP:string,qosClass:string,startTime:string,conditions:array<struct<type:string,status:string>>,containerStatuses:array<struct<name:string,restartCount:bigint,state:{CONTAINER_STATE}>>>>"
 DEPLOYMENT = "struct<metadata:struct<name:string,generation:bigint,labels:map<string,string>>,spec:struct<replicas:bigint>,status:struct<replicas:bigint,readyReplicas:bigint,availableReplicas:bigint,unavailableReplicas:bigint,conditions:array<struct<type:string,status:string,reason:string>>>>"
 REPLICA_SET = "struct<metadata:struct<name:string>,spec:struct<replicas:bigint>,status:struct<replicas:bigint,readyReplicas:bigint,availableReplicas:bigint>>"
 ADDRESS = "array<struct<ip:string,nodeName:string,targetRef:struct<kind:string,name:string>>>"
@@ -97,12 +168,42 @@ SERVICE = "struct<metadata:struct<name:string>,spec:struct<type:string,clusterIP
 
 
 def pods(spark: SparkSession, root: str) -> DataFrame:
-    """One row a pod, as operators.system.pod_rollup takes it. The service is a label, else the host name."""
+    """One row a pod, as operators.system takes it. The service is a label, else the host name. A pod is ready
+    while it runs, is ready itself and has ready containers; each container's state counts."""
     rows = k8s_items(spark, root, "pods.json", POD)
-    i, label = F.col("item"), lambda k: F.try_element_at(F.col("item.metadata.labels"), F.lit(k))
-    true = lambda kind: F.exists(F.coalesce("item.status.conditions", F.array()), lambda c: (c["type"] == kind) & (F.lower(c["status"]) == "true"))
-    states = F.col("item.status.containerStatuses")
-    return rows.select("scenario_id", shared_service(F.coalesce(label("service"), label("app"), i["spec"]["hostname"], i["metadata"]["name"])).alias("service"), i["metadata"]["name"].alias("pod"), i["spec"]["nodeName"].alias("node"), i["status"]["phase"].alias("phase"), (true("Ready") & true("ContainersReady")).alias("ready"), F.aggregate(F.coalesce(F.transform(states, lambda s: s["restartCount"]), F.array()), F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0))).alias("restarts"), F.get(F.filter(F.transform(states, lambda s: s["state"]["waiting"]["reason"]), lambda r: r.isNotNull()), F.lit(0)).alias("waiting_reason"), F.get(F.filter(F.transform(states, lambda s: s["state"]["terminated"]["reason"]), lambda r: r.isNotNull()), F.lit(0)).alias("terminated_reason"))
+    i, label = F.col("item"), lambda k: F.nullif(F.try_element_at(F.col("item.metadata.labels"), F.lit(k)), F.lit(""))
+    conditions, states = F.coalesce("item.status.conditions", F.array()), F.coalesce("item.status.containerStatuses", F.array())
+    true = lambda kind: F.exists(conditions, lambda c: (c["type"] == kind) & (F.lower(c["status"]) == "true"))
+    held = lambda kind: F.filter(states, lambda s: s["state"][kind].isNotNull())
+    reasons = lambda kind: F.transform(held(kind), lambda s: F.coalesce(F.nullif(s["state"][kind]["reason"], F.lit("")), F.lit("unknown")))
+    containers = F.coalesce("item.spec.containers", F.array())
+    of = lambda field: F.transform(containers, lambda c: F.nullif(c[field], F.lit("")))
+    owners = F.coalesce("item.metadata.ownerReferences", F.array())
+    phase = F.coalesce(i["status"]["phase"], F.lit("Unknown"))
+    return rows.select(
+        "scenario_id",
+        shared_service(F.coalesce(label("service"), label("app"), F.nullif(i["spec"]["hostname"], F.lit("")), i["metadata"]["name"])).alias("service"),
+        F.coalesce(i["metadata"]["name"], F.lit("unknown")).alias("pod"),
+        i["metadata"]["namespace"].alias("namespace"),
+        i["spec"]["nodeName"].alias("node"),
+        phase.alias("phase"),
+        ((phase == "Running") & true("Ready") & true("ContainersReady")).alias("ready"),
+        F.aggregate(F.transform(states, lambda s: F.coalesce(s["restartCount"], F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("restarts"),
+        reasons("waiting").alias("waiting_reasons"),
+        reasons("terminated").alias("terminated_reasons"),
+        F.transform(held("running"), lambda s: F.struct(s["name"].alias("container"), s["state"]["running"]["startedAt"].alias("started_at"))).alias("running"),
+        F.transform(conditions, lambda c: F.concat_ws("=", c["type"], c["status"])).alias("conditions"),
+        i["status"]["qosClass"].alias("qos_class"),
+        i["status"]["podIP"].alias("pod_ip"),
+        i["status"]["hostIP"].alias("host_ip"),
+        i["status"]["startTime"].alias("start_time"),
+        F.transform(owners, lambda o: o["kind"]).alias("owner_kinds"),
+        F.transform(owners, lambda o: o["name"]).alias("owner_names"),
+        of("name").alias("containers"),
+        of("image").alias("images"),
+        F.flatten(F.transform(containers, lambda c: F.coalesce(c["command"], F.array().cast("array<string>")))).alias("commands"),
+        F.flatten(F.transform(containers, lambda c: F.transform(F.coalesce(c["ports"], F.array()), lambda p: F.struct(p["containerPort"].alias("container_port"), p["protocol"].alias("protocol"), p["name"].alias("name"))))).alias("ports"),
+    )
 
 
 def _last(rows: DataFrame) -> DataFrame:
@@ -170,6 +271,15 @@ def topology_edges(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("scenario_id", F.coalesce(got("src", "source", "from"), F.get_json_object("e", "$[0]")).alias("src"), F.coalesce(got("dst", "target", "to"), F.get_json_object("e", "$[1]")).alias("dst")).where("src is not null and dst is not null")
 
 
+def topology_services(spark: SparkSession, root: str) -> DataFrame:
+    """(scenario_id, service) from the lists of services and nodes of a topology, given as names or as objects."""
+    files = whole_files(spark, root, "{topology,graph}.json")
+    entry = F.concat(*[F.coalesce(F.from_json(F.get_json_object("content", f"$.{k}"), "array<string>"), F.array().cast("array<string>")) for k in ("services", "nodes")])
+    rows = files.select("scenario_id", F.explode(entry).alias("e"))
+    named = F.coalesce(*[F.nullif(F.get_json_object("e", f"$.{n}"), F.lit("")) for n in ("name", "service", "id")])
+    return rows.select("scenario_id", F.when(F.col("e").startswith("{"), named).otherwise(F.col("e")).alias("service")).where("service is not null and service <> ''").distinct()
+
+
 def fault_instances(spark: SparkSession, root: str) -> DataFrame:
     """(scenario_id, no, service, fault_family, variant) of single and multiple faults in spec.json."""
     files = whole_files(spark, root, "spec.json")
@@ -182,7 +292,9 @@ def fault_instances(spark: SparkSession, root: str) -> DataFrame:
 
 def actions(spark: SparkSession, root: str) -> DataFrame:
     """(scenario_id, no, api, args_text): the first call in each message of a transcript."""
-    files = whole_files(spark, root, "agent_transcript.json")
+    files = whole_files(spark, root, "{agent_transcript,run_result}.json").where(F.try_parse_json("content").isNotNull())
+    first = Window.partitionBy("scenario_id").orderBy("path")  # the transcript stands before the run's result
+    files = files.withColumn("_n", F.row_number().over(first)).where("_n = 1")
     entry = F.coalesce(*[F.from_json(F.get_json_object("content", f"$.{k}"), "array<string>") for k in ("trace", "history")])
     rows = files.select("scenario_id", F.posexplode(entry).alias("no", "m")).withColumn("m", F.coalesce(F.get_json_object("m", "$.content"), "m"))
     call = r"([a-zA-Z_][a-zA-Z0-9_]*)\((.*?)\)"
@@ -190,13 +302,29 @@ def actions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def discovered_services(spark: SparkSession, root: str) -> DataFrame:
-    """Sorted distinct names from cluster services, pods, topology and log files."""
+    """Distinct names from cluster services, pods, topology and pod log files."""
     own = services(spark, root).select("scenario_id", "service").union(pods(spark, root).select("scenario_id", "service"))
     edges = topology_edges(spark, root)
-    own = own.union(edges.select("scenario_id", "src")).union(edges.select("scenario_id", "dst"))
+    own = own.union(edges.select("scenario_id", "src")).union(edges.select("scenario_id", "dst")).union(topology_services(spark, root))
     logs = inventory(spark, root).where("kind = 'log'").select("scenario_id", file_service(F.col("path")))
     return own.union(logs).where("service <> '' and service <> 'unknown'").distinct()
 
 
+def problem_texts(spark: SparkSession, root: str, most: int = 5000) -> DataFrame:
+    """(scenario_id, text): the beginning of each problem description."""
+    return whole_files(spark, root, "problem_desc.txt").select("scenario_id", F.substring("content", 1, most).alias("text"))
+
+
+def definition_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, definition) of an inventory in the form path:line:text."""
+    form = r"^(.*?):(\d+):\s*(.*)$"
+    return spark.read.text(path).where(F.col("value").rlike(form)).select(F.regexp_extract("value", form, 1).alias("file"), F.regexp_extract("value", form, 2).cast("int").alias("line_no"), F.regexp_extract("value", form, 3).alias("definition"))
+
+
+def coverage_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the JSON form of the coverage inventory."""
+    return spark.read.schema("app string, task string, fault_family string, base_folder string").option("multiLine", True).json(path)
+
+
 def coverage_tuples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("app string, task string, fault_family string").csv(path)
