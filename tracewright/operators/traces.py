@@ -64,8 +64,12 @@ def merged_edges(spans: DataFrame) -> DataFrame:
 
 
 def top_values(spans: DataFrame, keys: list[str], column: str, most: int = 10) -> DataFrame:
-    """The most frequent values of a column for each key, with counts; ties by value."""
-    counted = linked(spans).groupBy(*keys, column).agg(F.count("*").alias("n"))
+    """The most frequent values of a column of the linked spans for each key, with counts; ties by value."""
+    return top_of(linked(spans), keys, column, most)
+
+
+def top_of(rows: DataFrame, keys: list[str], column: str, most: int = 10) -> DataFrame:
+    counted = rows.groupBy(*keys, column).agg(F.count("*").alias("n"))
     order = Window.partitionBy(*keys).orderBy(F.col("n").desc(), column)
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 

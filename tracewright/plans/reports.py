@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -378,15 +381,90 @@ def service_of_output(spark, d):
     return base._read(spark, d, "supplier").select("s_suppkey", names.service_of_output(text, F.lit("/a/logs/step_1_get_logs.txt")).alias("service"))
 
 
-def _written(spark: SparkSession, d: str) -> str:
-    """Metric files of two scenarios with permuted headers, written once a run below the shared checkpoint folder."""
-    import tempfile
-    import uuid
+def _file(spark: SparkSession, d: str, table: str, path: str, entry: Column, head: str, tail: str) -> DataFrame:
+    """One file a region or so, as (scenario_id, path, content), from the rows of a table as entries of a list."""
+    t = base._read(spark, d, table)
+    k = [c for c in t.columns if c.endswith("key")][0]
+    rows = t.groupBy((F.col(k) % 3).alias("g")).agg(F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, entry.alias("e")))), lambda x: x["e"]), ","), F.lit(tail)).alias("content"))
+    return rows.select(F.concat(F.lit("r"), F.col("g").cast("string")).alias("scenario_id"), F.lit(path).alias("path"), "content")
+
+
+@query("""SELECT 'r' || (s_suppkey % 3) AS scenario_id, 'svc' || s_suppkey AS service, 'pod' || s_suppkey AS pod, s_nationkey % 4 <> 0 AS ready, s_suppkey % 5 + 1 AS restarts, CASE WHEN s_nationkey % 3 = 0 THEN 'CrashLoopBackOff,unknown' ELSE '' END AS waiting, CASE WHEN s_nationkey % 3 = 1 THEN 'OOMKilled' ELSE '' END AS terminated, 'Ready=True,ContainersReady=True' AS conditions, 'img:' || s_suppkey AS images, 'run,-v' AS commands, '80/TCP/http' AS ports FROM supplier""")
+def pods_parsed(spark, d):
+    k = F.col("s_suppkey").cast("string")
+    phase = F.when(F.col("s_nationkey") % 4 == 0, "Failed").otherwise("Running")
+    waiting = F.when(F.col("s_nationkey") % 3 == 0, ',{"name":"b","state":{"waiting":{"reason":"CrashLoopBackOff"}}},{"name":"c","state":{"waiting":{}}}').when(F.col("s_nationkey") % 3 == 1, ',{"name":"b","state":{"terminated":{"reason":"OOMKilled","exitCode":137}}}').otherwise("")
+    entry = F.format_string('{"metadata":{"name":"pod%s","labels":{"app":"svc%s"}},"spec":{"nodeName":"n","containers":[{"name":"a","image":"img:%s","command":["run","-v"],"ports":[{"containerPort":80,"protocol":"TCP","name":"http"}]}]},"status":{"phase":"%s","conditions":[{"type":"Ready","status":"True"},{"type":"ContainersReady","status":"True"}],"containerStatuses":[{"name":"a","restartCount":%s,"state":{"running":{"startedAt":"t"}}}%s]}}', k, k, k, phase, (F.col("s_suppkey") % 5 + 1).cast("string"), waiting)
+    made = scenario.pods_of(_file(spark, d, "supplier", "pods.json", entry, '{"items":[', "]}"))
+    port = F.transform("ports", lambda p: F.concat_ws("/", p["container_port"].cast("string"), p["protocol"], p["name"]))
+    return made.select("scenario_id", "service", "pod", "ready", "restarts", _join("waiting_reasons").alias("waiting"), _join("terminated_reasons").alias("terminated"), _join("conditions").alias("conditions"), _join("images").alias("images"), _join("commands").alias("commands"), _join(port).alias("ports"))
+
+
+@query("""SELECT 'r' || (s_suppkey % 3) AS scenario_id, 'svc' || s_suppkey AS service, s_nationkey AS replicas, s_nationkey % 2 AS ready_replicas, 0 AS updated_replicas, 'Available:True:ok' AS conditions, 'main:img' || s_suppkey AS containers FROM supplier""")
+def deployments_parsed(spark, d):
+    k = F.col("s_suppkey").cast("string")
+    entry = F.format_string('{"metadata":{"name":"x","generation":2,"labels":{"service":"svc%s"}},"spec":{"replicas":%s,"selector":{"a":"b"},"template":{"spec":{"containers":[{"name":"main","image":"img%s","args":["-x"]}]}}},"status":{"readyReplicas":%s,"conditions":[{"type":"Available","status":"False"},{"type":"Available","status":"True","reason":"ok"}]}}', k, F.col("s_nationkey").cast("string"), k, (F.col("s_nationkey") % 2).cast("string"))
+    made = scenario.deployments_of(_file(spark, d, "supplier", "deployments.json", entry, "[", "]"))
+    told = F.transform(F.map_entries("conditions"), lambda x: F.concat_ws(":", x["key"], x["value"]["status"], x["value"]["reason"]))
+    return made.select("scenario_id", "service", "replicas", "ready_replicas", "updated_replicas", _join(told).alias("conditions"), _join(F.transform("containers", lambda c: F.concat_ws(":", c["name"], c["image"]))).alias("containers"))
+
+
+@query("""SELECT 'r' || (s_suppkey % 3) AS scenario_id, 'svc' || s_suppkey AS service, s_nationkey % 3 AS ready_endpoints, 1 AS not_ready_endpoints, array_to_string(list_transform(range(s_nationkey % 3), lambda x: '10.0.0.' || x || '/p'), ',') AS addresses, 'http:80' AS ports FROM supplier""")
+def endpoints_parsed(spark, d):
+    address = F.array_join(F.transform(F.when(F.col("s_nationkey") % 3 == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), (F.col("s_nationkey") % 3 - 1).cast("int"))), lambda x: F.format_string('{"ip":"10.0.0.%d","targetRef":{"kind":"Pod","name":"p"}}', x)), ",")
+    entry = F.format_string('{"metadata":{"name":"svc%d"},"subsets":[{"addresses":[%s],"ports":[{"name":"http","port":80,"protocol":"TCP"}]},{"notReadyAddresses":[{"ip":"1"}]}]}', "s_suppkey", address)
+    made = scenario.endpoints_of(_file(spark, d, "supplier", "endpoints.json", entry, '{"items":[', "]}"))
+    return made.select("scenario_id", "service", "ready_endpoints", "not_ready_endpoints", _join(F.transform("addresses", lambda a: F.concat_ws("/", a["ip"], a["pod"]))).alias("addresses"), _join(F.transform("ports", lambda p: F.concat_ws(":", p["name"], p["port"].cast("string")))).alias("ports"))
+
+
+@query("""SELECT 'r' || (s_suppkey % 3) AS scenario_id, 'web' AS service, CASE s_suppkey % 3 WHEN 0 THEN 'Warning' ELSE 'Normal' END AS type, CASE s_suppkey % 5 WHEN 0 THEN 'BackOff' ELSE 'Pulled' END AS reason, 'pod ' || s_suppkey || ' of it' AS message, s_suppkey % 3 = 0 OR s_suppkey % 5 = 0 AS is_warning FROM supplier""")
+def events_parsed(spark, d):
+    k = F.col("s_suppkey")
+    entry = F.format_string("5m   %s  %s   pod/web-9f655fc76-cvsfn   pod %d of it", F.when(k % 3 == 0, "Warning").otherwise("Normal"), F.when(k % 5 == 0, "BackOff").otherwise("Pulled"), k)
+    files = _file(spark, d, "supplier", "events.txt", entry, "LAST SEEN   TYPE   REASON   OBJECT   MESSAGE,", "").withColumn("content", F.replace("content", F.lit(","), F.lit("\n")))
+    return scenario.events_of(files).select("scenario_id", "service", "type", "reason", "message", "is_warning")
+
+
+@query("""SELECT 'r' || (n_nationkey % 3) AS scenario_id, CASE n_nationkey % 4 WHEN 0 THEN 'a' || n_nationkey WHEN 1 THEN 'b' || n_nationkey WHEN 2 THEN 'c' || n_nationkey ELSE 'd' || n_nationkey END AS src, 'z' AS dst FROM nation""")
+def topology_parsed(spark, d):
+    k = F.col("n_nationkey")
+    entry = F.when(k % 4 == 0, F.format_string('{"src":"a%d","dst":"z"}', k)).when(k % 4 == 1, F.format_string('{"source":"b%d","target":"z"}', k)).when(k % 4 == 2, F.format_string('{"from":"c%d","to":"z"}', k)).otherwise(F.format_string('["d%d","z"]', k))
+    return scenario.topology_edges_of(_file(spark, d, "nation", "topology.json", entry, '{"edges":[', "]}"))
+
 
+@query("""SELECT 'r' || (n_nationkey % 3) AS scenario_id, CASE WHEN n_nationkey % 2 = 0 THEN 'svc' || n_nationkey ELSE 'app' || n_nationkey END AS service, 'pod_kill' AS fault_family, CASE n_nationkey % 4 WHEN 0 THEN 'wide' WHEN 1 THEN 'v' ELSE 'default' END AS variant FROM nation""")
+def fault_instances_parsed(spark, d):
+    k = F.col("n_nationkey")
+    entry = F.concat(F.lit('{"fault_family":"pod_kill"'), F.when(k % 4 == 0, ',"variant":{"variant":"wide","n":1}').when(k % 4 == 1, ',"variant":"v"').otherwise(""), F.when(k % 2 == 0, F.format_string(',"faulty_service":"svc%d"}', k)).otherwise(F.format_string(',"app_name":"app%d"}', k)))
+    return scenario.fault_instances_of(_file(spark, d, "nation", "spec.json", entry, '{"is_multifault":true,"subproblems":[', "]}")).drop("no")
+
+
+@query("SELECT 'r' || (n_nationkey % 3) AS scenario_id, 'get_' || lower(n_name) AS api, 'x=1, \"y\"' AS args_text FROM nation WHERE n_nationkey % 5 <> 0 AND NOT contains(n_name, ' ')")
+def actions_parsed(spark, d):
+    said = F.when((F.col("n_nationkey") % 5 != 0) & ~F.contains("n_name", F.lit(" ")), F.format_string('I call get_%s(x=1, \\"y\\") now', F.lower("n_name"))).otherwise("nothing to do")
+    entry = F.when(F.col("n_nationkey") % 2 == 0, F.format_string('{"content":"%s"}', said)).otherwise(F.format_string('"%s"', said))
+    return scenario.actions_of(_file(spark, d, "nation", "agent_transcript.json", entry, '{"trace":[', "]}")).select("scenario_id", "api", "args_text")
+
+
+@query("SELECT 'r' || (s_suppkey % 3) AS scenario_id, 'web' AS service, count(*) AS lines, count(*) FILTER (WHERE s_suppkey % 2 = 0) AS failed FROM supplier GROUP BY 1")
+def log_files_parsed(spark, d):
+    entry = F.when(F.col("s_suppkey") % 2 == 0, "it failed").otherwise("fine")
+    files = _file(spark, d, "supplier", "/x/pod_logs/web-9f655fc76-cvsfn.log", entry, "", "\n").withColumn("content", F.replace("content", F.lit(","), F.lit("\x0b")))
+    rows = logs.parsed(scenario.log_lines_of(files))
+    return rows.groupBy("scenario_id", "service").agg(F.count("*").alias("lines"), F.count_if(F.col("bucket") == "error").alias("failed"))
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint folder; in local mode without one, a temporary folder."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where and spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = f"{where or tempfile.mkdtemp(prefix='scenarios-')}/readers-{uuid.uuid4().hex}"
+    return f"{where or tempfile.mkdtemp(prefix='scenarios-')}/readers-{uuid.uuid4().hex}"
+
+
+def _written(spark: SparkSession, d: str) -> str:
+    """Metric files of two scenarios with permuted headers."""
+    root = _folder(spark)
     t = base._read(spark, d, "events").where("event_id < 4000").withColumns({"pod": F.concat(F.lit("n.web-"), (F.col("user_id") % 9).cast("string")), "v": F.col("value").cast("string")})
     one = t.where("event_id % 2 = 0").select(F.col("ts").cast("string").alias("timestamp"), F.col("pod").alias("cmdb_id"), F.col("event_type").alias("kpi_name"), F.col("v").alias("value"))
     two = t.where("event_id % 2 = 1").select(F.col("v").alias("val"), F.col("event_type").alias("Metric"), F.concat(F.lit('a "note", '), F.col("v"), F.lit("\nmore")).alias("note"), F.col("pod").alias("Pod"))
@@ -399,3 +477,21 @@ def _written(spark: SparkSession, d: str) -> str:
 def metric_header_align(spark, d):
     rows = scenario.metric_samples(spark, _written(spark, d))
     return rows.groupBy("scenario_id", "service", "kpi_name").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT CASE event_id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS scenario_id, 'web-' || (user_id % 9) AS service, count(*) AS n, count(*) FILTER (WHERE event_id % 4 = 0) AS failed, round(sum(value), 4) AS total FROM events WHERE event_id < 4000 GROUP BY 1, 2")
+def trace_header_align(spark, d):
+    root, e = _folder(spark), F.col("event_id")
+    t = base._read(spark, d, "events").where("event_id < 4000").withColumns({"who": F.concat(F.lit("web-"), (F.col("user_id") % 9).cast("string")), "v": F.col("value").cast("string")})
+    one = t.where(e % 2 == 0).select((e % 7).alias("trace_id"), e.alias("span_id"), F.lit("").alias("parent_span"), F.col("who").alias("service_name"), F.lit("op").alias("operation_name"), F.col("v").alias("duration"), F.when(e % 4 == 0, "503").otherwise("200").alias("response"))
+    two = t.where(e % 2 == 1).select(F.col("who").alias("Service"), e.alias("SpanID"), F.lit("p, q").alias("Operation"), (e % 7).alias("TraceID"), F.col("v").alias("duration_us"), F.lit("no").alias("error"))
+    one.coalesce(2).write.option("header", True).csv(f"{root}/a/traces/spans.csv")
+    two.coalesce(1).write.option("header", True).csv(f"{root}/b/traces/jaeger_export")
+    rows = scenario.spans(spark, root)
+    return rows.groupBy("scenario_id", "service").agg(F.count("*").alias("n"), F.count_if("is_error").alias("failed"), F.round(F.sum("duration_us"), 4).alias("total"))
+
+
+@query(f"""WITH {base._ONE}, c AS (SELECT service, operation, count(*) AS n FROM sp0 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY n DESC, operation) AS rank FROM c) SELECT service, string_agg(operation || '=' || n, ',' ORDER BY rank) AS operations FROM r WHERE rank <= 10 GROUP BY 1""")
+def service_operations(spark, d):
+    tops = traces.top_of(base.one_file(spark, d), ["scenario_id", "service"], "operation")
+    return tops.groupBy("service").agg(_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "operation", "n"))), lambda x: F.concat_ws("=", x["operation"], x["n"].cast("string")))).alias("operations"))

@@ -72,7 +72,7 @@ def kind_of_csv(path: Column, header: Column) -> Column:
     low = F.transform(header_columns(header), lambda c: F.lower(c))
     has = lambda names: F.arrays_overlap(low, F.array(*[F.lit(n.lower()) for n in names]))
     metric = name.rlike(r"^kpi_.*\.csv$") | (has(METRIC_COLUMNS["cmdb_id"]) & has(METRIC_COLUMNS["kpi_name"]) & has(METRIC_COLUMNS["value"]))
-    trace = name.rlike("trace|span|jaeger") | (has(["trace_id"]) & has(["span_id"]) & has(["service_name", "service", "process.servicename"]))
+    trace = name.rlike("trace|span|jaeger") | (has(TRACE_COLUMNS["trace_id"]) & has(TRACE_COLUMNS["span_id"]) & has(["service_name", "service", "process.servicename"]))
     return F.when(metric, "metric").when(trace, "trace")
 
 
@@ -128,7 +128,11 @@ def log_lines(spark: SparkSession, root: str) -> DataFrame:
     """(scenario_id, path, line_no, service, line) of all log files: pod logs, error streams and the outputs of log
     queries. The service is the file's own, for a query's output the one its content tells; a pod prefix may override
     it later. A line ends where any of the usual marks stands."""
-    files = whole_files(spark, root, "*.{log,stderr,txt}").where(F.col("path").rlike(LOG_FILE))
+    return log_lines_of(whole_files(spark, root, "*.{log,stderr,txt}").where(F.col("path").rlike(LOG_FILE)))
+
+
+def log_lines_of(files: DataFrame) -> DataFrame:
+    """Lines of (scenario_id, path, content) log files."""
     step = F.col("path").rlike(r"/step_[^/]*get_logs[^/]*$|get_logs[^/]*\.txt$")
     service = F.when(step, service_of_output(F.col("content"), F.col("path"))).otherwise(file_service(F.col("path")))
     lines = files.select("scenario_id", "path", service.alias("service"), F.split("content", LINE_ENDS).alias("_l"))
@@ -150,27 +154,31 @@ def documents(spark: SparkSession, root: str, *names: str) -> DataFrame:
     return files.where(F.try_parse_json("content").isNotNull()).select("scenario_id", F.regexp_extract("path", r"([^/]*)\.json$", 1).alias("name"), F.col("content").alias("document"))
 
 
-def k8s_items(spark: SparkSession, root: str, name: str, item: str) -> DataFrame:
-    """(scenario_id, path, no, item) of a list dump: an object with ``items`` or a bare list. ``item`` is
+def k8s_items(files: DataFrame, item: str) -> DataFrame:
+    """(scenario_id, path, no, item) of list dumps in (scenario_id, path, content): an object with ``items`` or a bare list. ``item`` is
     the DDL of one entry; text that isn't JSON gives no rows."""
-    files = whole_files(spark, root, name)
     both = F.coalesce(F.from_json("content", f"struct<items:array<{item}>>")["items"], F.from_json("content", f"array<{item}>"))
     return files.select("scenario_id", "path", F.posexplode(both).alias("no", "item"))
 
 
 CONTAINER_STATE = "struct<waiting:struct<reason:string,message:string>,terminated:struct<reason:string,exitCode:bigint,message:string>,running:struct<startedAt:string>>"
 POD = f"struct<metadata:struct<name:string,namespace:string,labels:map<string,string>,ownerReferences:array<struct<kind:string,name:string>>>,spec:struct<hostname:string,nodeName:string,containers:array<struct<name:string,image:string,command:array<string>,ports:array<struct<containerPort:bigint,protocol:string,name:string>>>>>,status:struct<phase:string,podIP:string,hostIP:string,qosClass:string,startTime:string,conditions:array<struct<type:string,status:string>>,containerStatuses:array<struct<name:string,restartCount:bigint,state:{CONTAINER_STATE}>>>>"
-DEPLOYMENT = "struct<metadata:struct<name:string,generation:bigint,labels:map<string,string>>,spec:struct<replicas:bigint>,status:struct<replicas:bigint,readyReplicas:bigint,availableReplicas:bigint,unavailableReplicas:bigint,conditions:array<struct<type:string,status:string,reason:string>>>>"
-REPLICA_SET = "struct<metadata:struct<name:string>,spec:struct<replicas:bigint>,status:struct<replicas:bigint,readyReplicas:bigint,availableReplicas:bigint>>"
+CONTAINER = "struct<name:string,image:string,command:array<string>,args:array<string>,ports:string,resources:string,volumeMounts:string>"
+DEPLOYMENT = f"struct<metadata:struct<name:string,namespace:string,generation:bigint,labels:map<string,string>>,spec:struct<replicas:bigint,selector:string,strategy:string,template:struct<spec:struct<containers:array<{CONTAINER}>,volumes:string>>>,status:struct<replicas:bigint,readyReplicas:bigint,availableReplicas:bigint,unavailableReplicas:bigint,updatedReplicas:bigint,observedGeneration:bigint,conditions:array<struct<type:string,status:string,reason:string,message:string>>>>"
+REPLICA_SET = "struct<metadata:struct<name:string,namespace:string,labels:map<string,string>,ownerReferences:string>,spec:struct<replicas:bigint,selector:string>,status:struct<replicas:bigint,readyReplicas:bigint,availableReplicas:bigint,fullyLabeledReplicas:bigint>>"
 ADDRESS = "array<struct<ip:string,nodeName:string,targetRef:struct<kind:string,name:string>>>"
-ENDPOINTS = f"struct<metadata:struct<name:string>,subsets:array<struct<addresses:{ADDRESS},notReadyAddresses:{ADDRESS},ports:array<struct<name:string,port:bigint,protocol:string>>>>>"
-SERVICE = "struct<metadata:struct<name:string>,spec:struct<type:string,clusterIP:string,selector:map<string,string>,ports:array<struct<name:string,port:bigint,targetPort:string,protocol:string>>>>"
+ENDPOINTS = f"struct<metadata:struct<name:string,namespace:string>,subsets:array<struct<addresses:{ADDRESS},notReadyAddresses:{ADDRESS},ports:array<struct<name:string,port:bigint,protocol:string>>>>>"
+SERVICE = "struct<metadata:struct<name:string,namespace:string>,spec:struct<type:string,clusterIP:string,clusterIPs:array<string>,selector:map<string,string>,sessionAffinity:string,internalTrafficPolicy:string,ports:array<struct<name:string,port:bigint,targetPort:string,protocol:string>>>>"
 
 
 def pods(spark: SparkSession, root: str) -> DataFrame:
+    return pods_of(whole_files(spark, root, "pods.json"))
+
+
+def pods_of(files: DataFrame) -> DataFrame:
     """One row a pod, as operators.system takes it. The service is a label, else the host name. A pod is ready
     while it runs, is ready itself and has ready containers; each container's state counts."""
-    rows = k8s_items(spark, root, "pods.json", POD)
+    rows = k8s_items(files, POD)
     i, label = F.col("item"), lambda k: F.nullif(F.try_element_at(F.col("item.metadata.labels"), F.lit(k)), F.lit(""))
     conditions, states = F.coalesce("item.status.conditions", F.array()), F.coalesce("item.status.containerStatuses", F.array())
     true = lambda kind: F.exists(conditions, lambda c: (c["type"] == kind) & (F.lower(c["status"]) == "true"))
@@ -212,22 +220,64 @@ def _last(rows: DataFrame) -> DataFrame:
 
 
 def endpoints(spark: SparkSession, root: str) -> DataFrame:
-    rows = k8s_items(spark, root, "endpoints.json", ENDPOINTS)
-    count = lambda name: F.size(F.flatten(F.transform(F.coalesce("item.subsets", F.array()), lambda s: F.coalesce(s[name], F.array()))))
-    return _last(rows.select("scenario_id", "path", "no", shared_service(F.col("item.metadata.name")).alias("service"), count("addresses").alias("ready_endpoints"), count("notReadyAddresses").alias("not_ready_endpoints")))
+    return endpoints_of(whole_files(spark, root, "endpoints.json"))
+
+
+def endpoints_of(files: DataFrame) -> DataFrame:
+    """One row a service: the addresses that are ready and those that aren't, with pod and node, the ports, and counts."""
+    rows = k8s_items(files, ENDPOINTS)
+    subsets = F.coalesce("item.subsets", F.array())
+    every = lambda name: F.flatten(F.transform(subsets, lambda s: F.transform(F.coalesce(s[name], F.array()), lambda a: F.struct(a["ip"].alias("ip"), a["nodeName"].alias("node"), a["targetRef"]["name"].alias("pod"), a["targetRef"]["kind"].alias("kind")))))
+    ports = F.flatten(F.transform(subsets, lambda s: F.coalesce(s["ports"], F.array())))
+    made = rows.select("scenario_id", "path", "no", shared_service(F.col("item.metadata.name")).alias("service"), F.col("item.metadata.namespace").alias("namespace"), every("addresses").alias("addresses"), every("notReadyAddresses").alias("not_ready_addresses"), ports.alias("ports"))
+    return _last(made.withColumns({"ready_endpoints": F.size("addresses"), "not_ready_endpoints": F.size("not_ready_addresses")}))
+
+
+def _labelled(item: Column) -> Column:
+    """The service an object belongs to: a label, else its name."""
+    label = lambda k: F.nullif(F.try_element_at(item["metadata"]["labels"], F.lit(k)), F.lit(""))
+    return shared_service(F.coalesce(label("service"), label("app"), item["metadata"]["name"]))
 
 
 def deployments(spark: SparkSession, root: str) -> DataFrame:
-    return _last(k8s_items(spark, root, "deployments.json", DEPLOYMENT).select("scenario_id", "path", "no", shared_service(F.col("item.metadata.name")).alias("service"), "item.spec.replicas", F.col("item.status.readyReplicas").alias("ready_replicas"), F.col("item.status.availableReplicas").alias("available_replicas"), F.map_from_entries(F.transform(F.array_distinct(F.coalesce("item.status.conditions", F.array())), lambda c: F.struct(c["type"], c["status"]))).alias("conditions")))
+    return deployments_of(whole_files(spark, root, "deployments.json"))
+
+
+def deployments_of(files: DataFrame) -> DataFrame:
+    """One row a service: replica counts, conditions by type, containers; selector, strategy and volumes stay JSON text."""
+    i = F.col("item")
+    count = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    status, spec = i["status"], i["spec"]
+    entries = F.coalesce(status["conditions"], F.array())
+    # of conditions of one type the last counts
+    kinds = F.array_distinct(F.transform(entries, lambda c: c["type"]))
+    conditions = F.map_from_entries(F.transform(kinds, lambda k: F.struct(k, F.element_at(F.filter(entries, lambda c: c["type"] == k), -1))))
+    made = k8s_items(files, DEPLOYMENT).select(
+        "scenario_id", "path", "no", _labelled(i).alias("service"), i["metadata"]["name"].alias("deployment"), i["metadata"]["namespace"].alias("namespace"), count(spec["replicas"]).alias("replicas"), count(status["replicas"]).alias("current_replicas"), count(status["readyReplicas"]).alias("ready_replicas"), count(status["availableReplicas"]).alias("available_replicas"), count(status["unavailableReplicas"]).alias("unavailable_replicas"), count(status["updatedReplicas"]).alias("updated_replicas"),
+        i["metadata"]["generation"].alias("generation"), status["observedGeneration"].alias("observed_generation"), spec["selector"].alias("selector"), spec["strategy"].alias("strategy"), conditions.alias("conditions"), F.coalesce(spec["template"]["spec"]["containers"], F.array()).alias("containers"), spec["template"]["spec"]["volumes"].alias("volumes"),
+    )
+    return _last(made)
 
 
 def replica_sets(spark: SparkSession, root: str) -> DataFrame:
-    rows = k8s_items(spark, root, "replicasets.json", REPLICA_SET).select("scenario_id", "path", "no", log_service(F.col("item.metadata.name")).alias("service"), F.col("item.metadata.name").alias("name"), "item.spec.replicas", F.col("item.status.readyReplicas").alias("ready_replicas"))
-    return rows.groupBy("scenario_id", "service").agg(F.array_sort(F.collect_list(F.struct("path", "no", "name", "replicas", "ready_replicas"))).alias("replica_sets"))
+    return replica_sets_of(whole_files(spark, root, "replicasets.json"))
+
+
+def replica_sets_of(files: DataFrame) -> DataFrame:
+    """One row a service with all its replica sets in order."""
+    i = F.col("item")
+    count = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    rows = k8s_items(files, REPLICA_SET).select("scenario_id", _labelled(i).alias("service"), F.struct("path", "no", i["metadata"]["name"].alias("name"), count(i["spec"]["replicas"]).alias("replicas"), count(i["status"]["replicas"]).alias("current_replicas"), count(i["status"]["readyReplicas"]).alias("ready_replicas"), count(i["status"]["availableReplicas"]).alias("available_replicas"), count(i["status"]["fullyLabeledReplicas"]).alias("labelled_replicas"), i["metadata"]["ownerReferences"].alias("owners"), i["spec"]["selector"].alias("selector")).alias("r"))
+    return rows.groupBy("scenario_id", "service").agg(F.array_sort(F.collect_list("r")).alias("replica_sets"))
 
 
 def services(spark: SparkSession, root: str) -> DataFrame:
-    return _last(k8s_items(spark, root, "services.json", SERVICE).select("scenario_id", "path", "no", F.col("item.metadata.name").alias("service"), "item.spec.type", F.col("item.spec.clusterIP").alias("cluster_ip"), F.to_json("item.spec.selector").alias("selector"), F.col("item.spec.ports").alias("ports")))
+    return services_of(whole_files(spark, root, "services.json"))
+
+
+def services_of(files: DataFrame) -> DataFrame:
+    spec = F.col("item.spec")
+    return _last(k8s_items(files, SERVICE).select("scenario_id", "path", "no", F.col("item.metadata.name").alias("service"), F.col("item.metadata.namespace").alias("namespace"), spec["type"].alias("type"), spec["clusterIP"].alias("cluster_ip"), spec["clusterIPs"].alias("cluster_ips"), F.to_json(spec["selector"]).alias("selector"), spec["ports"].alias("ports"), spec["sessionAffinity"].alias("session_affinity"), spec["internalTrafficPolicy"].alias("internal_traffic_policy")))
 
 
 def text_table(spark: SparkSession, root: str, glob: str) -> DataFrame:
@@ -251,20 +301,30 @@ def pods_wide(spark: SparkSession, root: str) -> DataFrame:
 
 
 def events(spark: SparkSession, root: str) -> DataFrame:
-    files = whole_files(spark, root, "events.txt")
+    return events_of(whole_files(spark, root, "events.txt"))
+
+
+def events_of(files: DataFrame) -> DataFrame:
+    """A row for each event of the text table; a warning by type, or by a reason that tells of trouble."""
     rows = files.select("scenario_id", F.posexplode(F.split("content", r"\r?\n")).alias("no", "line")).withColumn("line", F.trim("line")).where("line <> '' and not startswith(line, 'LAST SEEN')").withColumn("p", F.split("line", r"\s+", 5)).where("size(p) = 5")
     return rows.select("scenario_id", "no", log_service(F.regexp_extract(F.col("p")[3], r"([^/]*)$", 1)).alias("service"), F.col("p")[0].alias("last_seen"), F.col("p")[1].alias("type"), F.col("p")[2].alias("reason"), F.col("p")[3].alias("object"), F.col("p")[4].alias("message"), ((F.lower(F.col("p")[1]) == "warning") | F.col("p")[2].isin(rules.BAD_REASONS)).alias("is_warning"))
 
 
 def collection_status(spark: SparkSession, root: str) -> DataFrame:
-    files = whole_files(spark, root, "collection_status.json")
+    return collection_status_of(whole_files(spark, root, "collection_status.json"))
+
+
+def collection_status_of(files: DataFrame) -> DataFrame:
     rows = files.select("scenario_id", F.explode(F.from_json("content", "map<string,struct<returncode:int,cmd:string,stderr:string>>")).alias("name", "s"))
     return rows.select("scenario_id", "name", "s.*", (F.col("s.returncode") == 0).alias("ok"))
 
 
 def topology_edges(spark: SparkSession, root: str) -> DataFrame:
+    return topology_edges_of(whole_files(spark, root, "{topology,graph}.json"))
+
+
+def topology_edges_of(files: DataFrame) -> DataFrame:
     """Edges given as objects, under any of the three pairs of names, or as pairs."""
-    files = whole_files(spark, root, "topology.json")
     entry = F.explode(F.coalesce(*[F.from_json(F.get_json_object("content", f"$.{k}"), "array<string>") for k in ("edges", "dependencies")], F.array().cast("array<string>")))
     rows = files.select("scenario_id", entry.alias("e"))
     got = lambda *names: F.coalesce(*[F.get_json_object("e", f"$.{n}") for n in names])
@@ -281,8 +341,11 @@ def topology_services(spark: SparkSession, root: str) -> DataFrame:
 
 
 def fault_instances(spark: SparkSession, root: str) -> DataFrame:
-    """(scenario_id, no, service, fault_family, variant) of single and multiple faults in spec.json."""
-    files = whole_files(spark, root, "spec.json")
+    return fault_instances_of(whole_files(spark, root, "spec.json"))
+
+
+def fault_instances_of(files: DataFrame) -> DataFrame:
+    """(scenario_id, no, service, fault_family, variant) of single and multiple faults."""
     one = "faulty_service string, fault_service string, service string, app_name string, fault_family string, variant string, is_multifault boolean"
     spec = files.select("scenario_id", F.from_json("content", f"{one}, subproblems array<struct<{', '.join(c.replace(' ', ':') for c in one.split(', '))}>>").alias("s"))
     parts = F.when(F.size(F.coalesce("s.subproblems", F.array())) > 0, F.col("s.subproblems")).otherwise(F.array(F.struct(*[F.col(f"s.{c.split()[0]}") for c in one.split(", ")])))
@@ -292,7 +355,12 @@ def fault_instances(spark: SparkSession, root: str) -> DataFrame:
 
 def actions(spark: SparkSession, root: str) -> DataFrame:
     """(scenario_id, no, api, args_text): the first call in each message of a transcript."""
-    files = whole_files(spark, root, "{agent_transcript,run_result}.json").where(F.try_parse_json("content").isNotNull())
+    return actions_of(whole_files(spark, root, "{agent_transcript,run_result}.json"))
+
+
+def actions_of(files: DataFrame) -> DataFrame:
+    """(scenario_id, no, api, args_text) from transcripts with a list of messages under trace or history."""
+    files = files.where(F.try_parse_json("content").isNotNull())
     first = Window.partitionBy("scenario_id").orderBy("path")  # the transcript stands before the run's result
     files = files.withColumn("_n", F.row_number().over(first)).where("_n = 1")
     entry = F.coalesce(*[F.from_json(F.get_json_object("content", f"$.{k}"), "array<string>") for k in ("trace", "history")])
