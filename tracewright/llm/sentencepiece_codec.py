@@ -5,7 +5,7 @@ form, leftmost first among equals, and merges from the top until no pair forms a
 before every run of the space mark first. That is exact when no piece holds the mark behind another
 character, which is verified when the vocabulary is loaded; otherwise a text stays one segment.
 Segments repeat, so a task remembers the ids of those it has met (a bounded memory that only saves
-time). Short new segments of a batch are merged together, one agenda step for all of them at a time in
+time and ends with the task). Short new segments of a batch are merged together, one agenda step for all of them at a time in
 numpy; long ones use a heap. Every new segment is checked against the sentencepiece library in the
 batch it appears in, and a difference raises. Decoding is the library's.
 """
@@ -27,7 +27,7 @@ from tracewright.llm.common import append_columns, table
 
 MARK = "▁"  # stands for a space in pieces
 LONG = 96  # symbols from which a segment has an agenda of its own
-REMEMBERED = 600_000  # segments a task remembers
+REMEMBERED = 200_000  # segments a task remembers, some 200 bytes each
 
 
 class MergeCodec:
@@ -64,7 +64,6 @@ class MergeCodec:
             if len(s) == 1:
                 self.by_char[ord(s)] = i
         self.interned = np.array([*range(width), -1], dtype=object)  # one int object for each id
-        self.memory: dict[str, tuple] = {}
 
     def _heap(self, segment: str) -> list[int]:
         """The agenda as a heap over linked symbols: for long segments."""
@@ -166,15 +165,18 @@ class MergeCodec:
                     raise ValueError(f"the agenda and the library differ on {s[:80]!r}: {own[:20]} and {other[:20]}")
         return dict(zip((*short, *long), map(tuple, made)))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str], known: dict[str, tuple] | None = None) -> list[list[int]]:
+        """Ids of each text. ``known`` are the segments remembered from earlier calls; this one adds its own."""
+        known = {} if known is None else known
         cut = [self.segments(t) for t in texts]
         met = set().union(*cut)
-        known, new = self.memory, list(met.difference(self.memory))
+        new = list(met.difference(known))
         if new:
             found = self._learn(new)
             if len(known) + len(found) > REMEMBERED:  # keep what this batch uses and forget the rest
-                known = {s: known[s] for s in met.intersection(known)}
-                self.memory = known
+                used = {s: known[s] for s in met.intersection(known)}
+                known.clear()
+                known.update(used)
             known.update(found)
         return [list(chain.from_iterable(map(known.__getitem__, c))) for c in cut]
 
@@ -183,7 +185,7 @@ _CODECS: dict[bytes, MergeCodec] = {}
 
 
 def codec_of(model: bytes) -> MergeCodec:
-    """The codec that this Python worker keeps from task to task, with the segments it remembers."""
+    """The codec that this Python worker keeps from task to task: some 25 MB of tables."""
     if model not in _CODECS:
         _CODECS.clear()
         _CODECS[model] = MergeCodec(model)
@@ -204,16 +206,16 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text") -> D
         model = f.read()
 
     def start():
-        codec = codec_of(model)
+        codec, memory = codec_of(model), {}
 
         def step(texts: list) -> list[pa.Array]:
-            ids = codec.encode([t or "" for t in texts])
+            ids = codec.encode([t or "" for t in texts], memory)
             decoded = codec.library.decode(ids, num_threads=1) if ids else []
             return [pa.array(ids, type=pa.list_(pa.int32())), pa.array(decoded, type=pa.string())]
 
         return step
 
-    return append_columns(docs, text_col, [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())], start, 2 << 20)
+    return append_columns(docs, text_col, [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())], start, 1 << 20)
 
 
 def default_model() -> str:
@@ -223,6 +225,7 @@ def default_model() -> str:
 
 
 def digests(coded: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the rows of ``encode_decode``."""
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -232,4 +235,5 @@ def digests(coded: DataFrame) -> DataFrame:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document, null texts as empty ones; see ``encode_decode``."""
     return digests(encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), default_model()))
