@@ -10,24 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import langid_ppm, ngram_join, sentencepiece_codec, source_mix, toxicity_pu
-from tracewright.llm.common import materialize, table
+from tracewright.llm.common import free_names, materialize, quoted, table
 
 
-def _aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
-    """Columns that bear a name that an operator appends step aside under another one."""
-    moved = {c: f"_kept_{c}" for c in docs.columns if c in names}
-    return docs.withColumnsRenamed(moved), {b: a for a, b in moved.items()}
-
-
-def _columns(made: DataFrame, back: dict[str, str], like: DataFrame) -> DataFrame:
-    return made.drop(*back.values()).withColumnsRenamed(back).select(*like.columns)
+def _aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, list]:
+    """The table with the columns that bear a name that an operator appends, in any case, under another one; and
+    the expressions that give the columns of ``docs`` again."""
+    moved = [c for c in docs.columns if c.lower() in names]
+    other = dict(zip(moved, free_names([*docs.columns, *names], *[f"kept_{k}" for k in range(len(moved))])))
+    own = docs.select(*[F.col(quoted(c)).alias(other.get(c, c)) for c in docs.columns])
+    return own, [F.col(quoted(other.get(c, c))).alias(c) for c in docs.columns]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half; the model learns from all labels there are."""
     model = toxicity_pu.learn(docs, table(spark, sf_dir, "labels"))
     own, back = _aside(docs, ["score", "predicted"])
-    return _columns(toxicity_pu.score(own, model).where("predicted = 0"), back, docs)
+    return toxicity_pu.score(own, model).where("predicted = 0").select(*back)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     language's code doesn't make shorter than their bytes."""
     own, back = _aside(docs, ["lang_pred", "score", "bits_per_byte"])
     made = langid_ppm.identify(own, langid_ppm.learn(docs))
-    return _columns(made.where((F.col("lang_pred") != langid_ppm.UNDETERMINED) & (F.col("bits_per_byte") < 8)), back, docs)
+    return made.where((F.col("lang_pred") != langid_ppm.UNDETERMINED) & (F.col("bits_per_byte") < 8)).select(*back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +44,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    own, back = _aside(docs, ["size", "source_size", "target", "copies", "taken"])
+    own, back = _aside(docs, ["size", "source_size", "target", "inclusion", "copies", "taken"])
     made = source_mix.pareto_mix(own).where("copies > 0")
-    return _columns(made.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), back, docs)
+    copy = free_names(made.columns, "copy")[0]
+    return made.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*back)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
