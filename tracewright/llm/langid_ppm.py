@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import append_columns, byte_slices, fold, ship, table
+from tracewright.llm.common import append_columns, byte_slices, fold, releasing, ship, table
 
 ORDER = 4
 DOCS_A_LANGUAGE = 1500  # bound of the training sample: expected distinct texts of each language
@@ -153,7 +153,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most:
                     g, c = np.unique(np.concatenate(found), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), i, dtype=np.int32)), pa.array(g), pa.array(c.astype(np.int64))], names=["lang", "gram", "n"])
 
-    summed = drawn.mapInArrow(count, "lang int, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    summed = drawn.mapInArrow(releasing(count), "lang int, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     summed = summed.sort_values(["lang", "gram"])
     return FrozenTrees(languages, summed["lang"].to_numpy(), summed["gram"].to_numpy(), summed["n"].to_numpy(), order)
 
@@ -209,6 +209,8 @@ def held_out(id_col: Column) -> Column:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, bits_per_byte) of every document; trees are learned from rows that aren't
+    held out. Repeated rows get equal results, an empty table gives no row."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     trees = learn(docs.where(~held_out(docs["doc_id"])))
     return identify(docs.select("doc_id", held_out(docs["doc_id"]).alias("held_out"), "text"), trees).drop("text")
