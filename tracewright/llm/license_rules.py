@@ -142,6 +142,69 @@ _TEXTS = [
     ("non-commercial", "commercial", r"for non commercial (?:use|purposes) only"),
     ("non-commercial", "noncommercial", r"for noncommercial (?:use|purposes) only"),
     ("non-commercial", "research", r"for research (?:use|purposes) only"),
+    ("mit", "sublicense", r"to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "substantial", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "noninfringement", r"warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("isc", "disclaims", r"the software is provided as is and (?:the author|isc) disclaims all warranties with regard to this software"),
+    ("apache-2", "derivative", r"you may reproduce and distribute copies of the work or derivative works thereof in any medium"),
+    ("apache-2", "patent", r"perpetual worldwide non exclusive no charge royalty free irrevocable(?: except as stated in this section)? patent license"),
+    ("apache-2", "contribution", r"any contribution intentionally submitted for inclusion in the work by you to the licensor"),
+    ("bsd-2-clause", "binary", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-3-clause", "endorse", r"may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", "university", r"this product includes software developed by the university of"),
+    ("gpl", "verbatim", r"everyone is permitted to copy and distribute verbatim copies of this license document"),
+    ("gpl", "hope", r"this program is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", "received", r"you should have received a copy of the gnu general public license along with this program"),
+    ("gpl", "exception", r"as a special exception the copyright holders give you permission to link"),
+    ("gpl", "linking", r"linking this library statically or dynamically with other modules"),
+    ("lgpl", "library", r"this library is free software you can redistribute it and or modify it"),
+    ("agpl-3", "remotely", r"(?:users )?interacting with it remotely through a computer network"),
+    ("gfdl-1", "invariant", r"with no invariant sections"),
+    ("mpl-2", "secondary", r"this source code form is incompatible with secondary licenses"),
+    ("mpl-1", "initial", r"the initial developer of the original code is"),
+    ("epl", "accompanying", r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl-1", "subject", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cpl-1", "agreement", r"this common public license agreement"),
+    ("zlib", "altered", r"altered source versions must be plainly marked as such and must not be misrepresented"),
+    ("zlib", "arising", r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("libpng", "png", r"the png reference library is supplied as is"),
+    ("bsl-1", "organization", r"to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("unlicense", "unlicense", r"unlicense org"),
+    ("artistic-2", "perl", r"the artistic license (?:2 0 )?as published by the perl foundation"),
+    ("python-2", "licensee", r"psf is making python (?:2 |3 )?available to licensee on an as is basis"),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project"),
+    ("php-3", "php", r"this product includes php software"),
+    ("curl", "curl", r"curl se docs copyright"),
+    ("w3c", "w3c", r"w3c software notice and license"),
+    ("ofl-1.1", "font", r"with reserved font name"),
+    ("odbl-1", "opendatacommons", r"opendatacommons org licenses odbl"),
+    ("odc-by-1", "opendatacommons", r"opendatacommons org licenses by"),
+    ("pddl-1", "opendatacommons", r"opendatacommons org licenses pddl"),
+    ("cc0-1", "waived", r"(?:has|have) waived all copyright and related or neighbou?ring rights"),
+    ("cc-by", "international", r"licensed under a creative commons attribution [1234] [05] international license"),
+    ("cc-by-sa", "international", r"licensed under a creative commons attribution sharealike [1234] [05] international license"),
+    ("cc-by-nd", "international", r"licensed under a creative commons attribution noderivatives [1234] [05] international license"),
+    ("cc-by-nc", "international", r"licensed under a creative commons attribution noncommercial [1234] [05] international license"),
+    ("cc-by-nc-sa", "international", r"licensed under a creative commons attribution noncommercial sharealike [1234] [05] international license"),
+    ("cc-by-nc-nd", "international", r"licensed under a creative commons attribution noncommercial noderivatives [1234] [05] international license"),
+    ("sspl-1", "mongodb", r"mongodb com licensing server side public license"),
+    ("elastic-2", "hosted", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("busl-1.1", "production", r"the licensor (?:hereby )?grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("polyform", "polyformproject", r"polyformproject org licenses"),
+    ("openrail", "restrictions", r"use based restrictions as referenced in paragraph"),
+    ("commons-clause", "sell", r"the grant of rights under the license will not include and the license does not grant to you the right to sell the software"),
+    ("llama", "llama", r"llama (?:2|3|3 1|3 2|3 3|4) (?:community license|is licensed under)"),
+    ("public-domain", "disclaims", r"the author disclaims copyright to this source code"),
+    ("public-domain", "claimed", r"no copyright (?:is )?claimed"),
+    ("public-domain", "gutenberg", r"project gutenberg license"),
+    ("proprietary", "reproduced", r"no part of this (?:document|publication|book|work) may be reproduced"),
+    ("proprietary", "secret", r"confidential and trade secret information"),
+    ("proprietary", "internal", r"for internal use only"),
+    ("proprietary", "eula", r"end user license agreement eula"),
+    ("non-commercial", "academic", r"for academic (?:use|purposes) only"),
+    ("non-commercial", "educational", r"for educational (?:use|purposes) only"),
+    ("non-commercial", "evaluation", r"for evaluation (?:use|purposes) only"),
+    ("non-commercial", "personal", r"for personal(?: and)? non ?commercial use(?: only)?"),
 ]
 
 
@@ -273,6 +336,8 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every document: ``scan_licenses``
+    in figures. Null and empty texts have no word and empty labels; repeated rows get equal results."""
     found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     joined = lambda a: F.concat_ws(",", F.sort_array(F.array_distinct(a)))
     return found.select(
