@@ -105,11 +105,13 @@ def bucket(severity: Column, kind: Column) -> Column:
 
 
 def dependency_targets(message: Column) -> Column:
-    """array<struct<raw_target, port>> in pattern order, equal ones once; the names are not yet normalized."""
+    """array<struct<raw_target, port>> in pattern order, equal ones once; the names are not yet normalized. A message
+    without a colon before a digit, which every pattern asks for, is searched by none."""
 
     def found(m: Column) -> Column:
         each = [F.arrays_zip(F.regexp_extract_all(m, F.lit(p), 1).alias("raw_target"), F.regexp_extract_all(m, F.lit(p), 2).alias("port")) for p in TARGETS]
-        return F.array_distinct(F.flatten(F.array(*each)))
+        every = F.array_distinct(F.flatten(F.array(*each)))
+        return F.when(m.rlike(r":\d"), every).otherwise(F.array().cast("array<struct<raw_target:string,port:string>>"))
 
     return once(message, found)
 
