@@ -7,6 +7,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -44,13 +45,27 @@ def materialize(df: DataFrame) -> DataFrame:
     The folder is one that all executors share, so the rows outlive the executor that made them.
     Without the setting a temporary folder serves in local mode (tests); on a cluster that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that ``spark.checkpoint.dir`` names, see ``materialize``."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and sc.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    return f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, *parts: str) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder, in folders by the columns ``parts``: unlike a
+    checkpoint it is read by columns, and by folders."""
+    path = shared_folder(df.sparkSession)
+    df.write.partitionBy(*parts).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def others(df: DataFrame, *replaced: str) -> list[Column]:
