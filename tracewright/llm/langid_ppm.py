@@ -11,10 +11,9 @@ Texts are lower-cased, ASCII characters that aren't letters become spaces, and r
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +24,7 @@ ORDER = 4
 DOCS_A_LANGUAGE = 1500  # bound of the training sample: expected distinct texts of each language
 UNDETERMINED = "und"
 _PLAIN = bytes(b if b >= 0x80 or 97 <= b <= 122 else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")  # Unicode's letters; numeric signs such as one half aren't
 
 
 def normal(text: str) -> bytes:
