@@ -63,27 +63,30 @@ def rca_evidence(state: DataFrame, edges: DataFrame, faults: DataFrame) -> DataF
     """
     c, none = F.col, F.lit("")
 
-    def own(d: DataFrame, hit, score, why, source: int, place=none) -> DataFrame:
-        return d.where(hit).select(*SERVICE, score.cast("double").alias("score"), why.alias("reason"), F.struct(F.lit(source).alias("source"), place.alias("place")).alias("ord"))
+    def own(d: DataFrame, hit, score, why, source: int, place=none, no: int = 0) -> DataFrame:
+        ord_ = F.struct(F.lit(source).alias("source"), place.alias("place"), F.lit(no).alias("no"))
+        return d.where(hit).select(*SERVICE, score.cast("double").alias("score"), why.alias("reason"), ord_.alias("ord"))
 
     into = edges.withColumn("service", c("dst"))
     known = faults.join(state.select(*SERVICE, "status"), SERVICE, "left")
     bad = ~F.coalesce("status", F.lit("unknown")).isin("healthy", "unknown")
     say = lambda name, x: F.concat(F.lit(f"{name}="), x)
     nothing, silent = F.lit(0.0), F.lit(None).cast("string")
+    fault = F.format_string("%012d", F.col("no")) if "no" in faults.columns else F.coalesce("fault_family", none)
+    # the reasons of one edge stand side by side, and so do those of one fault
     parts = [
         own(state, c("anomaly") > 0, c("anomaly"), say("log_anomaly", three(c("anomaly"))), 1),
         own(state, c("dominant_error_type") != "none", nothing, say("log_error_type", c("dominant_error_type")), 2),
         own(state, c("latency_ms") > 500, F.lit(0.25), say("high_latency_ms", three(c("latency_ms"))), 3),
         own(state, c("metric_restarts") > 0, F.lit(0.2), F.lit("container_restarts_metric"), 4),
         own(state, c("infra_issue"), F.lit(0.5), say("infra_issue", c("status")), 5),
-        own(into, (c("edge_score") > 0) & (c("edge_score") <= 0.2), c("edge_score"), silent, 6, c("src")),
-        own(into, c("edge_score") > 0.2, c("edge_score"), say("trace_edge_issue", edge_name()), 6, c("src")),
-        own(into, c("edge_score") > 0.2, nothing, say("trace_failure_type", c("failure_type")), 7, c("src")),
-        own(into, (c("src") == c("dst")) & (c("error_ratio") > 0.3), F.lit(0.4), F.lit("self_loop_failure"), 8, c("src")),
-        own(known, F.lit(True), F.when(bad, 1.25).otherwise(0.35), say("scenario_fault_context", rules.fault_type(c("fault_family"))), 9, c("fault_family")),
-        own(known, bad, nothing, say("direct_system_status", c("status")), 10, c("fault_family")),
-        own(known, rules.variant_name(c("variant")) != "default", nothing, say("scenario_variant", rules.variant_name(c("variant"))), 11, c("fault_family")),
+        own(into, (c("edge_score") > 0) & (c("edge_score") <= 0.2), c("edge_score"), silent, 6, c("src"), 1),
+        own(into, c("edge_score") > 0.2, c("edge_score"), say("trace_edge_issue", edge_name()), 6, c("src"), 1),
+        own(into, c("edge_score") > 0.2, nothing, say("trace_failure_type", c("failure_type")), 6, c("src"), 2),
+        own(into, (c("src") == c("dst")) & (c("error_ratio") > 0.3), F.lit(0.4), F.lit("self_loop_failure"), 6, c("src"), 3),
+        own(known, F.lit(True), F.when(bad, 1.25).otherwise(0.35), say("scenario_fault_context", rules.fault_type(c("fault_family"))), 7, fault, 1),
+        own(known, bad, nothing, say("direct_system_status", c("status")), 7, fault, 2),
+        own(known, rules.variant_name(c("variant")) != "default", nothing, say("scenario_variant", rules.variant_name(c("variant"))), 7, fault, 3),
     ]
     every = parts[0]
     for p in parts[1:]:
@@ -105,18 +108,33 @@ def observability_gaps(state: DataFrame, edges: DataFrame) -> DataFrame:
     return made.select("scenario_id", gaps.alias("gaps")).withColumn("confidence", F.round(rules.confidence(F.size("gaps")), 3))
 
 
+def hypotheses(faults: DataFrame) -> DataFrame:
+    """(scenario_id, hypotheses): the known fault instances of a scenario in order, as structs service, fault_type, fault_family,
+    variant_name, variant_params, source."""
+    text = F.col("variant")
+    one = F.struct("no", "service", rules.fault_type(F.col("fault_family")).alias("fault_type"), "fault_family", rules.variant_name(text).alias("variant_name"), F.to_json(rules.variant_params(F.coalesce(text, F.lit("")))).alias("variant_params"), F.lit("generated_fault_context").alias("source"))
+    listed = faults.where("service is not null and service <> ''").groupBy("scenario_id").agg(F.array_sort(F.collect_list(one)).alias("h"))
+    return listed.select("scenario_id", F.transform("h", lambda x: x.dropFields("no")).alias("hypotheses"))
+
+
 def rca_summary(scores: DataFrame, state: DataFrame, edges: DataFrame, faults: DataFrame) -> DataFrame:
-    """One row a scenario: the most suspicious service and edge, the dominant family, gaps and confidence, the known faults and
-    the primary hypothesis."""
+    """One row a scenario: the most suspicious service and edge, the dominant family, gaps and confidence, whether several faults
+    are known, the expected services, the primary hypothesis, and all hypotheses: the known faults, else the primary one."""
     top = ranked(scores).where("rank = 1").select("scenario_id", F.col("service").alias("top_service"))
     best = edges.groupBy("scenario_id").agg(F.min_by(edge_name(), F.struct(-F.col("edge_score"), "src", "dst")).alias("top_edge"), F.max("edge_score").alias("top_edge_score"))
-    kind = rules.fault_type(F.col("fault_family"))
-    known = faults.groupBy("scenario_id").agg(F.array_sort(F.collect_list(F.struct("no", "service", kind.alias("fault_type")))).alias("k"), F.sort_array(F.collect_set("service")).alias("expected_services"))
-    made = observability_gaps(state, edges).join(top, "scenario_id", "left").join(best, "scenario_id", "left").join(known, "scenario_id", "left")
-    first = F.get("k", F.lit(0))
-    told = F.when(F.size("k") > 1, "multifault").otherwise(F.coalesce(first["fault_type"], F.lit("unknown")))
+    expected = faults.groupBy("scenario_id").agg(F.sort_array(F.collect_set("service")).alias("expected_services"), F.count("*").alias("num_fault_instances"))
+    made = observability_gaps(state, edges)
+    for d in (top, best, hypotheses(faults), expected):
+        made = made.join(d, "scenario_id", "left")
+    first = F.get("hypotheses", F.lit(0))
+    multi = F.coalesce(F.col("num_fault_instances") > 1, F.lit(False))
+    told = F.when(multi, "multifault").otherwise(F.coalesce(first["fault_type"], F.lit("unknown")))
     family = F.when(told != "unknown", told).when(F.col("top_edge_score") > 0.4, "dependency_failure").otherwise("unknown")
-    return made.select("scenario_id", "top_service", "top_edge", family.alias("dominant_family"), "gaps", "confidence", F.coalesce("expected_services", F.array().cast("array<string>")).alias("expected_services"), F.coalesce("top_service", first["service"]).alias("hypothesis_service"), F.coalesce(first["fault_type"], told).alias("hypothesis_type"))
+    made = made.withColumns({"hypothesis_service": F.coalesce("top_service", first["service"]), "hypothesis_type": F.coalesce(first["fault_type"], told)})
+    none = F.lit(None).cast("string")
+    primary = F.struct(F.col("hypothesis_service").alias("service"), F.col("hypothesis_type").alias("fault_type"), none.alias("fault_family"), none.alias("variant_name"), none.alias("variant_params"), F.lit("ranking").alias("source"))
+    every = F.coalesce("hypotheses", F.array(primary))
+    return made.select("scenario_id", "top_service", "top_edge", family.alias("dominant_family"), "gaps", "confidence", multi.alias("is_multifault"), F.coalesce("expected_services", F.array().cast("array<string>")).alias("expected_services"), "hypothesis_service", "hypothesis_type", every.alias("hypotheses"))
 
 
 def ranked(scores: DataFrame, most: int = 8) -> DataFrame:

@@ -12,19 +12,43 @@ SERVICE = ["scenario_id", "service"]
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """Noise, pod prefix, format, severity bucket, error type, targets and HTTP facts of every line."""
+    """Noise, pod prefix, format, severity bucket, error type, targets and HTTP facts of every line.
+
+    A line with a pod prefix counts for its container's service, not for the file's; noise, and a container that gives no name, stay
+    with the file's.
+    """
     p = lines.withColumn("noise", logs.is_noise(F.col("line"))).withColumn("_p", once(F.col("line"), logs.pod_prefix)).select(*lines.columns, "noise", "_p.*")
+    told = F.when(F.col("container").isNotNull() & ~F.col("noise"), F.nullif(once(F.col("container"), names.log_service), F.lit("unknown")))
+    p = p.withColumn("service", F.coalesce(told, "service"))
     p = p.withColumn("_l", once(F.col("rest"), logs.parse_line)).select(*p.columns, "_l.*").withColumn("error_type", once(F.col("message"), logs.error_type))
     return p.withColumn("bucket", logs.bucket(F.col("severity"), F.col("error_type"))).drop("rest")
 
 
+def _targets(message) -> F.Column:
+    """array<struct<target, port, raw_target>> of a message, one target and port once, in order."""
+    named = F.transform(logs.dependency_targets(message), lambda t: F.struct(once(t["raw_target"], names.log_service).alias("target"), t["port"].alias("port"), t["raw_target"].alias("raw_target")))
+    key = lambda t: F.struct(t["target"], t["port"])
+    return once(named, lambda a: F.filter(a, lambda t, i: F.array_position(F.transform(a, key), key(t)) == i + 1))
+
+
 def dependencies(rows: DataFrame) -> DataFrame:
     """A row for each target of each line that isn't noise."""
-    found = rows.where("not noise").select(*SERVICE, "path", "line_no", "error_type", "message", F.posexplode_outer(logs.dependency_targets(F.col("message"))).alias("dep_no", "t")).where("t is not null")
-    found = found.select(*SERVICE, "path", "line_no", "dep_no", "error_type", "message", F.col("t.raw_target").alias("raw_target"), F.col("t.port").alias("port"))
-    named = found.withColumn("target", once(F.col("raw_target"), names.log_service))
-    first = Window.partitionBy("scenario_id", "path", "line_no", "target", "port").orderBy("dep_no")  # one target and port counts once a line
-    return named.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    found = rows.where("not noise").select(*SERVICE, "path", "line_no", "error_type", "message", F.posexplode(_targets(F.col("message"))).alias("dep_no", "t"))
+    return found.select(*SERVICE, "path", "line_no", "dep_no", "error_type", "message", "t.*")
+
+
+def dependency_errors(rows: DataFrame, most: int = 50) -> DataFrame:
+    """(scenario_id, service, no, target, raw_target, port, error_type, message): of each service the first ``most`` targets that its
+    lines name, in the order of files and lines; messages cut to 500 characters. Each task keeps the first ``most`` of a service, so
+    a service with very many lines hands over few."""
+    first = Window.partitionBy(*SERVICE).orderBy("path", "line_no", "dep_no")
+    own = dependencies(rows).withColumn("no", F.row_number().over(first)).where(F.col("no") <= most)
+    return own.select(*SERVICE, "no", "target", "raw_target", "port", "error_type", F.substring("message", 1, 500).alias("message"))
+
+
+def dependency_edges(errors: DataFrame) -> DataFrame:
+    """(scenario_id, source, target, port, error_type, message) of ``dependency_errors``."""
+    return errors.select("scenario_id", F.col("service").alias("source"), "target", "port", "error_type", "message")
 
 
 def facts(rows: DataFrame) -> DataFrame:

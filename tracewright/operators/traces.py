@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import rules
+from tracewright.functions.storage import checkpointed, stored
 
 FILE = ["scenario_id", "path"]
 
@@ -26,10 +27,38 @@ def linked(spans: DataFrame) -> DataFrame:
     return spans.join(parents, [*FILE, "trace_id", "parent_span"], "left").withColumn("src", F.coalesce("src", F.lit("ROOT"))).withColumnRenamed("service", "dst")
 
 
-def _features(keys: list[str]) -> list:
+def quantiles(rows: DataFrame, keys: list[str], value: str, probs: list[float], accuracy: int = 2000) -> DataFrame:
+    """(keys, q0, q1, ..): for each probability the exact percentile of the non-null values of a key, between neighbours
+    linearly, as Spark's ``percentile`` gives it.
+
+    First a mergeable sketch with a rank error of one in ``accuracy`` bounds each percentile from both sides, and then the
+    values below the lower bound are counted and those between the bounds are told apart. So of a key with very
+    many rows no more than a few thousandths are ever ordered, besides counts: no task holds all its values.
+    """
+    own = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    slack = 3.0 / accuracy
+    marks = [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
+    sketch = own.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.percentile_approx("v", F.array(*[F.lit(m) for m in marks]), accuracy).alias("m"))
+    few = F.col("n") <= accuracy  # then the bounds are the ends
+    mark = lambda k, end: F.when(few, F.col(end)).otherwise(F.get("m", F.lit(k)))
+    spans = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("p"), mark(2 * k, "least").alias("low"), mark(2 * k + 1, "most").alias("high")) for k, p in enumerate(probs)])
+    bounds = stored(sketch.select(*keys, "n", spans.alias("s")))
+    near = own.join(bounds, keys)
+    each = F.transform("s", lambda x: F.struct(x["k"].alias("k"), F.when(F.col("v") < x["low"], F.lit(None).cast("double")).otherwise(F.col("v")).alias("v")))
+    told = near.select(*keys, F.explode(F.filter(each, lambda x: F.col("v") <= F.get("s", x["k"])["high"])).alias("t")).groupBy(*keys, "t.k", "t.v").agg(F.count("*").alias("c"))
+    upto = Window.partitionBy(*keys, "k").orderBy(F.col("v").asc_nulls_first())  # values below the lower bound come first, as one
+    ranked = told.withColumn("last", F.sum("c").over(upto) - 1)  # number, from 0, of a value's last row
+    ranked = ranked.join(bounds.select(*keys, "n", F.explode("s").alias("x")).select(*keys, F.col("x.k").alias("k"), (F.col("x.p") * (F.col("n") - 1)).alias("at")), [*keys, "k"])
+    value_at = lambda place: F.min(F.when(F.col("last") >= place, F.col("v")))
+    found = ranked.groupBy(*keys, "k").agg(F.max("at").alias("at"), value_at(F.floor("at")).alias("a"), value_at(F.ceil("at")).alias("b"))
+    between = F.col("a") * (F.floor("at") + 1 - F.col("at")) + F.col("b") * (F.col("at") - F.floor("at"))
+    exact = F.when(F.floor("at") == F.ceil("at"), F.col("a")).otherwise(between)
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("k") == k, exact)).alias(f"q{k}") for k in range(len(probs))])
+
+
+def _features() -> list:
     ratio = F.avg(F.col("is_error").cast("double"))
-    p = F.percentile("duration_us", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return [F.count("*").alias("num_requests"), F.count_if("is_error").alias("num_errors"), ratio.alias("error_ratio"), F.avg("duration_us").alias("latency_mean_us"), p.alias("_p"), F.max("duration_us").alias("latency_max_us")]
+    return [F.count("*").alias("num_requests"), F.count_if("is_error").alias("num_errors"), ratio.alias("error_ratio"), F.avg("duration_us").alias("latency_mean_us"), F.max("duration_us").alias("latency_max_us")]
 
 
 def judged(edges: DataFrame) -> DataFrame:
@@ -37,14 +66,24 @@ def judged(edges: DataFrame) -> DataFrame:
     return edges.withColumn("is_suspicious", rules.suspicious(er, p95)).withColumn("failure_type", rules.failure_class(er, p95)).withColumn("edge_score", rules.edge_score(er, p95))
 
 
-def call_edges(spans: DataFrame, by_file: bool = False) -> DataFrame:
-    """Exact edge statistics over all spans of a scenario, or of each file. Traces are counted beside the
-    percentiles, not in the same aggregate, which would hold the durations of each trace apart."""
+WHOLE = 100_000  # calls of an edge whose durations one aggregate may hold
+
+
+def call_edges(spans: DataFrame, by_file: bool = False, whole: int = WHOLE) -> DataFrame:
+    """Exact edge statistics over all spans of a scenario, or of each file. The spans are linked once and written. An
+    edge with more than ``whole`` calls gets its percentiles from ``quantiles``, so it costs a task no more memory than others."""
     keys = [*(FILE if by_file else FILE[:1]), "src", "dst"]
-    own = linked(spans)
-    made = own.groupBy(*keys).agg(*_features(keys))
+    own = checkpointed(linked(spans).select(*FILE, "src", "dst", "trace_id", "duration_us", "is_error"))
+    p, probs = F.percentile("duration_us", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))), [0.5, 0.95, 0.99]
+    hot = stored(own.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > whole).select(*keys))
+    if hot.isEmpty():
+        made = own.groupBy(*keys).agg(*_features(), p.alias("_p"))
+    else:
+        few = own.join(hot, keys, "left_anti").groupBy(*keys).agg(p.alias("_p"))
+        many = quantiles(own.join(hot, keys, "left_semi"), keys, "duration_us", probs).select(*keys, F.array("q0", "q1", "q2").alias("_p"))
+        made = own.groupBy(*keys).agg(*_features()).join(few.union(many), keys, "left")
     if not by_file:
-        made = made.join(own.select(*keys, "trace_id").distinct().groupBy(*keys).agg(F.count("*").alias("num_traces")), keys)
+        made = made.join(own.groupBy(*keys, "trace_id").agg(F.lit(1).alias("one")).groupBy(*keys).agg(F.count("*").alias("num_traces")), keys)
     made = made.withColumns({f"latency_p{n}_us": F.coalesce(F.col("_p")[i], F.lit(0.0)) for i, n in enumerate((50, 95, 99))}).drop("_p")
     return judged(made)
 

@@ -6,6 +6,7 @@ items are spans, events are samples and log lines, orders are pods. The SQL stat
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,15 +14,30 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import logs as line
 from tracewright.functions import names, rules
+from tracewright.functions.storage import spread, stored
 from tracewright.operators import diagnosis, grouping, logs, metrics, outcome, simulator, system, traces
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
+_SEEN: dict[str, tuple] = {}
+
+
+def stamp(spark: SparkSession, d: str) -> tuple:
+    """When the files below a folder were changed last, how many there are and how long they are."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(d)
+    return tuple(files.agg(F.max("modificationTime"), F.count("*"), F.sum("length")).first())
+
+
 def query(sql: str | None = None):
     def add(f):
-        _QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            _SEEN.clear()  # the layers of a run look at their input's files again
+            return f(spark, d)
+
+        _QUERIES[f.__name__] = run
         if sql:
             _SQL[f.__name__] = sql
         return f
@@ -203,7 +219,7 @@ MESSAGES = [
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """Events as log lines of four formats with each error type, noise and signals of a start. A third of the services logs no
     error, a third few."""
-    t = _read(spark, d, "events")
+    t = spread(_read(spark, d, "events"))
     e, j, k = F.col("event_id"), F.col("user_id") % 30, F.col("event_id") % 4
     n = F.when(j % 3 == 0, 14 + e % 3).when(j % 3 == 1, F.when(e % 997 < 14, e % 997).otherwise(14 + e % 3)).otherwise(e % 17)
     word = F.element_at(F.array(*[F.lit(m) for m, _ in MESSAGES]), (n + 1).cast("int"))
@@ -375,17 +391,20 @@ def graph_edges_precedence(spark, d):
     return traces.preferred_edges(pair(same, "n_name", "r_name"), pair(n["n_regionkey"] >= r["r_regionkey"], "n_name", "r_name"), pair(same, "r_name", "n_name")).drop("scenario_id")
 
 
-_LAYERS: dict[tuple, DataFrame] = {}
+_LAYERS: dict[tuple, tuple[tuple, DataFrame]] = {}
 
 
 def layer(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """A table that several reports of a run read is made once and kept; what is lost of it is made again."""
+    """A table that several reports read is written once, and again when its input's files have changed."""
 
+    @functools.wraps(f)
     def kept(spark: SparkSession, d: str) -> DataFrame:
+        if d not in _SEEN:
+            _SEEN[d] = stamp(spark, d)
         key = (spark.sparkContext.applicationId, f.__name__, d)
-        if key not in _LAYERS:
-            _LAYERS[key] = f(spark, d).persist()
-        return _LAYERS[key]
+        if key not in _LAYERS or _LAYERS[key][0] != _SEEN[d]:
+            _LAYERS[key] = (_SEEN[d], stored(f(spark, d)))
+        return _LAYERS[key][1]
 
     return kept
 
@@ -426,8 +445,8 @@ _HALF_UP = lambda x: _THREE.format(f"(CAST(round({x} * 10000) AS BIGINT) + 5) //
 _FAULT = "CASE WHEN fault_family = 'auth_miss_mongodb' THEN 'auth_failure' ELSE 'infra_failure' END"
 _SCORES = f"""{_STATE}, {_FAULTS}, fs AS (SELECT fi.*, coalesce(status, 'unknown') AS status FROM fi LEFT JOIN st USING (service)),
 evi AS (SELECT service, anomaly AS score, 'log_anomaly=' || {_HALF_UP("anomaly")} AS reason, 1 AS o, '' AS p FROM st WHERE anomaly > 0 UNION ALL SELECT service, 0, 'log_error_type=' || dominant_error_type, 2, '' FROM st WHERE dominant_error_type <> 'none' UNION ALL SELECT service, 0.25, 'high_latency_ms', 3, '' FROM st WHERE latency_ms > 500
-  UNION ALL SELECT service, 0.2, 'container_restarts_metric', 4, '' FROM st WHERE metric_restarts > 0 UNION ALL SELECT service, 0.5, 'infra_issue=' || status, 5, '' FROM st WHERE infra_issue UNION ALL SELECT dst, edge_score, CASE WHEN edge_score > 0.2 THEN 'trace_edge_issue=' || src || '->' || dst END, 6, src FROM ed WHERE edge_score > 0 UNION ALL SELECT dst, 0, 'trace_failure_type=' || failure_type, 7, src FROM ed WHERE edge_score > 0.2
-  UNION ALL SELECT dst, 0.4, 'self_loop_failure', 8, src FROM ed WHERE src = dst AND error_ratio > 0.3 UNION ALL SELECT service, CASE WHEN status NOT IN ('healthy', 'unknown') THEN 1.25 ELSE 0.35 END, 'scenario_fault_context=' || {_FAULT}, 9, fault_family FROM fs UNION ALL SELECT service, 0, 'direct_system_status=' || status, 10, fault_family FROM fs WHERE status NOT IN ('healthy', 'unknown') UNION ALL SELECT service, 0, 'scenario_variant=' || variant, 11, fault_family FROM fs WHERE variant <> 'default'),
+  UNION ALL SELECT service, 0.2, 'container_restarts_metric', 4, '' FROM st WHERE metric_restarts > 0 UNION ALL SELECT service, 0.5, 'infra_issue=' || status, 5, '' FROM st WHERE infra_issue UNION ALL SELECT dst, edge_score, CASE WHEN edge_score > 0.2 THEN 'trace_edge_issue=' || src || '->' || dst END, 6, src || chr(1) || 1 FROM ed WHERE edge_score > 0 UNION ALL SELECT dst, 0, 'trace_failure_type=' || failure_type, 6, src || chr(1) || 2 FROM ed WHERE edge_score > 0.2
+  UNION ALL SELECT dst, 0.4, 'self_loop_failure', 6, src || chr(1) || 3 FROM ed WHERE src = dst AND error_ratio > 0.3 UNION ALL SELECT service, CASE WHEN status NOT IN ('healthy', 'unknown') THEN 1.25 ELSE 0.35 END, 'scenario_fault_context=' || {_FAULT}, 7, lpad(no::VARCHAR, 12, '0') || 1 FROM fs UNION ALL SELECT service, 0, 'direct_system_status=' || status, 7, lpad(no::VARCHAR, 12, '0') || 2 FROM fs WHERE status NOT IN ('healthy', 'unknown') UNION ALL SELECT service, 0, 'scenario_variant=' || variant, 7, lpad(no::VARCHAR, 12, '0') || 3 FROM fs WHERE variant <> 'default'),
 sc AS (SELECT service, round(sum(score), 9)::DOUBLE AS score, array_to_string((list(reason ORDER BY o, p, reason) FILTER (WHERE reason IS NOT NULL))[1:10], ',') AS reasons FROM evi GROUP BY service),
 rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, service) AS rank FROM sc)"""
 

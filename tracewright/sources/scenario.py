@@ -7,18 +7,25 @@ store that Spark reads.
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import rules
 from tracewright.functions.logs import LINE_ENDS
-from tracewright.functions.names import file_service, log_service, metric_service, service_of_output, shared_service
+from tracewright.functions.names import OUTPUT_HINTS, file_service, hinted_service, line_hints, log_service, metric_service, service_of_output, shared_service
+from tracewright.sources.text_lines import first_lines, numbered_lines
 
 # fixed values: column aliases of the two CSV kinds
 METRIC_COLUMNS = {"ts_raw": ["timestamp", "time", "ts"], "cmdb_id": ["cmdb_id", "pod", "pod_name", "instance", "container"], "kpi_name": ["kpi_name", "metric", "metric_name", "__name__"], "value": ["value", "val"]}
 TRACE_COLUMNS = {"trace_id": ["trace_id", "traceid", "traceID"], "span_id": ["span_id", "spanid", "spanID"], "parent_span": ["parent_span", "parent_span_id", "parent_id"], "service": ["service_name", "service"], "operation": ["operation_name", "operation"], "duration": ["duration", "duration_us"], "response": ["response", "status_code", "status"], "has_error": ["has_error", "error"]}
 
 
+EXPORTS = {"metric": (r"/builtin_api_outputs/metrics/", r"(?i)exported\s+(?:metrics\s+)?(?:to\s+directory|to):\s*(.+)$"), "trace": (r"/builtin_api_outputs/traces/", r"(?i)exported\s+(?:traces\s+)?(?:to\s+file|to):\s*(.+)$")}
+STEP_FILE = r"/step_[^/]*get_logs[^/]*$|get_logs[^/]*\.txt$"
 LOG_FILE = r"/pod_logs/[^/]*\.(log|stderr)$|/logs/step_[^/]*_get_logs\.txt$|get_logs[^/]*\.txt$"
 
 
@@ -27,11 +34,22 @@ def decoded(path: Column) -> Column:
     return F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
+SCHEME, SLASHES = "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?/+", "/+"
+
+
+def plain_path(path: Column) -> Column:
+    """A path as Spark reports it, decoded, without its scheme."""
+    return F.regexp_replace(F.regexp_replace(decoded(path), SCHEME, "/"), SLASHES, "/")
+
+
+def _plain(path: str) -> str:
+    return re.sub(SLASHES, "/", re.sub(SCHEME, "/", unquote(path)))
+
+
 def scenario_of(path: Column, root: str) -> Column:
     """The first folder behind the root. Paths come back with a scheme and encoded, a root may be given without."""
-    plain = lambda p: F.regexp_replace(F.regexp_replace(p, "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?/+", "/"), "/+", "/")
-    own = plain(F.lit(root.rstrip("/") + "/"))
-    behind = F.transform(F.array(F.struct(plain(decoded(path)).alias("p"), own.alias("r"))), lambda x: F.when(F.startswith(x["p"], x["r"]), F.substr(x["p"], F.length(x["r"]) + 1)).otherwise(F.regexp_extract(x["p"], "([^/]+/[^/]+)$", 1)))
+    own = re.sub(SLASHES, "/", re.sub(SCHEME, "/", root.rstrip("/") + "/"))
+    behind = F.transform(F.array(plain_path(path)), lambda p: F.when(F.startswith(p, F.lit(own)), F.substr(p, F.lit(len(own) + 1))).otherwise(F.regexp_extract(p, "([^/]+/[^/]+)$", 1)))
     return F.regexp_extract(F.get(behind, F.lit(0)), "^([^/]+)/", 1)
 
 
@@ -54,40 +72,42 @@ def finished(spark: SparkSession, root: str) -> DataFrame:
     return inventory(spark, root).where("kind = 'done'").select("scenario_id").distinct()
 
 
-def csv_headers(spark: SparkSession, root: str) -> DataFrame:
-    """(path, header) of every CSV file, its first line as written; only one line of each file is kept."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root)
-    first = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("no"), "value").where("start = 0")
-    return first.groupBy("path").agg(F.min_by("value", "no").alias("header"))
-
-
-def header_columns(header: Column) -> Column:
+def _header_names(header: str) -> list[str]:
     """Names of a header line without quotes, blanks and byte order mark."""
-    return F.transform(F.split(F.regexp_replace(header, "^\ufeff", ""), ","), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
+    return [c.strip().strip('"') for c in header.removeprefix("\ufeff").split(",")]
 
 
-def kind_of_csv(path: Column, header: Column) -> Column:
-    """metric, trace or null: by the file's name, else by the columns that its header has."""
-    name = F.lower(F.regexp_extract(path, "([^/]*)$", 1))
-    low = F.transform(header_columns(header), lambda c: F.lower(c))
-    has = lambda names: F.arrays_overlap(low, F.array(*[F.lit(n.lower()) for n in names]))
-    metric = name.rlike(r"^kpi_.*\.csv$") | (has(METRIC_COLUMNS["cmdb_id"]) & has(METRIC_COLUMNS["kpi_name"]) & has(METRIC_COLUMNS["value"]))
-    trace = name.rlike("trace|span|jaeger") | (has(TRACE_COLUMNS["trace_id"]) & has(TRACE_COLUMNS["span_id"]) & has(["service_name", "service", "process.servicename"]))
-    return F.when(metric, "metric").when(trace, "trace")
+def _kind_of_csv(path: str, header: str) -> str | None:
+    """metric, trace or None: by the file's name, else by the columns that its header has."""
+    name, own = path.rpartition("/")[2].lower(), {c.lower() for c in _header_names(header)}
+    has = lambda *sets: all(own & {n.lower() for n in s} for s in sets)
+    if re.search(r"^kpi_.*\.csv$", name) or has(METRIC_COLUMNS["cmdb_id"], METRIC_COLUMNS["kpi_name"], METRIC_COLUMNS["value"]):
+        return "metric"
+    if re.search("trace|span|jaeger", name) or has(TRACE_COLUMNS["trace_id"], TRACE_COLUMNS["span_id"], ["service_name", "service", "process.servicename"]):
+        return "trace"
+    return None
 
 
 def csv_rows(spark: SparkSession, root: str, kind: str, columns: dict[str, list[str]]) -> DataFrame:
-    """(scenario_id, path, row_no, one string for each canonical column) of the CSV files of a kind, with any order
-    of header. Files of one header are read together by Spark's CSV reader, so quoted fields may hold commas, doubled
-    quotes and line ends; an alias counts only where it isn't blank, exact names before names in another case.
-    The headers are few; they and the paths of the files come to the driver."""
-    found = csv_headers(spark, root)
-    files = found.where(kind_of_csv(F.col("path"), F.col("header")) == kind).groupBy("header").agg(F.collect_list(decoded(F.col("path"))).alias("paths"))
+    """(scenario_id, path, row_no, one string for each canonical column) of the CSV files of a kind: those below the
+    root, and those that outputs of a collector name as their export, wherever these lie.
+
+    Header columns may stand in any order. Files of one header are read together by Spark's CSV reader, so quoted
+    fields may hold commas, doubled quotes and line ends; an alias counts only where it isn't blank, exact names before
+    names in another case. Row numbers grow in read order. An export named by several scenarios belongs to each.
+    """
+    own = first_lines(spark, root, "*.csv")
+    away = exported_files(spark, root, kind, {_plain(p) for p, _ in own})
+    groups: dict[str, list[str]] = {}
+    for path, header in [*own, *[(p, h) for p, h, _ in away]]:
+        if _kind_of_csv(path, header) == kind:
+            groups.setdefault(header, []).append(unquote(path))
+    owners = spark.createDataFrame(sorted({(_plain(p), s) for p, _, ids in away for s in ids}), "plain string, owner string")
     out = None
-    for group in files.collect():
-        names = [c.strip().strip('"') for c in group["header"].removeprefix("\ufeff").split(",")]
+    for header, paths in groups.items():
+        names = _header_names(header)
         schema = ", ".join(f"c{k} string" for k in range(len(names)))
-        rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(group["paths"])
+        rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(sorted(set(paths)))
 
         def pick(aliases: list[str], names: list[str] = names) -> Column:
             exact = [k for a in aliases for k, n in enumerate(names) if n == a]
@@ -95,20 +115,43 @@ def csv_rows(spark: SparkSession, root: str, kind: str, columns: dict[str, list[
             return F.coalesce(*[F.nullif(F.trim(f"c{k}"), F.lit("")) for k in exact + loose], F.lit(None).cast("string"))
 
         path = F.col("_metadata.file_path")
-        made = rows.select(scenario_of(path, root).alias("scenario_id"), path.alias("path"), F.monotonically_increasing_id().alias("row_no"), *[pick(a).alias(c) for c, a in columns.items()])
+        made = rows.select(path.alias("path"), F.monotonically_increasing_id().alias("row_no"), *[pick(a).alias(c) for c, a in columns.items()])
         out = made if out is None else out.unionByName(made)
     if out is None:
         return spark.createDataFrame([], ", ".join(["scenario_id string", "path string", "row_no bigint", *[f"{c} string" for c in columns]]))
-    return out
+    named = lambda d, owner: d.select(owner.alias("scenario_id"), "path", "row_no", *columns)
+    if not away:
+        return named(out, scenario_of(F.col("path"), root))
+    outside = out.join(owners, plain_path(F.col("path")) == F.col("plain"))
+    inside = out.where(F.startswith(plain_path(F.col("path")), F.lit(_plain(root.rstrip("/") + "/"))))
+    return named(inside, scenario_of(F.col("path"), root)).unionByName(named(outside, F.col("owner")))
+
+
+def exported_files(spark: SparkSession, root: str, kind: str, known: set[str]) -> list[tuple[str, str, list[str]]]:
+    """(path, first line, scenarios) of the CSV files at the places that outputs name, without the ``known`` ones. A place is a
+    file or a folder; one that doesn't exist gives nothing. There are a few places a scenario."""
+    told: dict[str, list[str]] = {}
+    for r in exported_paths(spark, root).where(F.col("kind") == kind).collect():
+        told.setdefault(r["target"], []).append(r["scenario_id"])
+    found = []
+    for target, owners in told.items():
+        try:
+            lines = first_lines(spark, target)
+        except AnalysisException as gone:
+            if gone.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        found += [(p, h, owners) for p, h in lines if p.lower().endswith(".csv") and _plain(p) not in known]
+    return found
 
 
 def exported_paths(spark: SparkSession, root: str) -> DataFrame:
-    """(scenario_id, kind, target): paths outside the folder that outputs of a collector name as the place of an export."""
+    """(scenario_id, kind, target): places that outputs of a collector name as those of an export."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root).select(F.col("_metadata.file_path").alias("path"), "value")
-    pattern = {"metric": (r"/builtin_api_outputs/metrics/", r"(?i)exported\s+(?:metrics\s+)?(?:to\s+directory|to):\s*(.+)$"), "trace": (r"/builtin_api_outputs/traces/", r"(?i)exported\s+(?:traces\s+)?(?:to\s+file|to):\s*(.+)$")}
     out = None
-    for kind, (place, said) in pattern.items():
-        made = files.where(F.col("path").rlike(place) & F.col("value").rlike(said)).select(scenario_of(F.col("path"), root).alias("scenario_id"), F.lit(kind).alias("kind"), F.regexp_replace(F.trim(F.regexp_extract("value", said, 1)), "^[\"']+|[\"']+$", "").alias("target"))
+    for kind, (place, said) in EXPORTS.items():
+        target = F.regexp_replace(F.trim(F.regexp_extract("value", said, 1)), "^[\"']+|[\"']+$", "")
+        made = files.where(F.col("path").rlike(place) & F.col("value").rlike(said)).select(scenario_of(F.col("path"), root).alias("scenario_id"), F.lit(kind).alias("kind"), target.alias("target"))
         out = made if out is None else out.union(made)
     return out.distinct()
 
@@ -126,14 +169,22 @@ def spans(spark: SparkSession, root: str) -> DataFrame:
 
 def log_lines(spark: SparkSession, root: str) -> DataFrame:
     """(scenario_id, path, line_no, service, line) of all log files: pod logs, error streams and the outputs of log
-    queries. The service is the file's own, for a query's output the one its content tells; a pod prefix may override
-    it later. A line ends where any of the usual marks stands."""
-    return log_lines_of(whole_files(spark, root, "*.{log,stderr,txt}").where(F.col("path").rlike(LOG_FILE)))
+    queries, read in splits, see ``numbered_lines``. The service is the file's own, for a query's output the one that the first of
+    its lines with a hint tells; a pod prefix may override it later."""
+    lines = numbered_lines(spark, root, "*.{log,stderr,txt}", F.col("path").rlike(LOG_FILE))
+    step = F.col("path").rlike(STEP_FILE)
+    told = lines.where(step).select(F.col("path").alias("of_path"), "line_no", F.explode(F.array(line_hints(F.col("line")))).alias("h"))
+    first = lambda name: F.min_by(f"h.{name}", F.when(F.col(f"h.{name}").isNotNull(), F.col("line_no"))).alias(name)
+    hints = told.groupBy("of_path").agg(*[first(n) for n in (*OUTPUT_HINTS, "host")])  # a row for each output
+    hints = hints.select("of_path", hinted_service(F.struct(*OUTPUT_HINTS, "host"), F.col("of_path")).alias("service"))
+    outputs = lines.where(step).join(hints, F.col("path") == F.col("of_path")).drop("of_path")
+    own = lines.where(~step).withColumn("service", file_service(F.col("path")))
+    return outputs.unionByName(own).select(scenario_of(F.col("path"), root).alias("scenario_id"), "path", "line_no", "service", "line")
 
 
 def log_lines_of(files: DataFrame) -> DataFrame:
     """Lines of (scenario_id, path, content) log files."""
-    step = F.col("path").rlike(r"/step_[^/]*get_logs[^/]*$|get_logs[^/]*\.txt$")
+    step = F.col("path").rlike(STEP_FILE)
     service = F.when(step, service_of_output(F.col("content"), F.col("path"))).otherwise(file_service(F.col("path")))
     lines = files.select("scenario_id", "path", service.alias("service"), F.split("content", LINE_ENDS).alias("_l"))
     lines = lines.withColumn("_l", F.when(F.element_at("_l", -1) == "", F.slice("_l", 1, F.greatest(F.size("_l") - 1, F.lit(0)))).otherwise(F.col("_l")))
@@ -345,12 +396,12 @@ def fault_instances(spark: SparkSession, root: str) -> DataFrame:
 
 
 def fault_instances_of(files: DataFrame) -> DataFrame:
-    """(scenario_id, no, service, fault_family, variant) of single and multiple faults."""
+    """(scenario_id, no, service, fault_family, variant) of single and multiple faults; a blank name counts as absent."""
     one = "faulty_service string, fault_service string, service string, app_name string, fault_family string, variant string, is_multifault boolean"
     spec = files.select("scenario_id", F.from_json("content", f"{one}, subproblems array<struct<{', '.join(c.replace(' ', ':') for c in one.split(', '))}>>").alias("s"))
     parts = F.when(F.size(F.coalesce("s.subproblems", F.array())) > 0, F.col("s.subproblems")).otherwise(F.array(F.struct(*[F.col(f"s.{c.split()[0]}") for c in one.split(", ")])))
     rows = spec.select("scenario_id", F.posexplode(parts).alias("no", "f"))
-    return rows.select("scenario_id", "no", F.coalesce("f.faulty_service", "f.fault_service", "f.service", "f.app_name").alias("service"), "f.fault_family", F.coalesce(F.get_json_object("f.variant", "$.variant"), "f.variant", F.lit("default")).alias("variant"))
+    return rows.select("scenario_id", "no", F.coalesce(*[F.nullif(f"f.{c}", F.lit("")) for c in ("faulty_service", "fault_service", "service", "app_name")]).alias("service"), "f.fault_family", rules.variant_name(F.col("f.variant")).alias("variant"))
 
 
 def actions(spark: SparkSession, root: str) -> DataFrame:
