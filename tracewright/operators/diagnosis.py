@@ -55,6 +55,27 @@ def global_sla(services: DataFrame, edges: DataFrame, unhealthy: DataFrame, keys
     return made.withColumn("violated", bad | (F.col("unhealthy_services") > 0)).withColumn("multiple_unhealthy", many).withColumn("reasons", r)
 
 
+# what service levels read of a stored state
+STATE = "metrics map<string,struct<latency:double,latency_ms:double>>, logs map<string,struct<log_anomaly_score:double>>, system map<string,struct<pods_unready:bigint,crashloop_count:bigint,service_health_status:string>>, traces map<string,struct<error_ratio:double,latency_p95_us:double>>"
+
+
+def snapshot_sla(states: DataFrame) -> DataFrame:
+    """``global_sla`` of each stored state of a series, from (scenario_id, path, line_no, row), row its JSON text. A service or edge
+    that a state doesn't hold has no violation in it; a state without any counts as fine."""
+    keys = ["scenario_id", "path", "line_no"]
+    s = states.select(*keys, F.from_json("row", STATE).alias("s")).select(*keys, "s.*")
+    part = lambda name: F.coalesce(name, F.create_map().cast(s.schema[name].dataType))
+    own = s.withColumns({c: part(c) for c in ("metrics", "logs", "system", "traces")})
+    every = F.array_distinct(F.concat(*[F.map_keys(c) for c in ("metrics", "logs", "system")]))
+    one = own.select(*keys, "metrics", "logs", "system", F.explode(every).alias("service"))
+    at = lambda m, f, none: F.coalesce(F.try_element_at(m, "service")[f], F.lit(none))
+    late = F.coalesce(F.try_element_at("metrics", "service")["latency"], F.try_element_at("metrics", "service")["latency_ms"], F.lit(0.0))
+    state = one.select(*keys, "service", late.alias("latency_ms"), at("logs", "log_anomaly_score", 0.0).alias("anomaly"), at("system", "pods_unready", 0).alias("pods_unready"), at("system", "crashloop_count", 0).alias("crashloop"), at("system", "service_health_status", "unknown").alias("status"))
+    calls = own.select(*keys, F.explode("traces").alias("edge", "t")).select(*keys, F.substring_index("edge", "->", 1).alias("src"), F.substring_index("edge", "->", -1).alias("dst"), F.coalesce("t.error_ratio", F.lit(0.0)).alias("error_ratio"), F.coalesce("t.latency_p95_us", F.lit(0.0)).alias("latency_p95_us"))
+    made = global_sla(service_sla(state), edge_sla(calls), state.where("status not in ('healthy', 'unknown')"), tuple(keys))
+    return states.select(*keys).join(made, keys, "left").fillna({"service_violations": 0, "edge_violations": 0, "unhealthy_services": 0, "violated": False, "multiple_unhealthy": False})
+
+
 def rca_evidence(state: DataFrame, edges: DataFrame, faults: DataFrame) -> DataFrame:
     """(scenario_id, service, score, reason, ord): every term of the scores and every reason, in the order they are told.
 

@@ -35,25 +35,27 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, probs: list[float],
     values below the lower bound are counted and those between the bounds are told apart. So of a key with very
     many rows no more than a few thousandths are ever ordered, besides counts: no task holds all its values.
     """
-    own = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    own = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     slack = 3.0 / accuracy
     marks = [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
-    sketch = own.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.percentile_approx("v", F.array(*[F.lit(m) for m in marks]), accuracy).alias("m"))
-    few = F.col("n") <= accuracy  # then the bounds are the ends
-    mark = lambda k, end: F.when(few, F.col(end)).otherwise(F.get("m", F.lit(k)))
-    spans = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("p"), mark(2 * k, "least").alias("low"), mark(2 * k + 1, "most").alias("high")) for k, p in enumerate(probs)])
-    bounds = stored(sketch.select(*keys, "n", spans.alias("s")))
+    sketch = own.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), F.percentile_approx("_v", F.array(*[F.lit(m) for m in marks]), accuracy).alias("_m"))
+    few = F.col("_n") <= accuracy  # then the bounds are the ends
+    mark = lambda k, end: F.when(few, F.col(end)).otherwise(F.get("_m", F.lit(k)))
+    spans = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("p"), mark(2 * k, "_least").alias("low"), mark(2 * k + 1, "_most").alias("high")) for k, p in enumerate(probs)])
+    bounds = stored(sketch.select(*keys, "_n", spans.alias("_s")))
     near = own.join(bounds, keys)
-    each = F.transform("s", lambda x: F.struct(x["k"].alias("k"), F.when(F.col("v") < x["low"], F.lit(None).cast("double")).otherwise(F.col("v")).alias("v")))
-    told = near.select(*keys, F.explode(F.filter(each, lambda x: F.col("v") <= F.get("s", x["k"])["high"])).alias("t")).groupBy(*keys, "t.k", "t.v").agg(F.count("*").alias("c"))
-    upto = Window.partitionBy(*keys, "k").orderBy(F.col("v").asc_nulls_first())  # values below the lower bound come first, as one
-    ranked = told.withColumn("last", F.sum("c").over(upto) - 1)  # number, from 0, of a value's last row
-    ranked = ranked.join(bounds.select(*keys, "n", F.explode("s").alias("x")).select(*keys, F.col("x.k").alias("k"), (F.col("x.p") * (F.col("n") - 1)).alias("at")), [*keys, "k"])
-    value_at = lambda place: F.min(F.when(F.col("last") >= place, F.col("v")))
-    found = ranked.groupBy(*keys, "k").agg(F.max("at").alias("at"), value_at(F.floor("at")).alias("a"), value_at(F.ceil("at")).alias("b"))
-    between = F.col("a") * (F.floor("at") + 1 - F.col("at")) + F.col("b") * (F.col("at") - F.floor("at"))
-    exact = F.when(F.floor("at") == F.ceil("at"), F.col("a")).otherwise(between)
-    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("k") == k, exact)).alias(f"q{k}") for k in range(len(probs))])
+    v = F.col("_v")
+    each = F.transform(F.filter("_s", lambda x: v <= x["high"]), lambda x: F.struct(x["k"].alias("k"), F.when(v >= x["low"], v).alias("v")))
+    told = near.select(*keys, F.explode(each).alias("_t")).groupBy(*keys, F.col("_t.k").alias("_q"), F.col("_t.v").alias("_v")).agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(*keys, "_q").orderBy(F.col("_v").asc_nulls_first())  # values below the lower bound come first, as one
+    wanted = bounds.select(*keys, "_n", F.explode("_s").alias("_x")).select(*keys, F.col("_x.k").alias("_q"), (F.col("_x.p") * (F.col("_n") - 1)).alias("_at"))
+    ranked = told.withColumn("_last", F.sum("_c").over(upto) - 1).join(wanted, [*keys, "_q"])  # the number, from 0, of a value's last row
+    value_at = lambda place: F.min(F.when(F.col("_last") >= place, F.col("_v")))
+    found = ranked.groupBy(*keys, "_q").agg(F.max("_at").alias("_at"), value_at(F.floor("_at")).alias("_a"), value_at(F.ceil("_at")).alias("_b"))
+    at = F.col("_at")
+    between = F.col("_a") * (F.floor(at) + 1 - at) + F.col("_b") * (at - F.floor(at))
+    exact = F.when(F.floor(at) == F.ceil(at), F.col("_a")).otherwise(between)
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == k, exact)).alias(f"q{k}") for k in range(len(probs))])
 
 
 def _features() -> list:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import rules
@@ -10,8 +10,7 @@ from tracewright.operators.diagnosis import edge_name
 from tracewright.operators.grouping import compact
 
 SERVICE = ["scenario_id", "service"]
-# what a reader who must not see labels may get
-ALLOWED = ["scenario_id", "namespace", "task", "services", "metrics", "logs", "traces", "system", "workload", "graph", "sla", "service_health", "observability_metadata", "model_table", "clusters", "llm_view"]
+FLAT_FIGURES = ["cpu_usage_delta", "cpu_load_last", "memory_working_set_last", "memory_usage_last", "network_rx_bytes_delta", "network_tx_bytes_delta", "network_tx_errors_delta", "threads_last", "latency_ms"]
 
 
 def nodes(services: DataFrame, metrics: DataFrame, logs: DataFrame, system: DataFrame) -> DataFrame:
@@ -22,20 +21,31 @@ def nodes(services: DataFrame, metrics: DataFrame, logs: DataFrame, system: Data
     return made
 
 
-def system_view(system: DataFrame) -> DataFrame:
-    """(scenario_id, service, health, pods, nodes, containers, images): a struct of eleven figures and lists cut to what can be read."""
+def system_view(system: DataFrame, endpoints: DataFrame | None = None, deployments: DataFrame | None = None, events: DataFrame | None = None, most_events: int = 5) -> DataFrame:
+    """(scenario_id, service, health, pods, nodes, containers, images): a struct of eleven figures and lists cut to what can be
+    read; and from the other tables, if given, endpoints (ready, not ready), the deployment with its replica counts, and the first
+    ``most_events`` events in order of ``no`` (type, reason, message)."""
     c = F.col
     figures = ["status", "infra_issue", "availability", "pods_total", "pods_ready", "pods_unready", "restarts", "crashloop", "oomkilled", "image_pull_error", "warnings"]
     health = F.struct(*[F.round(c(f), 4).alias(f) if f == "availability" else c(f) for f in figures])
     lists = {"pod_names": ("pods", 10), "nodes": ("nodes", 5), "containers": ("containers", 10), "images": ("images", 5)}
-    return system.select(*SERVICE, health.alias("health"), *[compact(c(k), most).alias(name) for k, (name, most) in lists.items() if k in system.columns])
+    made = system.select(*SERVICE, health.alias("health"), *[compact(c(k), most).alias(name) for k, (name, most) in lists.items() if k in system.columns])
+    if endpoints is not None:
+        made = made.join(endpoints.select(*SERVICE, F.struct("ready_endpoints", "not_ready_endpoints").alias("endpoints")), SERVICE, "left")
+    if deployments is not None:
+        replicas = ["deployment", "replicas", "ready_replicas", "available_replicas", "unavailable_replicas"]
+        made = made.join(deployments.select(*SERVICE, F.struct(*replicas).alias("deployment")), SERVICE, "left")
+    if events is not None:
+        first = events.withColumn("_n", F.row_number().over(Window.partitionBy(*SERVICE).orderBy("no"))).where(c("_n") <= most_events)
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("_n", "type", "reason", "message"))), lambda e: e.dropFields("_n"))
+        made = made.join(first.groupBy(*SERVICE).agg(listed.alias("events")), SERVICE, "left")
+    return made
 
 
 def metric_view(services: DataFrame, flat: DataFrame) -> DataFrame:
     """(scenario_id, service, flat_summary): nine rounded figures, zeros for a service without samples."""
-    names = ["cpu_usage_delta", "cpu_load_last", "memory_working_set_last", "memory_usage_last", "network_rx_bytes_delta", "network_tx_bytes_delta", "network_tx_errors_delta", "threads_last", "latency_ms"]
     made = services.select(*SERVICE).distinct().join(flat, SERVICE, "left")
-    return made.select(*SERVICE, F.struct(*[rules.rounded(F.coalesce(n, F.lit(0.0))).alias(n) for n in names]).alias("flat_summary"), F.coalesce("metric_signal_present", F.lit(False)).alias("metric_signal_present"))
+    return made.select(*SERVICE, F.struct(*[rules.rounded(F.coalesce(n, F.lit(0.0))).alias(n) for n in FLAT_FIGURES]).alias("flat_summary"), F.coalesce("metric_signal_present", F.lit(False)).alias("metric_signal_present"))
 
 
 def log_view(features: DataFrame, families: DataFrame, examples: DataFrame, most: int = 5) -> DataFrame:
@@ -80,24 +90,6 @@ def llm_view(features: DataFrame, families: DataFrame, examples: DataFrame, most
     return view.where((F.col("errors") > 0) | (F.col("score") > anomalous)).withColumn("rank", rank).where(F.col("rank") <= most).drop("score")
 
 
-def document(scenarios: DataFrame, parts: dict[str, DataFrame], **constants: Column) -> DataFrame:
-    """(scenario_id, document): one JSON text a scenario. Each part, a table of rows by scenario, becomes an array of objects
-    ordered by their columns; a part without rows is empty."""
-    made = scenarios.select("scenario_id").distinct()
-    for name, d in parts.items():
-        rows = F.array_sort(F.collect_list(F.to_json(F.struct(*[c for c in d.columns if c != "scenario_id"]), {"ignoreNullFields": "false"})))
-        made = made.join(d.groupBy("scenario_id").agg(rows.alias(name)), "scenario_id", "left")
-    listed = [F.concat(F.lit(f'"{name}":['), F.concat_ws(",", F.coalesce(name, F.array().cast("array<string>"))), F.lit("]")) for name in parts]
-    single = [F.concat(F.lit(f'"{name}":'), F.to_json(F.struct(v.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(v.alias("v")))) - 6)) for name, v in constants.items()]
-    head = F.concat(F.lit('"scenario_id":"'), "scenario_id", F.lit('"'))
-    return made.select("scenario_id", F.concat(F.lit("{"), F.concat_ws(",", head, *single, *listed), F.lit("}")).alias("document"))
-
-
-def redacted(columns: dict) -> dict:
-    """Of the parts of a state those that a reader without labels may get."""
-    return {k: v for k, v in columns.items() if k in ALLOWED}
-
-
 def grouped_profiles(rows: DataFrame) -> DataFrame:
     """Services of one scenario whose rows are alike, together: (scenario_id, profile, services)."""
     profile = F.to_json(F.struct(*sorted(c for c in rows.columns if c not in SERVICE)), {"ignoreNullFields": "false"})

@@ -46,13 +46,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tracewright.plans import reports  # noqa: F401  (it registers its queries here)
+    from tracewright.plans import reports, states  # noqa: F401  (they register their queries here)
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from tracewright.plans import reports  # noqa: F401
+    from tracewright.plans import reports, states  # noqa: F401
 
     return dict(_SQL)
 

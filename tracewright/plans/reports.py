@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import logs as line
 from tracewright.functions import names, rules
+from tracewright.functions.storage import shared_folder
 from tracewright.operators import agents, diagnosis, grouping, logs, metrics, outcome, system, traces, views
 from tracewright.plans import registry as base
 from tracewright.plans.registry import query
@@ -30,6 +28,12 @@ def services(spark: SparkSession, d: str) -> DataFrame:
 _SERVICES = "kn AS (SELECT 'svc' || i AS service FROM range(50) t(i))"
 
 
+_EVIDENCE = """ev0 AS (SELECT service, line_no, trim(line) AS line, row_number() OVER (PARTITION BY service ORDER BY line_no) AS no FROM (SELECT l.*, CASE k WHEN 0 THEN '[2026-May-01] <' || CASE WHEN n = 1 THEN 'W' WHEN n = 2 THEN 'warning' WHEN n < 14 THEN 'E' ELSE 'info' END || '>: (file.h:7:f) ' || message
+  WHEN 1 THEN '2026/05/01 00:00:01 [' || CASE WHEN n = 10 THEN 'fatal' WHEN n = 12 THEN 'warn' WHEN n < 14 THEN 'crit' ELSE 'notice' END || '] ' || message
+  WHEN 2 THEN '{"s":"' || CASE WHEN n = 3 THEN 'WARNING' WHEN n = 10 THEN 'F' WHEN n < 14 THEN 'E' WHEN n = 15 THEN 'D' ELSE 'I' END || '","msg":' || to_json(message) || ',"c":"core"}' ELSE message END AS line FROM l WHERE error_type <> 'none')),
+ev1 AS (SELECT service, substr(line, 1, 700) AS line, min(no) AS no FROM ev0 WHERE no <= 20 GROUP BY 1, 2), ev AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY no) AS place FROM ev1)"""
+
+
 @query(f"""WITH {base._LINES}, e AS (SELECT service, line_no, message, CASE k WHEN 3 THEN message END AS plain, row_number() OVER (PARTITION BY service ORDER BY line_no) AS no FROM l WHERE error_type <> 'none'),
 t AS (SELECT service, message, min(no) AS no FROM e WHERE no <= 20 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY no) AS rank FROM t)
 SELECT service, string_agg(message, '|' ORDER BY no) AS templates FROM r WHERE rank <= 10 GROUP BY 1""")
@@ -96,21 +100,26 @@ def workload_sla(spark, d):
     return diagnosis.workload_sla(both, base.edges(spark, d)).withColumn("reasons", _join("reasons"))
 
 
-@query("""WITH s AS (SELECT (o_orderdate::DATE::VARCHAR)[1:7] AS ts, 'svc' || (o_custkey % 40) AS service, max(o_totalprice) / 300 AS latency_ms, count(*) FILTER (WHERE o_orderstatus = 'P') AS bad FROM orders GROUP BY 1, 2)
-SELECT ts, count(*) FILTER (WHERE latency_ms > 500 OR bad > 0) AS service_violations, count(*) FILTER (WHERE bad > 1) AS unhealthy, count(*) FILTER (WHERE bad > 1) > 0 AS violated FROM s GROUP BY 1""")
+@query("""WITH s AS (SELECT (o_orderdate::DATE::VARCHAR)[1:7] AS ts, 'svc' || (o_custkey % 40) AS service, max(o_totalprice) / 300 AS latency_ms, count(*) FILTER (WHERE o_orderstatus = 'P') AS bad FROM orders GROUP BY 1, 2),
+e AS (SELECT (o_orderdate::DATE::VARCHAR)[1:7] AS ts, o_custkey % 7 AS src, o_custkey % 5 AS dst, count(*) FILTER (WHERE o_orderstatus = 'F') / count(*) AS er, max(o_totalprice) * 2 AS p95 FROM orders GROUP BY 1, 2, 3), v AS (SELECT ts, count(*) FILTER (WHERE er > 0.2 OR p95 / 1000 > 800) AS n FROM e GROUP BY 1)
+SELECT ts, count(*) FILTER (WHERE latency_ms > 500 OR bad > 0) AS service_violations, any_value(n) AS edge_violations, count(*) FILTER (WHERE bad > 1) AS unhealthy, any_value(n) > 0 OR count(*) FILTER (WHERE bad > 1) > 0 AS violated FROM s JOIN v USING (ts) GROUP BY 1""")
 def sla_snapshots(spark, d):
-    t = base._read(spark, d, "orders")
-    rows = t.groupBy(_one(), F.date_format("o_orderdate", "yyyy-MM").alias("ts"), F.concat(F.lit("svc"), (F.col("o_custkey") % 40).cast("string")).alias("service")).agg((F.max("o_totalprice") / 300).alias("latency_ms"), F.count_if(F.col("o_orderstatus") == "P").alias("pods_unready"))
+    t, word = base._read(spark, d, "orders"), lambda p, n: F.concat(F.lit(p), (F.col("o_custkey") % n).cast("string"))
+    ts = F.date_format("o_orderdate", "yyyy-MM").alias("ts")
+    rows = t.groupBy(_one(), ts, word("svc", 40).alias("service")).agg((F.max("o_totalprice") / 300).alias("latency_ms"), F.count_if(F.col("o_orderstatus") == "P").alias("pods_unready"))
     judged = diagnosis.service_sla(rows.withColumn("anomaly", F.lit(0.0)).withColumn("crashloop", F.lit(0)))
-    none = judged.limit(0).select("scenario_id", "ts", "violated")
-    return diagnosis.global_sla(judged, none, judged.where("pods_unready > 1"), ("scenario_id", "ts")).select("ts", "service_violations", F.col("unhealthy_services").alias("unhealthy"), "violated")
+    calls = t.groupBy(_one(), ts, word("s", 7).alias("src"), word("d", 5).alias("dst")).agg((F.count_if(F.col("o_orderstatus") == "F") / F.count("*")).alias("error_ratio"), (F.max("o_totalprice") * 2).alias("latency_p95_us"))
+    made = diagnosis.global_sla(judged, diagnosis.edge_sla(calls), judged.where("pods_unready > 1"), ("scenario_id", "ts"))
+    return made.select("ts", "service_violations", "edge_violations", F.col("unhealthy_services").alias("unhealthy"), "violated")
 
 
 @query(f"""WITH {base._SCORES}, b AS (SELECT src || '->' || dst AS e, edge_score AS s FROM ed ORDER BY edge_score DESC, src, dst LIMIT 1)
-SELECT (SELECT service FROM rk WHERE rank = 1) AS top_service, (SELECT e FROM b) AS top_edge, 'multifault' AS dominant_family, '' AS gaps, 0.85::DOUBLE AS confidence, (SELECT string_agg(DISTINCT service, ',' ORDER BY service) FROM fi) AS expected_services, (SELECT service FROM rk WHERE rank = 1) AS hypothesis_service, (SELECT {base._FAULT} FROM fi ORDER BY no LIMIT 1) AS hypothesis_type""")
+SELECT (SELECT service FROM rk WHERE rank = 1) AS top_service, (SELECT e FROM b) AS top_edge, 'multifault' AS dominant_family, '' AS gaps, 0.85::DOUBLE AS confidence, (SELECT string_agg(DISTINCT service, ',' ORDER BY service) FROM fi) AS expected_services, (SELECT service FROM rk WHERE rank = 1) AS hypothesis_service, (SELECT {base._FAULT} FROM fi ORDER BY no LIMIT 1) AS hypothesis_type,
+  TRUE AS is_multifault, (SELECT string_agg(service || ':' || {base._FAULT} || ':' || fault_family || ':' || variant || ':' || CASE variant WHEN 'wide' THEN '{{"n":"3"}}' ELSE '{{}}' END, ',' ORDER BY no) FROM fi) AS hypotheses""")
 def rca_summary(spark, d):
     made = diagnosis.rca_summary(base.scores(spark, d), base.state(spark, d), base.edges(spark, d), base.faults(spark, d)).drop("scenario_id")
-    return made.withColumns({c: _join(c) for c in ("gaps", "expected_services")})
+    told = F.transform("hypotheses", lambda h: F.concat_ws(":", h["service"], h["fault_type"], h["fault_family"], h["variant_name"], h["variant_params"]))
+    return made.withColumns({c: _join(c) for c in ("gaps", "expected_services")} | {"hypotheses": _join(told)})
 
 
 @query("""WITH c AS (SELECT 'c' || (c_custkey % 9) AS scenario_id, c_custkey % 9 > 2 AND c_custkey % 2 = 0 AS log, c_custkey % 9 > 4 AS metric, c_custkey % 9 > 6 AS pods FROM customer), e AS (SELECT 'c' || n_nationkey AS scenario_id FROM nation WHERE n_nationkey > 5),
@@ -149,7 +158,7 @@ def system_view(spark, d):
     return made.select("service", F.concat_ws("/", h["status"], *[h[c].cast("string") for c in ("pods_ready", "pods_unready", "crashloop")]).alias("health"), h["availability"].alias("availability"), _join("pods.items").alias("pods"), "pods.truncated", F.col("pods.total_count").alias("total"), _join("nodes.items").alias("nodes"))
 
 
-_VIEW = ["cpu_usage_delta", "cpu_load_last", "memory_working_set_last", "memory_usage_last", "network_rx_bytes_delta", "threads_last"]
+_VIEW = [k for k in metrics.FLAT_FIELDS if k in views.FLAT_FIGURES]
 
 
 @query(f"WITH {base._FLAT}, {_SERVICES} SELECT service, {', '.join(f'round(coalesce({c}, 0), 4)::DOUBLE AS {c}' for c in _VIEW)}, fl.service IS NOT NULL AS present FROM kn LEFT JOIN fl USING (service)")
@@ -169,11 +178,11 @@ def metric_groups(spark, d):
 _FAM = "ft AS (SELECT service, string_agg(family || '=' || n, ',' ORDER BY family) AS families FROM fa GROUP BY 1)"
 
 
-@query(f"WITH {base._LINES}, {base._FAMILIES}, {_FAM} SELECT service, lines, errors, log_health_score AS score, coalesce(severity_counts, '') AS severities, coalesce(families, '') AS families, coalesce(dependency_counts, '') AS dependencies FROM lf LEFT JOIN ft USING (service)")
+@query(f"WITH {base._LINES}, {base._FAMILIES}, {_FAM}, {_EVIDENCE} SELECT service, lines, errors, log_health_score AS score, coalesce(severity_counts, '') AS severities, coalesce(families, '') AS families, coalesce(dependency_counts, '') AS dependencies, coalesce(evidence, '') AS evidence FROM lf LEFT JOIN ft USING (service) LEFT JOIN (SELECT service, string_agg(line, '|' ORDER BY no) AS evidence FROM ev WHERE place <= 5 GROUP BY 1) USING (service)")
 def log_view(spark, d):
     rows = logs.parsed(base.lines(spark, d))
     made = views.log_view(base.features(spark, d), logs.error_families(base.facts(spark, d)), logs.examples(rows))
-    return made.select("service", "signal.lines", "signal.errors", F.col("signal.log_health_score").alias("score"), base._text("severity_counts").alias("severities"), base._text("error_families").alias("families"), base._text("dependency_counts").alias("dependencies"))
+    return made.select("service", "signal.lines", "signal.errors", F.col("signal.log_health_score").alias("score"), base._text("severity_counts").alias("severities"), base._text("error_families").alias("families"), base._text("dependency_counts").alias("dependencies"), F.array_join("evidence", "|").alias("evidence"))
 
 
 @query(f"WITH {base._LINES}, {base._FAMILIES}, {_FAM}, r AS (SELECT *, row_number() OVER (ORDER BY errors DESC, service) AS rank FROM lf WHERE errors > 0 OR log_anomaly_score > 0.3) SELECT rank, service, errors, dominant_error_type, coalesce(families, '') AS families FROM r LEFT JOIN ft USING (service) WHERE rank <= 15")
@@ -188,24 +197,6 @@ def model_vector(spark, d):
     return views.model_vector(base.state(spark, d)).drop("scenario_id")
 
 
-_DOC = """'{{"scenario_id":"s","namespace":"shop","services":[' || (SELECT string_agg('{{"service":"' || service || '","status":"' || status || '","errors":' || errors || '}}', ',' ORDER BY '{{"service":"' || service || '","status":"' || status || '","errors":' || errors || '}}') FROM st) || ']' || {more} || '}}'"""
-_KNOWN = """',"fault_context":[' || (SELECT string_agg('{"service":"' || service || '","fault_family":"' || fault_family || '"}', ',' ORDER BY '{"service":"' || service || '","fault_family":"' || fault_family || '"}') FROM fi) || ']'"""
-
-
-def _parts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return {"services": base.state(spark, d).select(*KEY, "status", "errors"), "fault_context": base.faults(spark, d).select(*KEY, "fault_family")}
-
-
-@query(f"WITH {base._STATE}, {base._FAULTS} SELECT 's' AS scenario_id, {_DOC.format(more=_KNOWN)} AS document")
-def state_document(spark, d):
-    return views.document(base.state(spark, d), _parts(spark, d), namespace=F.lit("shop"))
-
-
-@query(f"WITH {base._STATE} SELECT 's' AS scenario_id, {_DOC.format(more=chr(39) * 2)} AS document")
-def redacted_view(spark, d):
-    return views.document(base.state(spark, d), views.redacted(_parts(spark, d)), namespace=F.lit("shop"))
-
-
 @query(f"WITH {base._STATE}, {_SERVICES} SELECT service, ps.service IS NOT NULL AS has_system, lf.service IS NOT NULL AS has_logs, fl.service IS NOT NULL AS has_metrics FROM kn LEFT JOIN ps USING (service) LEFT JOIN lf USING (service) LEFT JOIN fl USING (service)")
 def graph_nodes(spark, d):
     made = views.nodes(services(spark, d), metrics.flat_fields(metrics.kpi_summary(base.samples(spark, d))), base.features(spark, d), system.pod_rollup(base.pods(spark, d)))
@@ -218,18 +209,21 @@ def grouped_profiles(spark, d):
     return made.select("profile", _join("services").alias("services"))
 
 
-_HEAD = "'# Root Cause Analysis Task' || chr(10) || 'Scenario : s' || chr(10) || 'Namespace: shop' || chr(10) || 'Task type: diagnosis' || chr(10) || chr(10)"
+_text = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+_HEAD = _text(agents.RCA_HEAD % ("s", "shop", "diagnosis"))
 
 
-@query(f"""WITH {base._HEALTH}, {base._CLUSTERS}, {_DEGRADED}, r AS (SELECT *, row_number() OVER (ORDER BY errors DESC, service) AS rank FROM lf WHERE errors > 0 OR log_anomaly_score > 0.3), g AS (SELECT cluster, string_agg(service, ', ' ORDER BY service) AS names FROM cu GROUP BY 1)
-SELECT {_HEAD} || '## Degraded / Suspicious Services' || chr(10) || (SELECT string_agg('  - ' || service || ': ' || status || ' (' || replace(reasons, ',', ', ') || ')', chr(10) ORDER BY service) FROM dg) || chr(10) || chr(10)
-  || '## Top Log Error Signals' || chr(10) || (SELECT string_agg('  - ' || service || ': errors=' || errors || ' dominant=' || dominant_error_type, chr(10) ORDER BY rank) FROM r WHERE rank <= 8) || chr(10) || chr(10)
-  || '## Service Behaviour Clusters' || chr(10) || (SELECT string_agg('  ' || cluster || ': ' || names, chr(10) ORDER BY cluster) FROM g) || chr(10) AS prompt""")
+@query(f"""WITH {base._HEALTH}, {base._CLUSTERS}, {_DEGRADED}, {_SUSPICIOUS}, r AS (SELECT *, row_number() OVER (ORDER BY errors DESC, service) AS rank FROM lf WHERE errors > 0 OR log_anomaly_score > 0.3), g AS (SELECT cluster, string_agg(service, ', ' ORDER BY service) AS names FROM cu GROUP BY 1),
+{_EVIDENCE}, v AS (SELECT service, string_agg(chr(10) || '      evidence: ' || substr(line, 1, 220), '' ORDER BY no) AS seen FROM ev WHERE place <= 2 GROUP BY 1)
+SELECT {_HEAD} || chr(10) || '## Degraded / Suspicious Services' || chr(10) || (SELECT string_agg('  - ' || service || ': ' || status || ' (' || replace(reasons, ',', ', ') || ')', chr(10) ORDER BY service) FROM dg) || chr(10) || chr(10)
+  || '## Top Log Error Signals' || chr(10) || (SELECT string_agg('  - ' || service || ': errors=' || errors || ' dominant=' || dominant_error_type || coalesce(seen, ''), chr(10) ORDER BY rank) FROM r LEFT JOIN v USING (service) WHERE rank <= 8) || chr(10) || chr(10)
+  || '## Suspicious Trace Edges' || chr(10) || (SELECT string_agg('  - ' || edge || printf(' error_ratio=%.3f p95_ms=%.2f type=', error_ratio::DOUBLE, latency_p95_us::DOUBLE / 1000) || failure_type, chr(10) ORDER BY rank) FROM su WHERE rank <= 8) || chr(10) || chr(10)
+  || '## Service Behaviour Clusters' || chr(10) || (SELECT string_agg('  ' || cluster || ': ' || names, chr(10) ORDER BY cluster) FROM g) || chr(10) || chr(10) || {_text(agents.RCA_TASK)} AS prompt""")
 def rca_prompt(spark, d):
     about = spark.range(1).select(_one(), F.lit("shop").alias("namespace"), F.lit("diagnosis").alias("task"))
-    bad = logs.top_error_services(base.features(spark, d)).select(*KEY, "rank", "errors", "dominant_error_type")
-    calls = views.suspicious_edges(base.edges(spark, d).limit(0))
-    return agents.rca_prompt(about, views.degraded_services(base.health(spark, d), base.state(spark, d)), bad, calls, base.clusters(spark, d)).select("prompt")
+    seen = logs.examples(logs.parsed(base.lines(spark, d))).select(*KEY, F.col("evidence_lines").alias("evidence"))
+    bad = logs.top_error_services(base.features(spark, d)).select(*KEY, "rank", "errors", "dominant_error_type").join(seen, KEY, "left")
+    return agents.rca_prompt(about, views.degraded_services(base.health(spark, d), base.state(spark, d)), bad, views.suspicious_edges(base.edges(spark, d)), base.clusters(spark, d)).select("prompt")
 
 
 _ACT = ", ".join(f"({k}, '{t.replace(chr(39), chr(39) * 2)}', '{e}', '{r}')" for k, (t, e, r) in enumerate([*agents.ACTIONS, agents.AUTH_ACTION]))
@@ -241,10 +235,10 @@ def action_library(spark, d):
     return agents.action_library(asked).drop("scenario_id")
 
 
-@query("SELECT n_name AS scenario_id, '# Kubernetes Fault Remediation' || chr(10) || 'Scenario : ' || n_name || ' (iteration ' || (n_regionkey + 1) || ' / 7)' || chr(10) || 'Namespace: ns' AS head FROM nation")
+@query("SELECT n_name AS scenario_id, '# Kubernetes Fault Remediation' || chr(10) || 'Scenario : ' || n_name || ' (iteration ' || (n_regionkey + 1) || ' / 7)' || chr(10) || 'Namespace: ns' || chr(10) || 'kubectl context: kind-kind' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'Fix it.' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || " + _text(agents.ACTION_TASK) + " AS prompt FROM nation")
 def action_prompt(spark, d):
     asked = base._read(spark, d, "nation").select(F.col("n_name").alias("scenario_id"), F.lit("ns").alias("namespace"), F.col("n_regionkey").alias("iteration"), F.lit("Fix it.").alias("instruction"))
-    return agents.action_prompt(asked).select("scenario_id", F.regexp_extract("prompt", r"^((?:[^\n]*\n){2}[^\n]*)", 1).alias("head"))
+    return agents.action_prompt(asked).select("scenario_id", "prompt")
 
 
 _REPLY = """CASE n_nationkey % 4 WHEN 0 THEN '{"root_cause_service": "' || n_name || '", "fault_type": "config_error", "confidence": 7, "affected_services": ["a", "b"]}' WHEN 1 THEN 'It is ```json' || chr(10) || '{"fault_type": "flood", "confidence": 0.25}' || chr(10) || '```' WHEN 2 THEN 'no idea' ELSE 'so: {"root_cause_service": "", "fault_type": "pod_failure", "confidence": -1} ok' END"""
@@ -286,9 +280,17 @@ def twin_summary(spark, d):
     return diagnosis.twin_summary(base.membership(spark, d)).drop("scenario_id").withColumns({c: _join(c) for c in ("known_faulty", "suspects")})
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('action', '{a}', 'risk', '{r}')" for a, r in agents.LIBRARY_ACTIONS) + ", " + ", ".join(f"('gap', '{g}', 'meaning', '{m}')" for g, m in agents.GAP_MEANINGS) + ", " + ", ".join(f"('observed', '{f}', '{k}', '{v}')" for f, k, v in agents.OBSERVED) + ") t(kind, name, field, value)")
+_RULES = "r(kind, name, value, fault) AS (VALUES " + ", ".join([f"('gap', '{g}', '{m}', NULL)" for g, m in agents.GAP_MEANINGS] + [f"('observed', '{k}', '{v}', '{f}')" for f, k, v in agents.OBSERVED]) + ")"
+
+
+@query(f"""WITH {_RULES}, f AS (SELECT n_nationkey AS k, 'svc' || n_nationkey AS service, CASE n_regionkey WHEN 0 THEN 'auth_failure' WHEN 1 THEN 'latency_degradation' ELSE 'other' END AS fault FROM nation)
+SELECT service, kind, name, value FROM f, r WHERE r.fault = f.fault OR (kind = 'gap' AND ((name = 'log_pipeline_empty' AND k % 2 = 0) OR (name = 'trace_pipeline_empty' AND k % 3 = 0)))""")
 def static_rules(spark, d):
-    return agents.static_rules(spark)
+    """What the fixed libraries tell of each finding; findings come from ``nation``."""
+    k = F.col("n_nationkey")
+    gaps = F.filter(F.array(F.when(k % 2 == 0, "log_pipeline_empty"), F.when(k % 3 == 0, "trace_pipeline_empty")), lambda g: g.isNotNull())
+    found = base._read(spark, d, "nation").select(_one(), F.concat(F.lit("svc"), k.cast("string")).alias("service"), F.when(F.col("n_regionkey") == 0, "auth_failure").when(F.col("n_regionkey") == 1, "latency_degradation").otherwise("other").alias("fault_type"), gaps.alias("gaps"))
+    return agents.library_rules(found).drop("scenario_id")
 
 
 @query(f"WITH {base._EDGES}, c AS (SELECT dst, CASE WHEN error_ratio >= 0.9 OR edge_score >= 0.9 THEN 'critical' WHEN error_ratio >= 0.3 OR edge_score >= 0.5 OR num_requests >= 20 THEN 'important' ELSE 'normal' END AS k FROM ed) SELECT count(DISTINCT dst) AS num_called, count(*) AS num_edges, count(*) FILTER (WHERE k = 'critical') AS num_critical_edges, count(*) FILTER (WHERE k = 'important') AS num_important_edges FROM c")
@@ -435,7 +437,7 @@ def topology_parsed(spark, d):
 @query("""SELECT 'r' || (n_nationkey % 3) AS scenario_id, CASE WHEN n_nationkey % 2 = 0 THEN 'svc' || n_nationkey ELSE 'app' || n_nationkey END AS service, 'pod_kill' AS fault_family, CASE n_nationkey % 4 WHEN 0 THEN 'wide' WHEN 1 THEN 'v' ELSE 'default' END AS variant FROM nation""")
 def fault_instances_parsed(spark, d):
     k = F.col("n_nationkey")
-    entry = F.concat(F.lit('{"fault_family":"pod_kill"'), F.when(k % 4 == 0, ',"variant":{"variant":"wide","n":1}').when(k % 4 == 1, ',"variant":"v"').otherwise(""), F.when(k % 2 == 0, F.format_string(',"faulty_service":"svc%d"}', k)).otherwise(F.format_string(',"app_name":"app%d"}', k)))
+    entry = F.concat(F.lit('{"fault_family":"pod_kill"'), F.when(k % 4 == 0, ',"variant":{"variant":"wide","n":1}').when(k % 4 == 1, ',"variant":"v"').when(k % 4 == 2, ',"variant":{"n":1}').otherwise(""), F.when(k % 2 == 0, F.format_string(',"faulty_service":"svc%d"}', k)).otherwise(F.format_string(',"faulty_service":"","service":"","app_name":"app%d"}', k)))
     return scenario.fault_instances_of(_file(spark, d, "nation", "spec.json", entry, '{"is_multifault":true,"subproblems":[', "]}")).drop("no")
 
 
@@ -454,18 +456,10 @@ def log_files_parsed(spark, d):
     return rows.groupBy("scenario_id", "service").agg(F.count("*").alias("lines"), F.count_if(F.col("bucket") == "error").alias("failed"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder; in local mode without one, a temporary folder."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where and spark.sparkContext.master.partition("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{where or tempfile.mkdtemp(prefix='scenarios-')}/readers-{uuid.uuid4().hex}"
-
-
 def _written(spark: SparkSession, d: str) -> str:
     """Metric files of two scenarios with permuted headers."""
-    root = _folder(spark)
-    t = base._read(spark, d, "events").where("event_id < 4000").withColumns({"pod": F.concat(F.lit("n.web-"), (F.col("user_id") % 9).cast("string")), "v": F.col("value").cast("string")})
+    root = shared_folder(spark)
+    t = base._read(spark, d, "events").withColumns({"pod": F.concat(F.lit("n.web-"), (F.col("user_id") % 9).cast("string")), "v": F.col("value").cast("string")})
     one = t.where("event_id % 2 = 0").select(F.col("ts").cast("string").alias("timestamp"), F.col("pod").alias("cmdb_id"), F.col("event_type").alias("kpi_name"), F.col("v").alias("value"))
     two = t.where("event_id % 2 = 1").select(F.col("v").alias("val"), F.col("event_type").alias("Metric"), F.concat(F.lit('a "note", '), F.col("v"), F.lit("\nmore")).alias("note"), F.col("pod").alias("Pod"))
     one.coalesce(2).write.option("header", True).csv(f"{root}/a/metrics")
@@ -473,16 +467,16 @@ def _written(spark: SparkSession, d: str) -> str:
     return root
 
 
-@query("SELECT CASE event_id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS scenario_id, 'web-' || (user_id % 9) AS service, event_type AS kpi_name, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_id < 4000 GROUP BY 1, 2, 3")
+@query("SELECT CASE event_id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS scenario_id, 'web-' || (user_id % 9) AS service, event_type AS kpi_name, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3")
 def metric_header_align(spark, d):
     rows = scenario.metric_samples(spark, _written(spark, d))
     return rows.groupBy("scenario_id", "service", "kpi_name").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("SELECT CASE event_id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS scenario_id, 'web-' || (user_id % 9) AS service, count(*) AS n, count(*) FILTER (WHERE event_id % 4 = 0) AS failed, round(sum(value), 4) AS total FROM events WHERE event_id < 4000 GROUP BY 1, 2")
+@query("SELECT CASE event_id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS scenario_id, 'web-' || (user_id % 9) AS service, count(*) AS n, count(*) FILTER (WHERE event_id % 4 = 0) AS failed, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def trace_header_align(spark, d):
-    root, e = _folder(spark), F.col("event_id")
-    t = base._read(spark, d, "events").where("event_id < 4000").withColumns({"who": F.concat(F.lit("web-"), (F.col("user_id") % 9).cast("string")), "v": F.col("value").cast("string")})
+    root, e = shared_folder(spark), F.col("event_id")
+    t = base._read(spark, d, "events").withColumns({"who": F.concat(F.lit("web-"), (F.col("user_id") % 9).cast("string")), "v": F.col("value").cast("string")})
     one = t.where(e % 2 == 0).select((e % 7).alias("trace_id"), e.alias("span_id"), F.lit("").alias("parent_span"), F.col("who").alias("service_name"), F.lit("op").alias("operation_name"), F.col("v").alias("duration"), F.when(e % 4 == 0, "503").otherwise("200").alias("response"))
     two = t.where(e % 2 == 1).select(F.col("who").alias("Service"), e.alias("SpanID"), F.lit("p, q").alias("Operation"), (e % 7).alias("TraceID"), F.col("v").alias("duration_us"), F.lit("no").alias("error"))
     one.coalesce(2).write.option("header", True).csv(f"{root}/a/traces/spans.csv")

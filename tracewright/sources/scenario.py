@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import rules
 from tracewright.functions.logs import LINE_ENDS
 from tracewright.functions.names import OUTPUT_HINTS, file_service, hinted_service, line_hints, log_service, metric_service, service_of_output, shared_service
-from tracewright.sources.text_lines import first_lines, numbered_lines
+from tracewright.sources.text_lines import first_lines, numbered_lines, settings  # noqa: F401  (settings for callers)
 
 # fixed values: column aliases of the two CSV kinds
 METRIC_COLUMNS = {"ts_raw": ["timestamp", "time", "ts"], "cmdb_id": ["cmdb_id", "pod", "pod_name", "instance", "container"], "kpi_name": ["kpi_name", "metric", "metric_name", "__name__"], "value": ["value", "val"]}
@@ -199,6 +199,15 @@ def json_lines(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFra
     return rows.where(F.try_parse_json("value").isNotNull()).select(scenario_of(path, root).alias("scenario_id"), path.alias("path"), F.col("value").alias("row"))
 
 
+def state_lines(spark: SparkSession, root: str, glob: str = "states*.jsonl") -> DataFrame:
+    """(scenario_id, path, line_no, row) of a series of states, one JSON text a line: of each file the lines before the first that is
+    neither blank nor JSON. Blank lines give no row."""
+    lines = numbered_lines(spark, root, glob, F.lit(True)).where("trim(line) <> ''")
+    broken = lines.where(F.try_parse_json("line").isNull()).groupBy(F.col("path").alias("of_path")).agg(F.min("line_no").alias("stop"))  # a row a file
+    kept = lines.join(broken, F.col("path") == F.col("of_path"), "left").where("stop is null or line_no < stop")
+    return kept.select(scenario_of(F.col("path"), root).alias("scenario_id"), "path", "line_no", F.col("line").alias("row"))
+
+
 def documents(spark: SparkSession, root: str, *names: str) -> DataFrame:
     """(scenario_id, name, document) of JSON files passed on as they are, such as ground truth and fault timing."""
     files = whole_files(spark, root, "{" + ",".join(names or ("ground_truth.json", "fault_timing.json", "api_action_plan.json")) + "}")
