@@ -30,7 +30,7 @@ LEAST_DOCUMENTS = 30
 TOP_TERMS = 50
 SCALE = 1_000_000_000
 PRIOR = 5
-HELD = 200_000  # counters that a task holds before it hands them over
+HELD = 500_000  # counters that a task holds before it hands them over
 VOCABULARY_BYTES = 8 << 20  # kept terms of one automaton pass
 CELLS = 4_000_000  # terms times sources of one block of the pair sums
 # letters stay, A-Z in lower case, and so do all bytes of other characters; the rest are delimiters
