@@ -103,7 +103,8 @@ def _run(rows: DataFrame) -> DataFrame:
 def keepers(docs: DataFrame, least_chars: int, least_docs: int, batches: int, fanout: int) -> tuple[DataFrame, DataFrame]:
     """From (id, text): (id, batch, h1, h2), where shared lines stand, and (h1, h2, keeper), the largest id that holds each."""
     held = written(occurrences(docs, least_chars))
-    shared = held.groupBy(*HASH).agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select(*HASH)
+    # written before it is joined, so that Spark can split the rows of a very common line
+    shared = written(held.groupBy(*HASH).agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select(*HASH))
     cuts = sorted(set(docs.approxQuantile("id", [k / batches for k in range(1, batches)], 0.01)))  # few numbers, whatever the table
     above = [F.when(F.col("id") < F.lit(c), 1).otherwise(0) for c in cuts]
     batch = F.when(F.col("id").isNull(), len(cuts)).otherwise(sum(above, F.lit(0))).cast("int")
