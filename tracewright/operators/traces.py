@@ -77,10 +77,11 @@ def call_edges(spans: DataFrame, by_file: bool = False, whole: int = WHOLE) -> D
     keys = [*(FILE if by_file else FILE[:1]), "src", "dst"]
     own = checkpointed(linked(spans).select(*FILE, "src", "dst", "trace_id", "duration_us", "is_error"))
     p, probs = F.percentile("duration_us", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))), [0.5, 0.95, 0.99]
-    hot = stored(own.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > whole).select(*keys))
+    hot = own.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > whole).select(*keys)
     if hot.isEmpty():
         made = own.groupBy(*keys).agg(*_features(), p.alias("_p"))
     else:
+        hot = stored(hot)
         few = own.join(hot, keys, "left_anti").groupBy(*keys).agg(p.alias("_p"))
         many = quantiles(own.join(hot, keys, "left_semi"), keys, "duration_us", probs).select(*keys, F.array("q0", "q1", "q2").alias("_p"))
         made = own.groupBy(*keys).agg(*_features()).join(few.union(many), keys, "left")
