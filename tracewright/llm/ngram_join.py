@@ -28,6 +28,7 @@ RECALL = 0.9999  # of pairs at the threshold; pairs above it are met more surely
 HASHES = 420  # 51 bands of 8 rows: of pairs at a similarity of 0.3 one in 300 is tied
 BLOCK_SHINGLES = 500_000  # bounds of one part of a component, in shingles and in nodes
 BLOCK_NODES = 512
+SEEN = 100_000  # different rows that a task remembers to drop repeats before a shuffle
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
@@ -145,6 +146,26 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
     return docs.select("doc", "th", "text").mapInArrow(releasing(run), "doc bigint, th bigint, node bigint, n bigint, bands array<bigint>")
 
 
+def without_repeats(texts: DataFrame) -> DataFrame:
+    """(key, no_key, th, text) with most repeats of (key, no_key, th) gone: a task drops those it met among its last
+    SEEN different ones, so that rows that come a million times are few before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "no_key", "th")))):
+                if row not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(row)
+                    keep[k] = True
+            yield batch if keep.all() else batch.filter(pa.array(keep))
+
+    ship(texts.sparkSession)
+    return texts.mapInArrow(releasing(run), texts.schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of (a, b) ties; the root is the component's smallest node.
 
@@ -276,17 +297,19 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     anchors = buckets.groupBy("bucket").agg(F.min("node").alias("anchor"), F.count("*").alias("k")).where("k > 1").select("bucket", "anchor")
     ties = buckets.join(anchors, "bucket").where("node <> anchor").select(F.col("node").alias("a"), F.col("anchor").alias("b"))
     comps = materialize(components(ties))
-    sized = comps.join(nodes.select("node", "n"), "node").groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_NODES)).cast("int").alias("parts"))
+    # written before it is joined, so that Spark can split the rows of a large component
+    sized = materialize(comps.join(nodes.select("node", "n"), "node").groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_NODES)).cast("int").alias("parts")))
     parts = comps.join(sized, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     chosen = parts.join(nodes.select("node", "members", "pick"), "node").select("node", "root", "parts", "part", "members", F.coalesce("pick.doc", F.lit(0)).alias("key"), F.col("pick.doc").isNull().alias("no_key"), F.col("pick.th").alias("th"))
     texts = base.select(F.coalesce("doc", F.lit(0)).alias("key"), F.col("doc").isNull().alias("no_key"), "th", "text")
-    rows_ = chosen.join(texts, ["key", "no_key", "th"])
+    # repeated rows go before the shuffle but for one a task, and behind the join but for one
+    rows_ = chosen.join(without_repeats(texts), ["key", "no_key", "th"]).dropDuplicates(["key", "no_key", "th"])
     # part p takes part in the blocks (p, q) and (q, p) of all parts q, each once with i <= j
     rows_ = rows_.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "q")).withColumn("j", F.greatest("part", "q"))
     rows_ = rows_.select("node", "root", "i", "j", "part", "members", "text")
     found = materialize(rows_.groupBy("root", "i", "j").applyInArrow(lambda t: _verify(t, width, threshold), "node bigint, links bigint, docs bigint, low bigint"))
     links = found.groupBy("node").agg(F.sum("docs").alias("docs"))
-    if parts.agg(F.max("parts")).first()[0] not in (None, 1):  # classes reach over the parts of a cut component
+    if sized.agg(F.max("parts")).first()[0] not in (None, 1):  # classes reach over the parts of a cut component
         classes = components(found.select(F.col("node").alias("a"), F.col("low").alias("b")))
     else:
         classes = found.where("node <> low").select("node", F.col("low").alias("root"))

@@ -24,6 +24,7 @@ from tracewright.llm.common import free_names, materialize, others, quoted, tabl
 LEAST_PARTITIONS = 256
 ROWS_IN_PARTITION = 50_000  # ordered in one task; the matrix has a row for each partition, 20,000 for a billion rows
 ROWS_IN_BIN = 500
+HOT_ROWS = 5_000  # equal rows whose hashes are salted
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, drawn: int) -> int:
@@ -71,14 +72,22 @@ def shuffle_into_shards(df: DataFrame, key_cols: list[str], shards: int = 16, se
     """Append shard (int, 0 to shards - 1) and slot (long, gapless from 0 in each shard).
 
     Shard sizes are at most one apart. Rows are told apart by ``key_cols`` (nulls count as a value); rows
-    that agree in all of them are interchangeable. Columns named shard or slot, in any case, are replaced, all
+    that agree in all of them are interchangeable, and if more than HOT_ROWS agree, their hashes are salted with their number
+    in the table, which is then written once so that a rerun of a task finds the same numbers. Columns named shard or slot, in any case, are replaced, all
     others pass through whatever their names. With fewer rows than shards some shards stay empty; an empty table stays empty.
     """
     base = df.select(*others(df, "shard", "slot"))
     m, q, cut = free_names([*base.columns, "shard", "slot"], "m", "q", "cut")
     key = F.xxhash64(F.lit(seed), *[x for c in key_cols for x in (F.col(quoted(c)).isNull(), F.col(quoted(c)))])
-    hashed = F.transform(F.array(key), lambda u: F.struct(u.alias("unit"), F.xxhash64(F.lit(seed + 1), u).alias("first"), F.xxhash64(F.lit(seed + 2), u).alias("second")))
-    keyed = base.withColumn(m, F.get(hashed, F.lit(0)))
+    hashed_rows = base.withColumn(m, key)
+    # the hashes of rows that agree too often: fewer than one for each HOT_ROWS rows of the input
+    hot = materialize(hashed_rows.groupBy(m).count().where(F.col("count") > HOT_ROWS).select(F.col(m).alias(cut)))
+    if not hot.isEmpty():
+        numbered = materialize(hashed_rows).withColumn(q, F.monotonically_increasing_id())
+        salted = F.when(F.col(cut).isNull(), F.col(m)).otherwise(F.xxhash64(m, q))
+        hashed_rows = numbered.join(F.broadcast(hot), F.col(m) == F.col(cut), "left").withColumn(m, salted).drop(q, cut)
+    hashed = F.transform(F.array(F.col(m)), lambda u: F.struct(u.alias("unit"), F.xxhash64(F.lit(seed + 1), u).alias("first"), F.xxhash64(F.lit(seed + 2), u).alias("second")))
+    keyed = hashed_rows.withColumn(m, F.get(hashed, F.lit(0)))
     n = base.count()
     parts = max(LEAST_PARTITIONS, math.ceil(n / ROWS_IN_PARTITION))
     keyed = keyed.withColumn(q, F.pmod(F.col(f"{m}.unit"), F.lit(parts)).cast("int"))

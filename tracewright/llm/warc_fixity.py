@@ -45,12 +45,17 @@ def replicas(pages: DataFrame, payloads: list[Column], files: int) -> list[DataF
 
     The first payload is the archive's: pages are dealt to ``files`` files by a hash of id, url and its
     record, and stand in a file by id (null first), then url, then the hash of its record, from offset 0; the other
-    replicas keep this order. Repeated rows are records of their own; null ids, urls and payloads count as empty.
+    replicas keep this order. Repeated rows are records of their own: they are counted before they are shuffled, and every
+    RECORDS_A_FILE copies of a row are dealt by a hash of their own, so that no file gets all copies. Null ids, urls and payloads count as empty.
     """
     made = [record_bytes(F.col("page_id"), F.col("url"), p) for p in payloads]
     hashed = [F.struct(F.octet_length(m).cast("long").alias("length"), F.sha2(m, 256).alias("digest")) for m in made]
     rows = pages.select("page_id", "url", *[h.alias(f"r{k}") for k, h in enumerate(hashed)])
-    text = F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), "r0.digest")
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    rows = rows.withColumn("lot", F.explode(F.sequence(F.lit(0), F.expr(f"cast((copies - 1) div {RECORDS_A_FILE} as int)"))))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(RECORDS_A_FILE), F.col("copies") - F.col("lot") * RECORDS_A_FILE)))).drop("copies", "copy")
+    lot = F.when(F.col("lot") > 0, F.col("lot").cast("string"))  # skipped where null
+    text = F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), "r0.digest", lot)
     order = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), F.col("url").asc_nulls_first(), "r0.digest")
     upto = order.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("file", F.pmod(_number(text), F.lit(files)).cast("int")).withColumn("no", (F.row_number().over(order) - 1).cast("long"))
@@ -116,7 +121,11 @@ def damaged_payload() -> Column:
 
 
 def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All records of ``pages`` in one replica against a replica with damage planted in every 50th."""
+    """All records of ``pages`` in one replica against a replica with damage planted in every 50th.
+
+    Null ids, urls and texts count as empty, an empty table gives no row; equal rows are records of their own, see
+    ``replicas``.
+    """
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     files = max(1, math.ceil(pages.count() / RECORDS_A_FILE))
     return audit(*replicas(pages, [F.col("html"), damaged_payload()], files))
@@ -138,7 +147,8 @@ WITH p AS (
 ), d AS (
   SELECT page_id, url, files, head || strlen(x) || e || x || e AS rx, head || strlen(y) || e || y || e AS ry FROM t
 ), f AS (
-  SELECT *, CAST(('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '') || '|' || sha256(rx)), 1, 8))::BIGINT % files AS INTEGER) AS file FROM d
+  SELECT *, CAST(('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '') || '|' || sha256(rx) || CASE WHEN lot > 0 THEN '|' || lot ELSE '' END), 1, 8))::BIGINT % files AS INTEGER) AS file
+  FROM (SELECT *, (row_number() OVER (PARTITION BY page_id, url, rx) - 1) // 512 AS lot FROM d)
 ), o AS (
   SELECT file, row_number() OVER w - 1 AS no, CAST(coalesce(sum(strlen(rx)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
     CAST(strlen(rx) AS BIGINT) AS length, page_id, sha256(rx) AS digest, sha256(ry) AS replica_digest
