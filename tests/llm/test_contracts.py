@@ -338,6 +338,62 @@ def test_recall_over_shards(spark, monkeypatch):
     assert tree.visited < 0.85 * 120 * len(x)
 
 
+def test_cells_leave_out_most_of_clustered_vectors(spark, monkeypatch):
+    """Cells are visited only where the triangle inequality allows a neighbour: exact at factor 1, few cells beyond it."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(40, size=3000)] + 0.15 * rng.normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1000:1040] = x[0]
+    monkeypatch.setattr(vptree, "SHARD_BYTES", 24 << 10)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(5000 + i, [1.0 + i, 2.0]) for i in range(5)], "vec_id bigint, embedding array<double>")
+    asked = v.where("vec_id % 100 = 0")
+    for factor, least in ((1.0, 1.0), (vptree.FACTOR, 0.9)):
+        found: dict = {}
+        for r in vptree.nearest(v, asked, factor=factor).orderBy("query_id", "rank").collect():
+            found.setdefault(r["query_id"], []).append(r["vec_id"])
+        truth = {q: sorted((i for i in range(len(x)) if i != q), key=lambda i, s=(x * x[q]).sum(axis=1): (-s[i], i))[:20] for q in range(0, 3000, 100)}
+        truth[5000] = [5004, 5003, 5002, 5001]
+        assert set(found) == set(truth) and np.mean([len(set(found[q]) & set(t)) / len(t) for q, t in truth.items()]) >= least
+        if factor == 1:
+            assert found == truth
+    own = vptree.usable(v, "vec_id", "embedding").selectExpr("size(v) as dim", "xxhash64(size(v), v) as h", "v", "vec_id")
+    layout = vptree._layout(own)
+    assert list(layout) == [16] and len(layout[16].centres) == 16
+    cell, far = layout[16].deal(x, False)
+    layout[16].radius = np.array([far[cell == c].max(initial=-np.inf) for c in range(16)])
+    q = x[::100]
+    kth = np.sort(q @ x.T, axis=1)[:, -21]
+    for factor, most in ((1.0, 1.0), (vptree.FACTOR, 0.5)):
+        reached = layout[16].reached(q, kth, factor)
+        assert sum(map(len, reached)) <= most * 16 * len(q)
+        if factor == 1:
+            assert all(set(cell[np.flatnonzero(x @ q[n] >= kth[n])]) <= set(c) for n, c in enumerate(reached))
+
+
+def test_op5_over_a_table_of_odd_rows(spark, tmp_path):
+    """The registered query against brute force: null, empty, short, zero and infinite vectors, a null id, clashing columns."""
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=6).tolist(), i, f"s{i}") for i in range(300)]
+    rows += [(320, None, 0, ""), (340, [], 0, None), (360, [0.0] * 6, 0, ""), (380, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0, ""), (400, [float("inf")] + [1.0] * 5, 0, ""), (None, [1.0] * 6, 0, ""), (420, [2.0, 1.0], 0, ""), (421, [1.0, 1.0], 0, "")]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, slot int, dim string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    good = {r[0]: np.array(r[1]) for r in rows[:300] + rows[-2:]}
+    got: dict = {}
+    for r in vptree.op5_vptree(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == {q for q in good if q % 20 == 0}
+    hits = total = 0
+    for q, found in got.items():
+        score = {i: float(np.einsum("ij,ij->i", good[q][None], v[None])[0]) for i, v in good.items() if i != q and len(v) == len(good[q])}
+        truth = sorted(score, key=lambda i: (-score[i], i))[:20]
+        assert [n for n, _, _ in found] == list(range(1, len(truth) + 1)) and all(s == score[i] for _, i, s in found)
+        assert [(-s, i) for _, i, s in found] == sorted((-s, i) for _, i, s in found)
+        hits, total = hits + len(set(truth) & {i for _, i, _ in found}), total + len(truth)
+    assert hits >= 0.9 * total
+    spark.createDataFrame([], "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/none/embeddings.parquet")
+    assert vptree.op5_vptree(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_replica_keeps_the_order_of_the_archive(spark):
     rows = [(7, "u", "x" * 20 + str(k)) for k in range(30)] + [(None, None, None), (None, None, "y"), (7, "u", "x" * 20 + "3")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
