@@ -9,7 +9,8 @@ range of these. A query first searches its own cell. What it found there bounds
 pass it goes only to cells that the triangle inequality, by the cells' centres and radii, doesn't rule out, and
 there it prunes from the first node on. A cell, a subtree or a row of a leaf is left out for a query when the
 triangle inequality puts it farther than the query's k-th neighbour so far, that distance divided by ``factor``: with
-factor 1 the search is exact, beyond that it leaves out more. Scores are inner products of the original vectors in
+factor 1 the search is exact, beyond that it leaves out more. How far the factor may go depends on the vectors: unless it is
+given, it is the largest of a few that on a bounded sample, against brute force, reach a recall. Scores are inner products of the original vectors in
 double precision.
 """
 
@@ -32,11 +33,13 @@ QUERY_BATCH = 1024
 LEAF = 128
 START_LEAVES = 4  # leaves that a query visits before all others
 ROOT_POINTS = 24  # vantage points of the root beside the splitting one
-FACTOR = 3.5  # relaxed as far as recall stays well above 0.9 on vectors without any structure; the README has figures
+FACTORS = (3.5, 3.0, 2.5, 2.0, 1.5)  # tried in this order, then 1
+FACTOR = FACTORS[0]
+RECALL, TRIED = 0.95, 256  # of a sample's vectors as queries, to accept a factor
 MOST_CELLS, CENTRE_BYTES = 4096, 16 << 20  # centres of the vectors of one length, and their bytes
 SAMPLE_PER_CELL, SAMPLE_BYTES = 32, 64 << 20  # vectors drawn to place the centres; every vector is dealt to a cell
 ROUNDS = 8  # in which the centres settle
-MOST_LENGTHS = 4  # of vectors, the most frequent ones, that get several cells each
+MOST_LENGTHS = 4  # of vectors, the most frequent ones, that get several cells and a factor; all others are searched exactly
 MOST_PARTS = 8192
 
 
@@ -183,7 +186,7 @@ class Shard:
         return pa.RecordBatch.from_arrays([pa.array(asked[o_q[top]]), pa.array(o_v[top]), pa.array(o_s[top])], names=["query_id", "vec_id", "score"])
 
 
-def search_shards(batches: Iterator[pa.RecordBatch], k: int, factor: float) -> Iterator[pa.RecordBatch]:
+def search_shards(batches: Iterator[pa.RecordBatch], k: int, factor: Callable[[int], float]) -> Iterator[pa.RecordBatch]:
     """Over rows (slot, asked, vec_id, times, v, floor), sorted by the first two: the vectors of a shard come
     before its queries, so its tree is built once and queries stream through it."""
     now, parts, tree = None, [], None
@@ -205,7 +208,7 @@ def search_shards(batches: Iterator[pa.RecordBatch], k: int, factor: float) -> I
             floor = pc.fill_null(own.column("floor"), np.nan).to_numpy(zero_copy_only=False)
             for c in range(0, len(x) if tree else 0, QUERY_BATCH):
                 s = slice(c, c + QUERY_BATCH)
-                yield tree.nearest(x[s], ids[s], floor[s], k, factor)
+                yield tree.nearest(x[s], ids[s], floor[s], k, factor(x.shape[1]))
 
 
 @dataclass
@@ -215,6 +218,7 @@ class Cells:
     scale: float
     top: float
     centres: np.ndarray
+    factor: float = 1.0
     radius: np.ndarray | None = None  # largest distance of a vector of the cell to its centre
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
@@ -253,9 +257,9 @@ class Cells:
         grow = self.top / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
         return np.column_stack([unit * grow, np.zeros(len(q))]), np.stack([largest[:, 0], grow[:, 0]])
 
-    def reached(self, q: np.ndarray, floor: np.ndarray, factor: float) -> list[np.ndarray]:
+    def reached(self, q: np.ndarray, floor: np.ndarray) -> list[np.ndarray]:
         """For each query the cells in which a vector of a score of ``floor`` or more may lie, by the triangle inequality
-        relaxed by ``factor``: at the cell's centre, and as no vector of a cell is nearer to another cell's centre."""
+        relaxed by the factor: at the cell's centre, and as no vector of a cell is nearer to another cell's centre."""
         out: list[np.ndarray] = []
         for part in self._blocks(q):
             least = floor[len(out) : len(out) + len(part)]
@@ -263,7 +267,7 @@ class Cells:
             d = self._distances(lifted)
             with np.errstate(all="ignore"):
                 last = least / self.scale / largest * grow
-                far = np.sqrt(np.maximum(0, 2 * self.top**2 - 2 * last)) / factor + 4e-6 * self.top
+                far = np.sqrt(np.maximum(0, 2 * self.top**2 - 2 * last)) / self.factor + 4e-6 * self.top
             far = np.where(np.isfinite(last), far, np.inf)
             bound = np.maximum(d - self.radius, (d - d.min(axis=1, keepdims=True)) / 2)
             out += [np.flatnonzero(row) for row in bound <= far[:, None]]
@@ -291,39 +295,61 @@ def dealt(rows: DataFrame, layout: dict[int, Cells], query: bool) -> DataFrame:
     return rows.mapInArrow(releasing(lambda batches: _each_length(batches, layout, run, ["cell", "far"])), schema)
 
 
-def routed(rows: DataFrame, layout: dict[int, Cells], factor: float) -> DataFrame:
+def routed(rows: DataFrame, layout: dict[int, Cells]) -> DataFrame:
     """``rows`` (dim, v, home, floor, ..) with ``cell``, a row for each cell but ``home`` that a query still has to visit."""
 
     def run(own: pa.RecordBatch, cells: Cells | None) -> list[pa.Array]:
         floor = pc.fill_null(own.column("floor"), np.nan).to_numpy(zero_copy_only=False)
-        return [pa.array(cells.reached(_matrix(own.column("v")), floor, factor) if cells else [[]] * own.num_rows, pa.list_(pa.int32()))]
+        return [pa.array(cells.reached(_matrix(own.column("v")), floor) if cells else [[]] * own.num_rows, pa.list_(pa.int32()))]
 
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", cells array<int>"
     made = rows.mapInArrow(releasing(lambda batches: _each_length(batches, layout, run, ["cells"])), schema)
     return made.select(*rows.columns, F.explode("cells").alias("cell")).where("cell <> home")
 
 
-def _layout(own: DataFrame) -> dict[int, Cells]:
-    """Centres for each length of vectors that fills several shards, from (dim, h, v). The driver gets a row for each
-    length and a sample of bounded bytes."""
-    a = F.array_max(F.transform("v", F.abs))
+def accepted_factor(x: np.ndarray, n: int, k: int) -> float:
+    """The first of FACTORS with which a tree over a sample finds enough of the nearest of some of its vectors, else 1. Of a
+    sample of ``n`` vectors only as many nearest are looked at as the ``k`` of all make up in it: they are as far away."""
+    k = min(len(x) - 1, math.ceil(k * len(x) / n))
+    if k < 1:
+        return 1.0
+    own = np.random.default_rng(6).permutation(len(x))[:TRIED]
+    unit = x / np.abs(x).max()
+    score = unit[own] @ unit.T
+    score[np.arange(len(own)), own] = -np.inf
+    least = np.partition(score, -k, axis=1)[:, -k] - 1e-9
+    tree = VantagePointTree(unit)
+    for factor in FACTORS:
+        _, rows = tree.search(unit[own], k + 1, factor)
+        hit = (rows >= 0) & (rows != own[:, None]) & (np.take_along_axis(score, np.maximum(rows, 0), axis=1) >= least[:, None])
+        if np.minimum(hit.sum(axis=1), k).mean() >= RECALL * k:
+            return factor
+    return 1.0
+
+
+def _layout(own: DataFrame, k: int, factor: float | None) -> dict[int, Cells]:
+    """Centres and the factor for each of the most frequent lengths of vectors, from (dim, h, v, largest absolute component). The
+    driver gets a row for each of these and a sample of bounded bytes."""
+    a = F.col("largest")
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / a) * (x / a))
     sizes = own.groupBy("dim").agg(F.count("*").alias("n"), F.max(a).alias("scale"), F.max(F.log(a) + F.log(square) / 2).alias("norm"))
-    several = sizes.where(F.col("n") * F.col("dim") * 8 > SHARD_BYTES).orderBy(F.col("n").desc(), "dim").limit(MOST_LENGTHS).collect()
     layout = {}
-    for r in several:
+    for r in sizes.orderBy(F.col("n").desc(), "dim").limit(MOST_LENGTHS).collect():
         width = 8 * (r["dim"] + 1)
         want = max(1, min(MOST_CELLS, math.ceil(r["n"] * r["dim"] * 8 / SHARD_BYTES), CENTRE_BYTES // width))
-        draw = min(want * SAMPLE_PER_CELL, SAMPLE_BYTES // width) / r["n"]
+        draw = min(1.0, max(SHARD_BYTES, min(want * SAMPLE_PER_CELL * width, SAMPLE_BYTES)) / width / r["n"])
         drawn = own.where(F.col("dim") == r["dim"]).where(F.pmod(F.xxhash64(F.lit(5), "h"), F.lit(1 << 40)) < int(draw * (1 << 40)))
         x = _matrix(drawn.select("v").toArrow().column("v").combine_chunks())
-        x = np.unique(x, axis=0) if len(x) else x
-        if min(want, len(x)) > 1:
-            cells = Cells(r["scale"], math.exp(r["norm"] - math.log(r["scale"])) * (1 + 1e-12), np.zeros((0, 0)))
-            picked = np.random.default_rng(5).permutation(len(x))[:want]
-            cells.centres = cells.lifted(x[picked])
+        if not len(x):
+            continue
+        x = np.unique(x, axis=0)
+        x = x[np.random.default_rng(5).permutation(len(x))]
+        cells = Cells(r["scale"], math.exp(r["norm"] - math.log(r["scale"])) * (1 + 1e-12), np.zeros((0, 0)))
+        cells.centres = cells.lifted(x[:want])
+        if want > 1:
             cells.settle(x)
-            layout[r["dim"]] = cells
+        cells.factor = accepted_factor(x[: max(2, SHARD_BYTES // width)], r["n"], k) if factor is None else factor
+        layout[r["dim"]] = cells
     return layout
 
 
@@ -336,7 +362,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(fine & F.exists("v", lambda c: c != 0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = FACTOR, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k nearest of the other rows by inner product.
 
     Vectors that are null, empty, zero or not finite, and rows without an id, take no part; any finite vector does,
@@ -349,10 +375,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     own = usable(vectors, id_col, vector_col).groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(k + 1)).alias("times"))
     own = own.withColumn("h", F.xxhash64(F.size("v"), "v"))
     own = own.withColumn("n", F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))).where(F.col("n") <= k + 1).drop("n")
-    own = materialize(own.withColumn("dim", F.size("v")))
+    own = materialize(own.withColumn("dim", F.size("v")).withColumn("largest", F.array_max(F.transform("v", F.abs))))
     ship(vectors.sparkSession)
-    layout = _layout(own)
-    own = materialize(dealt(own, layout, False))
+    layout = _layout(own, k, factor)
+    factors = {dim: c.factor for dim, c in layout.items()}
+    rest = 1.0 if factor is None else factor
+    own = materialize(dealt(own.drop("largest"), layout, False))
     subs = F.ceil(F.col("n") * F.col("dim") * 8 / SHARD_BYTES).cast("int")
     cells = own.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).withColumn("subs", subs).orderBy("dim", "cell").collect()
     for dim, c in layout.items():
@@ -370,7 +398,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
         """The k best for queries (dim, cell, vec_id, v, floor) in all shards of the given cells."""
         sent = asked.join(at, ["dim", "cell"]).select(F.explode(F.sequence("first", F.col("first") + F.col("subs") - 1)).alias("slot"), F.lit(True).alias("asked"), "vec_id", F.lit(1).cast("bigint").alias("times"), "v", "floor")
         there = put.union(sent).repartitionById(parts, F.pmod("slot", F.lit(parts)).cast("int")).sortWithinPartitions("slot", "asked")
-        return there.mapInArrow(releasing(lambda batches: search_shards(batches, k, factor)), "query_id bigint, vec_id bigint, score double")
+        return there.mapInArrow(releasing(lambda batches: search_shards(batches, k, lambda dim: factors.get(dim, rest))), "query_id bigint, vec_id bigint, score double")
 
     def ranked(rows: DataFrame) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
@@ -379,10 +407,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     asked = usable(queries, id_col, vector_col).dropDuplicates(["vec_id", "v"]).withColumn("dim", F.size("v"))
     asked = dealt(asked, layout, True).drop("far")
     best = ranked(found(asked.withColumn("floor", F.lit(None).cast("double"))))
-    if layout:
+    if any(len(c.centres) > 1 for c in layout.values()):
         best = materialize(best)
         last = best.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
-        onward = routed(asked.withColumnRenamed("cell", "home").join(last, "vec_id", "left"), layout, factor)
+        onward = routed(asked.withColumnRenamed("cell", "home").join(last, "vec_id", "left"), layout)
         best = ranked(best.drop("rank").union(found(onward)))
     return best.select("query_id", "rank", "vec_id", "score")
 
