@@ -172,6 +172,30 @@ def test_op7_base(spark, small):
     assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in made)
 
 
+def test_op7_labels_and_score_without_gate(spark, small):
+    """Every rule on every text, no keyword looked at first; of two places one inside the other the better stays."""
+    path, docs = small
+    own = [(k, r, re.compile(rf"(?<= )(?:{r.pattern})(?= )".encode())) for k, r in enumerate(license_rules.rules())]
+    phrases = ["released under the terms of the apache license version 2 0", "spdx license identifier mit", "gnu general public license version 3", "licensed under the mit license or the apache license version 2", "cc by nc"]
+    more = [(i, f"{'x ' * i}{a} and {b} {a}") for i, (a, b) in enumerate((a, b) for a in phrases for b in phrases)]
+    texts = [(d["doc_id"], d["text"]) for d in docs if len(d["text"] or "") < 100_000] + more
+    made = license_rules.scan_licenses(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert len(made) == len(texts) and sum(len(r["detections"]) > 0 for r in made) >= len(more)
+    for r in made:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))
+        line = b" " + b" ".join(w.encode() for w in words) + b" "
+        hits = sorted(((-rule.priority, m.start() - m.end(), m.start(), k, m.end(), rule) for k, rule, p in own for m in p.finditer(line)), key=lambda h: h[:4])
+        kept = []
+        for h in hits:
+            if not any((a[2] <= h[2] and h[4] <= a[4]) or (h[2] <= a[2] and a[4] <= h[4]) for a in kept):
+                kept.append(h)
+        number = lambda at: line[:at].count(b" ") - 1
+        # the rules of one form of a name differ only in the word that gates them, so their own name isn't compared
+        want = sorted((number(h[2]), number(h[4] + 1), h[5].label, h[5].priority) for h in kept)
+        assert sorted((x["start"], x["end"], x["label"], x["priority"]) for x in r["detections"]) == want
+        assert r["score"] == (1.0 if r["base"] else max((h[5].confidence for h in kept), default=0.0))
+
+
 def water(sizes, weights=(5, 2, 1), cap=3):
     """Targets by pouring: what a source can't take goes to the others."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
@@ -227,6 +251,79 @@ def test_op9(spark, small):
         assert (r["lang_pred"] == "und") == (not has_letter(text[r["doc_id"]] or "")) and r["lang_pred"] in known | {"und"}
 
 
+def plain_bits(counts, order, data):
+    """Code length of bytes by partial matching: counts of each context of 0 to ``order`` bytes."""
+    known = {}
+
+    def cost(context, byte):
+        if (context, byte) not in known:
+            seen = counts.get(context)
+            lower = 8.0 if not context and (not seen or byte not in seen) else None
+            if seen and byte in seen:
+                made = -math.log2(seen[byte] / (sum(seen.values()) + len(seen)))
+            else:
+                lower = cost(context[1:], byte) if lower is None else lower
+                made = lower - math.log2(len(seen) / (sum(seen.values()) + len(seen))) if seen else lower
+            known[context, byte] = made
+        return known[context, byte]
+
+    padded = b" " * order + data
+    return sum(cost(padded[i : i + order], padded[i + order]) for i in range(len(data)))
+
+
+def test_op9_rows_against_plain_python(spark, small):
+    path, docs = small
+    order = langid_ppm.ORDER
+    learned = {(d["lang"], d["text"]) for d in docs if d["lang"] is not None and d["text"] is not None and zlib.crc32(str("" if d["doc_id"] is None else d["doc_id"]).encode()) % 4 != 2}
+    counts = {lang: {} for lang in sorted({lang for lang, _ in learned})}
+    for lang, text in learned:
+        data = b" " * order + langid_ppm.normal(text)
+        for i in range(order, len(data)):
+            for k in range(order + 1):
+                counts[lang].setdefault(data[i - k : i], Counter())[data[i]] += 1
+    text = {d["doc_id"]: d["text"] for d in docs}
+    tried = 0
+    for r in langid_ppm.op9_language_id(spark, path).collect():
+        own = text[r["doc_id"]] or ""
+        if not has_letter(own):
+            assert (r["lang_pred"], r["score"], r["bits_per_byte"]) == ("und", 0.0, None)
+            continue
+        data = langid_ppm.normal(own)
+        bits = {lang: plain_bits(c, order, data) for lang, c in counts.items()}
+        best = min(sorted(bits), key=bits.get)
+        tried += 1
+        assert r["lang_pred"] == best and abs(r["bits_per_byte"] - bits[best] / len(data)) < 1e-4
+        assert abs(r["score"] - 1 / sum(2.0 ** max(bits[best] - b, -1000) for b in bits.values())) < 0.02
+    assert tried > 20
+
+
+def test_training_follows_the_stated_risk(monkeypatch):
+    """Steps of ``train`` against numeric gradients of the non-negative risk, on both of its sides."""
+    monkeypatch.setattr(toxicity_pu, "STEPS", 0)
+    rng = np.random.default_rng(8)
+    width, prior, rounds, rate, decay = 6, 0.6, 40, 0.1, 1e-5
+    p = [rng.choice(3, size=4) for _ in range(20)]
+    u = [np.append(rng.integers(0, width, size=5), 3) for _ in range(30)]
+    bag = lambda rows: np.stack([np.bincount(r, minlength=width) for r in rows]).astype(float)
+    xp, xu, loss = bag(p), bag(u), lambda z: 1 / (1 + np.exp(z))
+
+    def clean(v):
+        return loss(-(xu @ v[:-1] + v[-1])).mean() - prior * loss(-(xp @ v[:-1] + v[-1])).mean()
+
+    def objective(v, side):
+        return prior * loss(xp @ v[:-1] + v[-1]).mean() + clean(v) if side else -clean(v)
+
+    v, past, sides = np.append(np.zeros(width), math.log(prior / (1 - prior))), np.full(width + 1, 1e-4), Counter()
+    for _ in range(rounds):
+        side = clean(v) >= 0
+        sides[bool(side)] += 1
+        g = np.array([(objective(v + e, side) - objective(v - e, side)) / 2e-6 for e in 1e-6 * np.eye(width + 1)]) + decay * np.append(v[:-1], 0)
+        past += g * g
+        v = v - rate * g / np.sqrt(past)
+    w, bias = toxicity_pu.train(p, u, width, prior, rounds=rounds, batch=64, rate=rate, decay=decay)
+    assert np.allclose(np.append(w, bias), v, atol=1e-4) and sides[True] > 2 and sides[False] > 2
+
+
 def test_extra_columns_with_internal_names(spark, small):
     """Whatever an extra column is named, it comes back as it was, and the results are those without it."""
     docs = spark.read.parquet(f"{small[0]}/documents.parquet").where("doc_id is not null")
