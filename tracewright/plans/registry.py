@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import logs as line
 from tracewright.functions import names, rules
 from tracewright.functions.storage import spread, stored
-from tracewright.operators import diagnosis, grouping, logs, metrics, outcome, simulator, system, traces
+from tracewright.operators import diagnosis, grouping, logs, metrics, outcome, system, traces
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -543,21 +543,6 @@ def fault_library(spark, d):
     return diagnosis.fault_library(diagnosis.fault_signature(edges(spark, d), state(spark, d), faults(spark, d))).drop("scenario_id")
 
 
-_SIM = """SELECT src, dst, CASE WHEN src = 'svc3' THEN {er} ELSE error_ratio END AS er, CASE WHEN src = 'svc3' THEN greatest(latency_p95_us, 200000) ELSE latency_p95_us END AS p FROM ed"""
-
-
-@query(f"WITH {_EDGES}, s AS ({_SIM.format(er='greatest(error_ratio, 0.9)')}) SELECT src, dst, round(er, 6) AS error_ratio, round(p, 4) AS latency_p95_us, er > 0.2 OR p > 100000 AS is_suspicious FROM s")
-def sim_fault(spark, d):
-    _, e = simulator.simulate(state(spark, d), edges(spark, d), "svc3", "auth_failure")
-    return e.select("src", "dst", F.round("error_ratio", 6).alias("error_ratio"), F.round("latency_p95_us", 4).alias("latency_p95_us"), "is_suspicious")
-
-
-@query(f"WITH {_EDGES}, s AS ({_SIM.format(er='0.0')}) SELECT src, dst, round(er, 6) AS error_ratio, round(p, 4) AS latency_p95_us, er > 0.2 OR p > 100000 AS is_suspicious FROM s")
-def sim_mitigated(spark, d):
-    _, e = simulator.simulate(state(spark, d), edges(spark, d), "svc3", "auth_failure", {"action": "rollback_config", "service": "svc3"})
-    return e.select("src", "dst", F.round("error_ratio", 6).alias("error_ratio"), F.round("latency_p95_us", 4).alias("latency_p95_us"), "is_suspicious")
-
-
 @query("SELECT '{\"region\":' || n_regionkey || '}' AS key, count(*) AS n, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 def structural_groups(spark, d):
     return grouping.identical(_read(spark, d, "nation").withColumnRenamed("n_regionkey", "region"), "n_name", "region").withColumn("names", F.array_join("names", ","))
