@@ -168,3 +168,39 @@ def test_breakdown_and_buffer(spark):
 def test_compact_lists(spark):
     r = spark.createDataFrame([(["a", "b", "c"],), (None,)], "x array<string>").select(grouping.compact(F.col("x"), 2).alias("c")).collect()
     assert [(x["c"]["items"], x["c"]["truncated"], x["c"]["total_count"]) for x in r] == [(["a", "b"], True, 3), ([], False, 0)]
+
+
+def test_iterations_and_scenarios_as_they_are_kept(spark):
+    iterations = spark.createDataFrame([("a", 0, 0.4, False, 1.236), ("a", 1, 0.90004, True, 2.0), ("a", 2, 0.90004, True, 1.0), ("b", 0, 0.0, False, 1.0), ("e", 0, 1.0, True, 9.0)], "scenario_id string, iteration int, reward double, passed boolean, elapsed double")
+    results = spark.createDataFrame([("a", 1, 2, "second", "x" * 600, "", 1, 3.14), ("a", 1, 1, "first", "", "", 0, 1.0), ("a", 2, 1, "late", "", "", 0, 1.0), ("z", 0, 1, "stray", "", "", 0, 1.0)], "scenario_id string, iteration int, no int, command string, stdout string, stderr string, returncode int, elapsed_ms double")
+    rows = outcome.iteration_rows(iterations, results)
+    kept = {(r["scenario_id"], r["iteration"]): r for r in rows.collect()}
+    assert len(kept) == 5 and kept["a", 1]["commands"] == ["first", "second"] and kept["a", 0]["commands"] == [] and kept["a", 0]["elapsed_seconds"] == 1.24
+    assert [(x["ok"], len(x["stdout"])) for x in kept["a", 1]["command_results"]] == [(True, 0), (False, 500)] and kept["a", 1]["reward"] == 0.9
+    scenarios = spark.createDataFrame([("a",), ("b",), ("c",), ("e",)], "scenario_id string")
+    verified = spark.createDataFrame([("a", True), ("e", True)], "scenario_id string, verified boolean")
+    errors = spark.createDataFrame([("e", "no state", 0.126)], "scenario_id string, error string, elapsed double")
+    made = {r["scenario_id"]: r for r in outcome.scenario_results(scenarios, rows, iterations, verified, errors).collect()}
+    assert (made["a"]["best_commands"], made["a"]["best_reward"], made["a"]["n_iterations"], made["a"]["passed"], made["a"]["rca_verified"], made["a"]["elapsed_seconds"]) == (["first", "second"], 0.9, 3, True, True, 4.24)
+    assert [x["iteration"] for x in made["a"]["iterations"]] == [0, 1, 2] and made["b"]["best_commands"] == [] and made["b"]["best_reward"] == 0.0 and made["b"]["n_iterations"] == 1
+    assert (made["c"]["n_iterations"], made["c"]["iterations"], made["c"]["error"]) == (0, [], "")
+    assert (made["e"]["passed"], made["e"]["rca_verified"], made["e"]["iterations"], made["e"]["elapsed_seconds"], made["e"]["error"]) == (False, False, [], 0.13, "no state")
+
+
+def test_verification_as_it_is_kept(spark):
+    names = "scenario_id string, service string"
+    original = spark.createDataFrame([("a", "user"), ("a", "cart"), ("a", "post"), ("b", "x")], names)
+    observed = spark.createDataFrame([("a", "user-service"), ("a", "unknown"), ("a", "geo"), ("c", "geo")], names)
+    waits = spark.createDataFrame([("a", 12.5)], "scenario_id string, wait_seconds double")
+    made = {r["scenario_id"]: r for r in outcome.verification_rows(outcome.overlap(original, observed), original, observed, waits).collect()}
+    a = made["a"]
+    assert (a["match_score"], a["verified"], a["original_unhealthy"], a["twin_degraded_services"], a["overlap"], a["wait_seconds"]) == (0.333, False, ["cart", "post", "user"], ["geo", "user-service"], ["user"], 12.5)
+    assert "Symptom overlap: 1/3" in a["reasoning"] and made["b"]["overlap"] == [] and made["c"]["original_unhealthy"] == [] and made["c"]["wait_seconds"] == 0
+
+
+def test_complexity_counts_services_that_nobody_calls(spark):
+    edges = spark.createDataFrame([("a", "u", "v", "critical"), ("a", "v", "w", "important")], "scenario_id string, src string, dst string, criticality string")
+    services = spark.createDataFrame([("a", "lone"), ("a", "u"), ("b", "x"), ("b", None)], "scenario_id string, service string")
+    snapshots = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("b", 1)], "scenario_id string, snapshot int")
+    made = {r["scenario_id"]: tuple(r)[1:] for r in grouping.complexity_report(edges, services, snapshots).collect()}
+    assert made == {"a": (4, 2, 1, 1, 2, True), "b": (1, 0, 0, 0, 1, False)}

@@ -75,3 +75,12 @@ def complexity(edges: DataFrame) -> DataFrame:
     """Services, edges and edges by criticality of a scenario, from edges with a column criticality."""
     n = lambda word: F.count_if(F.col("criticality") == word)
     return edges.groupBy("scenario_id").agg(F.count_distinct(F.col("dst")).alias("num_called"), F.count("*").alias("num_edges"), n("critical").alias("num_critical_edges"), n("important").alias("num_important_edges"))
+
+
+def complexity_report(edges: DataFrame, services: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """``complexity`` of every scenario with services (scenario_id, service) or edges: with all its services, called or
+    not, and how many snapshots (scenario_id, snapshot) there are of it; several are a series."""
+    known = services.select("scenario_id", "service").unionByName(edges.select("scenario_id", F.explode(F.array("src", "dst")).alias("service"))).where("service is not null")
+    made = known.groupBy("scenario_id").agg(F.count_distinct(F.col("service")).alias("num_services")).join(complexity(edges).drop("num_called"), "scenario_id", "left")
+    seen = snapshots.groupBy("scenario_id").agg(F.count_distinct(F.col("snapshot")).alias("num_snapshots"))
+    return made.join(seen, "scenario_id", "left").fillna(0).withColumn("state_is_time_series", F.col("num_snapshots") > 1)

@@ -90,9 +90,9 @@ def execution(results: DataFrame, health: DataFrame | None = None) -> DataFrame:
     return made.join(ready, "scenario_id", "full_outer").fillna(0)
 
 
-def command_rows(results: DataFrame, most: int = 500) -> DataFrame:
+def command_rows(results: DataFrame, most: int = 500, extra: tuple[str, ...] = ()) -> DataFrame:
     """Results of commands as they are kept: outputs cut, times rounded."""
-    return results.select("scenario_id", "command", F.substring("stdout", 1, most).alias("stdout"), F.substring("stderr", 1, most).alias("stderr"), "returncode", F.round("elapsed_ms", 1).alias("elapsed_ms"), (F.col("returncode") == 0).alias("ok"))
+    return results.select("scenario_id", *extra, "command", F.substring("stdout", 1, most).alias("stdout"), F.substring("stderr", 1, most).alias("stderr"), "returncode", F.round("elapsed_ms", 1).alias("elapsed_ms"), (F.col("returncode") == 0).alias("ok"))
 
 
 def scenario_rows(iterations: DataFrame) -> DataFrame:
@@ -100,6 +100,49 @@ def scenario_rows(iterations: DataFrame) -> DataFrame:
     return iterations.groupBy("scenario_id").agg(F.max("passed").alias("passed"), F.round(F.greatest(F.lit(0.0), F.max("reward")), 4).alias("best_reward"), F.count("*").alias("n_iterations"), F.round(F.sum("elapsed"), 2).alias("elapsed_seconds"))
 
 
+def iteration_rows(iterations: DataFrame, results: DataFrame) -> DataFrame:
+    """One row an iteration with its commands and their results in order of ``no``, from (scenario_id, iteration, reward, passed,
+    elapsed) and results of commands (scenario_id, iteration, no, ..), see ``command_rows``. An iteration without commands has
+    empty lists; results of an iteration that isn't there are left out. Lists are as long as one reply of a model."""
+    keys = ["scenario_id", "iteration"]
+    kept = command_rows(results, extra=("iteration", "no"))
+    told = [c for c in kept.columns if c not in (*keys, "no")]
+    listed = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("no", *told))).alias("_r"))
+    made = iterations.join(listed, keys, "left").withColumn("_r", F.coalesce("_r", F.array().cast(listed.schema["_r"].dataType)))
+    return made.select(*keys, F.transform("_r", lambda x: x["command"]).alias("commands"), F.round("reward", 4).alias("reward"), "passed", F.round("elapsed", 2).alias("elapsed_seconds"), F.transform("_r", lambda x: x.dropFields("no")).alias("command_results"))
+
+
+def scenario_results(scenarios: DataFrame, rows: DataFrame, iterations: DataFrame, verified: DataFrame, errors: DataFrame) -> DataFrame:
+    """The whole result of every scenario: how it ended, the commands of the iteration of highest reward above 0 (the first of
+    equals), whether its diagnosis was verified, and all its iterations in order.
+
+    ``rows`` are what ``iteration_rows`` makes of ``iterations``, whose unrounded rewards decide. A scenario with an error
+    (scenario_id, error, elapsed) has no iterations and no reward, whatever else is known of it; one without anything has none either.
+    """
+    best = best_iteration(iterations).select("scenario_id", "iteration").join(rows.select("scenario_id", "iteration", F.col("commands").alias("best_commands")), ["scenario_id", "iteration"]).drop("iteration")
+    own = [c for c in rows.columns if c not in ("scenario_id", "iteration")]
+    every = rows.groupBy("scenario_id").agg(F.array_sort(F.collect_list(F.struct("iteration", *own))).alias("iterations"))
+    made = scenarios.select("scenario_id").distinct()
+    for d in (scenario_rows(iterations), best, every, verified.select("scenario_id", F.col("verified").alias("rca_verified")), errors.select("scenario_id", "error", F.col("elapsed").alias("_elapsed"))):
+        made = made.join(d, "scenario_id", "left")
+    failed = F.col("error").isNotNull()
+    none = {"passed": F.lit(False), "best_reward": F.lit(0.0), "n_iterations": F.lit(0).cast("bigint"), "rca_verified": F.lit(False), "best_commands": F.array().cast("array<string>"), "iterations": F.array().cast(made.schema["iterations"].dataType)}
+    told = [F.when(failed, zero).otherwise(F.coalesce(c, zero)).alias(c) for c, zero in none.items()]
+    elapsed = F.coalesce(F.when(failed, F.round("_elapsed", 2)).otherwise(F.col("elapsed_seconds")), F.lit(0.0))
+    return made.select("scenario_id", *told, elapsed.alias("elapsed_seconds"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+def verification_rows(found: DataFrame, original: DataFrame, observed: DataFrame, waits: DataFrame) -> DataFrame:
+    """What is kept of ``overlap``'s result ``found``: the names on both sides and those that met, the score rounded, the seconds
+    waited (scenario_id, wait_seconds; 0 if unknown), and the words of ``reasoning``."""
+    names = lambda d, name: d.groupBy("scenario_id").agg(F.sort_array(F.collect_set("service")).alias(name))
+    made = found.join(reasoning(found), "scenario_id").join(waits.select("scenario_id", "wait_seconds"), "scenario_id", "left")
+    made = made.join(names(original, "original_unhealthy"), "scenario_id", "left").join(names(observed.where("service <> '' and service <> 'unknown'"), "twin_degraded_services"), "scenario_id", "left")
+    listed = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("original_unhealthy", "twin_degraded_services")}
+    made = made.withColumns(listed).withColumn("overlap", F.array_except("original_unhealthy", "missing"))
+    return made.select("scenario_id", "verified", F.round("score", 3).alias("match_score"), "root_cause_degraded", *listed, "overlap", F.coalesce("wait_seconds", F.lit(0.0)).alias("wait_seconds"), "reasoning")
+
+
 def outcome_rows(scenarios: DataFrame, errors: DataFrame, tops: DataFrame, sla: DataFrame) -> DataFrame:
     """(scenario_id, ok, error, top_service, sla_violated) of every scenario, also of one that failed."""
     made = scenarios.select("scenario_id").distinct().join(errors.select("scenario_id", "error"), "scenario_id", "left").join(tops.select("scenario_id", "top_service"), "scenario_id", "left").join(sla.select("scenario_id", F.col("violated").alias("sla_violated")), "scenario_id", "left")

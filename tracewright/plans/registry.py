@@ -578,12 +578,18 @@ ov0 AS (SELECT scenario_id, coalesce(original, 0) AS original, coalesce(matched,
 ov AS (SELECT *, CASE WHEN original > 0 THEN matched / original WHEN observed = 0 THEN 1.0 ELSE 0.5 END AS raw FROM ov0)"""
 
 
-def overlaps(spark: SparkSession, d: str) -> DataFrame:
+def overlap_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Originally unhealthy and observed services, and root causes, all from ``nation``."""
     n, k = _read(spark, d, "nation"), F.col("n_nationkey")
     sid = F.concat(F.lit("s"), (k % 5).cast("string")).alias("scenario_id")
     observed = n.where((k % 3 == 0) & (k % 5 != 3)).select(sid, F.lower(F.substring("n_name", 1, 7)).alias("service"))
     causes = n.where("n_nationkey < 6").select(F.concat(F.lit("s"), k.cast("string")).alias("scenario_id"), F.when(k == 0, "nothing").when(k == 3, "").otherwise(F.lower("n_name")).alias("root_cause"))
-    return outcome.overlap(n.where(k % 5 < 4).select(sid, F.lower("n_name").alias("service")), observed, causes=causes)
+    return n.where(k % 5 < 4).select(sid, F.lower("n_name").alias("service")), observed, causes
+
+
+def overlaps(spark: SparkSession, d: str) -> DataFrame:
+    original, observed, causes = overlap_sides(spark, d)
+    return outcome.overlap(original, observed, causes=causes)
 
 
 @query(f"WITH {_OVERLAP} SELECT scenario_id, original, matched, missing, observed, extra, root_cause, root_cause_degraded, round(raw, 6) AS score, root_cause_degraded OR raw >= 0.5 AS verified FROM ov")

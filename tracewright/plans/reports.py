@@ -333,6 +333,59 @@ def scenario_rows(spark, d):
     return outcome.scenario_rows(rows).drop("elapsed_seconds")
 
 
+@query(f"""WITH {base._OVERLAP}, n AS (SELECT scenario_id, string_agg(service, ',' ORDER BY service) AS original_unhealthy, coalesce(string_agg(service, ',' ORDER BY service) FILTER (WHERE hit), '') AS overlap FROM om GROUP BY 1), w AS (SELECT scenario_id, string_agg(other, ',' ORDER BY other) AS twin_degraded_services FROM x GROUP BY 1)
+SELECT scenario_id, root_cause_degraded OR raw >= 0.5 AS verified, round(raw, 3)::DOUBLE AS match_score, root_cause_degraded, coalesce(original_unhealthy, '') AS original_unhealthy, coalesce(twin_degraded_services, '') AS twin_degraded_services, coalesce(overlap, '') AS overlap, CASE WHEN scenario_id = 's1' THEN 30.0 ELSE 0.0 END::DOUBLE AS wait_seconds FROM ov LEFT JOIN n USING (scenario_id) LEFT JOIN w USING (scenario_id)""")
+def verification_rows(spark, d):
+    original, observed, _ = base.overlap_sides(spark, d)
+    waits = original.where("scenario_id = 's1'").select("scenario_id", F.lit(30.0).alias("wait_seconds")).distinct()
+    made = outcome.verification_rows(base.overlaps(spark, d), original, observed, waits)
+    return made.drop("reasoning").withColumns({c: F.array_join(c, ",") for c in ("original_unhealthy", "twin_degraded_services", "overlap")})
+
+
+_TRIES = "e AS (SELECT 'u' || (user_id % 50) AS scenario_id, user_id % 50 AS u, event_id % 5 AS iteration, event_id AS no, 'kubectl get ' || event_type AS command, event_id % 3 = 0 AS ok, value FROM events)"
+_TRIED = f"{_TRIES}, it AS (SELECT scenario_id, u, iteration, max(value) / 500 AS reward, max(value) > 400 AS passed, max(value) * 3 AS elapsed, string_agg(command || '=' || CASE WHEN ok THEN 'true' ELSE 'false' END, ';' ORDER BY no) FILTER (WHERE no % 7 <> 0) AS told, string_agg(command, ';' ORDER BY no) FILTER (WHERE no % 7 <> 0) AS commands FROM e GROUP BY 1, 2, 3)"
+
+
+def _tried(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Iterations, and results of their commands, of 50 scenarios that ``events`` are dealt to."""
+    e = base._read(spark, d, "events").withColumns({"scenario_id": F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string")), "iteration": F.col("event_id") % 5})
+    iterations = e.groupBy("scenario_id", "iteration").agg(F.max("value").alias("v")).select("scenario_id", "iteration", (F.col("v") / 500).alias("reward"), (F.col("v") > 400).alias("passed"), (F.col("v") * 3).alias("elapsed"))
+    ran = e.where("event_id % 7 <> 0").select("scenario_id", "iteration", F.col("event_id").alias("no"), F.concat(F.lit("kubectl get "), "event_type").alias("command"), F.lit("").alias("stdout"), F.lit("").alias("stderr"), F.when(F.col("event_id") % 3 == 0, 0).otherwise(1).alias("returncode"), "value")
+    return iterations, ran.withColumnRenamed("value", "elapsed_ms")
+
+
+def _told(c: str) -> Column:
+    return F.array_join(F.transform(c, lambda r: F.concat(r["command"], F.lit("="), r["ok"].cast("string"))), ";")
+
+
+@query(f"WITH {_TRIED} SELECT scenario_id, iteration, coalesce(commands, '') AS commands, round(reward, 4)::DOUBLE AS reward, passed, round(elapsed, 2)::DOUBLE AS elapsed_seconds, coalesce(told, '') AS command_results FROM it")
+def iteration_rows(spark, d):
+    return outcome.iteration_rows(*_tried(spark, d)).withColumns({"commands": F.array_join("commands", ";"), "command_results": _told("command_results")})
+
+
+@query(f"""WITH {_TRIED}, b AS (SELECT scenario_id, arg_max(coalesce(commands, ''), (reward, -iteration)) AS best_commands FROM it WHERE reward > 0 GROUP BY 1),
+s AS (SELECT scenario_id, u, bool_or(passed) AS passed, greatest(0, max(reward)) AS best, count(*) AS n, string_agg(iteration || ':' || coalesce(told, ''), '/' ORDER BY iteration) AS its FROM it GROUP BY 1, 2)
+SELECT scenario_id, u % 11 <> 0 AND passed AS passed, CASE WHEN u % 11 = 0 THEN 0 ELSE round(best, 4) END::DOUBLE AS best_reward, CASE WHEN u % 11 = 0 THEN 0 ELSE n END AS n_iterations, u % 11 <> 0 AND u % 2 = 0 AS rca_verified, CASE WHEN u % 11 = 0 THEN '' ELSE coalesce(best_commands, '') END AS best_commands, CASE WHEN u % 11 = 0 THEN '' ELSE its END AS iterations, CASE WHEN u % 11 = 0 THEN 'no state' ELSE '' END AS error FROM s LEFT JOIN b USING (scenario_id)""")
+def scenario_results(spark, d):
+    iterations, ran = _tried(spark, d)
+    u = F.substring("scenario_id", 2, 9).cast("int")
+    known = iterations.select("scenario_id").distinct()
+    verified = known.where(u % 2 == 0).withColumn("verified", F.lit(True))
+    errors = known.where(u % 11 == 0).select("scenario_id", F.lit("no state").alias("error"), F.lit(1.5).alias("elapsed"))
+    made = outcome.scenario_results(known, outcome.iteration_rows(iterations, ran), iterations, verified, errors)
+    one = lambda r: F.concat(r["iteration"].cast("string"), F.lit(":"), F.array_join(F.transform(r["command_results"], lambda x: F.concat(x["command"], F.lit("="), x["ok"].cast("string"))), ";"))
+    return made.drop("elapsed_seconds").withColumns({"best_commands": F.array_join("best_commands", ";"), "iterations": F.array_join(F.transform("iterations", one), "/")})
+
+
+@query(f"""WITH {base._EDGES}, c AS (SELECT src, dst, CASE WHEN error_ratio >= 0.9 OR edge_score >= 0.9 THEN 'critical' WHEN error_ratio >= 0.3 OR edge_score >= 0.5 OR num_requests >= 20 THEN 'important' ELSE 'normal' END AS k FROM ed), s AS (SELECT src AS v FROM ed UNION SELECT dst FROM ed UNION SELECT 'svc' || s_nationkey FROM supplier)
+SELECT (SELECT count(*) FROM s) AS num_services, (SELECT count(*) FROM c) AS num_edges, (SELECT count(*) FROM c WHERE k = 'critical') AS num_critical_edges, (SELECT count(*) FROM c WHERE k = 'important') AS num_important_edges, (SELECT count(DISTINCT ts::DATE) FROM events) AS num_snapshots, (SELECT count(DISTINCT ts::DATE) > 1 FROM events) AS state_is_time_series""")
+def topology_complexity(spark, d):
+    judged = base.edges(spark, d).withColumn("criticality", rules.criticality(F.col("error_ratio"), F.col("edge_score"), F.col("num_requests")))
+    services = base._read(spark, d, "supplier").select(_one(), F.concat(F.lit("svc"), F.col("s_nationkey").cast("string")).alias("service"))
+    snapshots = base._read(spark, d, "events").select(_one(), F.to_date("ts").alias("snapshot"))
+    return grouping.complexity_report(judged, services, snapshots).drop("scenario_id")
+
+
 def _outcomes(spark: SparkSession, d: str) -> DataFrame:
     n, k = base._read(spark, d, "nation"), F.col("n_nationkey")
     sid = F.col("n_name").alias("scenario_id")
