@@ -205,6 +205,134 @@ _TEXTS = [
     ("non-commercial", "educational", r"for educational (?:use|purposes) only"),
     ("non-commercial", "evaluation", r"for evaluation (?:use|purposes) only"),
     ("non-commercial", "personal", r"for personal(?: and)? non ?commercial use(?: only)?"),
+    # sentences of grants, conditions and disclaimers
+    ("mit", "sublicense", r"use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "substantial", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "noninfringement", r"merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable"),
+    ("mit-0", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction [^.]{0,160}? the software is provided as is"),
+    ("x11", "consortium", r"except as contained in this notice the name of the x consortium shall not be used in advertising"),
+    ("isc", "disclaims", r"the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("0bsd", "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "binary", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation"),
+    ("bsd", "consequential", r"direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services"),
+    ("bsd-3-clause", "contributors", r"neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("bsd-3-clause-clear", "patent", r"no express or implied licenses to any party s patent rights are granted by this license"),
+    ("bsd-4-clause", "developed", r"this product includes software developed by the (?:university of california|organization|author)"),
+    ("apache-1", "foundation", r"this product includes software developed by the apache software foundation"),
+    ("apache-2", "perpetual", r"perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of"),
+    ("apache-2", "notice", r"if the work includes a notice text file as part of its distribution"),
+    ("apache-2", "compliance", r"you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2", "contribution", r"contribution shall mean any work of authorship including the original version of the work"),
+    ("apache-2", "trademarks", r"this license does not grant permission to use the trade names trademarks service marks or product names of the licensor"),
+    ("gpl", "useful", r"distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability"),
+    ("gpl", "freedom", r"the licenses for most software (?:and other practical works )?are designed to take away your freedom to share and change"),
+    ("gpl-2", "foundation", r"free software foundation inc (?:59 temple place|51 franklin street|675 mass ave)"),
+    ("gpl-2", "interactively", r"if the modified program normally reads commands interactively when run you must cause it"),
+    ("gpl-3", "convey", r"you may convey verbatim copies of the program s source code as you receive it in any medium"),
+    ("gpl-3", "corresponding", r"corresponding source for a work in object code form means all the source code needed to generate install"),
+    ("gpl-3", "technological", r"no covered work shall be deemed part of an effective technological measure under any applicable law"),
+    ("lgpl", "lesser", r"under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("lgpl", "library", r"under the terms of the gnu library general public license as published by the free software foundation"),
+    ("lgpl-2.1", "combine", r"you may also combine or link a work that uses the library with the library to produce a work containing portions of the library"),
+    ("lgpl-3", "supplemented", r"incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions"),
+    ("agpl-3", "affero", r"under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("agpl-3", "remotely", r"all users interacting with it remotely through a computer network"),
+    ("gfdl-1", "invariant", r"with no invariant sections no front cover texts and no back cover texts"),
+    ("gfdl-1", "documentation", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("mpl-1", "mozilla", r"the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-2", "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2", "mpl", r"if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-2", "incompatible", r"this source code form is incompatible with secondary licenses as defined by the mozilla public license"),
+    ("npl", "netscape", r"the contents of this file are subject to the netscape public license"),
+    ("epl-1", "eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public license v 1 0"),
+    ("epl-2", "eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v )?2 0"),
+    ("epl-2", "availability", r"secondary licenses when the conditions for such availability set forth in the eclipse public license"),
+    ("cpl-1", "common", r"the accompanying program is provided under the terms of this common public license"),
+    ("ipl", "ibm", r"the accompanying program is provided under the terms of this ibm public license"),
+    ("cddl-1", "distribution", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cddl-1", "opensolaris", r"you may not use this file except in compliance with the license you can obtain a copy of the license at usr src opensolaris license"),
+    ("spl", "sun", r"the contents of this file are subject to the sun public license"),
+    ("apsl", "apple", r"the contents of this file constitute original code as defined in and are subject to the apple public source license"),
+    ("eupl-1", "eupl", r"licensed under the eupl (?:version )?1 [012]"),
+    ("eupl-1", "european", r"licence means the european union public licence"),
+    ("cecill", "cecill", r"this software is governed by the cecill (?:b |c )?licen[cs]e under french law"),
+    ("artistic-1", "package", r"you may make and give away verbatim copies of the source form of the standard version of this package"),
+    ("artistic-2", "artistic", r"this package is free software you can redistribute it and or modify it under the terms of the artistic license 2 0"),
+    ("perl", "perl", r"(?:you can|you may) redistribute it and or modify it under the same terms as perl itself"),
+    ("zlib", "altered", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("libpng", "png", r"the png reference library is supplied as is"),
+    ("bsl-1", "executable", r"unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor"),
+    ("bsl-1", "boost", r"distributed under the boost software license version 1 0"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", "jurisdictions", r"in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest"),
+    ("wtfpl", "want", r"you just do what the (?:fuck|f) you want to"),
+    ("beerware", "beer", r"if we meet some day and you think this stuff is worth it you can buy me a beer in return"),
+    ("public-domain", "public", r"(?:has been|is|are) (?:hereby )?dedicated to the public domain"),
+    ("public-domain", "public", r"(?:has been|is|are|was) (?:hereby )?placed (?:in|into) the public domain"),
+    ("public-domain", "government", r"this (?:work|software) was prepared by [^.]{1,60}? of the united states government [^.]{0,80}? public domain"),
+    ("blessing", "good", r"may you do good and not evil may you find forgiveness for yourself and forgive others"),
+    ("json", "evil", r"the software shall be used for good not evil"),
+    ("postgresql", "postgresql", r"postgresql database management system formerly known as postgres"),
+    ("python-2", "psf", r"psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("python-2", "beopen", r"beopen com hereby grants licensee a non exclusive royalty free world wide license"),
+    ("php-3", "php", r"this product includes php software freely available from"),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ssleay", "eric", r"this product includes cryptographic software written by eric young"),
+    ("curl", "stenberg", r"daniel stenberg [^.]{0,120}? permission to use copy modify and distribute"),
+    ("ncsa", "illinois", r"university of illinois ncsa open source license"),
+    ("llvm-exception", "exception", r"as an exception if as a result of your compiling your source code portions of this software are embedded into an object form"),
+    ("icu", "icu", r"icu license icu 1 8 1 and later"),
+    ("unicode", "unicode", r"unicode inc license agreement data files and software"),
+    ("w3c", "w3c", r"w3c software (?:and document )?notice and license"),
+    ("ietf", "ietf", r"subject to bcp 78 and the ietf trust s legal provisions relating to ietf documents"),
+    ("ofl-1.1", "font", r"this font software is licensed under the sil open font license version 1 1"),
+    ("ofl-1.1", "reserved", r"no modified version of the font software may use the reserved font name"),
+    ("bitstream-vera", "vera", r"the names bitstream and vera must not be used in a renamed font"),
+    ("ubuntu-font", "ubuntu", r"ubuntu font licen[cs]e version 1 0"),
+    ("gust-font", "gust", r"gust font licen[cs]e"),
+    ("lppl", "latex", r"under the conditions of the latex project public license either version 1"),
+    ("lppl", "maintenance", r"this work has the lppl maintenance status"),
+    ("tcl", "regents", r"this software is copyrighted by the regents of the university of california sun microsystems inc"),
+    ("ruby", "copyrighted", r"ruby is copyrighted free software by yukihiro matsumoto"),
+    ("vim", "vim", r"there are no restrictions on distributing unmodified copies of vim"),
+    ("ijg", "jpeg", r"this software is based in part on the work of the independent jpeg group"),
+    ("freetype", "freetype", r"portions of this software are copyright [^.]{0,40}? the freetype project"),
+    ("mit-cmu", "warranties", r"carnegie mellon (?:university )?disclaims all warranties with regard to this software"),
+    ("hpnd", "fee", r"permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted"),
+    ("ntp", "suitability", r"makes no representations about the suitability (?:of )?this software for any purpose it is provided as is"),
+    ("ms-pl", "microsoft", r"this license governs use of the accompanying software if you use the software you accept this license [^.]{0,400}? microsoft"),
+    ("ms-pl", "patent", r"if you bring a patent claim against any contributor over patents that you claim are infringed by the software"),
+    ("osl-3", "licensed", r"licensed under the open software license version 3 0"),
+    ("afl-3", "academic", r"licensed under the academic free license version 3 0"),
+    ("qpl", "q", r"this software may be distributed under the terms of the q public license"),
+    ("sleepycat", "redistributions", r"redistributions in any form must be accompanied by information on how to obtain complete source code"),
+    ("sspl-1", "service", r"if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("busl-1.1", "change", r"effective on the change date or the fourth anniversary of the first publicly available distribution"),
+    ("busl-1.1", "production", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("elastic-2", "hosted", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("commons-clause", "sell", r"the grant of rights under the license will not include and the license does not grant to you the right to sell the software"),
+    ("cc0-1", "unconditionally", r"affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders"),
+    ("cc0-1", "extent", r"to the extent possible under law [^.]{1,120}? (?:has|have) waived all copyright and related or neighboring rights"),
+    ("cc-by", "attribution", r"licensed under a creative commons attribution (?:[1234] [05] )?(?:international|unported|generic) license"),
+    ("cc-by-sa", "sharealike", r"licensed under a creative commons attribution sharealike (?:[1234] [05] )?(?:international|unported|generic) license"),
+    ("cc-by-nc", "noncommercial", r"licensed under a creative commons attribution noncommercial (?:[1234] [05] )?(?:international|unported|generic) license"),
+    ("cc-by-nd", "noderivatives", r"licensed under a creative commons attribution noderivatives (?:[1234] [05] )?(?:international|unported|generic) license"),
+    ("cc-by-nc-sa", "sharealike", r"licensed under a creative commons attribution noncommercial sharealike (?:[1234] [05] )?(?:international|unported|generic) license"),
+    ("cc-by-nc-nd", "noderivatives", r"licensed under a creative commons attribution noncommercial noderivatives (?:[1234] [05] )?(?:international|unported|generic) license"),
+    ("cc-by", "appropriate", r"you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("odbl-1", "database", r"made available under the open database license"),
+    ("pddl-1", "dedication", r"made available under the public domain dedication and license"),
+    ("odc-by-1", "attribution", r"made available under the open data commons attribution license"),
+    ("cdla", "community", r"community data license agreement (?:permissive|sharing) (?:version )?[12] 0"),
+    ("ogl-uk", "government", r"contains public sector information licensed under the open government licen[cs]e"),
+    ("openrail", "licensed", r"licensed under the (?:creativeml |bigscience )?(?:open )?rail(?: m)? license"),
+    ("llama", "llama", r"llama [234](?: [0123456789])? is licensed under the llama [234](?: [0123456789])? community license"),
+    ("proprietary", "reserved", r"this software is (?:the )?confidential and proprietary [^.]{0,160}? all rights reserved"),
+    ("proprietary", "disclose", r"you shall not disclose such confidential information and shall use it only in accordance with the terms of the license agreement"),
+    ("proprietary", "unauthorized", r"unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "reverse", r"you may not reverse engineer decompile or disassemble the software"),
 ]
 
 
