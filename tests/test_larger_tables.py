@@ -1,5 +1,6 @@
 """What showed on larger tables only, on small rows."""
 
+from tracewright.operators import logs
 from tracewright.plans import registry
 
 
@@ -14,3 +15,17 @@ def test_item_numbers_are_no_http_statuses(spark, tmp_path):
     assert (row["lines"], row["http_status_counts"]) == (4, "404=1,503=1")
     parsed = {r["message"] for r in registry.log_parse_synthetic(spark, d).where("line_no in (16, 33)").collect()}
     assert parsed == {"served item 452", "served item 512"}
+
+
+def _aggregate_over(node, plan):
+    """The aggregate that takes a node's rows first."""
+    above = plan[: next(i for i, line in enumerate(plan) if node in line)]
+    return next(line.lstrip(" +-:") for line in reversed(above) if "Aggregate" in line)
+
+
+def test_facts_of_lines_are_counted_without_a_sort(spark):
+    rows = [("s", "b", 1, "web", "connection refused"), ("s", "a", 7, "web", "connection refused"), ("s", "a", 9, "web", "connection refused"), ("s", "a", 8, "web", "out of memory")]
+    facts = logs.facts(logs.parsed(spark.createDataFrame(rows, "scenario_id string, path string, line_no bigint, service string, line string")))
+    assert _aggregate_over("Generate", facts._jdf.queryExecution().sparkPlan().toString().splitlines()).startswith("HashAggregate")
+    got = {r["key"]: (r["n"], tuple(r["first_at"])) for r in facts.where("kind = 'type'").collect()}
+    assert got == {"dependency_connection": (3, ("a", 7)), "oom_or_resource": (1, ("a", 8))}
