@@ -1,7 +1,7 @@
 """What showed on larger tables only, on small rows."""
 
-from tracewright.operators import logs
-from tracewright.plans import registry
+from tracewright.operators import logs, traces
+from tracewright.plans import registry, reports
 
 
 def _events(spark, folder, rows):
@@ -29,3 +29,25 @@ def test_facts_of_lines_are_counted_without_a_sort(spark):
     assert _aggregate_over("Generate", facts._jdf.queryExecution().sparkPlan().toString().splitlines()).startswith("HashAggregate")
     got = {r["key"]: (r["n"], tuple(r["first_at"])) for r in facts.where("kind = 'type'").collect()}
     assert got == {"dependency_connection": (3, ("a", 7)), "oom_or_resource": (1, ("a", 8))}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_spans_are_not_sorted_ahead_of_their_shuffle(spark):
+    rows = [("s", "f", 1, 7, 1, 0, "a"), ("s", "f", 2, 7, 1, 0, "b"), ("s", "f", 3, 7, 2, 1, "c"), ("s", "f", 4, None, None, None, "d"), ("s", "f", 5, None, 2, None, "e")]
+    spans = spark.createDataFrame(rows, "scenario_id string, path string, row_no int, trace_id int, span_id int, parent_span int, service string")
+    made = traces.linked(spans)
+    assert "WindowGroupLimit" not in _plan(made)
+    assert {(r["src"], r["dst"]) for r in made.collect()} == {("ROOT", "a"), ("ROOT", "b"), ("b", "c"), ("ROOT", "d"), ("ROOT", "e")}
+
+
+def test_edges_are_read_from_files(spark):
+    rows = [("s", "f", n, n, 1, 0, "a", "op", float(n), "", False) for n in range(50)]
+    spans = spark.createDataFrame(rows, "scenario_id string, path string, row_no int, trace_id int, span_id int, parent_span int, service string, operation string, duration_us double, response string, is_error boolean")
+    for whole in (10, 100):
+        made = traces.call_edges(spans, whole=whole)
+        assert "ExistingRDD" not in made._jdf.queryExecution().executedPlan().toString()
+        (row,) = made.collect()
+        assert (row["num_requests"], row["num_traces"], row["latency_p50_us"]) == (50, 50, 24.5)
