@@ -51,3 +51,10 @@ def test_edges_are_read_from_files(spark):
         assert "ExistingRDD" not in made._jdf.queryExecution().executedPlan().toString()
         (row,) = made.collect()
         assert (row["num_requests"], row["num_traces"], row["latency_p50_us"]) == (50, 50, 24.5)
+
+
+def test_views_read_stored_lines_and_no_pod_names(spark):
+    d = "/root/testdata/sf0.001"
+    assert "Repartition" not in _plan(reports.log_view(spark, d))
+    assert "collect_set(pod#" not in _plan(reports.graph_nodes(spark, d))
+    assert "pod_names" not in registry.state(spark, d).columns
